@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import dashboard, views
+from larder.operators import dashboard, listings, views
 from larder.sources.model import Model
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,60 @@ def _dashboard_kpis(m: Model) -> DataFrame:
 @key("valuation_share")
 def _valuation_share(m: Model) -> DataFrame:
     return views.valuation_share(m.products)
+
+
+# -- listings and top-k -------------------------------------------------------
+
+@key("product_listing")
+def _product_listing(m: Model) -> DataFrame:
+    return listings.product_listing(m.products, m.suppliers)
+
+
+@key("supplier_directory")
+def _supplier_directory(m: Model) -> DataFrame:
+    return listings.supplier_directory(m.suppliers)
+
+
+@key("order_listing")
+def _order_listing(m: Model) -> DataFrame:
+    return listings.order_listing(m.purchase_orders, m.suppliers)
+
+
+@key("order_items_enriched")
+def _order_items_enriched(m: Model) -> DataFrame:
+    return listings.order_items_enriched(m.items, m.products)
+
+
+@key("orders_nested")
+def _orders_nested(m: Model) -> DataFrame:
+    """Digest of the nested order listing (order id, item count, quantity, sku range)."""
+    return listings.orders_digest(m.purchase_orders, m.suppliers, m.items, m.products)
+
+
+@key("ledger_listing")
+def _ledger_listing(m: Model) -> DataFrame:
+    return listings.ledger_listing(m.ledger, m.products)
+
+
+@key("recent_movements")
+def _recent_movements(m: Model) -> DataFrame:
+    return listings.recent_movements(m.ledger, m.products, 5)
+
+
+@key("low_stock_top")
+def _low_stock_top(m: Model) -> DataFrame:
+    return listings.low_stock_top(m.products, m.suppliers, 4)
+
+
+@key("lookup_by_keys")
+def _lookup_by_keys(m: Model) -> DataFrame:
+    """Products referenced by the items of pending orders."""
+    pending = m.purchase_orders.filter(F.col("status") == "PENDING").select(F.col("id").alias("_oid"))
+    items = m.items
+    wanted = items.join(pending, items.order_id == pending._oid, "left_semi")
+    return listings.lookup_by_keys(m.products, wanted, key="id", keys_col="product_id")
+
+
+@key("adhoc_category_filter")
+def _adhoc_category_filter(m: Model) -> DataFrame:
+    return listings.adhoc_category_filter(m.spark, m.products, "PROMO")

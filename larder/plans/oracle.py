@@ -72,3 +72,60 @@ SELECT category, CAST(total_valuation AS DOUBLE) AS total_valuation,
        CAST(total_valuation AS DOUBLE) / greatest((SELECT max(CAST(total_valuation AS DOUBLE)) FROM valuation), 1.0)
          * 100 AS pct_of_max
 FROM valuation""", VALUATION)
+
+
+# -- listings and top-k -------------------------------------------------------
+
+PRODUCT_COLS = """p.id, p.sku, p.name, p.description, p.category, CAST(p.price AS DOUBLE) AS price,
+       p.quantity_in_stock, p.reorder_level, p.supplier_id, p.status, p.created_at"""
+
+ORDER_COLS = """o.id, o.supplier_id, o.order_date, o.expected_date, o.delivery_date,
+       CAST(o.total_amount AS DOUBLE) AS total_amount, o.status, o.created_at, o.updated_at"""
+
+LEDGER_COLS = "t.id, t.product_id, t.transaction_type, t.quantity, t.reference_id, t.notes, t.transaction_date"
+
+sql("product_listing", f"""
+SELECT {PRODUCT_COLS}, s.name AS supplier_name, p.quantity_in_stock <= p.reorder_level AS is_low_stock
+FROM products p LEFT JOIN suppliers s ON p.supplier_id = s.id""")
+
+sql("supplier_directory", "SELECT * FROM suppliers")
+
+sql("order_listing", f"""
+SELECT {ORDER_COLS}, s.name AS supplier_name, o.status IN ('PENDING', 'SHIPPED') AS is_open
+FROM purchase_orders o JOIN suppliers s ON o.supplier_id = s.id""")
+
+sql("order_items_enriched", """
+SELECT i.order_id, i.product_id, i.quantity, CAST(i.unit_price AS DOUBLE) AS unit_price, i.received_quantity,
+       p.name AS product_name, p.sku AS product_sku, i.received_quantity = i.quantity AS fully_received
+FROM purchase_order_items i JOIN products p ON i.product_id = p.id""")
+
+sql("orders_nested", """
+SELECT o.id AS order_id, CAST(count(i.order_id) AS BIGINT) AS item_count,
+       CAST(coalesce(sum(i.quantity), 0) AS BIGINT) AS total_quantity,
+       min(i.product_sku) AS min_sku, max(i.product_sku) AS max_sku
+FROM purchase_orders o JOIN suppliers s ON o.supplier_id = s.id
+LEFT JOIN (SELECT i.order_id, i.quantity, p.sku AS product_sku
+           FROM purchase_order_items i JOIN products p ON i.product_id = p.id) i ON i.order_id = o.id
+GROUP BY o.id""")
+
+sql("ledger_listing", f"""
+SELECT {LEDGER_COLS}, p.name AS product_name, p.sku AS product_sku
+FROM stock_transactions t JOIN products p ON t.product_id = p.id""")
+
+sql("recent_movements", f"""
+SELECT {LEDGER_COLS}, p.name AS product_name, p.sku AS product_sku
+FROM stock_transactions t JOIN products p ON t.product_id = p.id
+ORDER BY t.id DESC LIMIT 5""")
+
+sql("low_stock_top", """
+SELECT product_id, product_name, sku, supplier_name, quantity_in_stock, recommended_order_qty,
+       (SELECT count(*) FROM alerts) AS total_alerts,
+       greatest((SELECT count(*) FROM alerts) - 4, 0) AS remaining
+FROM alerts ORDER BY product_id LIMIT 4""", ALERTS)
+
+sql("lookup_by_keys", f"""
+SELECT {PRODUCT_COLS} FROM products p
+WHERE p.id IN (SELECT i.product_id FROM purchase_order_items i
+               JOIN purchase_orders o ON i.order_id = o.id WHERE o.status = 'PENDING')""")
+
+sql("adhoc_category_filter", f"SELECT {PRODUCT_COLS} FROM products p WHERE p.category = 'PROMO'")
