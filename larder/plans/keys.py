@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import dashboard, listings, views
+from larder.operators import audit, dashboard, guard, ledger, listings, views
 from larder.sources.model import Model
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,44 @@ def _lookup_by_keys(m: Model) -> DataFrame:
 @key("adhoc_category_filter")
 def _adhoc_category_filter(m: Model) -> DataFrame:
     return listings.adhoc_category_filter(m.spark, m.products, "PROMO")
+
+
+# -- ledger -------------------------------------------------------------------
+
+@key("ledger_stock")
+def _ledger_stock(m: Model) -> DataFrame:
+    """Signed sum per product over the bulk (line-item) ledger."""
+    return ledger.ledger_stock(m.ledger_bulk)
+
+
+@key("ledger_running_stock")
+def _ledger_running_stock(m: Model) -> DataFrame:
+    return ledger.running_stock(m.opening_zero(), m.ledger)
+
+
+@key("apply_ledger")
+def _apply_ledger(m: Model) -> DataFrame:
+    return ledger.apply_ledger(m.products, m.ledger)
+
+
+@key("ledger_guard")
+def _ledger_guard(m: Model) -> DataFrame:
+    g = guard.guard_ledger(m.opening_zero(), m.ledger)
+    return g.select("id", "product_id", "transaction_type", "quantity", "accepted",
+                    "stock_before", "stock_after", "reason")
+
+
+@key("reconcile_report")
+def _reconcile_report(m: Model) -> DataFrame:
+    return ledger.reconcile_report(m.products_synced, m.ledger_bulk)
+
+
+@key("reconcile_summary")
+def _reconcile_summary(m: Model) -> DataFrame:
+    return ledger.reconcile_summary(m.products_synced, m.ledger_bulk)
+
+
+@key("reconcile_fix")
+def _reconcile_fix(m: Model) -> DataFrame:
+    report, _products, _audit = ledger.reconcile_fix(m.products_synced, m.ledger_bulk)
+    return report

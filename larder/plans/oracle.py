@@ -129,3 +129,75 @@ WHERE p.id IN (SELECT i.product_id FROM purchase_order_items i
                JOIN purchase_orders o ON i.order_id = o.id WHERE o.status = 'PENDING')""")
 
 sql("adhoc_category_filter", f"SELECT {PRODUCT_COLS} FROM products p WHERE p.category = 'PROMO'")
+
+
+# -- ledger -------------------------------------------------------------------
+
+SIGNED = ("CASE transaction_type WHEN 'IN' THEN quantity WHEN 'OUT' THEN -quantity "
+          "WHEN 'ADJUSTMENT' THEN quantity ELSE 0 END")
+
+sql("ledger_stock", f"""
+SELECT product_id, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM ledger_bulk GROUP BY product_id""")
+
+sql("ledger_running_stock", f"""
+SELECT id, product_id, transaction_type, quantity,
+       CAST(run - s AS BIGINT) AS stock_before, CAST(run AS BIGINT) AS stock_after
+FROM (SELECT *, sum(s) OVER (PARTITION BY product_id ORDER BY id ROWS UNBOUNDED PRECEDING) AS run
+      FROM (SELECT id, product_id, transaction_type, quantity, {SIGNED} AS s FROM stock_transactions))""")
+
+sql("apply_ledger", f"""
+SELECT p.id AS product_id, CAST(p.quantity_in_stock + coalesce(l.stock, 0) AS INTEGER) AS quantity_in_stock
+FROM products p LEFT JOIN (SELECT product_id, sum({SIGNED}) AS stock FROM stock_transactions GROUP BY product_id) l
+  ON p.id = l.product_id""")
+
+GUARD_CTES = f"""
+sx AS (
+  SELECT id, product_id, transaction_type, quantity, CAST({SIGNED} AS BIGINT) AS s,
+         row_number() OVER (PARTITION BY product_id ORDER BY id) AS rn
+  FROM stock_transactions
+),
+g AS (
+  SELECT id, product_id, transaction_type, quantity, s, rn, CAST(0 AS BIGINT) AS stock_before,
+         s >= 0 AS accepted, CAST(CASE WHEN s >= 0 THEN s ELSE 0 END AS BIGINT) AS stock_after
+  FROM sx WHERE rn = 1
+  UNION ALL
+  SELECT x.id, x.product_id, x.transaction_type, x.quantity, x.s, x.rn, g.stock_after,
+         g.stock_after + x.s >= 0,
+         CASE WHEN g.stock_after + x.s >= 0 THEN g.stock_after + x.s ELSE g.stock_after END
+  FROM g JOIN sx x ON x.product_id = g.product_id AND x.rn = g.rn + 1
+)"""
+
+sql("ledger_guard", """
+SELECT id, product_id, transaction_type, quantity, accepted, stock_before, stock_after,
+       CASE WHEN accepted THEN NULL ELSE 'negative_stock' END AS reason
+FROM g""", GUARD_CTES, recursive=True)
+
+RECON = f"""
+recon AS (
+  SELECT p.id AS product_id, p.sku, p.name, CAST(p.quantity_in_stock AS BIGINT) AS actual_stock,
+         CAST(coalesce(l.stock, 0) AS BIGINT) AS computed_stock,
+         CAST(coalesce(l.stock, 0) - p.quantity_in_stock AS BIGINT) AS discrepancy
+  FROM products_synced p
+  LEFT JOIN (SELECT product_id, sum({SIGNED}) AS stock FROM ledger_bulk GROUP BY product_id) l
+    ON p.id = l.product_id
+)"""
+
+sql("reconcile_report", """
+SELECT *, false AS reconciled,
+       CASE WHEN discrepancy <> 0 THEN 'Discrepancy' ELSE 'Matched' END AS status_label,
+       CASE WHEN discrepancy > 0 THEN '+' || CAST(discrepancy AS VARCHAR) ELSE CAST(discrepancy AS VARCHAR) END
+         AS discrepancy_text
+FROM recon""", RECON)
+
+sql("reconcile_summary", """
+SELECT coalesce(bool_or(discrepancy <> 0), false) AS has_discrepancy,
+       CAST(count(*) FILTER (WHERE discrepancy <> 0) AS BIGINT) AS discrepancy_count
+FROM recon""", RECON)
+
+sql("reconcile_fix", """
+SELECT product_id, sku, name,
+       CASE WHEN discrepancy <> 0 AND computed_stock >= 0 THEN computed_stock ELSE actual_stock END AS actual_stock,
+       computed_stock, discrepancy,
+       discrepancy <> 0 AND computed_stock >= 0 AS reconciled,
+       discrepancy <> 0 AND computed_stock < 0 AS blocked
+FROM recon""", RECON)
