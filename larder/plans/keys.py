@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import audit, dashboard, guard, ledger, listings, views
+from larder.operators import audit, catalog, dashboard, guard, ledger, listings, orders, views
+from larder.sources import requests as R
 from larder.sources.model import Model
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +171,74 @@ def _reconcile_summary(m: Model) -> DataFrame:
 def _reconcile_fix(m: Model) -> DataFrame:
     report, _products, _audit = ledger.reconcile_fix(m.products_synced, m.ledger_bulk)
     return report
+
+
+# -- orders -------------------------------------------------------------------
+
+@key("item_guard")
+def _item_guard(m: Model) -> DataFrame:
+    return orders.item_guard(R.item_candidates(m.raw("lineitem")), m.purchase_orders, m.products)
+
+
+@key("order_totals")
+def _order_totals(m: Model) -> DataFrame:
+    return orders.order_totals(m.purchase_orders, m.items)
+
+
+@key("order_create")
+def _order_create(m: Model) -> DataFrame:
+    headers, items = R.order_requests(m.raw("orders"), m.raw("lineitem"), m.raw("supplier"))
+    new_orders, _items, _rejects = orders.create_orders(headers, items, m.products, m.suppliers, R.AS_OF)
+    return new_orders.select("id", "supplier_id", "order_date", "expected_date", "total_amount", "status")
+
+
+def _transition(m: Model) -> dict:
+    return orders.transition_orders(R.status_requests(m.raw("orders")), m.purchase_orders, m.items, R.AS_OF)
+
+
+@key("order_transition")
+def _order_transition(m: Model) -> DataFrame:
+    return _transition(m)["outcomes"]
+
+
+@key("order_receipt_ledger")
+def _order_receipt_ledger(m: Model) -> DataFrame:
+    return _transition(m)["ledger"].select("product_id", "transaction_type", "quantity", "reference_id", "notes")
+
+
+@key("order_audit")
+def _order_audit(m: Model) -> DataFrame:
+    new = _transition(m)["orders"]
+    return audit.order_audit(m.purchase_orders, new, R.AS_OF).select(
+        "record_id", "old_status", "new_status", "changed_by")
+
+
+# -- catalogue ----------------------------------------------------------------
+
+@key("product_patch")
+def _product_patch(m: Model) -> DataFrame:
+    outcome, _new, _audit = catalog.patch_products(m.products, R.product_patches(m.raw("part")), m.suppliers)
+    return outcome
+
+
+@key("product_audit")
+def _product_audit(m: Model) -> DataFrame:
+    return catalog.patch_audit(m.products, R.product_patches(m.raw("part")), m.suppliers)
+
+
+@key("ingest_requests")
+def _ingest_requests(m: Model) -> DataFrame:
+    accepted, _rejects = catalog.ingest(R.ledger_request_bodies(m.raw("events")), "ledger")
+    return accepted
+
+
+@key("product_create")
+def _product_create(m: Model) -> DataFrame:
+    new, _rejects = catalog.create_products(R.product_requests(m.raw("part")), m.products, m.suppliers, R.AS_OF)
+    return new
+
+
+@key("supplier_create")
+def _supplier_create(m: Model) -> DataFrame:
+    new, _rejects = catalog.create_suppliers(R.supplier_requests(m.raw("customer")), m.suppliers, R.AS_OF)
+    return new

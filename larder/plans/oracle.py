@@ -201,3 +201,254 @@ SELECT product_id, sku, name,
        discrepancy <> 0 AND computed_stock >= 0 AS reconciled,
        discrepancy <> 0 AND computed_stock < 0 AS blocked
 FROM recon""", RECON)
+
+
+# -- orders -------------------------------------------------------------------
+
+UNIT_PRICE = ("CAST(((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))"
+              " // (2 * CAST(l_quantity AS BIGINT))) / 100 AS DECIMAL(12,2))")
+
+sql("item_guard", """
+SELECT order_id, product_id, reason IS NULL AS accepted, reason FROM (
+  SELECT c.order_id, c.product_id,
+         CASE WHEN o.status IS NOT NULL AND o.status <> 'PENDING' THEN 'not_pending'
+              WHEN c.quantity IS NULL OR c.quantity <= 0 OR c.unit_price IS NULL OR c.unit_price < 0
+                   OR c.received_quantity < 0 THEN 'check'
+              WHEN o.id IS NULL THEN 'no_order'
+              WHEN p.id IS NULL THEN 'no_product' END AS reason
+  FROM cand c LEFT JOIN purchase_orders o ON c.order_id = o.id LEFT JOIN products p ON c.product_id = p.id)""",
+    f"""
+cand AS (
+  SELECT CAST(l_orderkey + CASE WHEN l_partkey % 211 = 0 THEN 10000000 ELSE 0 END AS BIGINT) AS order_id,
+         CAST(l_partkey AS BIGINT) AS product_id,
+         CASE WHEN l_suppkey % 13 = 0 AND l_linenumber = 1 THEN -CAST(l_quantity AS INTEGER)
+              ELSE CAST(l_quantity AS INTEGER) END AS quantity,
+         {UNIT_PRICE} AS unit_price, 0 AS received_quantity
+  FROM lineitem
+)""")
+
+sql("order_totals", """
+SELECT o.id AS order_id, CAST(o.total_amount AS DOUBLE) AS header_total,
+       CAST(coalesce(i.t, 0) AS DOUBLE) AS item_total,
+       CAST(o.total_amount - coalesce(i.t, 0) AS DOUBLE) AS difference
+FROM purchase_orders o
+LEFT JOIN (SELECT order_id, sum(quantity * unit_price) AS t FROM purchase_order_items GROUP BY order_id) i
+  ON o.id = i.order_id""")
+
+sql("order_create", """
+SELECT request_id AS id, supplier_id, TIMESTAMP '2002-01-01 00:00:00' AS order_date, expected_date,
+       CAST(CAST(total AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, 'PENDING' AS status
+FROM (
+  SELECT h.*, CASE WHEN h.supplier_id IS NULL OR h.supplier_id = 0 OR coalesce(h.n, 0) = 0 THEN 'missing_field'
+                   WHEN h.anymiss = 1 THEN 'missing_field'
+                   WHEN h.total < 0 THEN 'check'
+                   WHEN h.sid IS NULL THEN 'no_supplier'
+                   ELSE h.first_bad.r END AS reason
+  FROM (SELECT o.id AS request_id, o.supplier_id, o.expected_date, a.n, a.anymiss, a.first_bad, a.total,
+               s.id AS sid
+        FROM purchase_orders o LEFT JOIN oagg a ON o.id = a.request_id
+        LEFT JOIN suppliers s ON o.supplier_id = s.id) h)
+WHERE reason IS NULL""", f"""
+oreq AS (
+  SELECT CAST(l_orderkey AS BIGINT) AS request_id, CAST(l_linenumber AS INTEGER) AS line,
+         CAST(l_partkey AS BIGINT) AS product_id,
+         CASE WHEN l_orderkey % 19 = 0 AND l_linenumber = 1 THEN -CAST(l_quantity AS INTEGER)
+              ELSE CAST(l_quantity AS INTEGER) END AS quantity,
+         CASE WHEN l_linenumber = 2 THEN NULL ELSE {UNIT_PRICE} END AS unit_price
+  FROM lineitem
+),
+oi AS (
+  SELECT r.*, p.id AS pid, coalesce(r.unit_price, p.price) AS unit
+  FROM oreq r LEFT JOIN products p ON r.product_id = p.id
+),
+oi2 AS (
+  SELECT *, (product_id IS NULL OR product_id = 0 OR quantity IS NULL OR quantity = 0
+             OR unit IS NULL OR unit = 0) AS missing,
+         CASE WHEN quantity < 0 THEN 'check' WHEN unit < 0 THEN 'check'
+              WHEN pid IS NULL THEN 'no_product' END AS bad
+  FROM oi
+),
+oagg AS (
+  SELECT request_id, count(*) AS n, max(CAST(missing AS INTEGER)) AS anymiss,
+         min(CASE WHEN NOT missing AND bad IS NOT NULL THEN struct_pack(line := line, r := bad) END) AS first_bad,
+         sum(quantity * unit) AS total
+  FROM oi2 GROUP BY request_id
+)""")
+
+TRANSITION = """
+status_req AS (
+  SELECT CAST(o_orderkey AS BIGINT) AS order_id, 1 AS seq,
+         CASE o_orderkey % 4 WHEN 0 THEN 'DELIVERED' WHEN 1 THEN 'SHIPPED' WHEN 2 THEN 'CANCELLED'
+              ELSE 'BOGUS' END AS status
+  FROM orders
+  UNION ALL SELECT CAST(o_orderkey AS BIGINT), 2, 'DELIVERED' FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT CAST(o_orderkey + 10000000 AS BIGINT), 1, 'SHIPPED' FROM orders WHERE o_orderkey % 1009 = 0
+),
+tr0 AS (
+  SELECT r.order_id, r.seq, r.status AS requested, o.id AS oid, o.status AS orig,
+         r.status IN ('PENDING', 'SHIPPED', 'DELIVERED', 'CANCELLED') AS valid
+  FROM status_req r LEFT JOIN purchase_orders o ON r.order_id = o.id
+),
+tr1 AS (
+  SELECT *, coalesce(orig IN ('DELIVERED', 'CANCELLED'), false)
+            OR coalesce(max(CASE WHEN valid AND requested IN ('DELIVERED', 'CANCELLED') THEN 1 ELSE 0 END)
+                OVER (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1
+            AS terminal_before
+  FROM tr0
+),
+tr2 AS (SELECT *, valid AND oid IS NOT NULL AND NOT terminal_before AS applied FROM tr1),
+tr3 AS (
+  SELECT *, coalesce(last_value(CASE WHEN applied THEN requested END IGNORE NULLS)
+                     OVER (PARTITION BY order_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                     orig) AS old_status,
+         CASE WHEN NOT valid THEN 'invalid_status' WHEN oid IS NULL THEN 'not_found'
+              WHEN terminal_before THEN 'terminal' ELSE 'applied' END AS outcome
+  FROM tr2
+)"""
+
+sql("order_transition", "SELECT order_id, seq, old_status, requested, outcome FROM tr3", TRANSITION)
+
+sql("order_receipt_ledger", """
+SELECT i.product_id, 'IN' AS transaction_type, i.quantity, 'PO-' || CAST(i.order_id AS VARCHAR) AS reference_id,
+       'Received stock from Purchase Order' AS notes
+FROM purchase_order_items i
+JOIN (SELECT DISTINCT order_id FROM tr3 WHERE applied AND requested = 'DELIVERED') d ON i.order_id = d.order_id""",
+    TRANSITION)
+
+sql("order_audit", """
+SELECT o.id AS record_id, o.status AS old_status, f.final AS new_status, 'DB_TRIGGER_ORDERS' AS changed_by
+FROM purchase_orders o
+JOIN (SELECT order_id, arg_max(requested, seq) AS final FROM tr3 WHERE applied GROUP BY order_id) f
+  ON o.id = f.order_id
+WHERE o.status <> f.final""", TRANSITION)
+
+
+# -- catalogue ----------------------------------------------------------------
+
+PATCH = """
+patches AS (
+  SELECT CAST(p_partkey AS BIGINT) AS id,
+         CAST(CASE WHEN p_partkey % 1000 = 3 THEN -1.0 WHEN p_partkey % 5 = 0 THEN p_retailprice + 10 END
+              AS DECIMAL(12,2)) AS n_price,
+         CASE WHEN p_partkey % 7 = 0 THEN 'Inactive' END AS n_status
+  FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 1000 = 3
+),
+pp AS (
+  SELECT p.*, x.n_price, x.n_status,
+         CASE WHEN p.quantity_in_stock < 0 THEN 'negative_stock'
+              WHEN coalesce(coalesce(x.n_price, p.price) < 0, false)
+                   OR coalesce(p.reorder_level < 0, false)
+                   OR coalesce(coalesce(x.n_status, p.status) NOT IN ('Active', 'Inactive'), false) THEN 'check'
+              END AS reason
+  FROM products p JOIN patches x ON p.id = x.id
+)"""
+
+sql("product_patch", """
+SELECT id AS product_id, name, category,
+       CAST(CASE WHEN reason IS NULL THEN coalesce(n_price, price) ELSE price END AS DOUBLE) AS price,
+       reorder_level, supplier_id,
+       CASE WHEN reason IS NULL THEN coalesce(n_status, status) ELSE status END AS status,
+       reason IS NOT NULL AS refused, reason
+FROM pp""", PATCH)
+
+sql("product_audit", """
+SELECT id AS record_id, quantity_in_stock AS old_quantity, quantity_in_stock AS new_quantity,
+       CAST(price AS DOUBLE) AS old_price, CAST(coalesce(n_price, price) AS DOUBLE) AS new_price
+FROM pp WHERE reason IS NULL AND coalesce(n_price, price) <> price""", PATCH)
+
+sql("ingest_requests", """
+SELECT request_id, product_id, transaction_type, quantity, 'MANUAL' AS reference_id,
+       CASE WHEN notes IS NULL OR notes = '' THEN 'Manual stock adjustment' ELSE notes END AS notes
+FROM (
+  SELECT request_id, pid_text, transaction_type, qty_text, notes,
+         TRY_CAST(pid_text AS BIGINT) AS product_id, TRY_CAST(qty_text AS INTEGER) AS quantity
+  FROM (
+    SELECT request_id, json_extract_string(body, '$.product_id') AS pid_text,
+           json_extract_string(body, '$.transaction_type') AS transaction_type,
+           json_extract_string(body, '$.quantity') AS qty_text,
+           json_extract_string(body, '$.notes') AS notes
+    FROM bodies))
+WHERE NOT (pid_text IS NULL OR pid_text = '' OR transaction_type IS NULL OR transaction_type = ''
+           OR qty_text IS NULL OR qty_text = '')
+  AND product_id IS NOT NULL AND quantity IS NOT NULL AND product_id <> 0 AND quantity <> 0""", """
+bodies AS (
+  SELECT CAST(event_id AS BIGINT) AS request_id,
+         json_object('product_id', CAST(user_id AS VARCHAR),
+                     'transaction_type', CASE WHEN event_type = 'signup' THEN NULL
+                                              WHEN event_type IN ('purchase', 'click') THEN 'OUT' ELSE 'IN' END,
+                     'quantity', CASE WHEN event_type = 'error' THEN 'n/a'
+                                      ELSE CAST(CAST(greatest(1, ceil(value)) AS BIGINT) AS VARCHAR) END,
+                     'notes', props)::VARCHAR AS body
+  FROM events
+)""")
+
+sql("product_create", """
+SELECT request_id AS id, nsku AS sku, name, description, category, CAST(price AS DOUBLE) AS price,
+       0 AS quantity_in_stock, nreorder AS reorder_level, nsupp AS supplier_id, 'Active' AS status,
+       TIMESTAMP '2002-01-01 00:00:00' AS created_at
+FROM (
+  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
+                   WHEN r.request_id > w.winner THEN 'duplicate_sku' ELSE 'no_supplier' END AS reason
+  FROM pr3 r LEFT JOIN pw w ON r.nsku = w.nsku)
+WHERE reason IS NULL""", """
+preq AS (
+  SELECT CAST(p_partkey + 1000000 AS BIGINT) AS request_id,
+         CASE WHEN p_size = 49 THEN p_type || '-' || CAST(p_partkey AS VARCHAR)
+              ELSE '  ' || lower(p_type) || '-n' || CAST(p_partkey // 2 AS VARCHAR) || ' ' END AS sku,
+         CASE WHEN p_size < 3 THEN NULL ELSE 'New ' || p_name END AS name,
+         p_brand AS description, p_type AS category,
+         CAST(CASE WHEN p_size = 50 THEN -p_retailprice ELSE p_retailprice END AS DECIMAL(12,2)) AS price,
+         CAST(CASE WHEN p_size > 25 THEN p_size END AS INTEGER) AS reorder_level,
+         CAST(CASE WHEN p_size = 48 THEN 999999999 ELSE p_partkey % 7 END AS BIGINT) AS supplier_id
+  FROM part
+),
+pr1 AS (
+  SELECT r.*, upper(trim(r.sku)) AS nsku,
+         CAST(CASE WHEN coalesce(reorder_level, 0) = 0 THEN 0 ELSE reorder_level END AS INTEGER) AS nreorder,
+         CAST(CASE WHEN coalesce(supplier_id, 0) = 0 THEN NULL ELSE supplier_id END AS BIGINT) AS nsupp
+  FROM preq r
+),
+pr2 AS (
+  SELECT r.*, e.sku AS esku, s.id AS sid
+  FROM pr1 r LEFT JOIN (SELECT DISTINCT sku FROM products) e ON r.nsku = e.sku
+  LEFT JOIN suppliers s ON r.nsupp = s.id
+),
+pr3 AS (
+  SELECT *, CASE WHEN sku IS NULL OR sku = '' OR name IS NULL OR name = '' OR category IS NULL OR category = ''
+                      OR price IS NULL THEN 'missing_field'
+                 WHEN price < 0 OR nreorder < 0 THEN 'check'
+                 WHEN esku IS NOT NULL THEN 'duplicate_sku' END AS pre
+  FROM pr2
+),
+pw AS (
+  SELECT nsku, min(request_id) AS winner FROM pr3
+  WHERE pre IS NULL AND (nsupp IS NULL OR sid IS NOT NULL) GROUP BY nsku
+)""")
+
+sql("supplier_create", """
+SELECT request_id AS id, name, contact_name, email, phone, address, 'Active' AS status,
+       TIMESTAMP '2002-01-01 00:00:00' AS created_at
+FROM (
+  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
+                   ELSE 'duplicate_email' END AS reason
+  FROM sr2 r LEFT JOIN sw w ON r.email = w.email)
+WHERE reason IS NULL""", """
+sreq AS (
+  SELECT CAST(c_custkey + 1000000 AS BIGINT) AS request_id, c_name AS name, c_mktsegment AS contact_name,
+         CASE WHEN c_mktsegment = 'BUILDING'
+                THEN lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', '-')) || '@example.com'
+              WHEN c_mktsegment = 'MACHINERY'
+                THEN 'machinery-' || CAST(c_custkey // 2 AS VARCHAR) || '@example.com'
+              ELSE lower(replace(c_name, '#', '-')) || '@example.com' END AS email,
+         CASE WHEN c_acctbal < 0 THEN NULL ELSE '+1-555-' || CAST(c_custkey AS VARCHAR) END AS phone,
+         'Nation ' || CAST(c_nationkey AS VARCHAR) AS address
+  FROM customer
+),
+sr2 AS (
+  SELECT r.*, CASE WHEN name IS NULL OR name = '' OR contact_name IS NULL OR contact_name = ''
+                        OR r.email IS NULL OR r.email = '' OR phone IS NULL OR phone = ''
+                        OR address IS NULL OR address = '' THEN 'missing_field'
+                   WHEN e.email IS NOT NULL THEN 'duplicate_email' END AS pre
+  FROM sreq r LEFT JOIN (SELECT DISTINCT email FROM suppliers) e ON r.email = e.email
+),
+sw AS (SELECT email, min(request_id) AS winner FROM sr2 WHERE pre IS NULL GROUP BY email)""")

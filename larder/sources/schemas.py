@@ -105,6 +105,7 @@ def not_null_columns(table: str) -> list[str]:
 # defaults.  These must equal the reference's DDL.
 # ---------------------------------------------------------------------------
 SUPPLIER_STATUSES = ("Active", "Inactive")
+PRODUCT_STATUSES = ("Active", "Inactive")
 ORDER_STATUSES = ("PENDING", "SHIPPED", "DELIVERED", "CANCELLED")
 TRANSACTION_TYPES = ("IN", "OUT", "ADJUSTMENT")
 AUDIT_ACTIONS = ("INSERT", "UPDATE", "DELETE")
