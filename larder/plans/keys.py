@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import audit, catalog, dashboard, guard, ledger, listings, orders, views
+from larder.operators import audit, catalog, dashboard, guard, integrity, ledger, listings, orders, views
 from larder.sources import requests as R
 from larder.sources.model import Model
 
@@ -242,3 +242,53 @@ def _product_create(m: Model) -> DataFrame:
 def _supplier_create(m: Model) -> DataFrame:
     new, _rejects = catalog.create_suppliers(R.supplier_requests(m.raw("customer")), m.suppliers, R.AS_OF)
     return new
+
+
+# -- integrity ----------------------------------------------------------------
+
+def _tables(m: Model, products=None, ledger_df=None) -> dict[str, DataFrame]:
+    return {
+        "suppliers": m.suppliers,
+        "products": products if products is not None else m.products,
+        "purchase_orders": m.purchase_orders,
+        "purchase_order_items": m.items,
+        "stock_transactions": ledger_df if ledger_df is not None else m.ledger,
+    }
+
+
+@key("check_violations")
+def _check_violations(m: Model) -> DataFrame:
+    return integrity.check_violations(_tables(m, products=m.products_faulty))
+
+
+@key("unique_violations")
+def _unique_violations(m: Model) -> DataFrame:
+    return integrity.unique_violations({"suppliers": m.suppliers, "products": m.products_faulty})
+
+
+@key("fk_violations")
+def _fk_violations(m: Model) -> DataFrame:
+    return integrity.fk_violations(_tables(m, ledger_df=m.ledger_faulty))
+
+
+@key("delete_impact")
+def _delete_impact(m: Model) -> DataFrame:
+    """Deleting inactive suppliers, inactive products and cancelled orders."""
+    t = _tables(m)
+    keys = {
+        "suppliers": t["suppliers"].filter(F.col("status") == "Inactive").select("id"),
+        "products": t["products"].filter(F.col("status") == "Inactive").select("id"),
+        "purchase_orders": t["purchase_orders"].filter(F.col("status") == "CANCELLED").select("id"),
+    }
+    return integrity.delete_impact(t, keys)
+
+
+@key("fd_check")
+def _fd_check(m: Model) -> DataFrame:
+    pf = m.products_faulty
+    return integrity.fd_check([
+        ("products", pf, ["sku"], ["name", "category", "price"]),
+        ("products", pf, ["id"], ["sku", "name", "category", "price", "supplier_id"]),
+        ("suppliers", m.suppliers, ["email"], ["name"]),
+        ("products", pf, ["name"], ["category"]),
+    ])

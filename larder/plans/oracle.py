@@ -452,3 +452,86 @@ sr2 AS (
   FROM sreq r LEFT JOIN (SELECT DISTINCT email FROM suppliers) e ON r.email = e.email
 ),
 sw AS (SELECT email, min(request_id) AS winner FROM sr2 WHERE pre IS NULL GROUP BY email)""")
+
+
+# -- integrity ----------------------------------------------------------------
+
+def _check_sql() -> str:
+    from larder.sources.schemas import CHECKS, not_null_columns
+
+    sources = {"suppliers": "suppliers", "products": "products_faulty", "purchase_orders": "purchase_orders",
+               "purchase_order_items": "purchase_order_items", "stock_transactions": "stock_transactions"}
+    parts = []
+    for table, src in sources.items():
+        for rule, pred in CHECKS.get(table, []):
+            parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, id AS row_id FROM {src} "
+                         f"WHERE NOT ({pred})")
+        for c in not_null_columns(table):
+            parts.append(f"SELECT '{table}', '{c}_not_null', id FROM {src} WHERE {c} IS NULL")
+    return "\nUNION ALL\n".join(parts)
+
+
+sql("check_violations", _check_sql())
+
+sql("unique_violations", """
+SELECT 'suppliers' AS table_name, 'email' AS column_name, email AS value, CAST(count(*) AS BIGINT) AS n,
+       min(id) AS first_id
+FROM suppliers WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1
+UNION ALL
+SELECT 'products', 'sku', sku, CAST(count(*) AS BIGINT), min(id)
+FROM products_faulty WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 1""")
+
+sql("fk_violations", """
+SELECT 'products' AS table_name, 'supplier_id' AS column_name, id AS row_id, supplier_id AS missing_key
+FROM products WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM suppliers)
+UNION ALL
+SELECT 'purchase_orders', 'supplier_id', id, supplier_id
+FROM purchase_orders WHERE supplier_id IS NOT NULL AND supplier_id NOT IN (SELECT id FROM suppliers)
+UNION ALL
+SELECT 'purchase_order_items', 'order_id', id, order_id
+FROM purchase_order_items WHERE order_id IS NOT NULL AND order_id NOT IN (SELECT id FROM purchase_orders)
+UNION ALL
+SELECT 'purchase_order_items', 'product_id', id, product_id
+FROM purchase_order_items WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)
+UNION ALL
+SELECT 'stock_transactions', 'product_id', id, product_id
+FROM ledger_faulty WHERE product_id IS NOT NULL AND product_id NOT IN (SELECT id FROM products)""")
+
+sql("delete_impact", """
+SELECT 'suppliers' AS table_name, id AS row_id,
+       CASE WHEN id IN (SELECT supplier_id FROM purchase_orders) THEN 'restricted' ELSE 'deleted' END AS effect
+FROM suppliers WHERE status = 'Inactive'
+UNION ALL
+SELECT 'products', id, 'set_null' FROM products
+WHERE supplier_id IN (SELECT id FROM suppliers WHERE status = 'Inactive'
+                      AND id NOT IN (SELECT supplier_id FROM purchase_orders))
+UNION ALL
+SELECT 'products', id,
+       CASE WHEN id IN (SELECT product_id FROM purchase_order_items) THEN 'restricted' ELSE 'deleted' END
+FROM products WHERE status = 'Inactive'
+UNION ALL
+SELECT 'stock_transactions', id, 'cascaded' FROM stock_transactions
+WHERE product_id IN (SELECT id FROM products WHERE status = 'Inactive'
+                     AND id NOT IN (SELECT product_id FROM purchase_order_items))
+UNION ALL
+SELECT 'purchase_orders', id, 'deleted' FROM purchase_orders WHERE status = 'CANCELLED'
+UNION ALL
+SELECT 'purchase_order_items', id, 'cascaded' FROM purchase_order_items
+WHERE order_id IN (SELECT id FROM purchase_orders WHERE status = 'CANCELLED')""")
+
+sql("fd_check", """
+SELECT 'products' AS table_name, 'sku' AS lhs, 'name,category,price' AS rhs,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT sku FROM products_faulty
+        GROUP BY sku HAVING count(DISTINCT (name, category, price)) > 1)) AS violations
+UNION ALL
+SELECT 'products', 'id', 'sku,name,category,price,supplier_id',
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT id FROM products_faulty
+        GROUP BY id HAVING count(DISTINCT (sku, name, category, price, supplier_id)) > 1))
+UNION ALL
+SELECT 'suppliers', 'email', 'name',
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT email FROM suppliers
+        GROUP BY email HAVING count(DISTINCT name) > 1))
+UNION ALL
+SELECT 'products', 'name', 'category',
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT name FROM products_faulty
+        GROUP BY name HAVING count(DISTINCT category) > 1))""")
