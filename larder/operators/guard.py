@@ -52,6 +52,39 @@ def _first_below(p: np.ndarray, i: int, end: int, threshold: int) -> int:
     return end
 
 
+def fold_balances(b0: int, s: np.ndarray):
+    """Vectorised guard over one product's signed quantities (in id order)
+    from balance ``b0``.  Returns (accepted, before, after, final balance)."""
+    s = np.asarray(s, dtype=np.int64)
+    n = len(s)
+    acc = np.ones(n, dtype=bool)
+    before = np.empty(n, dtype=np.int64)
+    b, i = int(b0), 0
+    if b < 0:
+        lift = np.flatnonzero(s >= -b)
+        j = int(lift[0]) if lift.size else n
+        acc[:j] = False
+        before[:j] = b
+        if j == n:
+            return acc, before, before.copy(), b
+        before[j] = b
+        b += int(s[j])
+        i = j + 1
+    p = b + np.cumsum(s[i:])
+    refused, k, m = 0, 0, len(p)
+    while k < m:
+        j = _first_below(p, k, m, -refused)
+        before[i + k:i + j] = p[k:j] - s[i + k:i + j] + refused
+        if j == m:
+            break
+        before[i + j] = p[j] - s[i + j] + refused
+        acc[i + j] = False
+        refused -= int(s[i + j])
+        k = j + 1
+    after = before + np.where(acc, s, 0)
+    return acc, before, after, (int(after[-1]) if n else int(b0))
+
+
 def guard_fold(batches):
     """mapInPandas body.  Input sorted by (product_id, _chunk, id); carries
     (product, R) across Arrow batches."""

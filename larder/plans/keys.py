@@ -292,3 +292,23 @@ def _fd_check(m: Model) -> DataFrame:
         ("suppliers", m.suppliers, ["email"], ["name"]),
         ("products", pf, ["name"], ["category"]),
     ])
+
+
+# -- streaming (run to completion with availableNow) ----------------------------
+
+@key("stream_stock")
+def _stream_stock(m: Model) -> DataFrame:
+    """ST1: live stock per product from the events ledger read as a stream."""
+    from larder.streaming import ledger_stream as S
+
+    out = S.run_live_stock(m.spark, S.ledger_stream(m.spark, m.sf_dir))
+    return m.spark.read.parquet(out)
+
+
+@key("stream_guard")
+def _stream_guard(m: Model) -> DataFrame:
+    """ST2: the guard with per-product balance state, over the events stream."""
+    from larder.streaming import ledger_stream as S
+
+    g = S.live_guard(S.ledger_stream(m.spark, m.sf_dir), m.opening_zero())
+    return m.spark.read.parquet(S.run_to_parquet(m.spark, g, "stream-guard"))

@@ -535,3 +535,13 @@ UNION ALL
 SELECT 'products', 'name', 'category',
        (SELECT CAST(count(*) AS BIGINT) FROM (SELECT name FROM products_faulty
         GROUP BY name HAVING count(DISTINCT category) > 1))""")
+
+
+# -- streaming ----------------------------------------------------------------
+
+sql("stream_stock", f"""
+SELECT product_id, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM stock_transactions GROUP BY product_id""")
+
+sql("stream_guard", """
+SELECT id, product_id, transaction_type, quantity, accepted, stock_before, stock_after FROM g""",
+    GUARD_CTES, recursive=True)
