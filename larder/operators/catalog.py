@@ -54,14 +54,19 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     and handed to their operators, which validate them.
     """
     schema = REQUEST_SCHEMAS[kind]
-    parsed = bodies.select("request_id", F.from_json("body", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    # json_object_keys is null for text that is not a JSON object
+    parsed = bodies.select(
+        "request_id",
+        F.json_object_keys("body").isNull().alias("_bad_json"),
+        F.from_json("body", schema, {"mode": "PERMISSIVE"}).alias("r"),
+    )
     if kind != "ledger":
-        ok = parsed.filter(F.col("r").isNotNull()).select("request_id", "r.*")
-        bad = parsed.filter(F.col("r").isNull()).select("request_id", F.lit("bad_json").alias("reason"))
+        ok = parsed.filter(~F.col("_bad_json")).select("request_id", "r.*")
+        bad = parsed.filter(F.col("_bad_json")).select("request_id", F.lit("bad_json").alias("reason"))
         return ok, bad
     r = parsed.select(
         "request_id",
-        F.col("r").isNull().alias("_bad_json"),
+        "_bad_json",
         F.col("r.product_id").alias("_pid_text"),
         F.col("r.transaction_type").alias("transaction_type"),
         F.col("r.quantity").alias("_qty_text"),
