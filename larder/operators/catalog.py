@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions.columns import normalize_sku
 from larder.operators.audit import product_audit
@@ -53,15 +54,15 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     ledger kind is validated field by field here; the other kinds are parsed
     and handed to their operators, which validate them.
     """
-    schema = REQUEST_SCHEMAS[kind]
-    # json_object_keys is null for text that is not a JSON object
+    schema = T.StructType(REQUEST_SCHEMAS[kind].fields + [T.StructField("_corrupt_record", T.StringType())])
+    # one parse per body: text that is not a JSON object lands in _corrupt_record
     parsed = bodies.select(
         "request_id",
-        F.json_object_keys("body").isNull().alias("_bad_json"),
-        F.from_json("body", schema, {"mode": "PERMISSIVE"}).alias("r"),
-    )
+        F.from_json("body", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+        .alias("r"),
+    ).withColumn("_bad_json", F.col("r._corrupt_record").isNotNull())
     if kind != "ledger":
-        ok = parsed.filter(~F.col("_bad_json")).select("request_id", "r.*")
+        ok = parsed.filter(~F.col("_bad_json")).select("request_id", "r.*").drop("_corrupt_record")
         bad = parsed.filter(F.col("_bad_json")).select("request_id", F.lit("bad_json").alias("reason"))
         return ok, bad
     r = parsed.select(

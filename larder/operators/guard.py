@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from larder.functions.columns import signed_quantity
 from larder.operators.ledger import CHUNK_IDS, chunk_of
+from larder.session import checkpoint_dir
 
 REFUSED = "negative_stock"
 
@@ -122,12 +123,14 @@ def guard_fold(batches):
         yield out
 
 
-def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS,
+                 materialize: bool = True) -> DataFrame:
     """Judge every ledger row against the running stock.
 
     ``opening``: (product_id, opening_stock); missing products start at 0.
     Returns the ledger's columns plus accepted, stock_before, stock_after
-    (bigint) and reason (null or 'negative_stock').
+    (bigint) and reason (null or 'negative_stock').  With ``materialize``
+    (the default) the prefix sums are checkpointed once (an eager job).
     """
     cols = ledger.columns
     op = opening.select(F.col("product_id").alias("_opid"),
@@ -163,6 +166,12 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     ct = ct.withColumn("_pdirty", F.max(F.col("_cdirty").cast("int")).over(Window.partitionBy("product_id")) == 1)
     t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty"), ["product_id", "_chunk"], "inner")
     t = t.withColumn("_p", F.col("_open") + F.col("_off") + F.col("_local"))
+    # Four branches read these rows.  Materialise them once in the shared
+    # checkpoint folder: one shuffle of the ledger instead of one per branch,
+    # and a lineage that survives the loss of executors.
+    if materialize:
+        checkpoint_dir(t.sparkSession)
+        t = t.drop("_local", "_se").checkpoint(eager=True)
 
     def emit(df, accepted, before, after):
         return df.select(
@@ -182,9 +191,9 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     # 3. dirty chunks through the fold, with one marker per clean chunk of a dirty product
     work = ["_chunk", "_p", "_s"]
     data = t.filter(~F.col("_pre") & F.col("_cdirty")).select(*cols, *work, F.lit(_DATA).alias("_kind"))
-    marks = ct.filter(F.col("_pdirty") & ~F.col("_cdirty")).select(
-        "product_id", "_chunk", (F.col("_chunk") * F.lit(chunk_ids)).cast("bigint").alias("id"),
-        F.lit(_MARK).alias("_kind"))
+    marks = (t.filter(~F.col("_pre") & F.col("_pdirty") & ~F.col("_cdirty"))
+             .groupBy("product_id", "_chunk").agg(F.min("id").alias("id"))
+             .withColumn("_kind", F.lit(_MARK)))
     fold_in = data.unionByName(marks, allowMissingColumns=True)
     out_schema = T.StructType(fold_in.schema.fields + [
         T.StructField("accepted", T.BooleanType()), T.StructField("_rb", T.LongType())])

@@ -76,7 +76,8 @@ def products(part: DataFrame, supplier: DataFrame) -> DataFrame:
 
 def purchase_orders(orders: DataFrame, supplier: DataFrame) -> DataFrame:
     n = F.nullif(_supplier_count(supplier), F.lit(0))
-    k = F.col("o_custkey") % n
+    orders = orders.withColumn("_k", F.col("o_custkey") % n)
+    k = F.col("_k")
     key = F.col("o_orderkey")
     odate = _ts("o_orderdate")
     status = (
