@@ -81,12 +81,14 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
     unit = F.coalesce(F.col("unit_price"), F.col("_pprice"))
     it = it.withColumn("_unit", unit)
     missing = _falsy_num("product_id") | _falsy_num("quantity") | _falsy_num("_unit")
-    bad = F.when(F.col("quantity") < 0, "check").when(F.col("_unit") < 0, "check").when(
-        F.col("_pid").isNull(), "no_product")
+    # first failing item: line * 2 + (0 check | 1 no_product), a number so the
+    # grouping stays a hash aggregate (for one line, CHECK fails before the FK)
+    bad_code = (F.when((F.col("quantity") < 0) | (F.col("_unit") < 0), 0)
+                .when(F.col("_pid").isNull(), 1))
     per_req = it.groupBy(F.col("request_id").alias("_rid")).agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(missing.cast("int")).alias("_missing"),
-        F.min(F.when(~missing & bad.isNotNull(), F.struct(F.col("line"), bad.alias("r")))).alias("_first_bad"),
+        F.min(F.when(~missing, F.col("line").cast("bigint") * 2 + bad_code)).alias("_first_bad"),
         F.sum(F.col("quantity") * F.col("_unit")).alias("_total"),
     )
     s = suppliers.select(F.col("id").alias("_sid"))
@@ -97,7 +99,8 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
         .when(F.col("_missing") == 1, "missing_field")
         .when(F.col("_total") < 0, "check")
         .when(F.col("_sid").isNull(), "no_supplier")
-        .otherwise(F.col("_first_bad.r"))
+        .when(F.col("_first_bad").isNotNull(),
+              F.when(F.col("_first_bad") % 2 == 0, "check").otherwise("no_product"))
     )
     h = h.withColumn("_reason", reason)
     rejects = h.filter(F.col("_reason").isNotNull()).select("request_id", F.col("_reason").alias("reason"))
