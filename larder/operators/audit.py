@@ -4,10 +4,11 @@ either side produces no audit row, as ``<>`` does in the reference."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import audit_json
+from larder.operators.prefix import DEFAULT_WIDTH, Scan, prefix_scan
 from larder.sources.schemas import ORDER_AUDIT_ACTOR, PRODUCT_AUDIT_ACTOR
 
 
@@ -75,12 +76,13 @@ def order_audit(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame:
     )
 
 
-def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", status_col="status") -> DataFrame:
+def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", status_col="status",
+                         width: int = DEFAULT_WIDTH) -> DataFrame:
     """From a log of successive statuses, the prior status of each entry
-    (``lag``) and one audit row per actual change."""
-    w = Window.partitionBy(order_col).orderBy(seq_col)
-    j = log.withColumn("old_status", F.lag(status_col).over(w)).filter(
-        F.col("old_status").isNotNull() & (F.col("old_status") != F.col(status_col)))
+    (``lag`` as a chunked scan, so a long log of one order is split) and one
+    audit row per actual change."""
+    j = prefix_scan(log, order_col, seq_col, [Scan("old_status", "prev", F.col(status_col))], width)
+    j = j.filter(F.col("old_status").isNotNull() & (F.col("old_status") != F.col(status_col)))
     return j.select(
         F.col(order_col).alias("record_id"), F.col(seq_col).alias("seq"), "old_status",
         F.col(status_col).alias("new_status"), F.lit(ORDER_AUDIT_ACTOR).alias("changed_by"),

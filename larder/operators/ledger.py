@@ -2,18 +2,19 @@
 
 The ledger is an append-only event table keyed by ``id``.  Sums are
 commutative (partial + final aggregation, skew-safe).  Running balances are
-computed as chunked prefix sums: rows are cut into id ranges of
-``CHUNK_IDS``; a window over (product, chunk) gives the local prefix, and a
-much smaller per-chunk table gives each chunk's offset.  A product that holds
-a third of all rows is thereby spread over many tasks instead of one.
+computed as chunked prefix sums (``operators.prefix``): rows are cut into id
+ranges of ``CHUNK_IDS``; a window over (product, chunk) gives the local
+prefix, and a much smaller per-chunk table gives each chunk's offset.  A
+product that holds a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint, signed_quantity
+from larder.operators.prefix import Scan, prefix_scan
 
 # Width of one id range.  Unique ids bound a (product, chunk) window partition
 # to CHUNK_IDS rows whatever the skew between products.
@@ -29,21 +30,6 @@ def chunk_of(order_col: str = "id", chunk_ids: int = CHUNK_IDS):
     return F.floor(F.col(order_col) / F.lit(chunk_ids)).cast("bigint")
 
 
-def chunked_running_sum(df: DataFrame, key: str, order_col: str, value_col: str, out: str,
-                        chunk_ids: int = CHUNK_IDS) -> DataFrame:
-    """Exact running sum of ``value_col`` per ``key`` in ``order_col`` order
-    (``order_col`` unique within a key).  Adds ``out`` and ``_chunk``."""
-    d = df.withColumn("_chunk", chunk_of(order_col, chunk_ids))
-    wl = (Window.partitionBy(key, "_chunk").orderBy(order_col)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    d = d.withColumn("_local", F.sum(value_col).over(wl))
-    totals = d.groupBy(key, "_chunk").agg(F.sum(value_col).alias("_ctot"))
-    wc = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(key, "_chunk", F.coalesce(F.sum("_ctot").over(wc), F.lit(0)).alias("_off"))
-    j = d.join(offsets, [key, "_chunk"], "inner")
-    return j.withColumn(out, F.col("_off") + F.col("_local")).drop("_off", "_local")
-
-
 def _opening(opening: DataFrame) -> DataFrame:
     return opening.select(F.col("product_id").alias("_opid"),
                           F.col("opening_stock").cast("bigint").alias("_open"))
@@ -55,7 +41,7 @@ def running_stock(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_
     op = _opening(opening)
     t = ledger.withColumn("_s", signed_quantity().cast("bigint"))
     t = t.join(op, t.product_id == op._opid, "left").drop("_opid")
-    t = chunked_running_sum(t, "product_id", "id", "_s", "_run", chunk_ids)
+    t = prefix_scan(t, "product_id", "id", [Scan("_run", "sum", F.col("_s"), inclusive=True)], chunk_ids)
     after = F.coalesce(F.col("_open"), F.lit(0)) + F.col("_run")
     return t.select(
         "id", "product_id", "transaction_type", "quantity",

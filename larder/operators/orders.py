@@ -9,11 +9,12 @@ key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import order_reference
 from larder.operators.audit import order_audit
+from larder.operators.prefix import DEFAULT_WIDTH, Scan, prefix_scan
 from larder.sources.schemas import ORDER_STATUSES, RECEIPT_NOTE
 
 TERMINAL = ("DELIVERED", "CANCELLED")
@@ -119,9 +120,11 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
     return new_orders, new_items, rejects
 
 
-def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame, as_of):
+def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame, as_of,
+                      width: int = DEFAULT_WIDTH):
     """Apply a batch of status requests (order_id, seq, status).
 
+    ``seq`` orders the requests of one order (integral, unique per order).
     Returns a dict with: outcomes (order_id, seq, old_status, requested,
     outcome), orders (new order rows), items (received quantities set),
     ledger (receipt rows, one IN row per item of each delivered order),
@@ -133,14 +136,17 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     j = r.join(o, r.order_id == o._oid, "left")
     valid = F.col("requested").isin(*ORDER_STATUSES)
     exists = F.col("_oid").isNotNull()
-    prior = Window.partitionBy("order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     closes = (valid & F.col("requested").isin(*TERMINAL)).cast("int")
-    j = j.withColumn("_valid", valid).withColumn(
-        "_terminal_before",
-        F.col("_orig").isin(*TERMINAL) | (F.coalesce(F.max(closes).over(prior), F.lit(0)) == 1))
+    # Running state per order in seq order, as skew-proof chunked scans:
+    # has an earlier request closed the order?  which status was applied last?
+    j = j.withColumn("_valid", valid)
+    j = prefix_scan(j, "order_id", "seq", [Scan("_closed_before", "max", closes)], width)
+    j = j.withColumn("_terminal_before",
+                     F.col("_orig").isin(*TERMINAL) | (F.coalesce(F.col("_closed_before"), F.lit(0)) == 1))
     j = j.withColumn("_applied", F.col("_valid") & exists & ~F.col("_terminal_before"))
-    j = j.withColumn("old_status", F.coalesce(
-        F.last(F.when(F.col("_applied"), F.col("requested")), ignorenulls=True).over(prior), F.col("_orig")))
+    j = prefix_scan(j, "order_id", "seq",
+                    [Scan("_last_applied", "last", F.when(F.col("_applied"), F.col("requested")))], width)
+    j = j.withColumn("old_status", F.coalesce(F.col("_last_applied"), F.col("_orig")))
     outcome = (F.when(~F.col("_valid"), "invalid_status").when(~exists, "not_found")
                .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
     j = j.withColumn("outcome", outcome)
