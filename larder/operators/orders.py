@@ -136,17 +136,22 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     j = r.join(o, r.order_id == o._oid, "left")
     valid = F.col("requested").isin(*ORDER_STATUSES)
     exists = F.col("_oid").isNotNull()
-    closes = (valid & F.col("requested").isin(*TERMINAL)).cast("int")
-    # Running state per order in seq order, as skew-proof chunked scans:
-    # has an earlier request closed the order?  which status was applied last?
+    closes = valid & F.col("requested").isin(*TERMINAL)
+    # The requests applied to an order are its valid requests up to and
+    # including the first one that closes it.  So the state before a request
+    # needs two running values, computed in one skew-proof chunked pass: the
+    # first closing request before it and the last valid request before it.
     j = j.withColumn("_valid", valid)
-    j = prefix_scan(j, "order_id", "seq", [Scan("_closed_before", "max", closes)], width)
-    j = j.withColumn("_terminal_before",
-                     F.col("_orig").isin(*TERMINAL) | (F.coalesce(F.col("_closed_before"), F.lit(0)) == 1))
+    j = prefix_scan(j, "order_id", "seq", [
+        Scan("_first_close", "first", F.when(closes, F.col("requested"))),
+        Scan("_last_valid", "last", F.when(valid, F.col("requested"))),
+    ], width)
+    orig_closed = F.coalesce(F.col("_orig").isin(*TERMINAL), F.lit(False))
+    j = j.withColumn("_terminal_before", orig_closed | F.col("_first_close").isNotNull())
     j = j.withColumn("_applied", F.col("_valid") & exists & ~F.col("_terminal_before"))
-    j = prefix_scan(j, "order_id", "seq",
-                    [Scan("_last_applied", "last", F.when(F.col("_applied"), F.col("requested")))], width)
-    j = j.withColumn("old_status", F.coalesce(F.col("_last_applied"), F.col("_orig")))
+    j = j.withColumn("old_status", F.when(~exists, F.lit(None))
+                     .when(orig_closed, F.col("_orig"))
+                     .otherwise(F.coalesce(F.col("_first_close"), F.col("_last_valid"), F.col("_orig"))))
     outcome = (F.when(~F.col("_valid"), "invalid_status").when(~exists, "not_found")
                .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
     j = j.withColumn("outcome", outcome)

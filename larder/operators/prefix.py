@@ -8,9 +8,10 @@ window over (key, chunk) computes the local scan, a per-chunk summary table
 from the chunks before it, and a join on (key, chunk) combines the two.  Each
 window partition holds at most ``width`` rows whatever the skew.
 
-Supported operations (all associative): ``sum``, ``max``, ``min`` and
-``last`` (the last non-null value), each inclusive or exclusive of the
-current row, plus ``prev`` (the previous row's value, like ``lag(1)``).
+Supported operations (all associative): ``sum``, ``max``, ``min``,
+``first`` and ``last`` (first / last non-null value), each inclusive or
+exclusive of the current row, plus ``prev`` (the previous row's value, like
+``lag(1)``).  Several scans share one pass.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ DEFAULT_WIDTH = 1 << 16
 @dataclass(frozen=True)
 class Scan:
     out: str
-    op: str            # sum | max | min | last | prev
+    op: str            # sum | max | min | first | last | prev
     value: Column
     inclusive: bool = False
 
@@ -40,6 +41,8 @@ def _local(op: str, v: Column, w) -> Column:
         return F.min(v).over(w)
     if op == "last":
         return F.last(v, ignorenulls=True).over(w)
+    if op == "first":
+        return F.first(v, ignorenulls=True).over(w)
     raise ValueError(op)
 
 
@@ -50,6 +53,8 @@ def _chunk_total(op: str, v: Column, order: str) -> Column:
         return F.max(v)
     if op == "min":
         return F.min(v)
+    if op == "first":
+        return F.min_by(v, F.when(v.isNotNull(), F.col(order)))
     if op in ("last", "prev"):
         # value at the highest order within the chunk ("last" skips nulls)
         return F.max_by(v, F.when(v.isNotNull(), F.col(order))) if op == "last" else F.max_by(v, F.col(order))
@@ -65,6 +70,8 @@ def _combine(op: str, before: Column, local: Column) -> Column:
         return F.least(before, local)
     if op == "last":
         return F.coalesce(local, before)
+    if op == "first":
+        return F.coalesce(before, local)
     raise ValueError(op)
 
 

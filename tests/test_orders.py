@@ -169,3 +169,18 @@ def test_prefix_scan_matches_windows(spark):
     # sum over an all-null prefix is 0 in the chunked form and null in SQL
     norm = lambda rs: sorted((k, o, v, s or 0, m, l, p) for (k, o, v, s, m, l, p) in rs)
     assert norm(g) == norm(e)
+
+
+def test_prefix_scan_first(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from larder.operators.prefix import Scan, prefix_scan
+
+    data = [(1, i, v) for i, v in enumerate([None, None, 3, None, 5, 1, None, 2, 8, None, 4])]
+    df = spark.createDataFrame(data, "k long, o long, v long")
+    got = prefix_scan(df, "k", "o", [Scan("f", "first", F.col("v")), Scan("fi", "first", F.col("v"), True)], 3)
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"),
+                     F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fi"))
+    assert rows(got, "k", "o", "f", "fi") == rows(want)
