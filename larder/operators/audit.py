@@ -81,7 +81,12 @@ def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", st
     """From a log of successive statuses, the prior status of each entry
     (``lag`` as a chunked scan, so a long log of one order is split) and one
     audit row per actual change."""
-    j = prefix_scan(log, order_col, seq_col, [Scan("old_status", "prev", F.col(status_col))], width)
+    from larder.operators.orders import status_code, status_of
+
+    # previous entry = the largest (seq * 8 + status code) before this one: a max, not a sort
+    enc = F.col(seq_col).cast("bigint") * 8 + status_code(F.col(status_col))
+    j = prefix_scan(log, order_col, seq_col, [Scan("_prev", "max", enc)], width)
+    j = j.withColumn("old_status", status_of(F.col("_prev")))
     j = j.filter(F.col("old_status").isNotNull() & (F.col("old_status") != F.col(status_col)))
     return j.select(
         F.col(order_col).alias("record_id"), F.col(seq_col).alias("seq"), "old_status",

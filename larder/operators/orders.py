@@ -20,6 +20,17 @@ from larder.sources.schemas import ORDER_STATUSES, RECEIPT_NOTE
 TERMINAL = ("DELIVERED", "CANCELLED")
 
 
+def status_code(c) -> F.Column:
+    """1-based position of an order status in ORDER_STATUSES (0 if unknown)."""
+    return F.array_position(F.array(*[F.lit(x) for x in ORDER_STATUSES]), c)
+
+
+def status_of(encoded) -> F.Column:
+    """Status from a value encoded as n * 8 + status code (null stays null)."""
+    code = (encoded % 8).cast("int")
+    return F.when(code > 0, F.element_at(F.array(*[F.lit(x) for x in ORDER_STATUSES]), code))
+
+
 def _fails(cond) -> F.Column:
     """A CHECK fails only when its predicate is false (null passes)."""
     return F.coalesce(~cond, F.lit(False))
@@ -141,11 +152,16 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     # including the first one that closes it.  So the state before a request
     # needs two running values, computed in one skew-proof chunked pass: the
     # first closing request before it and the last valid request before it.
+    # A request is encoded as seq * 8 + status code, so "first" and "last"
+    # are plain min / max (hash aggregates, no sort).
+    enc = F.col("seq").cast("bigint") * 8 + status_code(F.col("requested"))
     j = j.withColumn("_valid", valid)
     j = prefix_scan(j, "order_id", "seq", [
-        Scan("_first_close", "first", F.when(closes, F.col("requested"))),
-        Scan("_last_valid", "last", F.when(valid, F.col("requested"))),
+        Scan("_first_close", "min", F.when(closes, enc)),
+        Scan("_last_valid", "max", F.when(valid, enc)),
     ], width)
+    j = j.withColumn("_first_close", status_of(F.col("_first_close"))).withColumn(
+        "_last_valid", status_of(F.col("_last_valid")))
     orig_closed = F.coalesce(F.col("_orig").isin(*TERMINAL), F.lit(False))
     j = j.withColumn("_terminal_before", orig_closed | F.col("_first_close").isNotNull())
     j = j.withColumn("_applied", F.col("_valid") & exists & ~F.col("_terminal_before"))

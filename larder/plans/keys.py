@@ -312,3 +312,24 @@ def _stream_guard(m: Model) -> DataFrame:
 
     g = S.live_guard(S.ledger_stream(m.spark, m.sf_dir), m.opening_zero())
     return m.spark.read.parquet(S.run_to_parquet(m.spark, g, "stream-guard"))
+
+
+@key("stream_low_stock")
+def _stream_low_stock(m: Model) -> DataFrame:
+    """ST3: alerts from the live stock stream joined to the products per micro-batch."""
+    from larder.streaming import ledger_stream as S
+
+    out = S.run_low_stock_alerts(m.spark, S.ledger_stream(m.spark, m.sf_dir), m.products)
+    return m.spark.read.parquet(out).select("product_id", "sku", "product_name", "balance", "reorder_level",
+                                            "recommended_order_qty")
+
+
+@key("stream_audit")
+def _stream_audit(m: Model) -> DataFrame:
+    """ST4: product audit rows from the accepted rows of the streaming guard."""
+    from larder.streaming import ledger_stream as S
+
+    g = S.live_guard(S.ledger_stream(m.spark, m.sf_dir), m.opening_zero())
+    guarded = m.spark.read.parquet(S.run_to_parquet(m.spark, g, "stream-audit-guard"))
+    return S.audit_rows(guarded, m.products).select("record_id", "old_quantity", "new_quantity", "old_price",
+                                                    "new_price", "changed_by")

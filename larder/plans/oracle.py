@@ -545,3 +545,18 @@ SELECT product_id, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM stock_transaction
 sql("stream_guard", """
 SELECT id, product_id, transaction_type, quantity, accepted, stock_before, stock_after FROM g""",
     GUARD_CTES, recursive=True)
+
+sql("stream_low_stock", f"""
+SELECT p.id AS product_id, p.sku, p.name AS product_name, p.quantity_in_stock + l.stock AS balance,
+       p.reorder_level, p.reorder_level * 2 - (p.quantity_in_stock + l.stock) AS recommended_order_qty
+FROM products p
+JOIN (SELECT product_id, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM stock_transactions GROUP BY product_id) l
+  ON p.id = l.product_id
+WHERE p.quantity_in_stock + l.stock <= p.reorder_level AND p.status = 'Active'""")
+
+sql("stream_audit", """
+SELECT g.product_id AS record_id, CAST(g.stock_before AS INTEGER) AS old_quantity,
+       CAST(g.stock_after AS INTEGER) AS new_quantity, CAST(p.price AS DOUBLE) AS old_price,
+       CAST(p.price AS DOUBLE) AS new_price, 'DB_TRIGGER_PRODUCTS' AS changed_by
+FROM g JOIN products p ON g.product_id = p.id
+WHERE g.accepted AND g.stock_before <> g.stock_after""", GUARD_CTES, recursive=True)
