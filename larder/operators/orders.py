@@ -175,7 +175,7 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
 
     applied = j.filter(F.col("_applied"))
     final = applied.groupBy(F.col("order_id").alias("_fid")).agg(
-        F.max_by("requested", "seq").alias("_final"))
+        status_of(F.max(F.col("seq").cast("bigint") * 8 + status_code(F.col("requested")))).alias("_final"))
     oj = orders.join(final, orders.id == final._fid, "left")
     new_orders = oj.select(*[
         F.coalesce(F.col("_final"), F.col("status")).alias("status") if c == "status"
