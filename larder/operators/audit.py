@@ -94,6 +94,27 @@ def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", st
     )
 
 
+PRODUCT_VALUES = "quantity_in_stock INT, price DECIMAL(12,2)"
+ORDER_VALUES = "status STRING"
+
+
+def parse_audit_values(log: DataFrame) -> DataFrame:
+    """read the JSON old/new values of audit rows back into typed columns
+    (product rows: quantity and price; order rows: status)."""
+    is_product = F.col("table_name") == "products"
+    old_p, new_p = F.from_json("old_values", PRODUCT_VALUES), F.from_json("new_values", PRODUCT_VALUES)
+    old_o, new_o = F.from_json("old_values", ORDER_VALUES), F.from_json("new_values", ORDER_VALUES)
+    return log.select(
+        "*",
+        F.when(is_product, old_p["quantity_in_stock"]).alias("old_quantity_in_stock"),
+        F.when(is_product, new_p["quantity_in_stock"]).alias("new_quantity_in_stock"),
+        F.when(is_product, old_p["price"]).alias("old_price_value"),
+        F.when(is_product, new_p["price"]).alias("new_price_value"),
+        F.when(~is_product, old_o["status"]).alias("old_status_value"),
+        F.when(~is_product, new_o["status"]).alias("new_status_value"),
+    )
+
+
 def audit_log(*parts: DataFrame) -> DataFrame:
     """Stack audit rows of several kinds into the audit-log table's columns."""
     cols = ["table_name", "action_type", "record_id", "old_values", "new_values", "changed_by", "changed_at"]

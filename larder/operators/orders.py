@@ -171,7 +171,13 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     outcome = (F.when(~F.col("_valid"), "invalid_status").when(~exists, "not_found")
                .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
     j = j.withColumn("outcome", outcome)
-    outcomes = j.select("order_id", "seq", "old_status", "requested", "outcome")
+    message = (
+        F.when(F.col("outcome") == "invalid_status", F.lit("Invalid purchase order status."))
+        .when(F.col("outcome") == "not_found", F.lit("Purchase Order not found."))
+        .when(F.col("outcome") == "terminal",
+              F.concat(F.lit("Cannot change status of an already "), F.lower(F.col("old_status")), F.lit(" order.")))
+    )
+    outcomes = j.select("order_id", "seq", "old_status", "requested", "outcome", message.alias("message"))
 
     applied = j.filter(F.col("_applied"))
     final = applied.groupBy(F.col("order_id").alias("_fid")).agg(

@@ -306,7 +306,13 @@ tr3 AS (
   FROM tr2
 )"""
 
-sql("order_transition", "SELECT order_id, seq, old_status, requested, outcome FROM tr3", TRANSITION)
+sql("order_transition", """
+SELECT order_id, seq, old_status, requested, outcome,
+       CASE outcome WHEN 'invalid_status' THEN 'Invalid purchase order status.'
+                    WHEN 'not_found' THEN 'Purchase Order not found.'
+                    WHEN 'terminal' THEN 'Cannot change status of an already ' || lower(old_status) || ' order.'
+       END AS message
+FROM tr3""", TRANSITION)
 
 sql("order_receipt_ledger", """
 SELECT i.product_id, 'IN' AS transaction_type, i.quantity, 'PO-' || CAST(i.order_id AS VARCHAR) AS reference_id,

@@ -67,7 +67,7 @@ def test_transitions_receipt_and_audit(spark, seed):
          (3, 1, "BOGUS"), (3, 2, "SHIPPED"), (1, 1, "PENDING"), (77, 1, "SHIPPED")],
         "order_id long, seq int, status string")
     out = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)
-    got = rows(out["outcomes"])
+    got = rows(out["outcomes"], "order_id", "seq", "old_status", "requested", "outcome")
     assert got == [
         (1, 1, "DELIVERED", "PENDING", "terminal"),
         (2, 1, "PENDING", "SHIPPED", "applied"),
@@ -140,7 +140,7 @@ def test_transitions_with_tiny_chunks_equal_default(spark, seed):
             else:
                 want.append((o, q, cur, st, "applied"))
                 cur = st
-    assert rows(a) == sorted(want)
+    assert rows(a, "order_id", "seq", "old_status", "requested", "outcome") == sorted(want)
 
 
 def test_prefix_scan_matches_windows(spark):
@@ -184,3 +184,31 @@ def test_prefix_scan_first(spark):
     want = df.select("k", "o", F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"),
                      F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fi"))
     assert rows(got, "k", "o", "f", "fi") == rows(want)
+
+
+def test_transition_messages(spark, seed):
+    req = spark.createDataFrame([(1, 1, "PENDING"), (2, 1, "NOPE"), (99, 1, "SHIPPED")],
+                                "order_id long, seq int, status string")
+    got = rows(orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)["outcomes"], "order_id", "message")
+    assert got == [(1, "Cannot change status of an already delivered order."),
+                   (2, "Invalid purchase order status."), (99, "Purchase Order not found.")]
+
+
+def test_audit_log_round_trip(spark, seed):
+    from decimal import Decimal as D
+
+    from pyspark.sql import functions as F
+
+    from larder.operators.audit import audit_log, order_audit, parse_audit_values, product_audit
+
+    new_p = seed["products"].withColumn("price", F.when(F.col("id") == 1, F.lit(D("1250.00"))).otherwise(
+        F.col("price")))
+    new_o = seed["orders"].withColumn("status", F.when(F.col("id") == 3, "DELIVERED").otherwise(F.col("status")))
+    log = audit_log(product_audit(seed["products"], new_p, AS_OF), order_audit(seed["orders"], new_o, AS_OF))
+    got = {(r["table_name"], r["record_id"]): r for r in parse_audit_values(log).collect()}
+    p = got[("products", 1)]
+    assert (p["old_quantity_in_stock"], p["old_price_value"], p["new_price_value"]) == (19, D("1200.00"),
+                                                                                      D("1250.00"))
+    o = got[("purchase_orders", 3)]
+    assert (o["old_status_value"], o["new_status_value"], o["changed_by"]) == ("SHIPPED", "DELIVERED",
+                                                                             "DB_TRIGGER_ORDERS")
