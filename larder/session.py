@@ -26,6 +26,9 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # streaming state (one balance per product) on local disk, not the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -61,3 +64,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def configure_for_scale(spark: SparkSession, input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Size shuffles for a large input on a cluster: an initial shuffle
+    partition count of input / target (AQE coalesces small ones and splits
+    skewed ones at runtime), and the advisory partition size.  Settings the
+    cluster already made are kept.  Returns what was set."""
+    wanted = {
+        "spark.sql.shuffle.partitions": str(max(200, input_bytes // target_partition_bytes)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(min(target_partition_bytes, 512 << 20)),
+    }
+    preset = _cluster_set(spark)
+    applied = {}
+    for key, value in wanted.items():
+        if key not in preset:
+            spark.conf.set(key, value)
+            applied[key] = value
+    return applied
+
+
+def _cluster_set(spark: SparkSession) -> set:
+    """Keys set explicitly in the SparkContext configuration (cluster defaults)."""
+    return {k for k, _ in spark.sparkContext.getConf().getAll()}

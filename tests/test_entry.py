@@ -48,3 +48,15 @@ def test_sinks(spark, seed):
     sinks.append(seed["ledger"].limit(3), table)
     sinks.append(seed["ledger"].limit(2), table)
     assert spark.read.parquet(table).count() == 5
+
+
+def test_configure_for_scale_keeps_cluster_settings(spark):
+    from larder.session import configure_for_scale
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = configure_for_scale(spark, 100 << 40)
+    # shuffle partitions were set when the session was built, so they are kept
+    assert "spark.sql.shuffle.partitions" not in applied
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for k, v in applied.items():
+        spark.conf.unset(k)
