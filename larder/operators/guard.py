@@ -137,15 +137,15 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
                         F.col("opening_stock").cast("bigint").alias("_open"))
     t0 = ledger.withColumn("_s", signed_quantity().cast("bigint"))
 
-    # 1. first accepted row of products that open below zero
-    neg = op.filter(F.col("_open") < 0)
-    rec = (t0.join(neg, t0.product_id == neg._opid, "inner")
-           .filter(F.col("_s") >= -F.col("_open"))
+    # 1. first accepted row of products that open below zero: a grouped min
+    #    over the rows already joined to their opening stock (one row per
+    #    such product comes back; no second pass over the ledger is joined)
+    t1 = t0.join(op, t0.product_id == op._opid, "left").drop("_opid")
+    t1 = t1.withColumn("_open", F.coalesce(F.col("_open"), F.lit(0)))
+    rec = (t1.filter((F.col("_open") < 0) & (F.col("_s") >= -F.col("_open")))
            .groupBy(F.col("product_id").alias("_rpid"))
            .agg(F.min("id").alias("_first_ok")))
-    opx = op.join(rec, op._opid == rec._rpid, "left").drop("_rpid")
-    t = t0.join(opx, t0.product_id == opx._opid, "left").drop("_opid")
-    t = t.withColumn("_open", F.coalesce(F.col("_open"), F.lit(0)))
+    t = t1.join(rec, t1.product_id == rec._rpid, "left").drop("_rpid")
     pre = (F.col("_open") < 0) & (F.col("_first_ok").isNull() | (F.col("id") < F.col("_first_ok")))
     t = t.withColumn("_pre", pre).withColumn("_se", F.when(F.col("_pre"), F.lit(0)).otherwise(F.col("_s")))
 
