@@ -278,11 +278,13 @@ oagg AS (
 TRANSITION = """
 status_req AS (
   SELECT CAST(o_orderkey AS BIGINT) AS order_id, 1 AS seq,
-         CASE o_orderkey % 4 WHEN 0 THEN 'DELIVERED' WHEN 1 THEN 'SHIPPED' WHEN 2 THEN 'CANCELLED'
-              ELSE 'BOGUS' END AS status
+         CASE o_orderpriority WHEN '1-URGENT' THEN 'DELIVERED' WHEN '2-HIGH' THEN 'SHIPPED'
+              WHEN '3-MEDIUM' THEN 'CANCELLED' WHEN '4-NOT SPECIFIED' THEN 'BOGUS' ELSE 'PENDING' END AS status
   FROM orders
-  UNION ALL SELECT CAST(o_orderkey AS BIGINT), 2, 'DELIVERED' FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT CAST(o_orderkey + 10000000 AS BIGINT), 1, 'SHIPPED' FROM orders WHERE o_orderkey % 1009 = 0
+  UNION ALL SELECT CAST(o_orderkey AS BIGINT), 2, 'DELIVERED' FROM orders
+            WHERE o_orderpriority IN ('2-HIGH', '5-LOW')
+  UNION ALL SELECT CAST(o_orderkey + 10000000 AS BIGINT), 1, 'SHIPPED' FROM orders
+            WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P'
 ),
 tr0 AS (
   SELECT r.order_id, r.seq, r.status AS requested, o.id AS oid, o.status AS orig,
@@ -334,10 +336,10 @@ WHERE o.status <> f.final""", TRANSITION)
 PATCH = """
 patches AS (
   SELECT CAST(p_partkey AS BIGINT) AS id,
-         CAST(CASE WHEN p_partkey % 1000 = 3 THEN -1.0 WHEN p_partkey % 5 = 0 THEN p_retailprice + 10 END
+         CAST(CASE WHEN p_size = 1 THEN -1.0 WHEN p_size > 30 THEN p_retailprice + 10 END
               AS DECIMAL(12,2)) AS n_price,
-         CASE WHEN p_partkey % 7 = 0 THEN 'Inactive' END AS n_status
-  FROM part WHERE p_partkey % 5 = 0 OR p_partkey % 7 = 0 OR p_partkey % 1000 = 3
+         CASE WHEN p_type = 'PROMO' THEN 'Inactive' END AS n_status
+  FROM part
 ),
 pp AS (
   SELECT p.*, x.n_price, x.n_status,

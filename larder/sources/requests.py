@@ -31,18 +31,21 @@ def as_of():
 # -- purchase-order status requests (R7) ----------------------------------------
 
 def status_requests(orders: DataFrame) -> DataFrame:
-    """(order_id, seq, status): one request per order by key mod 4 (DELIVERED,
-    SHIPPED, CANCELLED, or an invalid 'BOGUS'); a second DELIVERED request on
-    every fifth key; one request for an unknown order per 1009 keys."""
+    """(order_id, seq, status).  Every order gets a first request chosen by
+    its priority (1 DELIVERED, 2 SHIPPED, 3 CANCELLED, 4 an invalid 'BOGUS',
+    5 PENDING); orders of priority 2 and 5 get a second request, DELIVERED;
+    open orders of priority 4 also send a request for an unknown order id."""
     k = F.col("o_orderkey").cast("bigint")
+    pr = F.col("o_orderpriority")
     first = orders.select(
         k.alias("order_id"), F.lit(1).alias("seq"),
-        F.when(k % 4 == 0, "DELIVERED").when(k % 4 == 1, "SHIPPED")
-        .when(k % 4 == 2, "CANCELLED").otherwise("BOGUS").alias("status"))
-    second = orders.filter(k % 5 == 0).select(k.alias("order_id"), F.lit(2).alias("seq"),
-                                               F.lit("DELIVERED").alias("status"))
-    missing = orders.filter(k % 1009 == 0).select((k + NOT_FOUND_OFFSET).alias("order_id"), F.lit(1).alias("seq"),
-                                                   F.lit("SHIPPED").alias("status"))
+        F.when(pr == "1-URGENT", "DELIVERED").when(pr == "2-HIGH", "SHIPPED")
+        .when(pr == "3-MEDIUM", "CANCELLED").when(pr == "4-NOT SPECIFIED", "BOGUS")
+        .otherwise("PENDING").alias("status"))
+    second = orders.filter(pr.isin("2-HIGH", "5-LOW")).select(
+        k.alias("order_id"), F.lit(2).alias("seq"), F.lit("DELIVERED").alias("status"))
+    missing = orders.filter((pr == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")).select(
+        (k + NOT_FOUND_OFFSET).alias("order_id"), F.lit(1).alias("seq"), F.lit("SHIPPED").alias("status"))
     return first.unionByName(second).unionByName(missing)
 
 
@@ -92,12 +95,14 @@ def order_requests(orders: DataFrame, lineitem: DataFrame, supplier: DataFrame):
 # -- product patches (R8) -----------------------------------------------------------
 
 def product_patches(part: DataFrame) -> DataFrame:
-    """Every fifth part: price + 10; every seventh: status Inactive (35 gets
-    both); key mod 1000 = 3: price -1 (refused by CHECK)."""
+    """One patch per part: price + 10 for sizes above 30, price -1 for size 1
+    (refused by CHECK), status Inactive for PROMO parts; other fields null
+    (a patch with every field null changes nothing)."""
     k = F.col("p_partkey")
-    price = (F.when(k % 1000 == 3, F.lit(-1.0))
-             .when(k % 5 == 0, F.col("p_retailprice") + 10)).cast("decimal(12,2)")
-    return part.filter((k % 5 == 0) | (k % 7 == 0) | (k % 1000 == 3)).select(
+    size = F.col("p_size")
+    price = (F.when(size == 1, F.lit(-1.0))
+             .when(size > 30, F.col("p_retailprice") + 10)).cast("decimal(12,2)")
+    return part.select(
         k.cast("bigint").alias("id"),
         F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("description"),
@@ -105,7 +110,7 @@ def product_patches(part: DataFrame) -> DataFrame:
         price.alias("price"),
         F.lit(None).cast("int").alias("reorder_level"),
         F.lit(None).cast("bigint").alias("supplier_id"),
-        F.when(k % 7 == 0, "Inactive").cast("string").alias("status"),
+        F.when(F.col("p_type") == "PROMO", "Inactive").cast("string").alias("status"),
     )
 
 
