@@ -41,7 +41,9 @@ def normalize_sku(c) -> Column:
 
 
 def order_reference(order_id) -> Column:
-    return F.concat(F.lit("PO-"), col_or_name(order_id).cast("string"))
+    from larder.sources.schemas import ORDER_REFERENCE_PREFIX
+
+    return F.concat(F.lit(ORDER_REFERENCE_PREFIX), col_or_name(order_id).cast("string"))
 
 
 def as_bigint(c) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from larder.functions.columns import normalize_sku
 from larder.operators.audit import product_audit
 from larder.sources.requests import REQUEST_SCHEMAS
-from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, PRODUCT_STATUSES, TABLES
+from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, MANUAL_REFERENCE, PRODUCT_STATUSES, TABLES
 
 
 def _ts(as_of):
@@ -85,7 +85,7 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     r = r.withColumn("reason", reason)
     accepted = r.filter(F.col("reason").isNull()).select(
         "request_id", "product_id", "transaction_type", "quantity",
-        F.lit("MANUAL").alias("reference_id"),
+        F.lit(MANUAL_REFERENCE).alias("reference_id"),
         F.when(_blank("_notes"), F.lit(MANUAL_NOTE)).otherwise(F.col("_notes")).alias("notes"),
     )
     rejects = r.filter(F.col("reason").isNotNull()).select("request_id", "reason")

@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 from larder.functions.columns import order_reference
 from larder.operators.audit import order_audit
 from larder.operators.prefix import DEFAULT_WIDTH, Scan, prefix_scan
-from larder.sources.schemas import ORDER_STATUSES, RECEIPT_NOTE
+from larder.sources.schemas import (
+    MSG_INVALID_STATUS,
+    MSG_ORDER_NOT_FOUND,
+    MSG_TERMINAL_PREFIX,
+    MSG_TERMINAL_SUFFIX,
+    ORDER_STATUSES,
+    RECEIPT_NOTE,
+)
 
 TERMINAL = ("DELIVERED", "CANCELLED")
 
@@ -172,10 +179,10 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
                .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
     j = j.withColumn("outcome", outcome)
     message = (
-        F.when(F.col("outcome") == "invalid_status", F.lit("Invalid purchase order status."))
-        .when(F.col("outcome") == "not_found", F.lit("Purchase Order not found."))
+        F.when(F.col("outcome") == "invalid_status", F.lit(MSG_INVALID_STATUS))
+        .when(F.col("outcome") == "not_found", F.lit(MSG_ORDER_NOT_FOUND))
         .when(F.col("outcome") == "terminal",
-              F.concat(F.lit("Cannot change status of an already "), F.lower(F.col("old_status")), F.lit(" order.")))
+              F.concat(F.lit(MSG_TERMINAL_PREFIX), F.lower(F.col("old_status")), F.lit(MSG_TERMINAL_SUFFIX)))
     )
     outcomes = j.select("order_id", "seq", "old_status", "requested", "outcome", message.alias("message"))
 
@@ -207,6 +214,7 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
         F.lit(RECEIPT_NOTE).alias("notes"),
         ts.alias("transaction_date"),
         F.col("order_id"),
+        F.col("id").alias("item_id"),
     )
     audit = applied.filter(F.col("old_status") != F.col("requested")).select(
         F.col("order_id").alias("record_id"), "seq", "old_status", F.col("requested").alias("new_status"))
@@ -216,3 +224,35 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
 def order_status_audit(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame:
     """R4 between two snapshots of the orders."""
     return order_audit(old, new, changed_at)
+
+
+def process_status_batch(requests: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame,
+                         ledger_id_base: int, as_of) -> dict:
+    """The write path of a batch of status requests (R7 -> R2 -> R1, R3, R4).
+
+    Receipt rows of delivered orders get ledger ids ``ledger_id_base + item
+    id`` (item order), are judged by the guard against current stock, and
+    the accepted ones move the stock.  Returns the transition outputs plus
+    ``ledger`` (accepted receipt rows), ``refused`` (receipt rows the guard
+    refused, with their order), ``products`` (new stock) and ``audit`` (the
+    audit-log rows for products and orders).
+    """
+    from larder.operators.audit import audit_log, product_audit_from_guard
+    from larder.operators.guard import guard_ledger
+    from larder.operators.ledger import apply_ledger_products
+
+    out = transition_orders(requests, orders, items, as_of)
+    receipts = out["ledger"].withColumn("id", (F.lit(ledger_id_base) + F.col("item_id")).cast("bigint"))
+    opening = products.select(F.col("id").alias("product_id"), F.col("quantity_in_stock").alias("opening_stock"))
+    guarded = guard_ledger(opening, receipts)
+    accepted = guarded.filter(F.col("accepted"))
+    new_products = apply_ledger_products(products, accepted)
+    audit = audit_log(product_audit_from_guard(guarded, products, as_of),
+                      order_audit(orders, out["orders"], as_of))
+    return {
+        **out,
+        "ledger": accepted.drop("accepted", "reason"),
+        "refused": guarded.filter(~F.col("accepted")).select("order_id", "product_id", "quantity", "reason"),
+        "products": new_products,
+        "audit": audit,
+    }

@@ -168,8 +168,16 @@ DEFAULTS = {
     "inventory_audit_log": {"changed_by": "SYSTEM"},
 }
 
-# Actor names written by the two audit triggers.
+# Fixed texts: actor names of the two audit triggers, notes and reference
+# labels of generated ledger rows, and the messages of refused status changes.
 PRODUCT_AUDIT_ACTOR = "DB_TRIGGER_PRODUCTS"
 ORDER_AUDIT_ACTOR = "DB_TRIGGER_ORDERS"
+DEFAULT_ACTOR = "SYSTEM"
 RECEIPT_NOTE = "Received stock from Purchase Order"
 MANUAL_NOTE = "Manual stock adjustment"
+MANUAL_REFERENCE = "MANUAL"
+ORDER_REFERENCE_PREFIX = "PO-"
+MSG_INVALID_STATUS = "Invalid purchase order status."
+MSG_ORDER_NOT_FOUND = "Purchase Order not found."
+MSG_TERMINAL_PREFIX = "Cannot change status of an already "
+MSG_TERMINAL_SUFFIX = " order."

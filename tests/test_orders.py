@@ -212,3 +212,21 @@ def test_audit_log_round_trip(spark, seed):
     o = got[("purchase_orders", 3)]
     assert (o["old_status_value"], o["new_status_value"], o["changed_by"]) == ("SHIPPED", "DELIVERED",
                                                                              "DB_TRIGGER_ORDERS")
+
+
+def test_process_status_batch_write_path(spark, seed):
+    req = spark.createDataFrame([(2, 1, "DELIVERED"), (3, 1, "CANCELLED")], "order_id long, seq int, status string")
+    # product 5 opens below zero: its receipt of 10 still leaves it negative, so it is refused
+    from pyspark.sql import functions as F
+
+    products = seed["products"].withColumn(
+        "quantity_in_stock", F.when(F.col("id") == 5, -15).otherwise(F.col("quantity_in_stock")))
+    out = orders.process_status_batch(req, seed["orders"], seed["items"], products, 1000, AS_OF)
+    assert rows(out["ledger"], "id", "product_id", "quantity", "stock_before", "stock_after") == [
+        (1002, 4, 10, 160, 170)]
+    assert rows(out["refused"]) == [(2, 5, 10, "negative_stock")]
+    stock = dict(rows(out["products"], "id", "quantity_in_stock"))
+    assert stock[4] == 170 and stock[5] == -15 and stock[1] == 19
+    audit = rows(out["audit"], "table_name", "record_id", "changed_by")
+    assert audit == [("products", 4, "DB_TRIGGER_PRODUCTS"), ("purchase_orders", 2, "DB_TRIGGER_ORDERS"),
+                     ("purchase_orders", 3, "DB_TRIGGER_ORDERS")]
