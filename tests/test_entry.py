@@ -60,3 +60,18 @@ def test_configure_for_scale_keeps_cluster_settings(spark):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     for k, v in applied.items():
         spark.conf.unset(k)
+
+
+def test_tables_round_trip(spark, seed):
+    from larder.operators import views
+    from larder.sources.tables import load_tables, save_tables
+
+    d = scratch_path(spark, "tables")
+    save_tables({"suppliers": seed["suppliers"], "products": seed["products"],
+                 "purchase_orders": seed["orders"], "purchase_order_items": seed["items"],
+                 "stock_transactions": seed["ledger"]}, d)
+    t = load_tables(spark, d, ["suppliers", "products", "purchase_orders", "purchase_order_items",
+                               "stock_transactions"])
+    assert t["products"].schema["price"].dataType.simpleString() == "decimal(12,2)"
+    got = sorted(tuple(r) for r in views.stock_valuation(t["products"]).collect())
+    assert got[0] == ("Electronics", 3, 89, 27570.0)
