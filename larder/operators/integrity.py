@@ -29,15 +29,20 @@ def check_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """
     parts = []
     for table, df in tables.items():
-        names = []
+        rules = []
         for rule, predicate in CHECKS.get(table, []):
-            names.append(F.when(F.coalesce(~F.expr(predicate), F.lit(False)), F.lit(rule)))
+            rules.append((rule, F.coalesce(~F.expr(predicate), F.lit(False))))
         for c in not_null_columns(table):
             if c in df.columns:
-                names.append(F.when(F.col(c).isNull(), F.lit(f"{c}_not_null")))
-        if not names:
+                rules.append((f"{c}_not_null", F.col(c).isNull()))
+        if not rules:
             continue
-        broken = df.select(F.col("id").alias("row_id"), F.array_compact(F.array(*names)).alias("_rules"))
+        # violations are rare: a codegen'd filter on "breaks any rule" first,
+        # the per-row array of rule names only for the rows that remain
+        any_broken = reduce(lambda a, b: a | b, [cond for _, cond in rules])
+        names = [F.when(cond, F.lit(rule)) for rule, cond in rules]
+        broken = df.filter(any_broken).select(F.col("id").alias("row_id"),
+                                              F.array_compact(F.array(*names)).alias("_rules"))
         parts.append(broken.select(F.lit(table).alias("table_name"), F.explode("_rules").alias("rule"), "row_id"))
     return _union(parts)
 
