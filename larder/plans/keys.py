@@ -21,9 +21,16 @@ from larder.sources.model import Model
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def _run(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Raw timestamps are zone-less; the model's day arithmetic and lead
+    # times are defined in UTC, whatever zone the caller's session uses.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return boundary(fn(Model(spark, sf_dir)))
+
+
 def key(name: str):
     def deco(fn):
-        REGISTRY[name] = lambda spark, sf_dir: boundary(fn(Model(spark, sf_dir)))
+        REGISTRY[name] = lambda spark, sf_dir: _run(fn, spark, sf_dir)
         REGISTRY[name].__name__ = name
         REGISTRY[name].__doc__ = fn.__doc__
         return fn
