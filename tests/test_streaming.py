@@ -72,3 +72,26 @@ def test_low_stock_alerts_and_audit(spark):
     g = spark.read.parquet(S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, SF), m.opening_zero()), "g"))
     audit = S.audit_rows(g, m.products)
     assert audit.count() == g.filter("accepted AND stock_before <> stock_after").count()
+
+
+def test_late_lower_ids_are_judged_on_arrival(spark):
+    import datetime as dt
+
+    from larder.streaming.ledger_stream import EVENTS_SCHEMA
+
+    d = S.scratch_path(spark, "late-events")
+    os.makedirs(d)
+    t = dt.datetime(2024, 1, 1)
+    # first file: ids 10, 11 (IN 5, OUT 4); second file: id 1 (OUT 3) arrives later
+    first = [(10, t, 7, "signup", 5.0, "{}"), (11, t, 7, "purchase", 4.0, "{}")]
+    second = [(1, t, 7, "purchase", 3.0, "{}")]
+    for i, rws in enumerate([first, second]):
+        tmp = S.scratch_path(spark, f"late-{i}")
+        spark.createDataFrame(rws, EVENTS_SCHEMA).coalesce(1).write.parquet(tmp)
+        f = [x for x in os.listdir(tmp) if x.endswith(".parquet")][0]
+        os.link(os.path.join(tmp, f), os.path.join(d, f"events-{i}.parquet"))
+    opening = spark.createDataFrame([(7, 0)], "product_id long, opening_stock long")
+    out = S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, d, max_files_per_trigger=1), opening), "late")
+    got = rows(spark.read.parquet(out), "id", "accepted", "stock_before", "stock_after")
+    # in id order the OUT 3 would be refused first; on arrival it finds stock 1 and is refused after 10, 11
+    assert got == [(1, False, 1, 1), (10, True, 0, 5), (11, True, 5, 1)]
