@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import signed_quantity
-from larder.operators.ledger import CHUNK_IDS, chunk_of
+from larder.operators.ledger import CHUNK_IDS, with_product_stats
+from larder.operators.prefix import chunk_column
 from larder.session import checkpoint_dir
 
 REFUSED = "negative_stock"
@@ -133,15 +134,12 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     (the default) the prefix sums are checkpointed once (an eager job).
     """
     cols = ledger.columns
-    op = opening.select(F.col("product_id").alias("_opid"),
-                        F.col("opening_stock").cast("bigint").alias("_open"))
     t0 = ledger.withColumn("_s", signed_quantity().cast("bigint"))
 
     # 1. first accepted row of products that open below zero: a grouped min
     #    over the rows already joined to their opening stock (one row per
     #    such product comes back; no second pass over the ledger is joined)
-    t1 = t0.join(op, t0.product_id == op._opid, "left").drop("_opid")
-    t1 = t1.withColumn("_open", F.coalesce(F.col("_open"), F.lit(0)))
+    t1 = with_product_stats(t0, opening)
     rec = (t1.filter((F.col("_open") < 0) & (F.col("_s") >= -F.col("_open")))
            .groupBy(F.col("product_id").alias("_rpid"))
            .agg(F.min("id").alias("_first_ok")))
@@ -150,7 +148,10 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     t = t.withColumn("_pre", pre).withColumn("_se", F.when(F.col("_pre"), F.lit(0)).otherwise(F.col("_s")))
 
     # 2. chunked prefix sums of the effective quantity, chunk minima, chunk flags
-    t = t.withColumn("_chunk", chunk_of("id", chunk_ids))
+    # only products with more than chunk_ids rows are cut into id ranges
+    # (repartition explicitly: a partitioning by product alone, e.g. after a
+    # join on it, would satisfy the window and keep a hot product in one task)
+    t = t.withColumn("_chunk", chunk_column("id", chunk_ids, "_n")).repartition("product_id", "_chunk")
     wl = (Window.partitionBy("product_id", "_chunk").orderBy("id")
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = t.withColumn("_local", F.sum("_se").over(wl))
@@ -204,7 +205,7 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     # 4. clean chunks of dirty products take the refused amount from their marker
     rest = t.filter(~F.col("_pre") & F.col("_pdirty") & ~F.col("_cdirty")).select(
         *cols, *work, F.lit(_CLEAN).alias("_kind"))
-    u = folded.unionByName(rest, allowMissingColumns=True)
+    u = folded.unionByName(rest, allowMissingColumns=True).repartition("product_id", "_chunk")
     u = u.withColumn("_cum", F.max(F.when(F.col("_kind") == _MARK, F.col("_rb")))
                      .over(Window.partitionBy("product_id", "_chunk")))
     u = u.filter(F.col("_kind") != _MARK)

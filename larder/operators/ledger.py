@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint, signed_quantity
-from larder.operators.prefix import Scan, prefix_scan
+from larder.operators.prefix import Scan, key_counts, prefix_scan
 
 # Width of one id range.  Unique ids bound a (product, chunk) window partition
 # to CHUNK_IDS rows whatever the skew between products.
@@ -26,23 +26,30 @@ def ledger_stock(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("product_id").agg(as_bigint(F.sum(signed_quantity())).alias("stock"))
 
 
-def chunk_of(order_col: str = "id", chunk_ids: int = CHUNK_IDS):
-    return F.floor(F.col(order_col) / F.lit(chunk_ids)).cast("bigint")
-
-
 def _opening(opening: DataFrame) -> DataFrame:
     return opening.select(F.col("product_id").alias("_opid"),
                           F.col("opening_stock").cast("bigint").alias("_open"))
 
 
+def with_product_stats(rows: DataFrame, opening: DataFrame) -> DataFrame:
+    """Attach to every ledger row its product's opening stock (``_open``, 0
+    when absent) and row count (``_n``) with one join: the counts are a
+    partial aggregate over the ledger joined to the opening table first."""
+    counts = key_counts(rows, "product_id", "_n")
+    op = _opening(opening)
+    stats = counts.join(op, counts.product_id == op._opid, "left").select(
+        F.col("product_id").alias("_spid"), "_n", F.coalesce(F.col("_open"), F.lit(0)).alias("_open"))
+    return rows.join(stats, rows.product_id == stats._spid, "inner").drop("_spid")
+
+
 def running_stock(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     """Unguarded stock before and after every ledger row (W2).  Products
     without an opening row start at 0."""
-    op = _opening(opening)
     t = ledger.withColumn("_s", signed_quantity().cast("bigint"))
-    t = t.join(op, t.product_id == op._opid, "left").drop("_opid")
-    t = prefix_scan(t, "product_id", "id", [Scan("_run", "sum", F.col("_s"), inclusive=True)], chunk_ids)
-    after = F.coalesce(F.col("_open"), F.lit(0)) + F.col("_run")
+    t = with_product_stats(t, opening)
+    t = prefix_scan(t, "product_id", "id", [Scan("_run", "sum", F.col("_s"), inclusive=True)], chunk_ids,
+                    count_col="_n")
+    after = F.col("_open") + F.col("_run")
     return t.select(
         "id", "product_id", "transaction_type", "quantity",
         as_bigint(after - F.col("_s")).alias("stock_before"),

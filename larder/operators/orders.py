@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.columns import order_reference
 from larder.operators.audit import order_audit
-from larder.operators.prefix import DEFAULT_WIDTH, Scan, prefix_scan
+from larder.operators.prefix import DEFAULT_WIDTH, Scan, key_counts, prefix_scan
 from larder.sources.schemas import (
     MSG_INVALID_STATUS,
     MSG_ORDER_NOT_FOUND,
@@ -151,7 +151,11 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     ts = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp")
     o = orders.select(F.col("id").alias("_oid"), F.col("status").alias("_orig"))
     r = requests.select("order_id", "seq", F.col("status").alias("requested"))
-    j = r.join(o, r.order_id == o._oid, "left")
+    # requests per order ride along the order lookup (one join): orders with
+    # more than ``width`` requests are the only ones cut into seq ranges
+    counts = key_counts(r, "order_id", "_n")
+    stats = counts.join(o, counts.order_id == o._oid, "left").withColumnRenamed("order_id", "_coid")
+    j = r.join(stats, r.order_id == stats._coid, "inner").drop("_coid")
     valid = F.col("requested").isin(*ORDER_STATUSES)
     exists = F.col("_oid").isNotNull()
     closes = valid & F.col("requested").isin(*TERMINAL)
@@ -166,7 +170,7 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     j = prefix_scan(j, "order_id", "seq", [
         Scan("_first_close", "min", F.when(closes, enc)),
         Scan("_last_valid", "max", F.when(valid, enc)),
-    ], width)
+    ], width, count_col="_n")
     j = j.withColumn("_first_close", status_of(F.col("_first_close"))).withColumn(
         "_last_valid", status_of(F.col("_last_valid")))
     orig_closed = F.coalesce(F.col("_orig").isin(*TERMINAL), F.lit(False))

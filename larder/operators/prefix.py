@@ -75,11 +75,33 @@ def _combine(op: str, before: Column, local: Column) -> Column:
     raise ValueError(op)
 
 
-def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: int = DEFAULT_WIDTH) -> DataFrame:
+def chunk_column(order: str, width: int, count_col: str | None = None) -> Column:
+    """Chunk of a row: its order range of ``width``.  With ``count_col`` (the
+    row count of the row's key) only keys with more than ``width`` rows are
+    cut; every other key is one chunk (-1), so the per-chunk table stays about
+    one row per key instead of growing with the data."""
+    by_range = F.floor(F.col(order) / F.lit(width)).cast("bigint")
+    if count_col is None:
+        return by_range
+    return F.when(F.col(count_col) > width, by_range).otherwise(F.lit(-1).cast("bigint"))
+
+
+def key_counts(df: DataFrame, key: str, name: str = "_key_rows") -> DataFrame:
+    """Rows per key (partial + final aggregation, one row per key)."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+
+
+def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: int = DEFAULT_WIDTH,
+                count_col: str | None = None) -> DataFrame:
     """Add one column per ``Scan``: the running aggregate of ``value`` over
     the rows of the same ``key`` up to (``inclusive``) or before the current
-    row in ``order`` (which must be integral and unique within a key)."""
-    d = df.withColumn("_pchunk", F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    row in ``order`` (which must be integral and unique within a key).
+    ``count_col`` names a column holding the key's row count; when given,
+    only keys with more than ``width`` rows are cut into chunks."""
+    # Explicit repartition on (key, chunk): if the input is already hash
+    # partitioned by key (after a join on it), Spark would otherwise run the
+    # (key, chunk) window on that partitioning and keep each key in one task.
+    d = df.withColumn("_pchunk", chunk_column(order, width, count_col)).repartition(key, "_pchunk")
     for i, s in enumerate(scans):
         d = d.withColumn(f"_pv{i}", s.value)
     wl = Window.partitionBy(key, "_pchunk").orderBy(order)
