@@ -4,7 +4,7 @@ The driver's test data holds TPC-H-style tables, not inventory tables.  Each
 inventory table is a column projection of one raw table (plus the 25-row
 ``nation`` dimension for suppliers), so every query's work grows with the raw
 tables.  The same definitions are written as DuckDB CTEs in
-``larder.plans.oracle``; keep the two in step.
+``larder.plans.model_sql``; keep the two in step.
 
 Projections are lazy: Catalyst prunes the unused raw columns and pushes
 filters into the parquet scan.

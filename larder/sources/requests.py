@@ -3,7 +3,7 @@
 The reference takes one request per HTTP call; here a batch of requests is a
 DataFrame.  For the driver's data the batches are derived by rule from the
 raw tables (so they grow with them); the same rules are written as DuckDB
-CTEs in ``larder.plans.requests_sql``.  Each rule mixes valid requests with
+CTEs in ``larder.plans.oracle``.  Each rule mixes valid requests with
 ones the operator must refuse (missing fields, CHECK failures, duplicates,
 dangling keys, unknown orders).
 
