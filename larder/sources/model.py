@@ -12,6 +12,8 @@ filters into the parquet scan.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,20 @@ RAW_TABLES = (
 CATALOG_EPOCH = "2024-01-01 00:00:00"
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The raw table as a parquet scan.  The scan relation (file listing and
+    footer schema) is built once per session and path and reused by later
+    queries; the data itself is read by each query."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    k = (id(spark), path)
+    df = _SCANS.get(k)
+    if df is None or df.sparkSession is not spark:
+        df = spark.read.parquet(path)
+        _SCANS[k] = df
+    return df
 
 
 def _ts(c):
@@ -199,39 +213,39 @@ class Model:
             self._cache[name] = read_raw(self.spark, self.sf_dir, name)
         return self._cache[name]
 
-    @property
+    @cached_property
     def suppliers(self) -> DataFrame:
         return suppliers(self.raw("supplier"), self.raw("nation"))
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return products(self.raw("part"), self.raw("supplier"))
 
-    @property
+    @cached_property
     def purchase_orders(self) -> DataFrame:
         return purchase_orders(self.raw("orders"), self.raw("supplier"))
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
         return order_items(self.raw("lineitem"))
 
-    @property
+    @cached_property
     def ledger(self) -> DataFrame:
         return ledger_events(self.raw("events"))
 
-    @property
+    @cached_property
     def ledger_bulk(self) -> DataFrame:
         return ledger_bulk(self.raw("lineitem"))
 
-    @property
+    @cached_property
     def products_synced(self) -> DataFrame:
         return products_synced(self.products, self.ledger_bulk)
 
-    @property
+    @cached_property
     def products_faulty(self) -> DataFrame:
         return products_faulty(self.products)
 
-    @property
+    @cached_property
     def ledger_faulty(self) -> DataFrame:
         return ledger_faulty(self.ledger)
 
