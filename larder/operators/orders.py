@@ -171,14 +171,15 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
         Scan("_first_close", "min", F.when(closes, enc)),
         Scan("_last_valid", "max", F.when(valid, enc)),
     ], width, count_col="_n")
-    j = j.withColumn("_first_close", status_of(F.col("_first_close"))).withColumn(
-        "_last_valid", status_of(F.col("_last_valid")))
+    first_close, last_valid = status_of(F.col("_first_close")), status_of(F.col("_last_valid"))
     orig_closed = F.coalesce(F.col("_orig").isin(*TERMINAL), F.lit(False))
-    j = j.withColumn("_terminal_before", orig_closed | F.col("_first_close").isNotNull())
-    j = j.withColumn("_applied", F.col("_valid") & exists & ~F.col("_terminal_before"))
-    j = j.withColumn("old_status", F.when(~exists, F.lit(None))
-                     .when(orig_closed, F.col("_orig"))
-                     .otherwise(F.coalesce(F.col("_first_close"), F.col("_last_valid"), F.col("_orig"))))
+    terminal_before = orig_closed | first_close.isNotNull()
+    j = j.withColumns({
+        "_terminal_before": terminal_before,
+        "_applied": F.col("_valid") & exists & ~terminal_before,
+        "old_status": F.when(~exists, F.lit(None)).when(orig_closed, F.col("_orig"))
+        .otherwise(F.coalesce(first_close, last_valid, F.col("_orig"))),
+    })
     outcome = (F.when(~F.col("_valid"), "invalid_status").when(~exists, "not_found")
                .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
     j = j.withColumn("outcome", outcome)

@@ -101,18 +101,20 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
     # Explicit repartition on (key, chunk): if the input is already hash
     # partitioned by key (after a join on it), Spark would otherwise run the
     # (key, chunk) window on that partitioning and keep each key in one task.
-    d = df.withColumn("_pchunk", chunk_column(order, width, count_col)).repartition(key, "_pchunk")
-    for i, s in enumerate(scans):
-        d = d.withColumn(f"_pv{i}", s.value)
+    d = df.withColumns({"_pchunk": chunk_column(order, width, count_col),
+                        **{f"_pv{i}": s.value for i, s in enumerate(scans)}}).repartition(key, "_pchunk")
     wl = Window.partitionBy(key, "_pchunk").orderBy(order)
     prior = wl.rowsBetween(Window.unboundedPreceding, -1)
     upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = {}
     for i, s in enumerate(scans):
         v = F.col(f"_pv{i}")
         if s.op == "prev":
-            d = d.withColumn(f"_pl{i}", F.lag(v).over(wl)).withColumn(f"_pf{i}", F.row_number().over(wl) == 1)
+            local[f"_pl{i}"] = F.lag(v).over(wl)
+            local[f"_pf{i}"] = F.row_number().over(wl) == 1
         else:
-            d = d.withColumn(f"_pl{i}", _local(s.op, v, upto if s.inclusive else prior))
+            local[f"_pl{i}"] = _local(s.op, v, upto if s.inclusive else prior)
+    d = d.withColumns(local)
     totals = d.groupBy(key, "_pchunk").agg(
         *[_chunk_total(s.op, F.col(f"_pv{i}"), order).alias(f"_pt{i}") for i, s in enumerate(scans)])
     wc = Window.partitionBy(key).orderBy("_pchunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,10 +127,12 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
             offs.append(_local(s.op, t, wc).alias(f"_po{i}"))
     offsets = totals.select(key, "_pchunk", *offs)
     j = d.join(offsets, [key, "_pchunk"], "inner")
+    outs = {}
     for i, s in enumerate(scans):
         if s.op == "prev":
-            j = j.withColumn(s.out, F.when(F.col(f"_pf{i}"), F.col(f"_po{i}")).otherwise(F.col(f"_pl{i}")))
+            outs[s.out] = F.when(F.col(f"_pf{i}"), F.col(f"_po{i}")).otherwise(F.col(f"_pl{i}"))
         else:
-            j = j.withColumn(s.out, _combine(s.op, F.col(f"_po{i}"), F.col(f"_pl{i}")))
+            outs[s.out] = _combine(s.op, F.col(f"_po{i}"), F.col(f"_pl{i}"))
+    j = j.withColumns(outs)
     drop = ["_pchunk"] + [f"_p{x}{i}" for i in range(len(scans)) for x in ("v", "l", "t", "o", "f")]
     return j.drop(*[c for c in drop if c in j.columns])
