@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from larder.operators import audit, guard, ledger
 from larder.sources import schemas as S
-from tests.conftest import NOW, SEED_STOCK, make_products, rows
+from tests.conftest import NOW, SEED_STOCK, rows
 
 
 def _ledger(spark, entries, start_id=100):
