@@ -6,7 +6,8 @@ stream and the same effects are incremental queries:
 * ST1 ``live_stock``: running signed sum per product (commutative, so late
   rows need no watermark; state is one long per product).
 * ST2 ``live_guard``: the negative-stock guard with the balance per product
-  kept in ``applyInPandasWithState``.  Rows are judged in id order inside a
+  kept in ``applyInPandasWithState`` or in a ``transformWithStateInPandas``
+  ValueState.  Rows are judged in id order inside a
   micro-batch and micro-batches in arrival order (a lower id arriving later
   is judged on arrival, as the reference would do).
 * ST3 ``low_stock_sink``: every micro-batch of ST1's updated stocks joined
@@ -29,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larder.functions.columns import signed_quantity
@@ -100,29 +102,61 @@ GUARD_STATE = T.StructType([T.StructField("balance", T.LongType())])
 _SIGN = {"IN": 1, "OUT": -1, "ADJUSTMENT": 1}
 
 
-def _guard_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("id", kind="stable")
-    if state.exists:
-        (bal,) = state.get
-    else:
-        bal = int(pdf["_open"].iloc[0]) if pd.notna(pdf["_open"].iloc[0]) else 0
+def _judge(pdf: pd.DataFrame, balance: int | None):
+    """Sort one product's rows of a micro-batch by id and fold them from the
+    stored balance (or the opening stock on first sight)."""
+    pdf = pdf.sort_values("id", kind="stable")
+    if balance is None:
+        first = pdf["opening_stock"].iloc[0]
+        balance = int(first) if pd.notna(first) else 0
     s = (pdf["transaction_type"].map(_SIGN).fillna(0).astype(np.int64) * pdf["quantity"].astype(np.int64)).to_numpy()
-    acc, before, after, bal = fold_balances(bal, s)
-    state.update((bal,))
-    yield pd.DataFrame({
+    acc, before, after, balance = fold_balances(balance, s)
+    out = pd.DataFrame({
         "id": pdf["id"].to_numpy(), "product_id": pdf["product_id"].to_numpy(),
         "transaction_type": pdf["transaction_type"].to_numpy(), "quantity": pdf["quantity"].to_numpy(),
         "accepted": acc, "stock_before": before, "stock_after": after,
     })
+    return out, balance
+
+
+def _guard_state_fn(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    out, balance = _judge(pdf, state.get[0] if state.exists else None)
+    state.update((balance,))
+    yield out
+
 
+class GuardProcessor(StatefulProcessor):
+    """ST2 with ``transformWithStateInPandas``: a ValueState holds the balance."""
 
-def live_guard(ledger: DataFrame, opening: DataFrame) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.balance = handle.getValueState("balance", GUARD_STATE)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows), ignore_index=True)
+        current = self.balance.get()[0] if self.balance.exists() else None
+        out, balance = _judge(pdf, current)
+        self.balance.update((balance,))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasWithState") -> DataFrame:
     """Streaming guard: one output row per ledger row (append mode).  The
     opening stock comes from a static (product_id, opening_stock) table via
-    a stream-static join; it seeds a product's state on first sight."""
-    op = opening.select(F.col("product_id").alias("_opid"), F.col("opening_stock").cast("bigint").alias("_open"))
+    a stream-static join; it seeds a product's state on first sight.
+
+    ``api``: ``applyInPandasWithState`` (any state store) or
+    ``transformWithState`` (``transformWithStateInPandas``; needs the RocksDB
+    state store, the session default here)."""
+    op = opening.select(F.col("product_id").alias("_opid"), F.col("opening_stock").cast("bigint"))
     rows = ledger.select("id", "product_id", "transaction_type", "quantity")
     j = rows.join(op, rows.product_id == op._opid, "left").drop("_opid")
+    if api == "transformWithState":
+        return j.groupBy("product_id").transformWithStateInPandas(
+            statefulProcessor=GuardProcessor(), outputStructType=GUARD_OUT, outputMode="Append", timeMode="None")
     return j.groupBy("product_id").applyInPandasWithState(
         _guard_state_fn, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -95,3 +95,15 @@ def test_late_lower_ids_are_judged_on_arrival(spark):
     got = rows(spark.read.parquet(out), "id", "accepted", "stock_before", "stock_after")
     # in id order the OUT 3 would be refused first; on arrival it finds stock 1 and is refused after 10, 11
     assert got == [(1, False, 1, 1), (10, True, 0, 5), (11, True, 5, 1)]
+
+
+def test_transform_with_state_equals_apply_with_state(spark):
+    m = Model(spark, SF)
+    src = _split_events(spark, parts=3)
+    outs = []
+    for api in ("applyInPandasWithState", "transformWithState"):
+        stream = S.ledger_stream(spark, src, max_files_per_trigger=1)
+        outs.append(spark.read.parquet(S.run_to_parquet(spark, S.live_guard(stream, m.opening_zero(), api=api),
+                                                        f"guard-{api}")))
+    a, b = outs
+    assert a.count() == 1000 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
