@@ -309,7 +309,7 @@ def _stream_stock(m: Model) -> DataFrame:
     from larder.streaming import ledger_stream as S
 
     out = S.run_live_stock(m.spark, S.ledger_stream(m.spark, m.sf_dir))
-    return m.spark.read.parquet(out)
+    return S.latest_stock(m.spark, out)
 
 
 @key("stream_guard")

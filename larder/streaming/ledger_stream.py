@@ -73,20 +73,31 @@ def live_stock(ledger: DataFrame) -> DataFrame:
 
 def run_live_stock(spark: SparkSession, ledger: DataFrame, out_path: str | None = None,
                    checkpoint: str | None = None) -> str:
-    """Run ST1 to completion on the available input; the latest complete
-    result is kept as parquet at ``out_path``."""
+    """Run ST1 to completion on the available input, in update mode: each
+    micro-batch writes only the products whose stock changed, under
+    ``batch_id=N`` (a retried batch overwrites its own folder).  The output
+    is a changelog; ``latest_stock`` reads the current stock from it.  (Complete
+    mode would rewrite every product's row in every micro-batch.)"""
     out_path = out_path or scratch_path(spark, "live-stock")
     checkpoint = checkpoint or scratch_path(spark, "live-stock-ckpt")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+        # the folder name carries batch_id as a partition column
+        batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
-    q = (live_stock(ledger).writeStream.outputMode("complete").foreachBatch(write)
+    q = (live_stock(ledger).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
 
 
+def latest_stock(spark: SparkSession, changelog_path: str) -> DataFrame:
+    """Current stock per product from ST1's changelog: the row of the highest
+    batch id per product (a hash aggregate; no sort, no window)."""
+    log = spark.read.parquet(changelog_path)
+    return log.groupBy("product_id").agg(F.max_by("stock", "batch_id").alias("stock"))
+
+
 # -- ST2 -------------------------------------------------------------------------
 
 GUARD_OUT = T.StructType([
