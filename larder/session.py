@@ -28,6 +28,7 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
     # checkpoint files of DataFrames that are gone are removed by the cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
     # streaming state (one balance per product) on local disk, not the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
