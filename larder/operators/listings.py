@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint
+from larder.operators.prefix import key_counts
 from larder.operators.views import is_low_stock, low_stock_alerts
 
 
@@ -55,21 +56,31 @@ def order_items_enriched(items: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def orders_nested(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
-    """Orders with their items as an array of structs (one join and one grouping
-    instead of one query per order).  An order without items gets an empty
-    array.  The array of one order is as long as that order's item list:
-    this is the nested API output, meant for per-order display."""
+def orders_nested(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame,
+                  page_size: int = 10_000) -> DataFrame:
+    """Orders with their items as arrays of structs (one join and one grouping
+    instead of one query per order).  An order without items gets one row
+    with an empty array.
+
+    Arrays are bounded: an order with more than ``page_size`` items is split
+    into pages by item id range (at most ``page_size`` ids each), so no order
+    is ever gathered into a single row or task.  Output: the order columns,
+    supplier_name, ``page`` (0 for orders that fit in one) and ``items``."""
     p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
                         F.col("sku").alias("product_sku"))
     it = items.join(p, items.product_id == p._pid, "inner").drop("_pid")
-    item_struct = F.struct(*[F.col(c) for c in it.columns if c != "order_id"])
-    grouped = it.groupBy(F.col("order_id").alias("_oid")).agg(
+    counts = key_counts(it, "order_id", "_n").withColumnRenamed("order_id", "_coid")
+    it = it.join(counts, it.order_id == counts._coid, "inner").drop("_coid")
+    it = it.withColumn("page", F.when(F.col("_n") > page_size, F.floor(F.col("id") / F.lit(page_size)))
+                       .otherwise(F.lit(0)).cast("bigint"))
+    item_struct = F.struct(*[F.col(c) for c in it.columns if c not in ("order_id", "_n", "page")])
+    grouped = it.groupBy(F.col("order_id").alias("_oid"), "page").agg(
         F.array_sort(F.collect_list(item_struct)).alias("items"))
     base = order_listing(orders, suppliers, ordered=False)
     j = base.join(grouped, base.id == grouped._oid, "left").drop("_oid")
     empty = F.array().cast(grouped.schema["items"].dataType)
-    return j.withColumn("items", F.coalesce(F.col("items"), empty))
+    return j.withColumns({"page": F.coalesce(F.col("page"), F.lit(0).cast("bigint")),
+                          "items": F.coalesce(F.col("items"), empty)})
 
 
 def orders_digest(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
@@ -95,15 +106,17 @@ def orders_digest(orders: DataFrame, suppliers: DataFrame, items: DataFrame, pro
 
 
 def nested_digest(nested: DataFrame) -> DataFrame:
-    """The same digest read back from the nested form (used by tests)."""
-    return nested.select(
-        F.col("id").alias("order_id"),
-        as_bigint(F.size("items")).alias("item_count"),
-        as_bigint(F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"])).alias(
-            "total_quantity"),
-        F.array_min(F.transform("items", lambda x: x["product_sku"])).alias("min_sku"),
-        F.array_max(F.transform("items", lambda x: x["product_sku"])).alias("max_sku"),
+    """The same digest read back from the nested form, summed over pages (used by tests)."""
+    per_page = nested.select(
+        "id",
+        F.size("items").alias("_n"),
+        F.aggregate("items", F.lit(0).cast("bigint"), lambda acc, x: acc + x["quantity"]).alias("_q"),
+        F.array_min(F.transform("items", lambda x: x["product_sku"])).alias("_min"),
+        F.array_max(F.transform("items", lambda x: x["product_sku"])).alias("_max"),
     )
+    return per_page.groupBy(F.col("id").alias("order_id")).agg(
+        as_bigint(F.sum("_n")).alias("item_count"), as_bigint(F.sum("_q")).alias("total_quantity"),
+        F.min("_min").alias("min_sku"), F.max("_max").alias("max_sku"))
 
 
 def ledger_listing(ledger: DataFrame, products: DataFrame, ordered: bool = True) -> DataFrame:

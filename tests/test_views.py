@@ -105,6 +105,11 @@ def test_orders_nested_and_digest(spark, seed):
     digest = rows(listings.orders_digest(orders, seed["suppliers"], seed["items"], seed["products"]))
     assert digest == rows(listings.nested_digest(nested))
     assert (9, 0, 0, None, None) in digest
+    # an order with more items than a page is split into bounded pages
+    paged = listings.orders_nested(orders, seed["suppliers"], seed["items"], seed["products"], page_size=1)
+    pages = {(r["id"], r["page"]): len(r["items"]) for r in paged.collect()}
+    assert pages[(2, 2)] == 1 and pages[(2, 3)] == 1 and max(pages.values()) <= 1
+    assert rows(listings.nested_digest(paged)) == digest
 
 
 def test_recent_movements_and_top(seed):
