@@ -39,7 +39,9 @@ def with_product_stats(rows: DataFrame, opening: DataFrame) -> DataFrame:
     op = _opening(opening)
     stats = counts.join(op, counts.product_id == op._opid, "left").select(
         F.col("product_id").alias("_spid"), "_n", F.coalesce(F.col("_open"), F.lit(0)).alias("_open"))
-    return rows.join(stats, rows.product_id == stats._spid, "inner").drop("_spid")
+    j = rows.join(stats, rows.product_id == stats._spid, "left").drop("_spid")
+    # (a row with a null product matches no stats row; it is kept, at 0)
+    return j.withColumns({"_n": F.coalesce(F.col("_n"), F.lit(0)), "_open": F.coalesce(F.col("_open"), F.lit(0))})
 
 
 def running_stock(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
