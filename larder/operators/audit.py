@@ -86,7 +86,7 @@ def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", st
     # previous entry = the largest (seq * 8 + status code) before this one: a max, not a sort
     enc = F.col(seq_col).cast("bigint") * 8 + status_code(F.col(status_col))
     counts = key_counts(log, order_col, "_n").withColumnRenamed(order_col, "_c_key")
-    j = log.join(counts, log[order_col] == counts._c_key, "inner").drop("_c_key")
+    j = log.join(counts, log[order_col] == counts._c_key, "left").drop("_c_key")
     j = prefix_scan(j, order_col, seq_col, [Scan("_prev", "max", enc)], width, count_col="_n")
     j = j.withColumn("old_status", status_of(F.col("_prev")))
     j = j.filter(F.col("old_status").isNotNull() & (F.col("old_status") != F.col(status_col)))

@@ -155,7 +155,7 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     # more than ``width`` requests are the only ones cut into seq ranges
     counts = key_counts(r, "order_id", "_n")
     stats = counts.join(o, counts.order_id == o._oid, "left").withColumnRenamed("order_id", "_coid")
-    j = r.join(stats, r.order_id == stats._coid, "inner").drop("_coid")
+    j = r.join(stats, r.order_id == stats._coid, "left").drop("_coid")
     valid = F.col("requested").isin(*ORDER_STATUSES)
     exists = F.col("_oid").isNotNull()
     closes = valid & F.col("requested").isin(*TERMINAL)

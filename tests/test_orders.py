@@ -230,3 +230,10 @@ def test_process_status_batch_write_path(spark, seed):
     audit = rows(out["audit"], "table_name", "record_id", "changed_by")
     assert audit == [("products", 4, "DB_TRIGGER_PRODUCTS"), ("purchase_orders", 2, "DB_TRIGGER_ORDERS"),
                      ("purchase_orders", 3, "DB_TRIGGER_ORDERS")]
+
+
+def test_request_without_order_id_is_not_found(spark, seed):
+    req = spark.createDataFrame([(None, 1, "SHIPPED"), (2, 1, "SHIPPED")], "order_id long, seq int, status string")
+    got = rows(orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)["outcomes"],
+               "seq", "requested", "outcome")
+    assert got == [(1, "SHIPPED", "applied"), (1, "SHIPPED", "not_found")]
