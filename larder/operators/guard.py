@@ -172,7 +172,10 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
         F.col("_copen") + F.col("_off"))
     ct = ct.withColumn("_cdirty", F.coalesce(start_low + F.col("_lmin") < 0, F.lit(False)))
     ct = ct.withColumn("_pdirty", F.max(F.col("_cdirty").cast("int")).over(Window.partitionBy("product_id")) == 1)
-    t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty"), ["product_id", "_chunk"], "inner")
+    cts = ct.select(F.col("product_id").alias("_cpid"), F.col("_chunk").alias("_cchunk"),
+                    "_off", "_cdirty", "_pdirty")
+    t = t.join(cts, F.col("product_id").eqNullSafe(F.col("_cpid")) & (F.col("_chunk") == F.col("_cchunk")),
+               "inner").drop("_cpid", "_cchunk")
     t = t.withColumn("_p", F.col("_open") + F.col("_off") + F.col("_local"))
     # Four branches read these rows.  Materialise them once in the shared
     # checkpoint folder: one shuffle of the ledger instead of one per branch,

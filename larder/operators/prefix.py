@@ -125,8 +125,10 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
             offs.append(F.lag(t).over(Window.partitionBy(key).orderBy("_pchunk")).alias(f"_po{i}"))
         else:
             offs.append(_local(s.op, t, wc).alias(f"_po{i}"))
-    offsets = totals.select(key, "_pchunk", *offs)
-    j = d.join(offsets, [key, "_pchunk"], "inner")
+    offsets = totals.select(F.col(key).alias("_okey"), F.col("_pchunk").alias("_ochunk"), *offs)
+    # null-safe on the key: rows with a null key form their own group too
+    j = d.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & (F.col("_pchunk") == F.col("_ochunk")),
+               "inner").drop("_okey", "_ochunk")
     outs = {}
     for i, s in enumerate(scans):
         if s.op == "prev":
