@@ -38,6 +38,7 @@ from larder.operators.prefix import chunk_column
 from larder.session import checkpoint_dir
 
 REFUSED = "negative_stock"
+NO_PRODUCT = "no_product"
 
 _DATA, _MARK, _CLEAN = 0, 1, 2
 
@@ -131,11 +132,16 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
 
     ``opening``: (product_id, opening_stock); missing products start at 0.
     Returns the ledger's columns plus accepted, stock_before, stock_after
-    (bigint) and reason (null or 'negative_stock').  With ``materialize``
+    (bigint) and reason (null, 'negative_stock', or 'no_product' for a row
+    without a product).  With ``materialize``
     (the default) the prefix sums are checkpointed once (an eager job).
     """
     cols = ledger.columns
-    t0 = ledger.withColumn("_s", signed_quantity().cast("bigint"))
+    # a row without a product cannot be judged: refused, as NOT NULL would
+    orphans = ledger.filter(F.col("product_id").isNull()).select(
+        *cols, F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("stock_before"),
+        F.lit(None).cast("bigint").alias("stock_after"), F.lit(NO_PRODUCT).alias("reason"))
+    t0 = ledger.filter(F.col("product_id").isNotNull()).withColumn("_s", signed_quantity().cast("bigint"))
 
     # 1. first accepted row of products that open below zero: a grouped min
     #    over the rows already joined to their opening stock (one row per
@@ -172,10 +178,7 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
         F.col("_copen") + F.col("_off"))
     ct = ct.withColumn("_cdirty", F.coalesce(start_low + F.col("_lmin") < 0, F.lit(False)))
     ct = ct.withColumn("_pdirty", F.max(F.col("_cdirty").cast("int")).over(Window.partitionBy("product_id")) == 1)
-    cts = ct.select(F.col("product_id").alias("_cpid"), F.col("_chunk").alias("_cchunk"),
-                    "_off", "_cdirty", "_pdirty")
-    t = t.join(cts, F.col("product_id").eqNullSafe(F.col("_cpid")) & (F.col("_chunk") == F.col("_cchunk")),
-               "inner").drop("_cpid", "_cchunk")
+    t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty"), ["product_id", "_chunk"], "inner")
     t = t.withColumn("_p", F.col("_open") + F.col("_off") + F.col("_local"))
     # Four branches read these rows.  Materialise them once in the shared
     # checkpoint folder: one shuffle of the ledger instead of one per branch,
@@ -226,7 +229,7 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     after = before + F.when(acc, F.col("_s")).otherwise(F.lit(0))
     slow_rows = emit(u, acc, before, after)
 
-    return pre_rows.unionByName(clean_rows).unionByName(slow_rows)
+    return pre_rows.unionByName(clean_rows).unionByName(slow_rows).unionByName(orphans)
 
 
 def guard_reference(opening: pd.DataFrame, ledger: pd.DataFrame) -> pd.DataFrame:

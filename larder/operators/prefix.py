@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_WIDTH = 1 << 16
 
@@ -101,9 +102,20 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
     # Explicit repartition on (key, chunk): if the input is already hash
     # partitioned by key (after a join on it), Spark would otherwise run the
     # (key, chunk) window on that partitioning and keep each key in one task.
-    d = df.withColumns({"_pchunk": chunk_column(order, width, count_col),
-                        **{f"_pv{i}": s.value for i, s in enumerate(scans)}}).repartition(key, "_pchunk")
-    wl = Window.partitionBy(key, "_pchunk").orderBy(order)
+    # Null-free grouping columns: a null key is its own group (_knull), and
+    # plain equality on (_k, _knull, _pchunk) keeps every join and window on
+    # the one explicit repartition below (a null-safe join would add a shuffle).
+    kt = df.schema[key].dataType
+    zero = F.lit("") if isinstance(kt, T.StringType) else F.lit(0).cast(kt)
+    d = df.withColumns({"_k": F.coalesce(F.col(key), zero), "_knull": F.col(key).isNull(),
+                        "_pchunk": chunk_column(order, width, count_col),
+                        **{f"_pv{i}": s.value for i, s in enumerate(scans)}})
+    # Explicit repartition on the chunk: if the input is already hash
+    # partitioned by key (after a join on it), Spark would otherwise run the
+    # chunk window on that partitioning and keep each key in one task.
+    grp = ["_k", "_knull", "_pchunk"]
+    d = d.repartition(*grp)
+    wl = Window.partitionBy(*grp).orderBy(order)
     prior = wl.rowsBetween(Window.unboundedPreceding, -1)
     upto = wl.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = {}
@@ -115,20 +127,19 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
         else:
             local[f"_pl{i}"] = _local(s.op, v, upto if s.inclusive else prior)
     d = d.withColumns(local)
-    totals = d.groupBy(key, "_pchunk").agg(
+    totals = d.groupBy(*grp).agg(
         *[_chunk_total(s.op, F.col(f"_pv{i}"), order).alias(f"_pt{i}") for i, s in enumerate(scans)])
-    wc = Window.partitionBy(key).orderBy("_pchunk").rowsBetween(Window.unboundedPreceding, -1)
+    by_key = Window.partitionBy("_k", "_knull").orderBy("_pchunk")
+    wc = by_key.rowsBetween(Window.unboundedPreceding, -1)
     offs = []
     for i, s in enumerate(scans):
         t = F.col(f"_pt{i}")
         if s.op == "prev":
-            offs.append(F.lag(t).over(Window.partitionBy(key).orderBy("_pchunk")).alias(f"_po{i}"))
+            offs.append(F.lag(t).over(by_key).alias(f"_po{i}"))
         else:
             offs.append(_local(s.op, t, wc).alias(f"_po{i}"))
-    offsets = totals.select(F.col(key).alias("_okey"), F.col("_pchunk").alias("_ochunk"), *offs)
-    # null-safe on the key: rows with a null key form their own group too
-    j = d.join(offsets, F.col(key).eqNullSafe(F.col("_okey")) & (F.col("_pchunk") == F.col("_ochunk")),
-               "inner").drop("_okey", "_ochunk")
+    offsets = totals.select(*grp, *offs)
+    j = d.join(offsets, grp, "inner")
     outs = {}
     for i, s in enumerate(scans):
         if s.op == "prev":
@@ -136,5 +147,5 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
         else:
             outs[s.out] = _combine(s.op, F.col(f"_po{i}"), F.col(f"_pl{i}"))
     j = j.withColumns(outs)
-    drop = ["_pchunk"] + [f"_p{x}{i}" for i in range(len(scans)) for x in ("v", "l", "t", "o", "f")]
+    drop = ["_pchunk", "_k", "_knull"] + [f"_p{x}{i}" for i in range(len(scans)) for x in ("v", "l", "t", "o", "f")]
     return j.drop(*[c for c in drop if c in j.columns])

@@ -174,3 +174,12 @@ def test_product_audit_snapshot_is_null_unsafe(spark, seed):
     a = audit.product_audit(seed["products"], new).collect()
     assert [(r["record_id"], float(r["old_price"]), float(r["new_price"])) for r in a] == [(1, 1200.0, 1250.0)]
     assert '"price":1250.00' in a[0]["new_values"]
+
+
+def test_guard_refuses_rows_without_product(spark):
+    loose = "id long, product_id long, transaction_type string, quantity int, reference_id string, " \
+            "notes string, transaction_date timestamp"
+    led = _ledger(spark, [(1, "IN", 3)]).unionByName(
+        spark.createDataFrame([(200, None, "IN", 5, "T", None, NOW)], loose))
+    got = rows(guard.guard_ledger(_opening(spark, {1: 0}), led), "id", "accepted", "stock_after", "reason")
+    assert got == [(100, True, 3, None), (200, False, None, "no_product")]
