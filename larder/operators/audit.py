@@ -21,6 +21,11 @@ def _when(changed_at):
     return F.lit(changed_at).cast("timestamp")
 
 
+def product_audit_rows(j: DataFrame, changed_at=None) -> DataFrame:
+    """Audit-log rows from (record_id, old/new quantity, old/new price)."""
+    return _product_rows(j, changed_at)
+
+
 def _product_rows(j: DataFrame, changed_at=None) -> DataFrame:
     return j.select(
         F.lit("products").alias("table_name"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import normalize_sku
-from larder.operators.audit import product_audit
+from larder.operators.audit import product_audit_rows
 from larder.sources.requests import REQUEST_SCHEMAS
 from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, MANUAL_REFERENCE, PRODUCT_STATUSES, TABLES
 
@@ -140,20 +140,20 @@ def patch_products(products: DataFrame, patches: DataFrame, suppliers: DataFrame
         else F.col(c)
         for c in products.columns
     ])
-    audit = product_audit(products, new_products, changed_at)
+    # audit rows straight from the patched rows (old and new side by side);
+    # a patch never changes the stock, so only a price change is audited
+    changed_price = j.filter(~refused & (new["price"] != F.col("price"))).select(
+        F.col("id").alias("record_id"), F.col("quantity_in_stock").alias("old_quantity"),
+        F.col("quantity_in_stock").alias("new_quantity"), F.col("price").alias("old_price"),
+        new["price"].alias("new_price"))
+    audit = product_audit_rows(changed_price, changed_at)
     return outcome, new_products, audit
 
 
 def patch_audit(products: DataFrame, patches: DataFrame, suppliers: DataFrame, changed_at=None) -> DataFrame:
-    """Audit rows of applied patches, from the patched rows only (no full-table diff)."""
-    outcome, _, _ = patch_products(products, patches, suppliers, changed_at)
-    applied = outcome.filter(~F.col("refused")).select(
-        F.col("product_id").alias("_aid"), F.col("price").alias("new_price"))
-    old = products.select(F.col("id").alias("record_id"), F.col("quantity_in_stock").alias("old_quantity"),
-                          F.col("price").alias("old_price"))
-    j = old.join(applied, old.record_id == applied._aid, "inner").filter(F.col("old_price") != F.col("new_price"))
-    return j.select("record_id", "old_quantity", F.col("old_quantity").alias("new_quantity"),
-                    "old_price", "new_price")
+    """Audit fields of applied patches (record_id, quantities, prices)."""
+    _, _, audit = patch_products(products, patches, suppliers, changed_at)
+    return audit.select("record_id", "old_quantity", "new_quantity", "old_price", "new_price")
 
 
 # -- R9 / R10 --------------------------------------------------------------------

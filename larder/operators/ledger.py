@@ -80,11 +80,11 @@ def apply_ledger_products(products: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def _reconcile_base(products: DataFrame, ledger: DataFrame) -> DataFrame:
     sums = ledger_stock(ledger).withColumnRenamed("product_id", "_lpid")
-    p = products.select("id", "sku", "name", "quantity_in_stock")
+    p = products.select("id", "sku", "name", "quantity_in_stock", F.col("price").alias("_price"))
     j = p.join(sums, p.id == sums._lpid, "left")
     computed = F.coalesce(F.col("stock"), F.lit(0))
     return j.select(
-        F.col("id").alias("product_id"), "sku", "name",
+        F.col("id").alias("product_id"), "sku", "name", "_price",
         F.col("quantity_in_stock").cast("bigint").alias("actual_stock"),
         computed.cast("bigint").alias("computed_stock"),
         (computed - F.col("quantity_in_stock")).cast("bigint").alias("discrepancy"),
@@ -93,7 +93,7 @@ def _reconcile_base(products: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def reconcile_report(products: DataFrame, ledger: DataFrame) -> DataFrame:
     """R11 + P11: recorded stock against the ledger sum, with the page's labels."""
-    b = _reconcile_base(products, ledger)
+    b = _reconcile_base(products, ledger).drop("_price")
     d = F.col("discrepancy")
     return b.select(
         "*",
@@ -120,7 +120,7 @@ def reconcile_fix(products: DataFrame, ledger: DataFrame) -> tuple[DataFrame, Da
     refuse it).  The report shows the new actual stock and the old
     discrepancy, as the reference does.
     """
-    from larder.operators.audit import product_audit
+    from larder.operators.audit import product_audit_rows
 
     b = _reconcile_base(products, ledger)
     needs = F.col("discrepancy") != 0
@@ -140,5 +140,9 @@ def reconcile_fix(products: DataFrame, ledger: DataFrame) -> tuple[DataFrame, Da
         F.coalesce(F.col("_fqty"), F.col(c)).alias(c) if c == "quantity_in_stock" else F.col(c)
         for c in products.columns
     ])
-    audit = product_audit(products, new_products)
+    # audit rows from the fixed rows themselves (no diff of two product tables)
+    audit = product_audit_rows(b.filter(fixed).select(
+        F.col("product_id").alias("record_id"), F.col("actual_stock").cast("int").alias("old_quantity"),
+        F.col("computed_stock").cast("int").alias("new_quantity"), F.col("_price").alias("old_price"),
+        F.col("_price").alias("new_price")))
     return report, new_products, audit
