@@ -146,7 +146,8 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     Returns a dict with: outcomes (order_id, seq, old_status, requested,
     outcome), orders (new order rows), items (received quantities set),
     ledger (receipt rows, one IN row per item of each delivered order),
-    audit (one row per applied change of status).
+    audit (one row per applied change of status), status_changes (one row
+    per order whose status differs after the batch).
     """
     ts = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp")
     o = orders.select(F.col("id").alias("_oid"), F.col("status").alias("_orig"))
@@ -193,7 +194,11 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
 
     applied = j.filter(F.col("_applied"))
     final = applied.groupBy(F.col("order_id").alias("_fid")).agg(
-        status_of(F.max(F.col("seq").cast("bigint") * 8 + status_code(F.col("requested")))).alias("_final"))
+        status_of(F.max(F.col("seq").cast("bigint") * 8 + status_code(F.col("requested")))).alias("_final"),
+        status_of(F.max(status_code(F.col("_orig")))).alias("_from"))
+    # R4 per order: the status before the batch against the status after it
+    status_changes = final.filter(F.col("_from") != F.col("_final")).select(
+        F.col("_fid").alias("record_id"), F.col("_from").alias("old_status"), F.col("_final").alias("new_status"))
     oj = orders.join(final, orders.id == final._fid, "left")
     new_orders = oj.select(*[
         F.coalesce(F.col("_final"), F.col("status")).alias("status") if c == "status"
@@ -223,7 +228,8 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     )
     audit = applied.filter(F.col("old_status") != F.col("requested")).select(
         F.col("order_id").alias("record_id"), "seq", "old_status", F.col("requested").alias("new_status"))
-    return {"outcomes": outcomes, "orders": new_orders, "items": new_items, "ledger": receipts, "audit": audit}
+    return {"outcomes": outcomes, "orders": new_orders, "items": new_items, "ledger": receipts, "audit": audit,
+            "status_changes": status_changes}
 
 
 def order_status_audit(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame:

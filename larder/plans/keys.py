@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import audit, catalog, dashboard, guard, integrity, ledger, listings, orders, views
+from larder.operators import catalog, dashboard, guard, integrity, ledger, listings, orders, views
 from larder.sources import requests as R
 from larder.sources.model import Model
+from larder.sources.schemas import ORDER_AUDIT_ACTOR
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -215,9 +216,8 @@ def _order_receipt_ledger(m: Model) -> DataFrame:
 
 @key("order_audit")
 def _order_audit(m: Model) -> DataFrame:
-    new = _transition(m)["orders"]
-    return audit.order_audit(m.purchase_orders, new, R.AS_OF).select(
-        "record_id", "old_status", "new_status", "changed_by")
+    changes = _transition(m)["status_changes"]
+    return changes.withColumn("changed_by", F.lit(ORDER_AUDIT_ACTOR))
 
 
 # -- catalogue ----------------------------------------------------------------

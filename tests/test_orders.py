@@ -237,3 +237,12 @@ def test_request_without_order_id_is_not_found(spark, seed):
     got = rows(orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)["outcomes"],
                "seq", "requested", "outcome")
     assert got == [(1, "SHIPPED", "applied"), (1, "SHIPPED", "not_found")]
+
+
+def test_status_changes_equal_snapshot_audit(spark, seed):
+    req = spark.createDataFrame([(2, 1, "SHIPPED"), (2, 2, "PENDING"), (3, 1, "SHIPPED"), (1, 1, "PENDING")],
+                                "order_id long, seq int, status string")
+    out = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)
+    snap = orders.order_status_audit(seed["orders"], out["orders"], AS_OF)
+    # order 2 went PENDING -> SHIPPED -> PENDING: no net change; order 3 SHIPPED -> SHIPPED: none
+    assert rows(out["status_changes"]) == rows(snap, "record_id", "old_status", "new_status") == []
