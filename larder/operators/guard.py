@@ -89,38 +89,68 @@ def fold_balances(b0: int, s: np.ndarray):
     return acc, before, after, (int(after[-1]) if n else int(b0))
 
 
+def _fold_batch(prod, kind, p, s, carry_product, carry_refused):
+    """Refusals of one Arrow batch (rows sorted by product, chunk, id).
+
+    Products in the batch are independent, so the search runs in rounds over
+    all of them at once: each round finds, per product, the next row whose
+    P + R falls below zero (R = amount refused so far in that product).  A
+    round costs one vectorised pass; when few products are still searching,
+    each continues with its own galloping search.  Returns (accepted, R
+    before each row, last product, its R after the batch)."""
+    n = len(p)
+    cuts = np.flatnonzero(prod[1:] != prod[:-1]) + 1
+    starts = np.concatenate(([0], cuts))
+    ends = np.concatenate((cuts, [n]))
+    nseg = len(starts)
+    seg = np.repeat(np.arange(nseg), ends - starts)
+    r0 = np.zeros(nseg, dtype=np.int64)
+    if prod[0] == carry_product:
+        r0[0] = carry_refused
+    pk = np.where(kind == _MARK, np.iinfo(np.int64).max, p)
+    refused_at = np.zeros(n, dtype=bool)
+    r = r0.copy()
+    pos = starts.copy()
+    active = np.ones(nseg, dtype=bool)
+    idx = np.arange(n)
+    while active.sum() > 8:
+        cand = (pk + r[seg] < 0) & (idx >= pos[seg]) & active[seg]
+        first = np.minimum.reduceat(np.where(cand, idx, n), starts)
+        hit = first < n
+        active &= hit
+        h = first[hit]
+        refused_at[h] = True
+        r[hit] -= s[h]
+        pos[hit] = h + 1
+    for k in np.flatnonzero(active).tolist():
+        i, end, refused = int(pos[k]), int(ends[k]), int(r[k])
+        while i < end:
+            j = _first_below(pk, i, end, -refused)
+            if j == end:
+                break
+            refused_at[j] = True
+            refused -= int(s[j])
+            i = j + 1
+        r[k] = refused
+    # R before each row: the segment's starting R plus the refusals before it
+    amount = np.where(refused_at, -s, 0)
+    excl = np.cumsum(amount) - amount
+    rb = r0[seg] + excl - excl[starts][seg]
+    return ~refused_at, rb, prod[-1], int(r[-1])
+
+
 def guard_fold(batches):
-    """mapInPandas body.  Input sorted by (product_id, _chunk, id); carries
-    (product, R) across Arrow batches."""
+    """mapInPandas body.  Input sorted by (product_id, _chunk, _kind, id);
+    carries (product, R) across Arrow batches."""
     cur, refused = None, 0
     for pdf in batches:
-        n = len(pdf)
-        if n == 0:
+        if len(pdf) == 0:
             continue
         prod = pdf["product_id"].to_numpy()
         kind = pdf["_kind"].to_numpy()
         p = pdf["_p"].fillna(0).to_numpy(dtype=np.int64)
         s = pdf["_s"].fillna(0).to_numpy(dtype=np.int64)
-        acc = np.ones(n, dtype=bool)
-        rb = np.zeros(n, dtype=np.int64)
-        cuts = np.flatnonzero(prod[1:] != prod[:-1]) + 1
-        starts = np.concatenate(([0], cuts))
-        ends = np.concatenate((cuts, [n]))
-        for a, b in zip(starts.tolist(), ends.tolist()):
-            if prod[a] != cur:
-                cur, refused = prod[a], 0
-            # marker rows carry no data; treat them as never refused
-            pk = np.where(kind[a:b] == _MARK, np.iinfo(np.int64).max, p[a:b])
-            i, end = 0, b - a
-            while i < end:
-                j = _first_below(pk, i, end, -refused)
-                rb[a + i:a + j] = refused
-                if j == end:
-                    break
-                rb[a + j] = refused
-                acc[a + j] = False
-                refused -= int(s[a + j])
-                i = j + 1
+        acc, rb, cur, refused = _fold_batch(prod, kind, p, s, cur, refused)
         out = pdf.assign(accepted=acc, _rb=rb)
         out.loc[kind == _MARK, "accepted"] = True
         yield out
