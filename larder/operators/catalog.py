@@ -10,6 +10,8 @@ batch is no hot spot) joined back on the key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +66,8 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     if kind != "ledger":
         ok = parsed.filter(~F.col("_bad_json")).select("request_id", "r.*").drop("_corrupt_record")
         bad = parsed.filter(F.col("_bad_json")).select("request_id", F.lit("bad_json").alias("reason"))
-        return ok, bad
+        ok, bad_numbers = _coerce(ok, kind)
+        return ok, bad.unionByName(bad_numbers)
     r = parsed.select(
         "request_id",
         "_bad_json",
@@ -92,6 +95,52 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
     return accepted, rejects
 
 
+# Target types of the numeric request fields, per kind (text -> try_cast).
+COERCE = {
+    "product": {"price": "decimal(12,2)", "reorder_level": "int", "supplier_id": "bigint"},
+    "supplier": {},
+    "order": {"supplier_id": "bigint", "expected_date": "timestamp"},
+}
+ITEM_COERCE = {"product_id": "bigint", "quantity": "int", "unit_price": "decimal(12,2)"}
+
+
+def _bad_number(text, converted):
+    return text.isNotNull() & (text != "") & converted.isNull()
+
+
+def _coerce(ok: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """try_cast the numeric fields of parsed requests; a non-empty value that
+    does not convert refuses the request (bad_number).  Empty text is null."""
+    casts = COERCE[kind]
+    conv = {c: F.expr(f"try_cast(nullif({c}, '') as {t})") for c, t in casts.items()}
+    bad = F.lit(False)
+    for c in casts:
+        bad = bad | _bad_number(F.col(c), conv[c])
+    if kind == "order":
+        typed_items = F.transform("items", lambda x: F.struct(
+            *[x[c].try_cast(t).alias(c) for c, t in ITEM_COERCE.items()]))
+        items_bad = F.exists("items", lambda x: reduce(
+            lambda a, b: a | b, [_bad_number(x[c], x[c].try_cast(t)) for c, t in ITEM_COERCE.items()]))
+        bad = bad | F.coalesce(items_bad, F.lit(False))
+        conv["items"] = typed_items
+    marked = ok.withColumn("_bad", bad)
+    rejects = marked.filter("_bad").select("request_id", F.lit("bad_number").alias("reason"))
+    accepted = marked.filter(~F.col("_bad")).withColumns(conv).drop("_bad")
+    return accepted, rejects
+
+
+def order_request_items(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Split ingested order requests into (headers, items): one item row per
+    array element, numbered from 1 (``posexplode``; the explode is per
+    request row, so no request's items are gathered anywhere)."""
+    headers = orders.select("request_id", "supplier_id", "expected_date")
+    items = orders.select("request_id", F.posexplode("items").alias("_pos", "_item")).select(
+        "request_id", (F.col("_pos") + 1).cast("int").alias("line"),
+        F.col("_item.product_id").alias("product_id"), F.col("_item.quantity").alias("quantity"),
+        F.col("_item.unit_price").alias("unit_price"))
+    return headers, items
+
+
 # -- R8 ----------------------------------------------------------------------------
 
 PATCH_FIELDS = ("name", "description", "category", "price", "reorder_level", "supplier_id", "status")

@@ -92,7 +92,8 @@ def test_ingest_nested_order_request(spark):
         "request_id long, body string")
     ok, bad = catalog.ingest(bodies, "order")
     r = ok.collect()[0]
-    assert r["supplier_id"] == "2" and r["items"][0]["quantity"] == "3" and bad.count() == 0
+    assert r["supplier_id"] == 2 and r["items"][0]["quantity"] == 3 and bad.count() == 0
+    assert r["items"][0]["unit_price"] == Decimal("6.50")
 
 
 def test_with_defaults(spark):
@@ -100,3 +101,28 @@ def test_with_defaults(spark):
                                "id long, sku string, name string, category string, price decimal(12,2)")
     r = catalog.with_defaults(df, "products").collect()[0]
     assert (r["quantity_in_stock"], r["reorder_level"], r["status"]) == (0, 10, "Active")
+
+
+def test_ingest_coerces_and_feeds_create_operators(spark, seed):
+    from larder.operators import orders
+
+    products = spark.createDataFrame(
+        [(1, '{"sku": " x-9 ", "name": "N", "category": "C", "price": "12.50", "reorder_level": "4"}'),
+         (2, '{"sku": "x-10", "name": "N", "category": "C", "price": "twelve"}')],
+        "request_id long, body string")
+    ok, bad = catalog.ingest(products, "product")
+    assert rows(bad) == [(2, "bad_number")]
+    new, rejects = catalog.create_products(ok, seed["products"], seed["suppliers"], NOW)
+    assert rows(new, "id", "sku", "price", "reorder_level") == [(1, "X-9", Decimal("12.50"), 4)]
+    bodies = spark.createDataFrame(
+        [(7, '{"supplier_id": "2", "items": [{"product_id": "4", "quantity": "3", "unit_price": "6.50"},'
+             ' {"product_id": "5", "quantity": "1"}]}'),
+         (8, '{"supplier_id": "2", "items": [{"product_id": "4", "quantity": "many"}]}')],
+        "request_id long, body string")
+    ok, bad = catalog.ingest(bodies, "order")
+    assert rows(bad) == [(8, "bad_number")]
+    headers, items = catalog.order_request_items(ok)
+    assert rows(items, "request_id", "line", "product_id", "quantity") == [(7, 1, 4, 3), (7, 2, 5, 1)]
+    new_orders, new_items, rejects = orders.create_orders(headers, items, seed["products"], seed["suppliers"], NOW)
+    # line 2 takes the product's price (12.00): 3 x 6.50 + 1 x 12.00
+    assert [(r["id"], r["total_amount"]) for r in new_orders.collect()] == [(7, Decimal("31.50"))]
