@@ -11,9 +11,10 @@ almost all of it on the JVM:
    grouped ``min(id)``; rows before it are refused outright.
 2. From then on b >= 0, so only OUT rows can be refused and every refusal
    raises b relative to the unguarded prefix sum P (b = P + R, where R is
-   the amount refused so far).  So at a chunk's start b >= max(P, 0), and if
-   that bound plus the chunk's own lowest running sum stays >= 0, no row in
-   the chunk is refused.  P is a chunked prefix sum (see ``ledger``); such a
+   the amount refused so far).  Moreover b never falls below the clamped
+   walk C = P - min(0, min P so far) >= max(P, 0).  So if C at a chunk's
+   start plus the chunk's own lowest running sum stays >= 0, no row in the
+   chunk is refused.  P is a chunked prefix sum (see ``ledger``); such a
    chunk is *clean* and is finished in SQL.
 3. Only rows of *dirty* chunks go through Python: repartitioned by product,
    sorted by id and streamed through ``mapInPandas`` in Arrow batches.  The
@@ -201,11 +202,16 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     ct = ct.withColumn("_off", F.coalesce(
         F.sum("_ctot").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # A chunk is clean when even the lowest possible stock at its start plus
-    # its own lowest prefix stays >= 0.  The stock at a chunk start is at least
-    # the unguarded prefix P; when the opening is >= 0 it is also at least 0,
-    # which keeps chunks clean after P itself has gone below zero.
-    start_low = F.when(F.col("_copen") >= 0, F.greatest(F.col("_copen") + F.col("_off"), F.lit(0))).otherwise(
-        F.col("_copen") + F.col("_off"))
+    # its own lowest prefix stays >= 0.  With an opening >= 0 the guarded
+    # stock B is never below the clamped walk C = P - min(0, min P so far)
+    # (refusing keeps B where clamping would drop C to 0), and C >= max(P, 0).
+    # C at a chunk start needs only the lowest P of the earlier chunks: a
+    # running min over the chunk table.  Products opening below zero use P.
+    p_start = F.col("_copen") + F.col("_off")
+    ct = ct.withColumn("_pmin_before", F.min(p_start + F.col("_lmin")).over(
+        wc.rowsBetween(Window.unboundedPreceding, -1)))
+    lowest = F.least(F.lit(0), F.col("_copen"), F.coalesce(F.col("_pmin_before"), F.col("_copen")))
+    start_low = F.when(F.col("_copen") >= 0, p_start - lowest).otherwise(p_start)
     ct = ct.withColumn("_cdirty", F.coalesce(start_low + F.col("_lmin") < 0, F.lit(False)))
     ct = ct.withColumn("_pdirty", F.max(F.col("_cdirty").cast("int")).over(Window.partitionBy("product_id")) == 1)
     t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty"), ["product_id", "_chunk"], "inner")
