@@ -246,3 +246,31 @@ def test_status_changes_equal_snapshot_audit(spark, seed):
     snap = orders.order_status_audit(seed["orders"], out["orders"], AS_OF)
     # order 2 went PENDING -> SHIPPED -> PENDING: no net change; order 3 SHIPPED -> SHIPPED: none
     assert rows(out["status_changes"]) == rows(snap, "record_id", "old_status", "new_status") == []
+
+
+def test_prefix_scan_hot_only_chunking_matches_windows(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from larder.operators.prefix import Scan, key_counts, prefix_scan
+
+    rnd = random.Random(9)
+    # key 1 is hot (many rows, cut into ranges of 5), key 2 is cold, key None is its own group
+    data = [(1, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 120)]
+    data += [(2, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 4)]
+    data += [(None, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 7)]
+    df = spark.createDataFrame(data, "k long, o long, v long")
+    counts = key_counts(df, "k", "_n").withColumnRenamed("k", "_ck")
+    dfc = df.join(counts, df.k.eqNullSafe(counts._ck), "left").drop("_ck")
+    got = prefix_scan(dfc, "k", "o", [Scan("s", "sum", F.col("v"), True), Scan("f", "first", F.col("v")),
+                                      Scan("p", "prev", F.col("v"))], width=5, count_col="_n")
+    w = Window.partitionBy("k").orderBy("o")
+    want = df.select("k", "o", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
+                     F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"),
+                     F.lag("v").over(w).alias("p"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    g = sorted((tuple(r) for r in got.select("k", "o", "s", "f", "p").collect()), key=key)
+    e = sorted((tuple(r) for r in want.collect()), key=key)
+    assert g == e
