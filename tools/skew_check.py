@@ -1,6 +1,6 @@
 """Skew check: one product holding ~40% of the ledger.
 
-    python tools/skew_check.py [sf_dir] [chunk_ids]
+    python tools/skew_check.py [sf_dir] [chunk_ids] [q_max]
 
 Derives a skewed ledger from the events table ('view' and 'click' events all
 go to product 0), then runs, each under its own job description:
@@ -37,6 +37,7 @@ from larder.sources.model import Model  # noqa: E402
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     chunk = int(sys.argv[2]) if len(sys.argv) > 2 else 4096
+    q_max = int(sys.argv[3]) if len(sys.argv) > 3 else 1024
     log_dir = tempfile.mkdtemp(prefix="skew-eventlog-", dir="/tmp")
     spark = build_session(shuffle_partitions=16, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
@@ -63,7 +64,7 @@ def main() -> None:
     chunked = ledger.running_stock(opening, led, chunk_ids=chunk)
     chunked.write.format("noop").mode("overwrite").save()
     sc.setJobDescription("guard")
-    g = guard.guard_ledger(opening, led, chunk_ids=chunk).select(
+    g = guard.guard_ledger(opening, led, chunk_ids=chunk, q_max=q_max).select(
         "id", "product_id", "accepted", "stock_before", "stock_after")
     got = g.toPandas().sort_values("id").reset_index(drop=True)
     sc.setJobDescription(None)
