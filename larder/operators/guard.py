@@ -23,6 +23,13 @@ almost all of it on the JVM:
 4. Clean chunks after a dirty chunk of the same product shift by the R
    accumulated before them; the fold emits one marker row per such chunk and
    a window over (product, chunk) hands R to the chunk's rows.
+5. A *hot* product (more than ``chunk_ids`` rows) with dirty chunks would
+   make step 3 one long serial task.  With an opening >= 0 and OUT
+   quantities of at most Q, the stock satisfies C <= b < C + Q (the
+   difference b - C only shrinks, or resets below the refused quantity).  So
+   each dirty chunk is tabulated in its own task for the Q possible start
+   offsets, one task per product composes the small tables in chunk order,
+   and each chunk is replayed from its exact start: chunk-parallel.
 """
 
 from __future__ import annotations
