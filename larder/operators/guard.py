@@ -165,7 +165,7 @@ def guard_fold(batches):
 
 
 # Largest OUT quantity for which a hot product's chunks are run in parallel.
-Q_MAX = 256
+Q_MAX = 4096
 
 _TAB_SCHEMA = "product_id long, _chunk long, _d long, _d_end long"
 _COMP_SCHEMA = "product_id long, _chunk long, _d_start long"
@@ -177,6 +177,38 @@ def _clamped_end(c0: int, s: np.ndarray) -> int:
     return int(x[-1] - min(0, int(x.min()))) if len(s) else c0
 
 
+def tabulate_ends(c0: int, s: np.ndarray, q: int) -> np.ndarray:
+    """End balances of one chunk for the start balances c0 + d, d in [0, q).
+
+    All start values advance together: rows at which even the lowest one
+    cannot be refused move every value by the same prefix sum (a galloping
+    search over the cumulative sums); at a row where some may be refused the
+    rule is applied to each, and values that have met are merged (they stay
+    equal from then on).  Work follows the refusals of the lowest value,
+    not q times the rows."""
+    s = np.asarray(s, dtype=np.int64)
+    n = len(s)
+    vals, inv = np.unique(c0 + np.arange(q, dtype=np.int64), return_inverse=True)
+    if n == 0:
+        return vals[inv]
+    cum = np.cumsum(s)
+    i, base = 0, 0
+    while i < n:
+        j = _first_below(cum, i, n, base - int(vals[0]))
+        if j == n:
+            vals = vals + (int(cum[n - 1]) - base)
+            break
+        if j > i:
+            vals = vals + (int(cum[j - 1]) - base)
+        stepped = vals + s[j]
+        vals = np.where(stepped >= 0, stepped, vals)
+        base = int(cum[j])
+        vals, merged = np.unique(vals, return_inverse=True)
+        inv = merged[inv]
+        i = j + 1
+    return vals[inv]
+
+
 def _tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
     """One dirty chunk of a hot product: for every possible start offset
     d = B - C in [0, Q) the offset at the chunk's end (C <= B < C + Q holds
@@ -186,7 +218,7 @@ def _tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
     c0 = int(pdf["_cstart"].iloc[0])
     q = int(pdf["_q"].iloc[0])
     c_end = _clamped_end(c0, s)
-    ends = [fold_balances(c0 + d, s)[3] - c_end for d in range(q)]
+    ends = tabulate_ends(c0, s, q) - c_end
     return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_chunk": pdf["_chunk"].iloc[0],
                          "_d": np.arange(q, dtype=np.int64), "_d_end": np.asarray(ends, dtype=np.int64)})
 

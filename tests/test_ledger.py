@@ -223,3 +223,14 @@ def test_hot_product_parallel_path_equals_serial_path(spark):
     pd.testing.assert_frame_equal(a, c)
     pd.testing.assert_frame_equal(b, c)
     assert (~par.accepted).sum() > 20
+
+
+def test_tabulate_ends_equals_separate_folds():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    for _ in range(100):
+        n, q, c0 = int(rng.integers(0, 120)), int(rng.integers(1, 30)), int(rng.integers(0, 25))
+        s = rng.integers(-25, 20, n)
+        want = [guard.fold_balances(c0 + d, s)[3] for d in range(q)]
+        assert list(guard.tabulate_ends(c0, s, q)) == want

@@ -37,7 +37,7 @@ from larder.sources.model import Model  # noqa: E402
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     chunk = int(sys.argv[2]) if len(sys.argv) > 2 else 4096
-    q_max = int(sys.argv[3]) if len(sys.argv) > 3 else 1024
+    q_max = int(sys.argv[3]) if len(sys.argv) > 3 else 4096
     log_dir = tempfile.mkdtemp(prefix="skew-eventlog-", dir="/tmp")
     spark = build_session(shuffle_partitions=16, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
