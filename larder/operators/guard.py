@@ -28,8 +28,10 @@ almost all of it on the JVM:
    quantities of at most Q, the stock satisfies C <= b < C + Q (the
    difference b - C only shrinks, or resets below the refused quantity).  So
    each dirty chunk is tabulated in its own task for the Q possible start
-   offsets, one task per product composes the small tables in chunk order,
-   and each chunk is replayed from its exact start: chunk-parallel.
+   offsets; the tables are composed in two levels (groups of consecutive
+   chunks, then the groups of a product, then back to each chunk), so no
+   task holds more than one group of tables; and each chunk is replayed
+   from its exact start: chunk-parallel.
 """
 
 from __future__ import annotations
@@ -167,7 +169,9 @@ def guard_fold(batches):
 # Largest OUT quantity for which a hot product's chunks are run in parallel.
 Q_MAX = 4096
 
-_TAB_SCHEMA = "product_id long, _chunk long, _d long, _d_end long"
+_TAB_SCHEMA = "product_id long, _chunk long, _table array<long>"
+_GROUP_SCHEMA = "product_id long, _group long, _table array<long>"
+_GSTART_SCHEMA = "product_id long, _group long, _g_start long"
 _COMP_SCHEMA = "product_id long, _chunk long, _d_start long"
 
 
@@ -212,29 +216,52 @@ def tabulate_ends(c0: int, s: np.ndarray, q: int) -> np.ndarray:
 def _tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
     """One dirty chunk of a hot product: for every possible start offset
     d = B - C in [0, Q) the offset at the chunk's end (C <= B < C + Q holds
-    throughout, Q being the product's largest OUT quantity)."""
+    throughout, Q being the product's largest OUT quantity), as one array."""
     pdf = pdf.sort_values("id", kind="stable")
     s = pdf["_s"].to_numpy(dtype=np.int64)
     c0 = int(pdf["_cstart"].iloc[0])
     q = int(pdf["_q"].iloc[0])
-    c_end = _clamped_end(c0, s)
-    ends = tabulate_ends(c0, s, q) - c_end
-    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_chunk": pdf["_chunk"].iloc[0],
-                         "_d": np.arange(q, dtype=np.int64), "_d_end": np.asarray(ends, dtype=np.int64)})
-
-
-def _compose(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All chunks of one hot product in order: the start offset of each.
-    Clean chunks (no table rows, _d null) keep the offset unchanged."""
-    chunks = np.sort(pdf["_chunk"].unique())
-    tables = {c: dict(zip(g["_d"].astype(np.int64), g["_d_end"].astype(np.int64)))
-              for c, g in pdf[pdf["_d"].notna()].groupby("_chunk")}
+    table = tabulate_ends(c0, s, q) - _clamped_end(c0, s)
+    return pd.DataFrame({"product_id": [pdf["product_id"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
+                         "_table": [table.astype(np.int64)]})
+
+
+def _compose_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 1: the tables of one group of consecutive chunks composed into
+    one table (vectorised over all start offsets).  Clean chunks have no
+    table and keep the offset."""
+    pdf = pdf.sort_values("_chunk")
+    tables = [np.asarray(t, dtype=np.int64) for t in pdf["_table"] if t is not None]
+    cur = None                      # a group of clean chunks keeps the offset
+    if tables:
+        cur = np.arange(len(tables[0]), dtype=np.int64)
+        for t in tables:
+            cur = t[cur]
+    return pd.DataFrame({"product_id": [pdf["product_id"].iloc[0]], "_group": [pdf["_group"].iloc[0]],
+                         "_table": [cur]})
+
+
+def _group_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 2: start offset of every group of one product, in order."""
+    pdf = pdf.sort_values("_group")
     d, starts = 0, []
-    for c in chunks:
+    for t in pdf["_table"]:
         starts.append(d)
-        if c in tables:
-            d = int(tables[c][d])
-    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_chunk": chunks,
+        if t is not None:
+            d = int(np.asarray(t)[d])
+    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_group": pdf["_group"].to_numpy(),
+                         "_g_start": np.asarray(starts, dtype=np.int64)})
+
+
+def _chunk_starts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Level 3: start offset of every chunk of one group from the group's start."""
+    pdf = pdf.sort_values("_chunk")
+    d, starts = int(pdf["_g_start"].iloc[0]), []
+    for t in pdf["_table"]:
+        starts.append(d)
+        if t is not None:
+            d = int(np.asarray(t)[d])
+    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_chunk": pdf["_chunk"].to_numpy(),
                          "_d_start": np.asarray(starts, dtype=np.int64)})
 
 
@@ -255,7 +282,7 @@ def _replay(pdf: pd.DataFrame, cols: list[str]) -> pd.DataFrame:
 
 
 def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS,
-                 materialize: bool = True, q_max: int = Q_MAX) -> DataFrame:
+                 materialize: bool = True, q_max: int = Q_MAX, compose_group: int = 1024) -> DataFrame:
     """Judge every ledger row against the running stock.
 
     ``opening``: (product_id, opening_stock); missing products start at 0.
@@ -263,7 +290,8 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     (bigint) and reason (null, 'negative_stock', or 'no_product' for a row
     without a product).  ``q_max`` bounds the OUT quantities for which a hot
     product's chunks are judged in parallel (each dirty chunk is folded once
-    per possible start offset, so the cost per chunk grows with it).  With ``materialize``
+    per possible start offset, so the cost per chunk grows with it);
+    ``compose_group`` chunks are composed per task in the first level.  With ``materialize``
     (the default) the prefix sums are checkpointed once (an eager job).
     """
     cols = ledger.columns
@@ -391,8 +419,17 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     dirty_par = par.filter(F.col("_cdirty")).select("product_id", "_chunk", "id", "_s", "_cstart", "_q")
     tables = dirty_par.groupBy("product_id", "_chunk").applyInPandas(_tabulate, _TAB_SCHEMA)
     clean_marks = par.filter(~F.col("_cdirty")).groupBy("product_id", "_chunk").agg(
-        F.lit(None).cast("bigint").alias("_d"), F.lit(None).cast("bigint").alias("_d_end"))
-    starts = tables.unionByName(clean_marks).groupBy("product_id").applyInPandas(_compose, _COMP_SCHEMA)
+        F.lit(None).cast("array<bigint>").alias("_table"))
+    # one row per chunk (its table, or none when clean), in groups of
+    # compose_group consecutive chunks; materialised, as levels 1 and 3 read it
+    chunk_tables = tables.unionByName(clean_marks).withColumn(
+        "_group", F.floor(F.col("_chunk") / F.lit(compose_group)).cast("bigint"))
+    if materialize:
+        chunk_tables = chunk_tables.checkpoint(eager=True)
+    group_tables = chunk_tables.groupBy("product_id", "_group").applyInPandas(_compose_group, _GROUP_SCHEMA)
+    group_starts = group_tables.groupBy("product_id").applyInPandas(_group_starts, _GSTART_SCHEMA)
+    starts = (chunk_tables.join(group_starts, ["product_id", "_group"], "inner")
+              .groupBy("product_id", "_group").applyInPandas(_chunk_starts, _COMP_SCHEMA))
     par = par.join(starts, ["product_id", "_chunk"], "inner")
     b_start = F.col("_cstart") + F.col("_d_start")
     par_clean = par.filter(~F.col("_cdirty"))

@@ -234,3 +234,19 @@ def test_tabulate_ends_equals_separate_folds():
         s = rng.integers(-25, 20, n)
         want = [guard.fold_balances(c0 + d, s)[3] for d in range(q)]
         assert list(guard.tabulate_ends(c0, s, q)) == want
+
+
+def test_parallel_path_with_many_compose_groups(spark):
+    """Hot products whose chunk tables are composed across many groups of 2."""
+    rnd = random.Random(33)
+    entries = [(rnd.choice([1, 2]), rnd.choice(["IN", "OUT", "OUT", "ADJUSTMENT"]), rnd.randint(1, 9))
+               for _ in range(400)]
+    led = _ledger(spark, entries, start_id=0)
+    opening = {1: 0, 2: 7}
+    got = guard.guard_ledger(_opening(spark, opening), led, chunk_ids=8, compose_group=2).toPandas()
+    ref = guard.guard_reference(pd.DataFrame(list(opening.items()), columns=["product_id", "opening_stock"]),
+                                led.toPandas())
+    cols = ["id", "accepted", "stock_before", "stock_after"]
+    a, b = (x[cols].sort_values("id").reset_index(drop=True).astype("int64") for x in (got, ref))
+    pd.testing.assert_frame_equal(a, b)
+    assert (~got.accepted).sum() > 10
