@@ -407,9 +407,9 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
 
     # 5. hot dirty products, chunk-parallel: the guarded stock B stays within
     #    [C, C + Q) of the clamped walk C, so each dirty chunk is tabulated for
-    #    the Q possible start offsets in its own task, the small tables are
-    #    composed per product in chunk order, and each chunk is replayed from
-    #    its exact start.  No task holds more than one chunk of rows.
+    #    the Q possible start offsets in its own task, the tables are composed
+    #    in bounded levels, and each chunk is replayed from its exact start.
+    #    No task holds more than one chunk of rows or one group of tables.
     result = pre_rows.unionByName(clean_rows).unionByName(slow_rows).unionByName(orphans)
     par = t.filter(F.col("_par"))
     # the rows are materialised, so whether any product needs this path is a
@@ -433,8 +433,8 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     par = par.join(starts, ["product_id", "_chunk"], "inner")
     b_start = F.col("_cstart") + F.col("_d_start")
     par_clean = par.filter(~F.col("_cdirty"))
-    par_clean_rows = emit(par_clean, F.lit(True), b_start + F.col("_p") - F.col("_open") - F.col("_off") - F.col("_s"),
-                          b_start + F.col("_p") - F.col("_open") - F.col("_off"))
+    after_clean = b_start + F.col("_p") - F.col("_open") - F.col("_off")   # start + running sum in chunk
+    par_clean_rows = emit(par_clean, F.lit(True), after_clean - F.col("_s"), after_clean)
     replay_in = par.filter(F.col("_cdirty")).select(*cols, "_chunk", "_s", "_cstart", "_d_start")
     replay_schema = _replay_schema(ledger.select(*cols).schema)
     par_dirty_rows = (replay_in.groupBy("product_id", "_chunk")
