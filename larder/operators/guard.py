@@ -24,8 +24,8 @@ almost all of it on the JVM:
    accumulated before them; the fold emits one marker row per such chunk and
    a window over (product, chunk) hands R to the chunk's rows.
 5. A *hot* product (more than ``chunk_ids`` rows) with dirty chunks would
-   make step 3 one long serial task.  With an opening >= 0 and OUT
-   quantities of at most Q, the stock satisfies C <= b < C + Q (the
+   make step 3 one long serial task.  From its first accepted row on, with
+   OUT quantities of at most Q, the stock satisfies C <= b < C + Q (the
    difference b - C only shrinks, or resets below the refused quantity).  So
    each dirty chunk is tabulated in its own task for the Q possible start
    offsets; the tables are composed in two levels (groups of consecutive
@@ -339,8 +339,13 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     p_start = F.col("_copen") + F.col("_off")
     ct = ct.withColumn("_pmin_before", F.min(p_start + F.col("_lmin")).over(
         wc.rowsBetween(Window.unboundedPreceding, -1)))
-    lowest = F.least(F.lit(0), F.col("_copen"), F.coalesce(F.col("_pmin_before"), F.col("_copen")))
-    start_low = F.when(F.col("_copen") >= 0, p_start - lowest).otherwise(p_start)
+    # With a negative opening the walk starts at the first accepted row; the
+    # refused prefix (P = opening there) is left out of the lowest P.  The
+    # first chunk with accepted rows then starts exactly at the opening.
+    lowest = F.when(F.col("_copen") >= 0,
+                    F.least(F.lit(0), F.col("_copen"), F.coalesce(F.col("_pmin_before"), F.col("_copen")))
+                    ).otherwise(F.least(F.lit(0), F.coalesce(F.col("_pmin_before"), F.lit(0))))
+    start_low = p_start - lowest
     ct = ct.withColumn("_cdirty", F.coalesce(start_low + F.col("_lmin") < 0, F.lit(False)))
     by_product = Window.partitionBy("product_id")
     ct = ct.withColumns({
@@ -348,9 +353,9 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
         "_q": F.coalesce(F.max("_cq").over(by_product), F.lit(0)),
         "_cstart": start_low,
     })
-    # hot products (cut into chunks) that open >= 0 with bounded OUT quantities
-    # and a dirty chunk: their chunks are judged in parallel (section 5)
-    ct = ct.withColumn("_par", F.col("_pdirty") & (F.col("_cn") > chunk_ids) & (F.col("_copen") >= 0)
+    # hot products (cut into chunks) with bounded OUT quantities and a dirty
+    # chunk: their chunks are judged in parallel (section 5)
+    ct = ct.withColumn("_par", F.col("_pdirty") & (F.col("_cn") > chunk_ids)
                        & (F.col("_q") >= 1) & (F.col("_q") <= q_max))
     t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty", "_q", "_cstart", "_par"),
                ["product_id", "_chunk"], "inner")
@@ -411,7 +416,7 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
     #    in bounded levels, and each chunk is replayed from its exact start.
     #    No task holds more than one chunk of rows or one group of tables.
     result = pre_rows.unionByName(clean_rows).unionByName(slow_rows).unionByName(orphans)
-    par = t.filter(F.col("_par"))
+    par = t.filter(F.col("_par") & ~F.col("_pre"))      # refused prefix rows are emitted above
     # the rows are materialised, so whether any product needs this path is a
     # one-row probe; without one the plan carries no empty Python stages
     if materialize and not par.limit(1).collect():

@@ -250,3 +250,39 @@ def test_parallel_path_with_many_compose_groups(spark):
     a, b = (x[cols].sort_values("id").reset_index(drop=True).astype("int64") for x in (got, ref))
     pd.testing.assert_frame_equal(a, b)
     assert (~got.accepted).sum() > 10
+
+
+def test_parallel_path_with_negative_opening(spark):
+    """A hot product opening far below zero: its refused prefix, the lifting
+    row and the chunks after it agree with the plain fold."""
+    rnd = random.Random(44)
+    entries = [(1, rnd.choice(["IN", "OUT", "IN"]), rnd.randint(1, 10)) for _ in range(250)]
+    entries[37] = (1, "IN", 70)          # the first row that lifts the stock to >= 0
+    entries += [(1, rnd.choice(["OUT", "OUT", "OUT", "IN"]), rnd.randint(1, 12)) for _ in range(250)]
+    led = _ledger(spark, entries, start_id=0)
+    opening = {1: -60}
+    got = guard.guard_ledger(_opening(spark, opening), led, chunk_ids=8, compose_group=3).toPandas()
+    ref = guard.guard_reference(pd.DataFrame(list(opening.items()), columns=["product_id", "opening_stock"]),
+                                led.toPandas())
+    cols = ["id", "accepted", "stock_before", "stock_after"]
+    a, b = (x[cols].sort_values("id").reset_index(drop=True).astype("int64") for x in (got, ref))
+    pd.testing.assert_frame_equal(a, b)
+    assert (a.stock_before < 0).sum() > 3 and (a.stock_before > 0).sum() > 50
+    assert (a.accepted[40:] == 0).sum() >= 1          # refusals after the lift too
+
+
+def test_parallel_path_lift_chunk_with_refusals(spark):
+    """The chunk holding the lifting row also refuses rows after it."""
+    rnd = random.Random(45)
+    head = [(1, "OUT", 3), (1, "IN", 5), (1, "IN", 70), (1, "OUT", 30), (1, "OUT", 5), (1, "IN", 2),
+            (1, "OUT", 9), (1, "OUT", 1)]
+    tail = [(1, rnd.choice(["OUT", "OUT", "IN"]), rnd.randint(1, 9)) for _ in range(120)]
+    led = _ledger(spark, head + tail, start_id=0)          # ids 0-7 form the first chunk of 8
+    opening = {1: -60}
+    got = guard.guard_ledger(_opening(spark, opening), led, chunk_ids=8, compose_group=4).toPandas()
+    ref = guard.guard_reference(pd.DataFrame(list(opening.items()), columns=["product_id", "opening_stock"]),
+                                led.toPandas())
+    cols = ["id", "accepted", "stock_before", "stock_after"]
+    a, b = (x[cols].sort_values("id").reset_index(drop=True).astype("int64") for x in (got, ref))
+    pd.testing.assert_frame_equal(a, b)
+    assert list(a.accepted[:5]) == [0, 0, 1, 0, 1]
