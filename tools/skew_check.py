@@ -8,6 +8,9 @@ go to product 0), then runs, each under its own job description:
 * ``plain``   - running stock with a plain Window.partitionBy(product)
 * ``chunked`` - ``ledger.running_stock`` (chunked prefix scan)
 * ``guard``   - ``guard.guard_ledger`` (checked against the row-by-row fold)
+* ``transition_plain`` / ``transition`` - order status requests with one
+  order holding ~40% of them: a plain per-order window against
+  ``orders.transition_orders`` (chunked scans)
 
 Spark's event log (written to a fresh scratch folder) gives the shuffle
 records read by each task; the script prints, per run and per shuffle stage
@@ -29,7 +32,7 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from larder.functions.columns import signed_quantity  # noqa: E402
-from larder.operators import guard, ledger  # noqa: E402
+from larder.operators import guard, ledger, orders  # noqa: E402
 from larder.session import build_session  # noqa: E402
 from larder.sources.model import Model  # noqa: E402
 
@@ -67,7 +70,27 @@ def main() -> None:
     g = guard.guard_ledger(opening, led, chunk_ids=chunk, q_max=q_max).select(
         "id", "product_id", "accepted", "stock_before", "stock_after")
     got = g.toPandas().sort_values("id").reset_index(drop=True)
+    # R7 with one order holding ~40% of the status requests (seq = event id)
     sc.setJobDescription(None)
+    ev = m.raw("events")
+    req = ev.select(
+        F.when(F.col("event_type").isin("view", "click"), F.lit(0)).otherwise(F.col("user_id"))
+        .cast("bigint").alias("order_id"),
+        F.col("event_id").cast("bigint").alias("seq"),
+        F.when(F.col("event_type") == "error", "CANCELLED").when(F.col("event_type") == "purchase", "BOGUS")
+        .otherwise("SHIPPED").alias("status"))
+    sc.setJobDescription("transition_plain")
+    wp = Window.partitionBy("order_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    plain_tr = req.select("order_id", "seq", F.max(F.col("status").isin("DELIVERED", "CANCELLED").cast("int"))
+                          .over(wp).alias("closed_before"))
+    plain_tr.write.format("noop").mode("overwrite").save()
+    sc.setJobDescription("transition")
+    tr = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", width=chunk)["outcomes"]
+    tr_rows = tr.count()
+    sc.setJobDescription(None)
+    # the same batch with no order cut into ranges (one window per order)
+    whole = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", width=1 << 40)["outcomes"]
+    tr_same = tr.exceptAll(whole).count() == 0 and whole.exceptAll(tr).count() == 0
     ref = guard.guard_reference(opening.toPandas(), led.select(
         "id", "product_id", "transaction_type", "quantity").toPandas()).sort_values("id").reset_index(drop=True)
     same = all((got[c].astype("int64").values == ref[c].astype("int64").values).all()
@@ -100,7 +123,7 @@ def main() -> None:
         report[desc].append({"stage": sid, "tasks": len(recs), "records": sum(recs),
                              "largest_task_share": round(max(recs) / sum(recs), 3)})
     print(json.dumps({"rows": total, "hot_product_share": round(share, 3), "chunk_ids": chunk,
-                      "guard_equals_plain_fold": bool(same), "shuffle_stages": report}))
+                      "guard_equals_plain_fold": bool(same), "transition_rows": tr_rows, "transition_equals_unchunked": bool(tr_same), "shuffle_stages": report}))
 
 
 if __name__ == "__main__":
