@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from larder.operators import catalog, dashboard, guard, integrity, ledger, listings, orders, views
 from larder.sources import requests as R
+from larder.session import ship_package
 from larder.sources.model import Model
 from larder.sources.schemas import ORDER_AUDIT_ACTOR
 
@@ -26,6 +27,7 @@ def _run(fn, spark: SparkSession, sf_dir: str) -> DataFrame:
     # Raw timestamps are zone-less; the model's day arithmetic and lead
     # times are defined in UTC, whatever zone the caller's session uses.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return boundary(fn(Model(spark, sf_dir)))
 
 

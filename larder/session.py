@@ -52,6 +52,7 @@ def build_session(
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -97,3 +98,34 @@ def configure_for_scale(spark: SparkSession, input_bytes: int, target_partition_
 def _cluster_set(spark: SparkSession) -> set:
     """Keys set explicitly in the SparkContext configuration (cluster defaults)."""
     return {k for k, _ in spark.sparkContext.getConf().getAll()}
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``larder`` importable in the Python workers (pandas UDFs and
+    stateful functions import it): zip the package once per application into
+    the shared checkpoint folder and ``addPyFile`` it.  Harmless when the
+    package is installed on the cluster already."""
+    import uuid
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: install the package on the cluster instead
+        return
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    path = os.path.join(checkpoint_dir(spark), f"larder-{uuid.uuid4().hex[:12]}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
