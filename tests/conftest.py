@@ -26,22 +26,23 @@ def spark():
     s.stop()
 
 
-# Seed rows of the reference (3 suppliers, 7 products, 11 ledger rows, 3 orders, 4 items).
+# The seed rows whose numbers the goldens depend on (ids, skus,
+# categories, prices, reorder levels, suppliers of products, ledger quantities,
+# order totals and items).  Names, contacts and addresses are placeholders.
 SUPPLIERS = [
-    (1, "Quantum Electronics", "Alice Chen", "sales@quantum.com", "+1-555-0199", "Silicon Valley, CA", "Active", NOW),
-    (2, "Office Depot Logistics", "Robert Jenkins", "orders@officedepot.com", "+1-800-555-0122", "Chicago, IL",
-     "Active", NOW),
-    (3, "Apex Packaging Corp", "Sarah Smith", "sarah@apexpack.com", "+1-312-555-0144", "Detroit, MI", "Active", NOW),
+    (1, "Supplier One", "Contact One", "one@example.com", "+1-555-0001", "Address 1", "Active", NOW),
+    (2, "Supplier Two", "Contact Two", "two@example.com", "+1-555-0002", "Address 2", "Active", NOW),
+    (3, "Supplier Three", "Contact Three", "three@example.com", "+1-555-0003", "Address 3", "Active", NOW),
 ]
 
 PRODUCTS = [
-    (1, "ELEC-LAP-001", "EliteBook Pro 15", "laptop", "Electronics", "1200.00", 5, 1),
-    (2, "ELEC-MOU-002", "Wireless Ergonomic Mouse", "mouse", "Electronics", "45.00", 15, 1),
-    (3, "ELEC-KEY-003", "Mechanical Keyboard RGB", "keyboard", "Electronics", "99.00", 10, 1),
-    (4, "OFF-PAP-010", "A4 Copier Paper (Ream)", "paper", "Office Supplies", "6.50", 50, 2),
-    (5, "OFF-PEN-011", "Gel Pen Black (Box of 12)", "pens", "Office Supplies", "12.00", 20, 2),
-    (6, "PKG-BOX-101", "Cardboard Box Medium", "box", "Packaging", "1.80", 100, 3),
-    (7, "PKG-TAP-102", "Heavy Duty Shipping Tape", "tape", "Packaging", "3.20", 40, 3),
+    (1, "ELEC-LAP-001", "Product 1", None, "Electronics", "1200.00", 5, 1),
+    (2, "ELEC-MOU-002", "Product 2", None, "Electronics", "45.00", 15, 1),
+    (3, "ELEC-KEY-003", "Product 3", None, "Electronics", "99.00", 10, 1),
+    (4, "OFF-PAP-010", "Product 4", None, "Office Supplies", "6.50", 50, 2),
+    (5, "OFF-PEN-011", "Product 5", None, "Office Supplies", "12.00", 20, 2),
+    (6, "PKG-BOX-101", "Product 6", None, "Packaging", "1.80", 100, 3),
+    (7, "PKG-TAP-102", "Product 7", None, "Packaging", "3.20", 40, 3),
 ]
 
 LEDGER = [

@@ -65,7 +65,7 @@ def test_create_products(spark, seed):
 def test_create_suppliers(spark, seed):
     req = spark.createDataFrame(
         [(10, "N1", "C", "new@x.com", "1", "A"), (11, "N2", "C", "new@x.com", "2", "B"),
-         (12, "N3", "C", "sales@quantum.com", "3", "C"), (13, "N4", "C", "other@x.com", "", "D")],
+         (12, "N3", "C", "one@example.com", "3", "C"), (13, "N4", "C", "other@x.com", "", "D")],
         "request_id long, name string, contact_name string, email string, phone string, address string")
     new, rejects = catalog.create_suppliers(req, seed["suppliers"], NOW)
     assert rows(new, "id", "email", "status") == [(10, "new@x.com", "Active")]

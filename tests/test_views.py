@@ -21,14 +21,14 @@ def test_apply_ledger_from_empty_stock(seed):
 def test_low_stock_alerts(seed):
     got = rows(views.low_stock_alerts(seed["products"], seed["suppliers"]),
                "sku", "quantity_in_stock", "reorder_level", "recommended_order_qty", "supplier_name")
-    assert got == [("OFF-PEN-011", 10, 20, 30, "Office Depot Logistics"),
-                   ("PKG-TAP-102", 15, 40, 65, "Apex Packaging Corp")]
+    assert got == [("OFF-PEN-011", 10, 20, 30, "Supplier Two"),
+                   ("PKG-TAP-102", 15, 40, 65, "Supplier Three")]
 
 
 def test_low_stock_keeps_products_without_supplier(spark, seed):
     p = seed["products"].withColumn("supplier_id", F.when(F.col("id") == 5, None).otherwise(F.col("supplier_id")))
     got = rows(views.low_stock_alerts(p, seed["suppliers"]), "sku", "supplier_name")
-    assert got == [("OFF-PEN-011", None), ("PKG-TAP-102", "Apex Packaging Corp")]
+    assert got == [("OFF-PEN-011", None), ("PKG-TAP-102", "Supplier Three")]
 
 
 def test_low_stock_ignores_inactive_products(seed):
