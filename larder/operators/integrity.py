@@ -77,23 +77,57 @@ def fk_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
-def delete_impact(tables: dict[str, DataFrame], keys: dict[str, DataFrame]) -> DataFrame:
+def _delete_order(tables: list[str]) -> list[str]:
+    """Order the deletes of a batch so that a parent's RESTRICT check comes
+    after every delete that can remove its referencing rows: the child's own
+    delete, and deletes that cascade into the child."""
+    before: dict[str, set] = {t: set() for t in tables}
+    for fk in FOREIGN_KEYS:
+        if fk.on_delete != "restrict" or fk.parent not in before:
+            continue
+        sources = {fk.table} | {c.parent for c in FOREIGN_KEYS if c.table == fk.table and c.on_delete == "cascade"}
+        before[fk.parent] |= {x for x in sources if x in before and x != fk.parent}
+    order: list[str] = []
+    while len(order) < len(tables):
+        ready = [t for t in tables if t not in order and before[t] <= set(order)]
+        order.extend(ready or [t for t in tables if t not in order])
+    return order
+
+
+def delete_impact(tables: dict[str, DataFrame], keys: dict[str, DataFrame], chained: bool = False) -> DataFrame:
     """C4: what deleting the given keys would do (table_name, row_id, effect).
 
     ``keys[table]`` holds an ``id`` column.  A key row is ``restricted`` when a
     RESTRICT child references it, else ``deleted``; children of deleted rows
-    are ``set_null`` or ``cascaded`` by their ON DELETE action.  Each
-    table's delete is judged against the tables as given.
+    are ``set_null`` or ``cascaded`` by their ON DELETE action.  By default
+    each table's delete is judged against the tables as given.  With
+    ``chained`` the deletes run children-first and a later delete no longer
+    sees rows that earlier deletes or their cascades removed (e.g. deleting an
+    order and then the product its only item referenced is allowed).
     """
     parts = []
-    for table, k in keys.items():
-        rows = tables[table].join(k.select(F.col("id").alias("_kid")),
-                                  tables[table].id == F.col("_kid"), "left_semi").select("id")
+    removed: dict[str, DataFrame] = {}
+
+    def remaining(table: str) -> DataFrame:
+        df = tables[table]
+        if not chained or table not in removed:
+            return df
+        gone = removed[table].select(F.col("id").alias("_gone"))
+        return df.join(gone, df.id == gone._gone, "left_anti")
+
+    def mark_removed(table: str, ids: DataFrame) -> None:
+        ids = ids.select("id")
+        removed[table] = ids if table not in removed else removed[table].unionByName(ids)
+
+    for table in (_delete_order(list(keys)) if chained else list(keys)):
+        k = keys[table]
+        base = remaining(table)
+        rows = base.join(k.select(F.col("id").alias("_kid")), base.id == F.col("_kid"), "left_semi").select("id")
         blocked = None
         for fk in FOREIGN_KEYS:
             if fk.parent != table or fk.on_delete != "restrict" or fk.table not in tables:
                 continue
-            refs = tables[fk.table].select(F.col(fk.column).alias("_ref"))
+            refs = remaining(fk.table).select(F.col(fk.column).alias("_ref"))
             hit = rows.join(refs, rows.id == refs._ref, "left_semi")
             blocked = hit if blocked is None else blocked.unionByName(hit)
         if blocked is not None:
@@ -105,15 +139,18 @@ def delete_impact(tables: dict[str, DataFrame], keys: dict[str, DataFrame]) -> D
             deleted = rows
         parts.append(deleted.select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"),
                                     F.lit("deleted").alias("effect")))
+        mark_removed(table, deleted)
         for fk in FOREIGN_KEYS:
             if fk.parent != table or fk.on_delete == "restrict" or fk.table not in tables:
                 continue
-            child = tables[fk.table]
+            child = remaining(fk.table)
             d = deleted.select(F.col("id").alias("_did"))
             hit = child.join(d, child[fk.column] == d._did, "left_semi")
             effect = "set_null" if fk.on_delete == "set_null" else "cascaded"
             parts.append(hit.select(F.lit(fk.table).alias("table_name"), F.col("id").alias("row_id"),
                                     F.lit(effect).alias("effect")))
+            if effect == "cascaded":
+                mark_removed(fk.table, hit)
     return _union(parts)
 
 

@@ -77,3 +77,15 @@ def test_delete_impact(spark, seed):
     assert ("purchase_orders", 2, "deleted") in got
     assert {r for r in got if r[0] == "purchase_order_items"} == {
         ("purchase_order_items", 2, "cascaded"), ("purchase_order_items", 3, "cascaded")}
+
+
+def test_delete_impact_chained(spark, seed):
+    t = _tables(seed)
+    keys = {"products": spark.createDataFrame([(7,)], "id long"),
+            "purchase_orders": spark.createDataFrame([(3,)], "id long")}
+    # judged against the tables as given, item 4 (order 3) still references product 7
+    assert ("products", 7, "restricted") in rows(integrity.delete_impact(t, keys))
+    # chained: order 3 goes first and cascades item 4, so product 7 can be deleted
+    got = rows(integrity.delete_impact(t, keys, chained=True))
+    assert ("products", 7, "deleted") in got and ("purchase_order_items", 4, "cascaded") in got
+    assert ("stock_transactions", 7, "cascaded") in got
