@@ -113,3 +113,19 @@ def test_transform_with_state_equals_apply_with_state(spark):
                                                         f"guard-{api}")))
     a, b = outs
     assert a.count() == 1000 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_streaming_audit_over_micro_batches(spark):
+    """ST4 as one streaming query (stateful guard, stream-static join, file
+    sink) over several micro-batches equals the batch audit of the guard."""
+    from larder.operators import audit as A
+
+    m = Model(spark, SF)
+    src = _split_events(spark, parts=3)
+    stream = S.ledger_stream(spark, src, max_files_per_trigger=1)
+    out = S.run_to_parquet(spark, S.audit_rows(S.live_guard(stream, m.opening_zero()), m.products), "st4")
+    got = spark.read.parquet(out).select("record_id", "old_quantity", "new_quantity", "old_price", "new_price")
+    batch = A.product_audit_from_guard(guard.guard_ledger(m.opening_zero(), m.ledger), m.products).select(
+        "record_id", "old_quantity", "new_quantity", "old_price", "new_price")
+    assert got.count() > 900
+    assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
