@@ -139,6 +139,11 @@ def prefix_scan(df: DataFrame, key: str, order: str, scans: list[Scan], width: i
         else:
             offs.append(_local(s.op, t, wc).alias(f"_po{i}"))
     offsets = totals.select(*grp, *offs)
+    # Every row takes this join, also rows of cold keys (whose offset is
+    # empty): the big side is already partitioned and sorted on the join keys,
+    # so it is a merge against a small table.  Splitting cold rows off instead
+    # was measured to read the repartitioned data twice (twice the network
+    # transfer on a cluster).
     j = d.join(offsets, grp, "inner")
     outs = {}
     for i, s in enumerate(scans):
