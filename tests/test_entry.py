@@ -75,3 +75,23 @@ def test_tables_round_trip(spark, seed):
     assert t["products"].schema["price"].dataType.simpleString() == "decimal(12,2)"
     got = sorted(tuple(r) for r in views.stock_valuation(t["products"]).collect())
     assert got[0] == ("Electronics", 3, 89, 27570.0)
+
+
+def test_package_is_shipped_to_workers(spark):
+    """Python workers import larder even when the driver's sys.path was the
+    only place it was known: a pandas UDF imports a larder module."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from larder.session import ship_package
+
+    ship_package(spark)
+
+    @F.pandas_udf("long")
+    def via_larder(x: pd.Series) -> pd.Series:
+        from larder.operators.guard import fold_balances
+
+        return x.map(lambda v: int(fold_balances(v, [1])[3]))
+
+    got = [r[0] for r in spark.range(3).select(via_larder("id")).collect()]
+    assert got == [1, 2, 3]
