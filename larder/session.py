@@ -45,7 +45,7 @@ def build_session(
     builder = SparkSession.builder.master(master).appName(app_name)
     conf = dict(DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf["spark.driver.memory"] = "16g"
+    conf["spark.driver.memory"] = "8g"
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -64,6 +64,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="larder-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -105,10 +107,9 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``larder`` importable in the Python workers (pandas UDFs and
-    stateful functions import it): zip the package once per application into
-    the shared checkpoint folder and ``addPyFile`` it.  Harmless when the
-    package is installed on the cluster already."""
-    import uuid
+    stateful functions import it): zip the package once per application into a
+    folder of the driver and ``addPyFile`` it, which Spark serves to the
+    executors.  Harmless when the package is installed on the cluster already."""
     import zipfile
 
     try:
@@ -120,7 +121,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    path = os.path.join(checkpoint_dir(spark), f"larder-{uuid.uuid4().hex[:12]}.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="larder-code-"), "larder.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _dirs, files in os.walk(pkg):
             for f in files:
