@@ -115,8 +115,8 @@ def word_hashes(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
     Yields (first, last, hashes, offsets): the words of texts[first:last] in
     order and the offset of each text's first word, with one more at the end.
-    Null is taken as empty.  A text over PIECE_BYTES is hashed in parts cut at
-    white space.
+    Texts are strings or UTF-8 bytes.  Null is taken as empty.  A text over
+    PIECE_BYTES is hashed in parts cut at white space.
     """
     first, size, held = 0, 0, []
 
@@ -127,7 +127,7 @@ def word_hashes(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         return first, first + len(held), hashes, np.searchsorted(starts, begins)
 
     for i, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
+        data = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
         if len(data) > PIECE_BYTES:
             if held:
                 yield done(first, held)
@@ -152,3 +152,35 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if full.any():
         out[full] = np.add.reduceat(values, offsets[:-1][full])
     return out
+
+
+class Lookup:
+    """Open-addressing table from distinct 64-bit keys to their positions, for arrays of keys."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        bits = max(4, int(4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.slots = np.full(1 << bits, -1, dtype=np.int32)
+        left, at = np.arange(len(keys)), self._home(keys)
+        while len(left):
+            free = self.slots[at[left]] < 0
+            self.slots[at[left[free]]] = left[free]
+            left = left[self.slots[at[left]] != left]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each key, -1 where it is missing."""
+        if not len(keys) or not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        at = self._home(keys)
+        found = self.slots[at]
+        left = np.flatnonzero((found >= 0) & (self.keys[found] != keys))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            found[left] = self.slots[at[left]]
+            left = left[(found[left] >= 0) & (self.keys[found[left]] != keys[left])]
+        return found

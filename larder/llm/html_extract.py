@@ -208,9 +208,10 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", page: st
 
     kind = pages.schema[ident].dataType.simpleString()
     return (
-        pages.selectExpr(f"`{ident}` AS id", f"`{url}` AS url", f"`{page}` AS html")
-        .mapInPandas(run, f"id {kind}, url string, text string, n_chars bigint")
-        .withColumnRenamed("id", ident)
+        # The id travels as text: pandas would turn a column with nulls into floats.
+        pages.selectExpr(f"CAST(`{ident}` AS STRING) AS id", f"`{url}` AS url", f"`{page}` AS html")
+        .mapInPandas(run, "id string, url string, text string, n_chars bigint")
+        .selectExpr(f"CAST(id AS {kind}) AS `{ident}`", "url", "text", "n_chars")
     )
 
 

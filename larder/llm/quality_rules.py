@@ -118,6 +118,15 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1").select("doc_id")
 
 
+def kept_rows(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are kept, all columns as they are."""
+    if text not in docs.columns or ident not in docs.columns:
+        raise ValueError(f"no column {ident} or {text}")
+    # The random column keeps the optimizer from copying the verdict's expressions into the filter below them.
+    judged = judge(docs, trusted, ident, text, keep=docs.columns, **options).withColumn("r_", F.rand(0))
+    return judged.where("kept AND r_ >= 0").select(*[f"`{c}`" for c in docs.columns])
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return judge(table(spark, sf_dir, "documents"), trusted_ids(table(spark, sf_dir, "labels")))

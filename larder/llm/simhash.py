@@ -19,7 +19,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,13 +50,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) of every row."""
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "fp": np.array([fingerprint(t, shingle) for t in f["text"]], dtype=np.int64)})
+    """(id, uid, fp) of every row; uid is a hash of id and text."""
+    def run(batches):
+        for b in batches:
+            prints = [fingerprint(t.as_py(), shingle) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints, pa.int64())], names=["id", "uid", "fp"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInPandas(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(ident).alias("id"), F.xxhash64(F.col(ident), F.col(text)).alias("uid"), F.col(text).alias("text")).mapInArrow(
+        run, f"id {kind}, uid bigint, fp bigint")
 
 
 def links(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
@@ -94,7 +96,7 @@ def components(edges: DataFrame) -> DataFrame:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u != v").distinct()
+        return out.where("u != v")
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -102,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select("u", "v").checkpoint()
     before = mark(e)
     while before[0]:
-        e = star(star(e, True), False).checkpoint()
+        e = star(star(e, True), False).distinct().checkpoint()
         after = mark(e)
         if after == before:
             break
@@ -111,15 +113,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """(id, fp, component): one row per row of ``docs``; component is the least
-    id reachable over links of ``max_bits`` or fewer bits."""
+    """(id, uid, fp, root, component): one row per row of ``docs``; component is the
+    least id reachable over links of ``max_bits`` or fewer bits, root the least
+    fingerprint."""
     prints = fingerprints(docs, ident, text, shingle).checkpoint()
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least")).checkpoint()
     roots = components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
     classes = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = classes.groupBy("root").agg(F.min("least").alias("component"))
-    member = classes.select("fp", "root").join(named, "root").select("fp", "component")
-    return prints.join(member, "fp").select("id", "fp", "component")
+    member = classes.select("fp", "root").join(named, "root").select("fp", "root", "component")
+    return prints.join(member, "fp").select("id", "uid", "fp", "root", "component")
+
+
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row of ``docs`` per component, that of the least id (null ids last), all columns as they are."""
+    classes = near_duplicates(docs, ident, text, shingle, max_bits)
+    kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("x")).select(F.col("x.uid").alias("uid_"))
+    # Rows equal in id and text have one uid; the join leaves them all and the last step one.
+    return docs.withColumn("uid_", F.xxhash64(F.col(ident), F.col(text))).join(kept, "uid_", "left_semi").dropDuplicates(["uid_"]).drop("uid_")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
