@@ -120,11 +120,12 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns as they are."""
-    if text not in docs.columns or ident not in docs.columns:
-        raise ValueError(f"no column {ident} or {text}")
+    names = [f"c{i}_" for i in range(len(docs.columns))]  # the caller's names may be those of the verdict's columns
+    at = dict(zip(docs.columns, names))
+    trusted = trusted.select(F.col(ident).alias(at[ident]))
     # The random column keeps the optimizer from copying the verdict's expressions into the filter below them.
-    judged = judge(docs, trusted, ident, text, keep=docs.columns, **options).withColumn("r_", F.rand(0))
-    return judged.where("kept AND r_ >= 0").select(*[f"`{c}`" for c in docs.columns])
+    judged = judge(docs.toDF(*names), trusted, at[ident], at[text], keep=names, **options).withColumn("r_", F.rand(0))
+    return judged.where("kept AND r_ >= 0").select(*names).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,7 +130,9 @@ def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     classes = near_duplicates(docs, ident, text, shingle, max_bits)
     kept = classes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("x")).select(F.col("x.uid").alias("uid_"))
     # Rows equal in id and text have one uid; the join leaves them all and the last step one.
-    return docs.withColumn("uid_", F.xxhash64(F.col(ident), F.col(text))).join(kept, "uid_", "left_semi").dropDuplicates(["uid_"]).drop("uid_")
+    own = docs.toDF(*[f"c{i}_" for i in range(len(docs.columns))])  # the caller may have a column uid_
+    uid = F.xxhash64(*[F.col(own.columns[docs.columns.index(c)]) for c in (ident, text)])
+    return own.withColumn("uid_", uid).join(kept, "uid_", "left_semi").dropDuplicates(["uid_"]).drop("uid_").toDF(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
