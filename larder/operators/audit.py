@@ -70,7 +70,12 @@ def order_audit(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame:
     o = old.select(F.col("id").alias("record_id"), F.col("status").alias("old_status"))
     n = new.select(F.col("id").alias("_nid"), F.col("status").alias("new_status"))
     j = o.join(n, o.record_id == n._nid, "inner").filter(F.col("old_status") != F.col("new_status"))
-    return j.select(
+    return order_audit_rows(j, changed_at)
+
+
+def order_audit_rows(changes: DataFrame, changed_at=None) -> DataFrame:
+    """Audit-log rows from changes of status (record_id, old_status, new_status)."""
+    return changes.select(
         F.lit("purchase_orders").alias("table_name"),
         F.lit("UPDATE").alias("action_type"),
         "record_id", "old_status", "new_status",

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import normalize_sku
 from larder.operators.audit import product_audit_rows
 from larder.sources.requests import REQUEST_SCHEMAS
-from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, MANUAL_REFERENCE, PRODUCT_STATUSES, TABLES
+from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, MANUAL_REFERENCE, PRODUCT_STATUSES, TABLES, TRANSACTION_TYPES
 
 
 def _ts(as_of):
@@ -84,6 +84,7 @@ def ingest(bodies: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
         .when(_blank("_pid_text") | _blank("transaction_type") | _blank("_qty_text"), "missing_field")
         .when(F.col("product_id").isNull() | F.col("quantity").isNull(), "bad_number")
         .when((F.col("product_id") == 0) | (F.col("quantity") == 0), "missing_field")
+        .when((F.col("quantity") < 0) | ~F.col("transaction_type").isin(*TRANSACTION_TYPES), "check")
     )
     r = r.withColumn("reason", reason)
     accepted = r.filter(F.col("reason").isNull()).select(
@@ -148,16 +149,21 @@ PATCH_FIELDS = ("name", "description", "category", "price", "reorder_level", "su
 
 def patch_products(products: DataFrame, patches: DataFrame, suppliers: DataFrame,
                    changed_at=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply patches (id + nullable fields; a null keeps the old value).
-
-    Returns (outcome, new products, audit).  outcome has the resulting field
-    values per patch, ``refused`` and ``reason``: check (CHECK rules),
-    no_supplier (foreign key), negative_stock (the stock guard fires on any
-    update of a product whose stock is below zero).  A refused patch leaves
-    the product unchanged.  Patches for unknown ids change nothing and are
-    not reported (an UPDATE that matches no row).
+    """Apply patches (id, optional ``seq``, nullable fields; a null keeps the value).
+
+    Several patches of one product apply in ``seq`` order (integral, unique per
+    product; one patch per product needs none): each is judged by its own
+    values over the stored ones, a refused patch changes nothing, and of the
+    others the last value of each field stays.
+
+    Returns (outcome, new products, audit).  outcome has one row per patch with
+    the product's values after it, ``refused`` and ``reason``: check (CHECK
+    rules), no_supplier (foreign key), negative_stock (the stock guard fires on
+    any update of a product whose stock is below zero).  Patches for unknown
+    ids change nothing and are not reported (an UPDATE that matches no row).
     """
-    pt = patches.select(F.col("id").alias("_pid"), *[F.col(c).alias(f"_n_{c}") for c in PATCH_FIELDS])
+    seq = F.col("seq").cast("bigint") if "seq" in patches.columns else F.lit(0).cast("bigint")
+    pt = patches.select(F.col("id").alias("_pid"), seq.alias("_seq"), *[F.col(c).alias(f"_n_{c}") for c in PATCH_FIELDS])
     j = products.join(pt, products.id == pt._pid, "inner")
     s = suppliers.select(F.col("id").alias("_sid"))
     j = j.join(s, F.col("_n_supplier_id") == s._sid, "left")
@@ -174,27 +180,33 @@ def patch_products(products: DataFrame, patches: DataFrame, suppliers: DataFrame
     )
     j = j.withColumn("_reason", reason)
     refused = F.col("_reason").isNotNull()
-    values = {c: F.when(refused, F.col(c)).otherwise(new[c]) for c in PATCH_FIELDS}
+    # the value of a field after a patch: the last one set by an accepted patch so far
+    upto = Window.partitionBy("_pid").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_pid").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    given = {c: F.when(~refused, F.col(f"_n_{c}")) for c in PATCH_FIELDS}
+    j = j.withColumns({**{f"_v_{c}": F.coalesce(F.last(given[c], True).over(upto), F.col(c)) for c in PATCH_FIELDS},
+                       "_old_price": F.coalesce(F.last(given["price"], True).over(before), F.col("price"))})
     outcome = j.select(
         F.col("id").alias("product_id"),
-        *[values[c].alias(c) for c in ("name", "category", "price", "reorder_level", "supplier_id", "status")],
+        *([F.col("_seq").alias("seq")] if "seq" in patches.columns else []),
+        *[F.col(f"_v_{c}").alias(c) for c in ("name", "category", "price", "reorder_level", "supplier_id", "status")],
         refused.alias("refused"),
         F.col("_reason").alias("reason"),
     )
-    changed = j.filter(~refused).select(
-        F.col("id").alias("_cid"), *[values[c].alias(f"_v_{c}") for c in PATCH_FIELDS])
+    # one row per patched product: of each field the value of the last accepted patch that sets it
+    changed = j.filter(~refused).groupBy(F.col("_pid").alias("_cid")).agg(
+        *[F.max_by(F.col(f"_n_{c}"), F.when(F.col(f"_n_{c}").isNotNull(), F.col("_seq"))).alias(f"_c_{c}") for c in PATCH_FIELDS])
     pj = products.join(changed, products.id == changed._cid, "left")
     new_products = pj.select(*[
-        F.when(F.col("_cid").isNotNull(), F.col(f"_v_{c}")).otherwise(F.col(c)).alias(c) if c in PATCH_FIELDS
-        else F.col(c)
+        F.coalesce(F.col(f"_c_{c}"), F.col(c)).alias(c) if c in PATCH_FIELDS else F.col(c)
         for c in products.columns
     ])
     # audit rows straight from the patched rows (old and new side by side);
     # a patch never changes the stock, so only a price change is audited
-    changed_price = j.filter(~refused & (new["price"] != F.col("price"))).select(
+    changed_price = j.filter(~refused & (F.col("_v_price") != F.col("_old_price"))).select(
         F.col("id").alias("record_id"), F.col("quantity_in_stock").alias("old_quantity"),
-        F.col("quantity_in_stock").alias("new_quantity"), F.col("price").alias("old_price"),
-        new["price"].alias("new_price"))
+        F.col("quantity_in_stock").alias("new_quantity"), F.col("_old_price").alias("old_price"),
+        F.col("_v_price").alias("new_price"))
     audit = product_audit_rows(changed_price, changed_at)
     return outcome, new_products, audit
 

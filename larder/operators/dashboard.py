@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint, as_double
-from larder.operators.views import low_stock_alerts, valuation_exact
+from larder.operators.views import low_stock_count, valuation_exact
 
 
 def dashboard_kpis(products: DataFrame, suppliers: DataFrame, orders: DataFrame) -> DataFrame:
@@ -14,7 +14,7 @@ def dashboard_kpis(products: DataFrame, suppliers: DataFrame, orders: DataFrame)
     three filtered counts.  The counts are scalar subqueries: each is a
     partial+final aggregate that returns one value, joined to nothing."""
     valuation = valuation_exact(products)
-    alerts = low_stock_alerts(products, suppliers).select(F.count(F.lit(1))).scalar()
+    alerts = low_stock_count(products)
     open_orders = orders.filter(F.col("status").isin("PENDING", "SHIPPED")).select(F.count(F.lit(1))).scalar()
     active_suppliers = suppliers.filter(F.col("status") == "Active").select(F.count(F.lit(1))).scalar()
     return valuation.agg(

@@ -46,9 +46,11 @@ from larder.functions.columns import signed_quantity
 from larder.operators.ledger import CHUNK_IDS, with_product_stats
 from larder.operators.prefix import chunk_column
 from larder.session import checkpoint_dir
+from larder.sources.schemas import TRANSACTION_TYPES
 
 REFUSED = "negative_stock"
 NO_PRODUCT = "no_product"
+CHECK = "check"
 
 _DATA, _MARK, _CLEAN = 0, 1, 2
 
@@ -285,21 +287,30 @@ def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_I
                  materialize: bool = True, q_max: int = Q_MAX, compose_group: int = 1024) -> DataFrame:
     """Judge every ledger row against the running stock.
 
-    ``opening``: (product_id, opening_stock); missing products start at 0.
-    Returns the ledger's columns plus accepted, stock_before, stock_after
-    (bigint) and reason (null, 'negative_stock', or 'no_product' for a row
-    without a product).  ``q_max`` bounds the OUT quantities for which a hot
+    ``opening``: (product_id, opening_stock) of all products.  Returns the
+    ledger's columns plus accepted, stock_before, stock_after (bigint) and
+    reason: null, 'negative_stock', or before any judgement 'check' (quantity
+    missing or not above 0, unknown type) and 'no_product' (no such product);
+    these have no stock.  ``q_max`` bounds the OUT quantities for which a hot
     product's chunks are judged in parallel (each dirty chunk is folded once
     per possible start offset, so the cost per chunk grows with it);
     ``compose_group`` chunks are composed per task in the first level.  With ``materialize``
     (the default) the prefix sums are checkpointed once (an eager job).
     """
     cols = ledger.columns
-    # a row without a product cannot be judged: refused, as NOT NULL would
-    orphans = ledger.filter(F.col("product_id").isNull()).select(
-        *cols, F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("stock_before"),
-        F.lit(None).cast("bigint").alias("stock_after"), F.lit(NO_PRODUCT).alias("reason"))
-    t0 = ledger.filter(F.col("product_id").isNotNull()).withColumn("_s", signed_quantity().cast("bigint"))
+    # rows that a CHECK, NOT NULL or the foreign key refuses are not judged
+    valid = F.coalesce((F.col("quantity") > 0) & F.col("transaction_type").isin(*TRANSACTION_TYPES), F.lit(False))
+    known = opening.select("product_id").filter("product_id IS NOT NULL").distinct()
+    sound = ledger.filter(valid)
+
+    def unjudged(rows, reason):
+        return rows.select(
+            *cols, F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("stock_before"),
+            F.lit(None).cast("bigint").alias("stock_after"), F.lit(reason).alias("reason"))
+
+    orphans = unjudged(ledger.filter(~valid), CHECK).unionByName(
+        unjudged(sound.join(known, "product_id", "left_anti").select(*cols), NO_PRODUCT))
+    t0 = sound.join(known, "product_id", "left_semi").select(*cols).withColumn("_s", signed_quantity().cast("bigint"))
 
     # 1. first accepted row of products that open below zero: a grouped min
     #    over the rows already joined to their opening stock (one row per

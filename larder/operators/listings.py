@@ -8,12 +8,13 @@ sort-merge joins when they are not, so no side is broadcast unchecked.
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint
 from larder.operators.prefix import key_counts
-from larder.operators.views import is_low_stock, low_stock_alerts
+from larder.operators.views import is_low_stock, low_stock_alerts, low_stock_count
 
 
 def _by_id_desc(df: DataFrame, ordered: bool) -> DataFrame:
@@ -56,15 +57,27 @@ def order_items_enriched(items: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def orders_nested(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame,
-                  page_size: int = 10_000) -> DataFrame:
-    """Orders with their items as arrays of structs (one join and one grouping
-    instead of one query per order).  An order without items gets one row
-    with an empty array.
+def orders_nested(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
+    """One row per order with its items as an array of structs in item order (one
+    join and one grouping instead of one query per order).  An order without
+    items has an empty array.  For orders too large for a row there is
+    ``orders_nested_pages``."""
+    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
+                        F.col("sku").alias("product_sku"))
+    it = items.join(p, items.product_id == p._pid, "inner").drop("_pid")
+    item_struct = F.struct(*[F.col(c) for c in it.columns if c != "order_id"])
+    grouped = it.groupBy(F.col("order_id").alias("_oid")).agg(F.array_sort(F.collect_list(item_struct)).alias("items"))
+    base = order_listing(orders, suppliers, ordered=False)
+    j = base.join(grouped, base.id == grouped._oid, "left").drop("_oid")
+    empty = F.array().cast(grouped.schema["items"].dataType)
+    return j.withColumn("items", F.coalesce(F.col("items"), empty))
 
-    Arrays are bounded: an order with more than ``page_size`` items is split
-    into pages by item id range (at most ``page_size`` ids each), so no order
-    is ever gathered into a single row or task.  Output: the order columns,
+
+def orders_nested_pages(orders: DataFrame, suppliers: DataFrame, items: DataFrame, products: DataFrame,
+                        page_size: int = 10_000) -> DataFrame:
+    """``orders_nested`` in pages: an order with more than ``page_size`` items is
+    split by item id range (at most ``page_size`` ids each), so no order is
+    gathered into a single row or task.  Output: the order columns,
     supplier_name, ``page`` (0 for orders that fit in one) and ``items``."""
     p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
                         F.col("sku").alias("product_sku"))
@@ -106,7 +119,7 @@ def orders_digest(orders: DataFrame, suppliers: DataFrame, items: DataFrame, pro
 
 
 def nested_digest(nested: DataFrame) -> DataFrame:
-    """The same digest read back from the nested form, summed over pages (used by tests)."""
+    """The same digest read back from the nested form, summed over pages if it has any."""
     per_page = nested.select(
         "id",
         F.size("items").alias("_n"),
@@ -128,17 +141,15 @@ def ledger_listing(ledger: DataFrame, products: DataFrame, ordered: bool = True)
 
 
 def recent_movements(ledger: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
-    """Newest n ledger rows with product.  The limit is taken before the join
-    (each task keeps its own top n, then one merge of n x tasks rows); this is
-    exact because every ledger row has a product (foreign key)."""
-    top = ledger.orderBy(F.col("id").desc()).limit(n)
-    return ledger_listing(top, products, ordered=False)
+    """Newest n ledger rows that have a product (each task keeps its own top n,
+    then one merge of n x tasks rows)."""
+    return ledger_listing(ledger, products, ordered=False).orderBy(F.col("id").desc()).limit(n)
 
 
 def low_stock_top(products: DataFrame, suppliers: DataFrame, n: int = 4) -> DataFrame:
     """First n alerts by product id, with the alert total and how many are not shown."""
     alerts = low_stock_alerts(products, suppliers)
-    total = alerts.select(F.count(F.lit(1))).scalar()
+    total = low_stock_count(products)
     top = alerts.orderBy("product_id").limit(n)
     return top.select(
         "product_id", "product_name", "sku", "supplier_name", "quantity_in_stock", "recommended_order_qty",
@@ -172,15 +183,22 @@ def register_views(spark, tables: dict[str, DataFrame]) -> None:
             "v_supplier_performance")
 
 
-def adhoc_query(spark, text: str, args: dict | None = None) -> DataFrame:
-    """Run a read-only statement (SELECT, or WITH ... SELECT) over registered views."""
-    head = text.lstrip().split(None, 1)[0].lower() if text.strip() else ""
-    if head not in ("select", "with"):
+def adhoc_query(spark, text: str, args: dict | None = None, **tables: DataFrame) -> DataFrame:
+    """Run a read-only statement over registered views, or over ``tables`` named
+    as ``{name}`` in the text.
+
+    The statement is parsed as a subquery, where the grammar admits queries
+    only: a command (INSERT, DROP, also behind WITH or a comment) is refused
+    before anything runs."""
+    body = text.strip().rstrip(";")
+    if not body:
         raise ValueError("only SELECT statements are accepted")
-    return spark.sql(text, args=args or {})
+    try:
+        return spark.sql(f"SELECT * FROM (\n{body}\n)", args=args or {}, **tables)
+    except ParseException as e:
+        raise ValueError("only SELECT statements are accepted") from e
 
 
 def adhoc_category_filter(spark, products: DataFrame, category: str) -> DataFrame:
     """The shipped console example: products of one category, through SQL."""
-    register_views(spark, {"products": products})
-    return adhoc_query(spark, "SELECT * FROM products WHERE category = :category", {"category": category})
+    return adhoc_query(spark, "SELECT * FROM {products} WHERE category = :category", {"category": category}, products=products)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import order_reference
-from larder.operators.audit import order_audit
 from larder.operators.prefix import DEFAULT_WIDTH, Scan, key_counts, prefix_scan
 from larder.sources.schemas import (
     MSG_INVALID_STATUS,
@@ -116,7 +115,7 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
     reason = (
         F.when(_falsy_num("supplier_id") | (F.coalesce(F.col("_n"), F.lit(0)) == 0), "missing_field")
         .when(F.col("_missing") == 1, "missing_field")
-        .when(F.col("_total") < 0, "check")
+        .when((F.col("_total") < 0) | (F.col("_total").isNotNull() & F.col("_total").try_cast("decimal(12,2)").isNull()), "check")
         .when(F.col("_sid").isNull(), "no_supplier")
         .when(F.col("_first_bad").isNotNull(),
               F.when(F.col("_first_bad") % 2 == 0, "check").otherwise("no_product"))
@@ -128,7 +127,7 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
     new_orders = ok.select(
         F.col("request_id").alias("id"), "supplier_id", ts.alias("order_date"), "expected_date",
         F.lit(None).cast("timestamp").alias("delivery_date"),
-        F.col("_total").cast("decimal(12,2)").alias("total_amount"), F.lit("PENDING").alias("status"),
+        F.col("_total").try_cast("decimal(12,2)").alias("total_amount"), F.lit("PENDING").alias("status"),
         ts.alias("created_at"), ts.alias("updated_at"),
     )
     ok_ids = ok.select(F.col("request_id").alias("_okid"))
@@ -232,11 +231,6 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
             "status_changes": status_changes}
 
 
-def order_status_audit(old: DataFrame, new: DataFrame, changed_at=None) -> DataFrame:
-    """R4 between two snapshots of the orders."""
-    return order_audit(old, new, changed_at)
-
-
 def process_status_batch(requests: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame,
                          ledger_id_base: int, as_of) -> dict:
     """The write path of a batch of status requests (R7 -> R2 -> R1, R3, R4).
@@ -248,7 +242,7 @@ def process_status_batch(requests: DataFrame, orders: DataFrame, items: DataFram
     refused, with their order), ``products`` (new stock) and ``audit`` (the
     audit-log rows for products and orders).
     """
-    from larder.operators.audit import audit_log, product_audit_from_guard
+    from larder.operators.audit import audit_log, order_audit_rows, product_audit_from_guard
     from larder.operators.guard import guard_ledger
     from larder.operators.ledger import apply_ledger_products
 
@@ -258,8 +252,7 @@ def process_status_batch(requests: DataFrame, orders: DataFrame, items: DataFram
     guarded = guard_ledger(opening, receipts)
     accepted = guarded.filter(F.col("accepted"))
     new_products = apply_ledger_products(products, accepted)
-    audit = audit_log(product_audit_from_guard(guarded, products, as_of),
-                      order_audit(orders, out["orders"], as_of))
+    audit = audit_log(product_audit_from_guard(guarded, products, as_of), order_audit_rows(out["audit"], as_of))
     return {
         **out,
         "ledger": accepted.drop("accepted", "reason"),

@@ -35,6 +35,11 @@ def stock_valuation(products: DataFrame) -> DataFrame:
     return v.withColumn("total_valuation", as_double("total_valuation"))
 
 
+def low_stock_count(products: DataFrame):
+    """Number of alerts, from the products alone (the supplier join adds no rows: its key is unique)."""
+    return products.filter(is_low_stock() & (F.col("status") == "Active")).select(F.count(F.lit(1))).scalar()
+
+
 def low_stock_alerts(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Active products at or below their reorder level, with supplier contact.
 

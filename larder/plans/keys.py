@@ -109,8 +109,9 @@ def _order_items_enriched(m: Model) -> DataFrame:
 
 @key("orders_nested")
 def _orders_nested(m: Model) -> DataFrame:
-    """Digest of the nested order listing (order id, item count, quantity, sku range)."""
-    return listings.orders_digest(m.purchase_orders, m.suppliers, m.items, m.products)
+    """The nested order listing, one row per order, read back as a digest of its
+    items (count, quantity, sku range)."""
+    return listings.nested_digest(listings.orders_nested(m.purchase_orders, m.suppliers, m.items, m.products))
 
 
 @key("ledger_listing")
@@ -202,6 +203,21 @@ def _order_create(m: Model) -> DataFrame:
     return new_orders.select("id", "supplier_id", "order_date", "expected_date", "total_amount", "status")
 
 
+def _create(m: Model):
+    headers, items = R.order_requests(m.raw("orders"), m.raw("lineitem"), m.raw("supplier"))
+    return orders.create_orders(headers, items, m.products, m.suppliers, R.AS_OF)
+
+
+@key("order_create_items")
+def _order_create_items(m: Model) -> DataFrame:
+    return _create(m)[1]
+
+
+@key("order_create_rejects")
+def _order_create_rejects(m: Model) -> DataFrame:
+    return _create(m)[2]
+
+
 def _transition(m: Model) -> dict:
     return orders.transition_orders(R.status_requests(m.raw("orders")), m.purchase_orders, m.items, R.AS_OF)
 
@@ -218,8 +234,19 @@ def _order_receipt_ledger(m: Model) -> DataFrame:
 
 @key("order_audit")
 def _order_audit(m: Model) -> DataFrame:
-    changes = _transition(m)["status_changes"]
-    return changes.withColumn("changed_by", F.lit(ORDER_AUDIT_ACTOR))
+    """One row per applied change of status."""
+    return _transition(m)["audit"].withColumn("changed_by", F.lit(ORDER_AUDIT_ACTOR))
+
+
+@key("order_transition_orders")
+def _order_transition_orders(m: Model) -> DataFrame:
+    return _transition(m)["orders"].select(
+        "id", "supplier_id", "order_date", "expected_date", "delivery_date", "total_amount", "status")
+
+
+@key("order_transition_items")
+def _order_transition_items(m: Model) -> DataFrame:
+    return _transition(m)["items"].select("order_id", "product_id", "quantity", "received_quantity")
 
 
 # -- catalogue ----------------------------------------------------------------
@@ -230,6 +257,13 @@ def _product_patch(m: Model) -> DataFrame:
     return outcome
 
 
+@key("product_patch_products")
+def _product_patch_products(m: Model) -> DataFrame:
+    """The product table after the patches."""
+    _outcome, new, _audit = catalog.patch_products(m.products, R.product_patches(m.raw("part")), m.suppliers)
+    return new.select("id", "sku", "price", "reorder_level", "status")
+
+
 @key("product_audit")
 def _product_audit(m: Model) -> DataFrame:
     return catalog.patch_audit(m.products, R.product_patches(m.raw("part")), m.suppliers)
@@ -253,6 +287,22 @@ def _supplier_create(m: Model) -> DataFrame:
     return new
 
 
+@key("product_create_rejects")
+def _product_create_rejects(m: Model) -> DataFrame:
+    return catalog.create_products(R.product_requests(m.raw("part")), m.products, m.suppliers, R.AS_OF)[1]
+
+
+@key("supplier_create_rejects")
+def _supplier_create_rejects(m: Model) -> DataFrame:
+    return catalog.create_suppliers(R.supplier_requests(m.raw("customer")), m.suppliers, R.AS_OF)[1]
+
+
+@key("reconcile_fix_products")
+def _reconcile_fix_products(m: Model) -> DataFrame:
+    _report, products, _audit = ledger.reconcile_fix(m.products_synced, m.ledger_bulk)
+    return products.select("id", "sku", "quantity_in_stock", "price")
+
+
 # -- integrity ----------------------------------------------------------------
 
 def _tables(m: Model, products=None, ledger_df=None) -> dict[str, DataFrame]:
@@ -310,7 +360,7 @@ def _stream_stock(m: Model) -> DataFrame:
     """ST1: live stock per product from the events ledger read as a stream."""
     from larder.streaming import ledger_stream as S
 
-    out = S.run_live_stock(m.spark, S.ledger_stream(m.spark, m.sf_dir))
+    out = S.run_live_stock(m.spark, S.ledger_stream(m.spark, S.events_path(m.sf_dir)))
     return S.latest_stock(m.spark, out)
 
 
@@ -319,8 +369,8 @@ def _stream_guard(m: Model) -> DataFrame:
     """ST2: the guard with per-product balance state, over the events stream."""
     from larder.streaming import ledger_stream as S
 
-    g = S.live_guard(S.ledger_stream(m.spark, m.sf_dir), m.opening_zero())
-    return m.spark.read.parquet(S.run_to_parquet(m.spark, g, "stream-guard"))
+    g = S.live_guard(S.ledger_stream(m.spark, S.events_path(m.sf_dir)), m.opening_zero())
+    return m.spark.read.parquet(S.run_to_parquet(m.spark, g.drop("reason"), "stream-guard"))
 
 
 @key("stream_low_stock")
@@ -328,7 +378,7 @@ def _stream_low_stock(m: Model) -> DataFrame:
     """ST3: alerts from the live stock stream joined to the products per micro-batch."""
     from larder.streaming import ledger_stream as S
 
-    out = S.run_low_stock_alerts(m.spark, S.ledger_stream(m.spark, m.sf_dir), m.products)
+    out = S.run_low_stock_alerts(m.spark, S.ledger_stream(m.spark, S.events_path(m.sf_dir)), m.products)
     return m.spark.read.parquet(out).select("product_id", "sku", "product_name", "balance", "reorder_level",
                                             "recommended_order_qty")
 
@@ -338,7 +388,7 @@ def _stream_audit(m: Model) -> DataFrame:
     """ST4: product audit rows from the accepted rows of the streaming guard."""
     from larder.streaming import ledger_stream as S
 
-    g = S.live_guard(S.ledger_stream(m.spark, m.sf_dir), m.opening_zero())
+    g = S.live_guard(S.ledger_stream(m.spark, S.events_path(m.sf_dir)), m.opening_zero())
     audit = S.audit_rows(g, m.products)              # stream-static join, still one streaming query
     out = S.run_to_parquet(m.spark, audit, "stream-audit")
     return m.spark.read.parquet(out).select("record_id", "old_quantity", "new_quantity", "old_price",

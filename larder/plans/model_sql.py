@@ -92,7 +92,7 @@ products_faulty AS (
   FROM products p LEFT JOIN products q ON p.id = q.id + 1 AND p.id % 101 = 0
 ),
 ledger_faulty AS (
-  SELECT id, CASE WHEN id % 103 = 0 THEN product_id + 10000000 ELSE product_id END AS product_id,
+  SELECT id, CASE WHEN id % 103 = 0 THEN -product_id - 1 ELSE product_id END AS product_id,
          transaction_type, quantity, reference_id, notes, transaction_date
   FROM stock_transactions
 )

@@ -203,6 +203,13 @@ SELECT product_id, sku, name,
 FROM recon""", RECON)
 
 
+sql("reconcile_fix_products", """
+SELECT p.id, p.sku, CAST(CASE WHEN r.discrepancy <> 0 AND r.computed_stock >= 0 THEN r.computed_stock
+                              ELSE p.quantity_in_stock END AS INTEGER) AS quantity_in_stock,
+       CAST(p.price AS DOUBLE) AS price
+FROM products_synced p JOIN recon r ON p.id = r.product_id""", RECON)
+
+
 # -- orders -------------------------------------------------------------------
 
 UNIT_PRICE = ("CAST(((2 * CAST(round(l_extendedprice * 100) AS BIGINT) + CAST(l_quantity AS BIGINT))"
@@ -219,7 +226,7 @@ SELECT order_id, product_id, reason IS NULL AS accepted, reason FROM (
   FROM cand c LEFT JOIN purchase_orders o ON c.order_id = o.id LEFT JOIN products p ON c.product_id = p.id)""",
     f"""
 cand AS (
-  SELECT CAST(l_orderkey + CASE WHEN l_partkey % 211 = 0 THEN 10000000 ELSE 0 END AS BIGINT) AS order_id,
+  SELECT CAST(CASE WHEN l_partkey % 211 = 0 THEN -l_orderkey - 1 ELSE l_orderkey END AS BIGINT) AS order_id,
          CAST(l_partkey AS BIGINT) AS product_id,
          CASE WHEN l_suppkey % 13 = 0 AND l_linenumber = 1 THEN -CAST(l_quantity AS INTEGER)
               ELSE CAST(l_quantity AS INTEGER) END AS quantity,
@@ -235,20 +242,7 @@ FROM purchase_orders o
 LEFT JOIN (SELECT order_id, sum(quantity * unit_price) AS t FROM purchase_order_items GROUP BY order_id) i
   ON o.id = i.order_id""")
 
-sql("order_create", """
-SELECT request_id AS id, supplier_id, TIMESTAMP '2002-01-01 00:00:00' AS order_date, expected_date,
-       CAST(CAST(total AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, 'PENDING' AS status
-FROM (
-  SELECT h.*, CASE WHEN h.supplier_id IS NULL OR h.supplier_id = 0 OR coalesce(h.n, 0) = 0 THEN 'missing_field'
-                   WHEN h.anymiss = 1 THEN 'missing_field'
-                   WHEN h.total < 0 THEN 'check'
-                   WHEN h.sid IS NULL THEN 'no_supplier'
-                   ELSE h.first_bad.r END AS reason
-  FROM (SELECT o.id AS request_id, o.supplier_id, o.expected_date, a.n, a.anymiss, a.first_bad, a.total,
-               s.id AS sid
-        FROM purchase_orders o LEFT JOIN oagg a ON o.id = a.request_id
-        LEFT JOIN suppliers s ON o.supplier_id = s.id) h)
-WHERE reason IS NULL""", f"""
+ORDER_REQUESTS = f"""
 oreq AS (
   SELECT CAST(l_orderkey AS BIGINT) AS request_id, CAST(l_linenumber AS INTEGER) AS line,
          CAST(l_partkey AS BIGINT) AS product_id,
@@ -273,7 +267,35 @@ oagg AS (
          min(CASE WHEN NOT missing AND bad IS NOT NULL THEN struct_pack(line := line, r := bad) END) AS first_bad,
          sum(quantity * unit) AS total
   FROM oi2 GROUP BY request_id
-)""")
+)"""
+
+ORDER_VERDICTS = """FROM (
+  SELECT h.*, CASE WHEN h.supplier_id IS NULL OR h.supplier_id = 0 OR coalesce(h.n, 0) = 0 THEN 'missing_field'
+                   WHEN h.anymiss = 1 THEN 'missing_field'
+                   WHEN h.total < 0 OR (h.total IS NOT NULL AND TRY_CAST(h.total AS DECIMAL(12,2)) IS NULL) THEN 'check'
+                   WHEN h.sid IS NULL THEN 'no_supplier'
+                   ELSE h.first_bad.r END AS reason
+  FROM (SELECT o.id AS request_id, o.supplier_id, o.expected_date, a.n, a.anymiss, a.first_bad, a.total,
+               s.id AS sid
+        FROM purchase_orders o LEFT JOIN oagg a ON o.id = a.request_id
+        LEFT JOIN suppliers s ON o.supplier_id = s.id) h)"""
+
+sql("order_create", f"""
+SELECT request_id AS id, supplier_id, TIMESTAMP '2002-01-01 00:00:00' AS order_date, expected_date,
+       CAST(TRY_CAST(total AS DECIMAL(12,2)) AS DOUBLE) AS total_amount, 'PENDING' AS status
+{ORDER_VERDICTS}
+WHERE reason IS NULL""", ORDER_REQUESTS)
+
+sql("order_create_rejects", f"""
+SELECT request_id, reason
+{ORDER_VERDICTS}
+WHERE reason IS NOT NULL""", ORDER_REQUESTS)
+
+sql("order_create_items", f"""
+SELECT request_id AS order_id, line, product_id, quantity, CAST(unit AS DOUBLE) AS unit_price, 0 AS received_quantity
+FROM oi2 WHERE request_id IN (SELECT request_id
+{ORDER_VERDICTS}
+WHERE reason IS NULL)""", ORDER_REQUESTS)
 
 TRANSITION = """
 status_req AS (
@@ -283,7 +305,7 @@ status_req AS (
   FROM orders
   UNION ALL SELECT CAST(o_orderkey AS BIGINT), 2, 'DELIVERED' FROM orders
             WHERE o_orderpriority IN ('2-HIGH', '5-LOW')
-  UNION ALL SELECT CAST(o_orderkey + 10000000 AS BIGINT), 1, 'SHIPPED' FROM orders
+  UNION ALL SELECT CAST(-o_orderkey - 1 AS BIGINT), 1, 'SHIPPED' FROM orders
             WHERE o_orderpriority = '4-NOT SPECIFIED' AND o_orderstatus = 'P'
 ),
 tr0 AS (
@@ -324,45 +346,73 @@ JOIN (SELECT DISTINCT order_id FROM tr3 WHERE applied AND requested = 'DELIVERED
     TRANSITION)
 
 sql("order_audit", """
-SELECT o.id AS record_id, o.status AS old_status, f.final AS new_status, 'DB_TRIGGER_ORDERS' AS changed_by
+SELECT order_id AS record_id, seq, old_status, requested AS new_status, 'DB_TRIGGER_ORDERS' AS changed_by
+FROM tr3 WHERE applied AND old_status <> requested""", TRANSITION)
+
+sql("order_transition_orders", """
+SELECT o.id, o.supplier_id, o.order_date, o.expected_date,
+       CASE WHEN f.final IS NULL THEN o.delivery_date WHEN f.final = 'DELIVERED' THEN TIMESTAMP '2002-01-01 00:00:00' END
+         AS delivery_date,
+       CAST(o.total_amount AS DOUBLE) AS total_amount, coalesce(f.final, o.status) AS status
 FROM purchase_orders o
-JOIN (SELECT order_id, arg_max(requested, seq) AS final FROM tr3 WHERE applied GROUP BY order_id) f
-  ON o.id = f.order_id
-WHERE o.status <> f.final""", TRANSITION)
+LEFT JOIN (SELECT order_id, arg_max(requested, seq) AS final FROM tr3 WHERE applied GROUP BY order_id) f
+  ON o.id = f.order_id""", TRANSITION)
+
+sql("order_transition_items", """
+SELECT i.order_id, i.product_id, i.quantity,
+       CASE WHEN d.order_id IS NOT NULL THEN i.quantity ELSE i.received_quantity END AS received_quantity
+FROM purchase_order_items i
+LEFT JOIN (SELECT DISTINCT order_id FROM tr3 WHERE applied AND requested = 'DELIVERED') d ON i.order_id = d.order_id""",
+    TRANSITION)
 
 
 # -- catalogue ----------------------------------------------------------------
 
 PATCH = """
 patches AS (
-  SELECT CAST(p_partkey AS BIGINT) AS id,
+  SELECT CAST(p_partkey AS BIGINT) AS id, CAST(1 AS BIGINT) AS seq,
          CAST(CASE WHEN p_size = 1 THEN -1.0 WHEN p_size > 30 THEN p_retailprice + 10 END
-              AS DECIMAL(12,2)) AS n_price,
+              AS DECIMAL(12,2)) AS n_price, CAST(NULL AS INTEGER) AS n_reorder,
          CASE WHEN p_type = 'PROMO' THEN 'Inactive' END AS n_status
   FROM part
+  UNION ALL SELECT p_partkey, 2, CAST(p_retailprice + 20 AS DECIMAL(12,2)), 7, NULL FROM part WHERE p_size > 40
+  UNION ALL SELECT p_partkey, 3, 1, NULL, 'Gone' FROM part WHERE p_size > 45
 ),
 pp AS (
-  SELECT p.*, x.n_price, x.n_status,
+  SELECT p.*, x.seq, x.n_price, x.n_reorder, x.n_status,
          CASE WHEN p.quantity_in_stock < 0 THEN 'negative_stock'
               WHEN coalesce(coalesce(x.n_price, p.price) < 0, false)
-                   OR coalesce(p.reorder_level < 0, false)
+                   OR coalesce(coalesce(x.n_reorder, p.reorder_level) < 0, false)
                    OR coalesce(coalesce(x.n_status, p.status) NOT IN ('Active', 'Inactive'), false) THEN 'check'
               END AS reason
   FROM products p JOIN patches x ON p.id = x.id
+),
+ps AS (
+  SELECT a.id, a.seq, a.name, a.category, a.supplier_id, a.sku, a.quantity_in_stock, a.reason,
+         coalesce((SELECT arg_max(b.n_price, b.seq) FROM pp b WHERE b.id = a.id AND b.seq <= a.seq
+                   AND b.reason IS NULL AND b.n_price IS NOT NULL), a.price) AS v_price,
+         coalesce((SELECT arg_max(b.n_price, b.seq) FROM pp b WHERE b.id = a.id AND b.seq < a.seq
+                   AND b.reason IS NULL AND b.n_price IS NOT NULL), a.price) AS o_price,
+         coalesce((SELECT arg_max(b.n_reorder, b.seq) FROM pp b WHERE b.id = a.id AND b.seq <= a.seq
+                   AND b.reason IS NULL AND b.n_reorder IS NOT NULL), a.reorder_level) AS v_reorder,
+         coalesce((SELECT arg_max(b.n_status, b.seq) FROM pp b WHERE b.id = a.id AND b.seq <= a.seq
+                   AND b.reason IS NULL AND b.n_status IS NOT NULL), a.status) AS v_status
+  FROM pp a
 )"""
 
 sql("product_patch", """
-SELECT id AS product_id, name, category,
-       CAST(CASE WHEN reason IS NULL THEN coalesce(n_price, price) ELSE price END AS DOUBLE) AS price,
-       reorder_level, supplier_id,
-       CASE WHEN reason IS NULL THEN coalesce(n_status, status) ELSE status END AS status,
-       reason IS NOT NULL AS refused, reason
-FROM pp""", PATCH)
+SELECT id AS product_id, seq, name, category, CAST(v_price AS DOUBLE) AS price, v_reorder AS reorder_level, supplier_id,
+       v_status AS status, reason IS NOT NULL AS refused, reason
+FROM ps""", PATCH)
+
+sql("product_patch_products", """
+SELECT id, sku, CAST(v_price AS DOUBLE) AS price, v_reorder AS reorder_level, v_status AS status
+FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM ps) WHERE r = 1""", PATCH)
 
 sql("product_audit", """
 SELECT id AS record_id, quantity_in_stock AS old_quantity, quantity_in_stock AS new_quantity,
-       CAST(price AS DOUBLE) AS old_price, CAST(coalesce(n_price, price) AS DOUBLE) AS new_price
-FROM pp WHERE reason IS NULL AND coalesce(n_price, price) <> price""", PATCH)
+       CAST(o_price AS DOUBLE) AS old_price, CAST(v_price AS DOUBLE) AS new_price
+FROM ps WHERE reason IS NULL AND v_price <> o_price""", PATCH)
 
 sql("ingest_requests", """
 SELECT request_id, product_id, transaction_type, quantity, 'MANUAL' AS reference_id,
@@ -378,7 +428,8 @@ FROM (
     FROM bodies))
 WHERE NOT (pid_text IS NULL OR pid_text = '' OR transaction_type IS NULL OR transaction_type = ''
            OR qty_text IS NULL OR qty_text = '')
-  AND product_id IS NOT NULL AND quantity IS NOT NULL AND product_id <> 0 AND quantity <> 0""", """
+  AND product_id IS NOT NULL AND quantity IS NOT NULL AND product_id <> 0 AND quantity > 0
+  AND transaction_type IN ('IN', 'OUT', 'ADJUSTMENT')""", """
 bodies AS (
   SELECT CAST(event_id AS BIGINT) AS request_id,
          json_object('product_id', CAST(user_id AS VARCHAR),
@@ -390,17 +441,9 @@ bodies AS (
   FROM events
 )""")
 
-sql("product_create", """
-SELECT request_id AS id, nsku AS sku, name, description, category, CAST(price AS DOUBLE) AS price,
-       0 AS quantity_in_stock, nreorder AS reorder_level, nsupp AS supplier_id, 'Active' AS status,
-       TIMESTAMP '2002-01-01 00:00:00' AS created_at
-FROM (
-  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
-                   WHEN r.request_id > w.winner THEN 'duplicate_sku' ELSE 'no_supplier' END AS reason
-  FROM pr3 r LEFT JOIN pw w ON r.nsku = w.nsku)
-WHERE reason IS NULL""", """
+PRODUCT_REQUESTS = """
 preq AS (
-  SELECT CAST(p_partkey + 1000000 AS BIGINT) AS request_id,
+  SELECT CAST(-p_partkey - 1 AS BIGINT) AS request_id,
          CASE WHEN p_size = 49 THEN p_type || '-' || CAST(p_partkey AS VARCHAR)
               ELSE '  ' || lower(p_type) || '-n' || CAST(p_partkey // 2 AS VARCHAR) || ' ' END AS sku,
          CASE WHEN p_size < 3 THEN NULL ELSE 'New ' || p_name END AS name,
@@ -431,18 +474,29 @@ pr3 AS (
 pw AS (
   SELECT nsku, min(request_id) AS winner FROM pr3
   WHERE pre IS NULL AND (nsupp IS NULL OR sid IS NOT NULL) GROUP BY nsku
-)""")
+)"""
 
-sql("supplier_create", """
-SELECT request_id AS id, name, contact_name, email, phone, address, 'Active' AS status,
+sql("product_create", """
+SELECT request_id AS id, nsku AS sku, name, description, category, CAST(price AS DOUBLE) AS price,
+       0 AS quantity_in_stock, nreorder AS reorder_level, nsupp AS supplier_id, 'Active' AS status,
        TIMESTAMP '2002-01-01 00:00:00' AS created_at
 FROM (
   SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
-                   ELSE 'duplicate_email' END AS reason
-  FROM sr2 r LEFT JOIN sw w ON r.email = w.email)
-WHERE reason IS NULL""", """
+                   WHEN r.request_id > w.winner THEN 'duplicate_sku' ELSE 'no_supplier' END AS reason
+  FROM pr3 r LEFT JOIN pw w ON r.nsku = w.nsku)
+WHERE reason IS NULL""", PRODUCT_REQUESTS)
+
+sql("product_create_rejects", """
+SELECT request_id, reason
+FROM (
+  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
+                   WHEN r.request_id > w.winner THEN 'duplicate_sku' ELSE 'no_supplier' END AS reason
+  FROM pr3 r LEFT JOIN pw w ON r.nsku = w.nsku)
+WHERE reason IS NOT NULL""", PRODUCT_REQUESTS)
+
+SUPPLIER_REQUESTS = """
 sreq AS (
-  SELECT CAST(c_custkey + 1000000 AS BIGINT) AS request_id, c_name AS name, c_mktsegment AS contact_name,
+  SELECT CAST(-c_custkey - 1 AS BIGINT) AS request_id, c_name AS name, c_mktsegment AS contact_name,
          CASE WHEN c_mktsegment = 'BUILDING'
                 THEN lower(replace(replace(c_name, 'Customer', 'Supplier'), '#', '-')) || '@example.com'
               WHEN c_mktsegment = 'MACHINERY'
@@ -459,27 +513,66 @@ sr2 AS (
                    WHEN e.email IS NOT NULL THEN 'duplicate_email' END AS pre
   FROM sreq r LEFT JOIN (SELECT DISTINCT email FROM suppliers) e ON r.email = e.email
 ),
-sw AS (SELECT email, min(request_id) AS winner FROM sr2 WHERE pre IS NULL GROUP BY email)""")
+sw AS (SELECT email, min(request_id) AS winner FROM sr2 WHERE pre IS NULL GROUP BY email)"""
 
+sql("supplier_create", """
+SELECT request_id AS id, name, contact_name, email, phone, address, 'Active' AS status,
+       TIMESTAMP '2002-01-01 00:00:00' AS created_at
+FROM (
+  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
+                   ELSE 'duplicate_email' END AS reason
+  FROM sr2 r LEFT JOIN sw w ON r.email = w.email)
+WHERE reason IS NULL""", SUPPLIER_REQUESTS)
 
-# -- integrity ----------------------------------------------------------------
 
-def _check_sql() -> str:
-    from larder.sources.schemas import CHECKS, not_null_columns
+sql("supplier_create_rejects", """
+SELECT request_id, reason
+FROM (
+  SELECT r.*, CASE WHEN pre IS NOT NULL THEN pre WHEN r.request_id = w.winner THEN NULL
+                   ELSE 'duplicate_email' END AS reason
+  FROM sr2 r LEFT JOIN sw w ON r.email = w.email)
+WHERE reason IS NOT NULL""", SUPPLIER_REQUESTS)
 
-    sources = {"suppliers": "suppliers", "products": "products_faulty", "purchase_orders": "purchase_orders",
-               "purchase_order_items": "purchase_order_items", "stock_transactions": "stock_transactions"}
-    parts = []
-    for table, src in sources.items():
-        for rule, pred in CHECKS.get(table, []):
-            parts.append(f"SELECT '{table}' AS table_name, '{rule}' AS rule, id AS row_id FROM {src} "
-                         f"WHERE NOT ({pred})")
-        for c in not_null_columns(table):
-            parts.append(f"SELECT '{table}', '{c}_not_null', id FROM {src} WHERE {c} IS NULL")
-    return "\nUNION ALL\n".join(parts)
 
+# -- integrity ----------------------------------------------------------------
 
-sql("check_violations", _check_sql())
+# The rules in full, apart from the list that the operator reads.
+sql("check_violations", """
+SELECT 'suppliers' AS table_name, 'status_enum' AS rule, id AS row_id FROM suppliers WHERE NOT (status IN ('Active', 'Inactive'))
+UNION ALL SELECT 'suppliers', 'id_not_null', id FROM suppliers WHERE id IS NULL
+UNION ALL SELECT 'suppliers', 'name_not_null', id FROM suppliers WHERE name IS NULL
+UNION ALL SELECT 'suppliers', 'contact_name_not_null', id FROM suppliers WHERE contact_name IS NULL
+UNION ALL SELECT 'suppliers', 'email_not_null', id FROM suppliers WHERE email IS NULL
+UNION ALL SELECT 'suppliers', 'phone_not_null', id FROM suppliers WHERE phone IS NULL
+UNION ALL SELECT 'suppliers', 'address_not_null', id FROM suppliers WHERE address IS NULL
+UNION ALL SELECT 'products' AS table_name, 'price_nonnegative' AS rule, id AS row_id FROM products_faulty WHERE NOT (price >= 0)
+UNION ALL SELECT 'products' AS table_name, 'reorder_level_nonnegative' AS rule, id AS row_id FROM products_faulty WHERE NOT (reorder_level >= 0)
+UNION ALL SELECT 'products' AS table_name, 'status_enum' AS rule, id AS row_id FROM products_faulty WHERE NOT (status IN ('Active', 'Inactive'))
+UNION ALL SELECT 'products', 'id_not_null', id FROM products_faulty WHERE id IS NULL
+UNION ALL SELECT 'products', 'sku_not_null', id FROM products_faulty WHERE sku IS NULL
+UNION ALL SELECT 'products', 'name_not_null', id FROM products_faulty WHERE name IS NULL
+UNION ALL SELECT 'products', 'category_not_null', id FROM products_faulty WHERE category IS NULL
+UNION ALL SELECT 'products', 'price_not_null', id FROM products_faulty WHERE price IS NULL
+UNION ALL SELECT 'products', 'quantity_in_stock_not_null', id FROM products_faulty WHERE quantity_in_stock IS NULL
+UNION ALL SELECT 'products', 'reorder_level_not_null', id FROM products_faulty WHERE reorder_level IS NULL
+UNION ALL SELECT 'purchase_orders' AS table_name, 'total_amount_nonnegative' AS rule, id AS row_id FROM purchase_orders WHERE NOT (total_amount >= 0)
+UNION ALL SELECT 'purchase_orders' AS table_name, 'status_enum' AS rule, id AS row_id FROM purchase_orders WHERE NOT (status IN ('PENDING', 'SHIPPED', 'DELIVERED', 'CANCELLED'))
+UNION ALL SELECT 'purchase_orders', 'id_not_null', id FROM purchase_orders WHERE id IS NULL
+UNION ALL SELECT 'purchase_orders', 'supplier_id_not_null', id FROM purchase_orders WHERE supplier_id IS NULL
+UNION ALL SELECT 'purchase_order_items' AS table_name, 'quantity_positive' AS rule, id AS row_id FROM purchase_order_items WHERE NOT (quantity > 0)
+UNION ALL SELECT 'purchase_order_items' AS table_name, 'unit_price_nonnegative' AS rule, id AS row_id FROM purchase_order_items WHERE NOT (unit_price >= 0)
+UNION ALL SELECT 'purchase_order_items' AS table_name, 'received_quantity_nonnegative' AS rule, id AS row_id FROM purchase_order_items WHERE NOT (received_quantity >= 0)
+UNION ALL SELECT 'purchase_order_items', 'id_not_null', id FROM purchase_order_items WHERE id IS NULL
+UNION ALL SELECT 'purchase_order_items', 'order_id_not_null', id FROM purchase_order_items WHERE order_id IS NULL
+UNION ALL SELECT 'purchase_order_items', 'product_id_not_null', id FROM purchase_order_items WHERE product_id IS NULL
+UNION ALL SELECT 'purchase_order_items', 'quantity_not_null', id FROM purchase_order_items WHERE quantity IS NULL
+UNION ALL SELECT 'purchase_order_items', 'unit_price_not_null', id FROM purchase_order_items WHERE unit_price IS NULL
+UNION ALL SELECT 'stock_transactions' AS table_name, 'transaction_type_enum' AS rule, id AS row_id FROM stock_transactions WHERE NOT (transaction_type IN ('IN', 'OUT', 'ADJUSTMENT'))
+UNION ALL SELECT 'stock_transactions' AS table_name, 'quantity_positive' AS rule, id AS row_id FROM stock_transactions WHERE NOT (quantity > 0)
+UNION ALL SELECT 'stock_transactions', 'id_not_null', id FROM stock_transactions WHERE id IS NULL
+UNION ALL SELECT 'stock_transactions', 'product_id_not_null', id FROM stock_transactions WHERE product_id IS NULL
+UNION ALL SELECT 'stock_transactions', 'transaction_type_not_null', id FROM stock_transactions WHERE transaction_type IS NULL
+UNION ALL SELECT 'stock_transactions', 'quantity_not_null', id FROM stock_transactions WHERE quantity IS NULL""")
 
 sql("unique_violations", """
 SELECT 'suppliers' AS table_name, 'email' AS column_name, email AS value, CAST(count(*) AS BIGINT) AS n,

@@ -20,8 +20,11 @@ from larder.sources import model as M
 
 # Fixed time of the request batches (the transition's "now").
 AS_OF = "2002-01-01 00:00:00"
-NOT_FOUND_OFFSET = 10_000_000
-NEW_ID_OFFSET = 1_000_000
+
+
+def unused_id(key):
+    """An id that no table has, whatever its size: a negative one."""
+    return -key.cast("bigint") - 1
 
 
 def as_of():
@@ -45,7 +48,7 @@ def status_requests(orders: DataFrame) -> DataFrame:
     second = orders.filter(pr.isin("2-HIGH", "5-LOW")).select(
         k.alias("order_id"), F.lit(2).alias("seq"), F.lit("DELIVERED").alias("status"))
     missing = orders.filter((pr == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P")).select(
-        (k + NOT_FOUND_OFFSET).alias("order_id"), F.lit(1).alias("seq"), F.lit("SHIPPED").alias("status"))
+        unused_id(k).alias("order_id"), F.lit(1).alias("seq"), F.lit("SHIPPED").alias("status"))
     return first.unionByName(second).unionByName(missing)
 
 
@@ -60,7 +63,7 @@ def item_candidates(lineitem: DataFrame) -> DataFrame:
         "(2 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint))"
         " div (2 * cast(l_quantity as bigint))")
     return lineitem.select(
-        (F.col("l_orderkey") + F.when(F.col("l_partkey") % 211 == 0, NOT_FOUND_OFFSET).otherwise(0))
+        F.when(F.col("l_partkey") % 211 == 0, unused_id(F.col("l_orderkey"))).otherwise(F.col("l_orderkey"))
         .cast("bigint").alias("order_id"),
         F.col("l_partkey").cast("bigint").alias("product_id"),
         F.when((F.col("l_suppkey") % 13 == 0) & (F.col("l_linenumber") == 1), -q).otherwise(q).alias("quantity"),
@@ -95,15 +98,27 @@ def order_requests(orders: DataFrame, lineitem: DataFrame, supplier: DataFrame):
 # -- product patches (R8) -----------------------------------------------------------
 
 def product_patches(part: DataFrame) -> DataFrame:
-    """One patch per part: price + 10 for sizes above 30, price -1 for size 1
-    (refused by CHECK), status Inactive for PROMO parts; other fields null
-    (a patch with every field null changes nothing)."""
+    """One patch per part (seq 1): price + 10 for sizes above 30, price -1 for size
+    1 (refused by CHECK), status Inactive for PROMO parts; other fields null (a
+    patch with every field null changes nothing).  Parts with sizes above 40
+    send a second one (seq 2): price + 20, reorder level 7; those above 45 a
+    third (seq 3) with an unknown status, which is refused."""
     k = F.col("p_partkey")
     size = F.col("p_size")
     price = (F.when(size == 1, F.lit(-1.0))
              .when(size > 30, F.col("p_retailprice") + 10)).cast("decimal(12,2)")
-    return part.select(
+    def patch(rows, seq, price=None, reorder_level=None, status=None):
+        return rows.select(
+            k.cast("bigint").alias("id"), F.lit(seq).alias("seq"),
+            *[F.lit(None).cast("string").alias(c) for c in ("name", "description", "category")],
+            F.lit(price).cast("decimal(12,2)").alias("price"), F.lit(reorder_level).cast("int").alias("reorder_level"),
+            F.lit(None).cast("bigint").alias("supplier_id"), F.lit(status).cast("string").alias("status"))
+
+    later = patch(part.filter(size > 40), 2, price=F.col("p_retailprice") + 20, reorder_level=7).unionByName(
+        patch(part.filter(size > 45), 3, price=F.lit(1), status=F.lit("Gone")))
+    return later.unionByName(part.select(
         k.cast("bigint").alias("id"),
+        F.lit(1).alias("seq"),
         F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("description"),
         F.lit(None).cast("string").alias("category"),
@@ -111,7 +126,7 @@ def product_patches(part: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("reorder_level"),
         F.lit(None).cast("bigint").alias("supplier_id"),
         F.when(F.col("p_type") == "PROMO", "Inactive").cast("string").alias("status"),
-    )
+    ))
 
 
 # -- catalogue creation requests (R9, R10) ----------------------------------------
@@ -126,7 +141,7 @@ def product_requests(part: DataFrame) -> DataFrame:
         F.concat(F.lit("  "), F.lower(F.col("p_type")), F.lit("-n"), F.expr("p_partkey div 2").cast("string"),
                  F.lit(" ")))
     return part.select(
-        (k + NEW_ID_OFFSET).cast("bigint").alias("request_id"),
+        unused_id(k).alias("request_id"),
         sku.alias("sku"),
         F.when(size < 3, F.lit(None)).otherwise(F.concat(F.lit("New "), F.col("p_name"))).alias("name"),
         F.col("p_brand").alias("description"),
@@ -154,7 +169,7 @@ def supplier_requests(customer: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("-"))), F.lit("@example.com")))
     )
     return customer.select(
-        (key + NEW_ID_OFFSET).cast("bigint").alias("request_id"),
+        unused_id(key).alias("request_id"),
         F.col("c_name").alias("name"),
         seg.alias("contact_name"),
         email.alias("email"),

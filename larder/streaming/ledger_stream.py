@@ -15,8 +15,11 @@ stream and the same effects are incremental queries:
   are written as alerts.
 * ST4 ``audit_rows``: audit rows from ST2's accepted rows.
 
-Sinks write under the shared folder named by ``spark.checkpoint.dir`` and
-are idempotent per batch id (a retried batch overwrites its own output).
+Each run takes an output folder and a checkpoint folder; by default the
+checkpoint lies in the output (``_checkpoint``), so a run into the same output
+resumes after the last batch.  Without an output folder a fresh one under
+``spark.checkpoint.dir`` is used.  Sinks are idempotent per batch id (a retried
+batch overwrites its own output).
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from larder.functions.columns import signed_quantity
 from larder.operators.audit import product_audit_from_guard
-from larder.operators.guard import fold_balances
+from larder.operators.guard import CHECK, NO_PRODUCT, REFUSED, fold_balances
 from larder.session import checkpoint_dir
 from larder.sources import model as M
 
@@ -54,14 +57,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def ledger_stream(spark: SparkSession, directory: str, file_glob: str = "events*.parquet",
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Event files arriving in ``directory`` read as a stream and laid out as
-    ledger rows.  ``maxFilesPerTrigger`` bounds the size of a micro-batch."""
-    reader = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", file_glob)
-    if max_files_per_trigger:
+def events_path(sf_dir: str) -> str:
+    """The events table, a folder of part files or one file.  A pattern that matches
+    just this name: the file source takes a plain path for a folder only."""
+    return f"{sf_dir.rstrip('/')}/events.parque[t]"
+
+
+def ledger_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 64,
+                  max_bytes_per_trigger: str | None = None) -> DataFrame:
+    """The files of a table, and those that arrive, read as a stream and laid out
+    as ledger rows.  Every file under ``path`` counts, whatever its name.  The
+    options bound a micro-batch (files, or bytes such as "8g")."""
+    reader = spark.readStream.schema(EVENTS_SCHEMA)
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", max_bytes_per_trigger)
+    else:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return M.ledger_events(reader.parquet(directory))
+    return M.ledger_events(reader.parquet(path))
+
+
+def _folders(spark: SparkSession, name: str, out_path: str | None, checkpoint: str | None) -> tuple[str, str]:
+    out_path = out_path or scratch_path(spark, name)
+    return out_path, checkpoint or f"{out_path.rstrip('/')}/_checkpoint"
 
 
 # -- ST1 -------------------------------------------------------------------------
@@ -78,8 +95,7 @@ def run_live_stock(spark: SparkSession, ledger: DataFrame, out_path: str | None
     ``batch_id=N`` (a retried batch overwrites its own folder).  The output
     is a changelog; ``latest_stock`` reads the current stock from it.  (Complete
     mode would rewrite every product's row in every micro-batch.)"""
-    out_path = out_path or scratch_path(spark, "live-stock")
-    checkpoint = checkpoint or scratch_path(spark, "live-stock-ckpt")
+    out_path, checkpoint = _folders(spark, "live-stock", out_path, checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the folder name carries batch_id as a partition column
@@ -108,6 +124,7 @@ GUARD_OUT = T.StructType([
     T.StructField("accepted", T.BooleanType()),
     T.StructField("stock_before", T.LongType()),
     T.StructField("stock_after", T.LongType()),
+    T.StructField("reason", T.StringType()),
 ])
 GUARD_STATE = T.StructType([T.StructField("balance", T.LongType())])
 _SIGN = {"IN": 1, "OUT": -1, "ADJUSTMENT": 1}
@@ -120,12 +137,22 @@ def _judge(pdf: pd.DataFrame, balance: int | None):
     if balance is None:
         first = pdf["opening_stock"].iloc[0]
         balance = int(first) if pd.notna(first) else 0
-    s = (pdf["transaction_type"].map(_SIGN).fillna(0).astype(np.int64) * pdf["quantity"].astype(np.int64)).to_numpy()
+    # rows that break a CHECK, or name no product, are refused and leave the balance as it is
+    sign, known = pdf["transaction_type"].map(_SIGN), pdf["_known"].fillna(False).astype(bool)
+    valid = (sign.notna() & (pdf["quantity"].fillna(0) > 0)).to_numpy()
+    right = valid & known.to_numpy()
+    s = np.where(right, sign.fillna(0) * pdf["quantity"].fillna(0), 0).astype(np.int64)
     acc, before, after, balance = fold_balances(balance, s)
+    reason = np.where(~valid, CHECK, np.where(~right, NO_PRODUCT, np.where(~acc, REFUSED, None)))
+    acc = acc & right
+    judged = pd.array(before, dtype="Int64"), pd.array(after, dtype="Int64")
+    for x in judged:
+        x[~right] = pd.NA
+    before, after = judged
     out = pd.DataFrame({
         "id": pdf["id"].to_numpy(), "product_id": pdf["product_id"].to_numpy(),
         "transaction_type": pdf["transaction_type"].to_numpy(), "quantity": pdf["quantity"].to_numpy(),
-        "accepted": acc, "stock_before": before, "stock_after": after,
+        "accepted": acc, "stock_before": before, "stock_after": after, "reason": reason,
     })
     return out, balance
 
@@ -164,7 +191,7 @@ def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasW
     state store, the session default here)."""
     op = opening.select(F.col("product_id").alias("_opid"), F.col("opening_stock").cast("bigint"))
     rows = ledger.select("id", "product_id", "transaction_type", "quantity")
-    j = rows.join(op, rows.product_id == op._opid, "left").drop("_opid")
+    j = rows.join(op, rows.product_id == op._opid, "left").withColumn("_known", F.col("_opid").isNotNull()).drop("_opid")
     if api == "transformWithState":
         return j.groupBy("product_id").transformWithStateInPandas(
             statefulProcessor=GuardProcessor(), outputStructType=GUARD_OUT, outputMode="Append", timeMode="None")
@@ -172,11 +199,13 @@ def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasW
         _guard_state_fn, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, out_path: str | None = None) -> str:
-    """Run an append-mode stream to completion on the available input."""
-    out_path = out_path or scratch_path(spark, name)
+def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, out_path: str | None = None,
+                   checkpoint: str | None = None) -> str:
+    """Run an append-mode stream to completion on the available input; a later run
+    with the same folders goes on where this one ended."""
+    out_path, checkpoint = _folders(spark, name, out_path, checkpoint)
     q = (stream.writeStream.outputMode("append").format("parquet").option("path", out_path)
-         .option("checkpointLocation", scratch_path(spark, f"{name}-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path
@@ -185,11 +214,11 @@ def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, out_path:
 # -- ST3 -------------------------------------------------------------------------
 
 def run_low_stock_alerts(spark: SparkSession, ledger: DataFrame, products: DataFrame,
-                         out_path: str | None = None) -> str:
+                         out_path: str | None = None, checkpoint: str | None = None) -> str:
     """ST1 in update mode; each micro-batch's changed stocks joined to the
     products (opening stock + ledger sum against reorder level, Active only).
     Alerts are written per batch id (idempotent on retry)."""
-    out_path = out_path or scratch_path(spark, "low-stock-alerts")
+    out_path, checkpoint = _folders(spark, "low-stock-alerts", out_path, checkpoint)
     p = products.select(F.col("id").alias("_pid"), "sku", F.col("name").alias("product_name"),
                         "quantity_in_stock", "reorder_level", "status")
 
@@ -203,7 +232,7 @@ def run_low_stock_alerts(spark: SparkSession, ledger: DataFrame, products: DataF
         alerts.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     q = (live_stock(ledger).writeStream.outputMode("update").foreachBatch(write)
-         .option("checkpointLocation", scratch_path(spark, "low-stock-ckpt"))
+         .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return out_path

@@ -49,13 +49,13 @@ def test_negative_opening_stock(spark):
     led = _ledger(spark, [(1, "OUT", 1), (1, "IN", 4), (1, "IN", 12), (1, "OUT", 3), (1, "OUT", 0)])
     got = rows(guard.guard_ledger(_opening(spark, {1: -10}), led), "id", "accepted", "stock_before", "stock_after")
     assert got == [(100, False, -10, -10), (101, False, -10, -10), (102, True, -10, 2),
-                   (103, False, 2, 2), (104, True, 2, 2)]
+                   (103, False, 2, 2), (104, False, None, None)]  # a quantity of 0 breaks a CHECK
 
 
-def test_product_without_opening_starts_at_zero(spark):
+def test_unknown_product_is_refused(spark):
     led = _ledger(spark, [(42, "OUT", 1), (42, "IN", 3)])
-    got = rows(guard.guard_ledger(_opening(spark, {1: 5}), led), "accepted", "stock_after")
-    assert got == [(False, 0), (True, 3)]
+    got = guard.guard_ledger(_opening(spark, {1: 5}), led).select("accepted", "stock_after", "reason").collect()
+    assert [tuple(r) for r in got] == [(False, None, "no_product")] * 2
 
 
 def _random_ledger(seed_value, n, products=4):

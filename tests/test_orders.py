@@ -89,7 +89,7 @@ def test_transitions_receipt_and_audit(spark, seed):
     # SHIPPED -> SHIPPED makes no audit row
     assert rows(out["audit"], "record_id", "seq", "old_status", "new_status") == [
         (2, 1, "PENDING", "SHIPPED"), (2, 2, "SHIPPED", "PENDING"), (2, 3, "PENDING", "DELIVERED")]
-    snap = orders.order_status_audit(seed["orders"], out["orders"], AS_OF)
+    snap = order_audit(seed["orders"], out["orders"], AS_OF)
     assert rows(snap, "record_id", "old_status", "new_status", "changed_by") == [
         (2, "PENDING", "DELIVERED", "DB_TRIGGER_ORDERS")]
 
@@ -243,7 +243,7 @@ def test_status_changes_equal_snapshot_audit(spark, seed):
     req = spark.createDataFrame([(2, 1, "SHIPPED"), (2, 2, "PENDING"), (3, 1, "SHIPPED"), (1, 1, "PENDING")],
                                 "order_id long, seq int, status string")
     out = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)
-    snap = orders.order_status_audit(seed["orders"], out["orders"], AS_OF)
+    snap = order_audit(seed["orders"], out["orders"], AS_OF)
     # order 2 went PENDING -> SHIPPED -> PENDING: no net change; order 3 SHIPPED -> SHIPPED: none
     assert rows(out["status_changes"]) == rows(snap, "record_id", "old_status", "new_status") == []
 

@@ -32,13 +32,13 @@ def _split_events(spark, parts=4) -> str:
         d = os.path.join(out, f"part{i}")
         for f in sorted(os.listdir(d)):
             if f.endswith(".parquet"):
-                os.link(os.path.join(d, f), os.path.join(flat, f"events-{i}.parquet"))
+                os.link(os.path.join(d, f), os.path.join(flat, f"part-{i}.parquet"))
     return flat
 
 
 def test_live_stock_equals_batch_sum(spark):
     m = Model(spark, SF)
-    out = S.run_live_stock(spark, S.ledger_stream(spark, SF))
+    out = S.run_live_stock(spark, S.ledger_stream(spark, S.events_path(SF)))
     assert rows(S.latest_stock(spark, out)) == rows(ledger.ledger_stock(m.ledger))
     # over several micro-batches the changelog holds only changed products per batch
     src = _split_events(spark, parts=4)
@@ -55,6 +55,7 @@ def test_live_guard_over_micro_batches(spark):
     out = S.run_to_parquet(spark, S.live_guard(stream, m.opening_zero()), "guard-mb")
     got = spark.read.parquet(out)
     want = guard.guard_ledger(m.opening_zero(), m.ledger).select(*got.columns)
+    assert "reason" in got.columns
     assert got.count() == 1000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     assert got.filter(~F.col("accepted")).count() == 26
@@ -62,7 +63,7 @@ def test_live_guard_over_micro_batches(spark):
 
 def test_low_stock_alerts_and_audit(spark):
     m = Model(spark, SF)
-    out = S.run_low_stock_alerts(spark, S.ledger_stream(spark, SF), m.products)
+    out = S.run_low_stock_alerts(spark, S.ledger_stream(spark, S.events_path(SF)), m.products)
     alerts = spark.read.parquet(out)
     stock = ledger.apply_ledger(m.products, m.ledger)
     p = m.products.select("id", "reorder_level", "status")
@@ -72,10 +73,10 @@ def test_low_stock_alerts_and_audit(spark):
     assert rows(alerts, "product_id") == rows(want, "product_id")
     # with a stock that puts every touched product below its level, all of them alert
     low = m.products.withColumn("quantity_in_stock", F.lit(-100000))
-    out2 = S.run_low_stock_alerts(spark, S.ledger_stream(spark, SF), low)
+    out2 = S.run_low_stock_alerts(spark, S.ledger_stream(spark, S.events_path(SF)), low)
     assert spark.read.parquet(out2).count() == touched.join(
         m.products.filter("status = 'Active'"), F.col("_t") == F.col("id"), "left_semi").count()
-    g = spark.read.parquet(S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, SF), m.opening_zero()), "g"))
+    g = spark.read.parquet(S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, S.events_path(SF)), m.opening_zero()), "g"))
     audit = S.audit_rows(g, m.products)
     assert audit.count() == g.filter("accepted AND stock_before <> stock_after").count()
 
@@ -129,3 +130,39 @@ def test_streaming_audit_over_micro_batches(spark):
         "record_id", "old_quantity", "new_quantity", "old_price", "new_price")
     assert got.count() > 900
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
+
+
+def test_streams_resume_and_read_table_folders(spark):
+    """A run into the same output goes on after the last batch (ST1, ST2)."""
+    import shutil
+
+    m = Model(spark, SF)
+    src = _split_events(spark, parts=4)
+    grow = S.scratch_path(spark, "events-grow") + "/events.parquet"
+    os.makedirs(grow)
+    names = sorted(os.listdir(src))
+    out, guarded = S.scratch_path(spark, "resume"), S.scratch_path(spark, "resume-guard")
+    for part in (names[:2], names[2:]):
+        for f in part:
+            shutil.copy(os.path.join(src, f), os.path.join(grow, f))
+        S.run_live_stock(spark, S.ledger_stream(spark, grow, max_files_per_trigger=1), out)
+        S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, grow, max_files_per_trigger=1), m.opening_zero()), "x", guarded)
+    assert rows(S.latest_stock(spark, out)) == rows(ledger.ledger_stock(m.ledger))
+    got = spark.read.parquet(guarded)
+    want = guard.guard_ledger(m.opening_zero(), m.ledger).select(*got.columns)
+    assert got.count() == 1000 and got.exceptAll(want).count() == 0
+
+
+def test_unsound_rows_are_refused_alike_in_batch_and_stream(spark):
+    rws = [(1, 1, "IN", 5), (2, 1, "IN", -5), (3, 1, "TRANSFER", 2), (4, 999, "IN", 3), (5, 1, "OUT", None), (6, 1, "OUT", -3),
+           (7, 1, "OUT", 9), (8, None, "IN", 1)]
+    df = spark.createDataFrame(rws, "id long, product_id long, transaction_type string, quantity int")
+    opening = spark.createDataFrame([(1, 2)], "product_id long, opening_stock long")
+    want = {1: (True, None), 2: (False, "check"), 3: (False, "check"), 4: (False, "no_product"), 5: (False, "check"), 6: (False, "check"),
+            7: (False, "negative_stock"), 8: (False, "no_product")}
+    assert {r["id"]: (r["accepted"], r["reason"]) for r in guard.guard_ledger(opening, df).collect()} == want
+    src = S.scratch_path(spark, "unsound")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    got = spark.read.parquet(S.run_to_parquet(spark, S.live_guard(stream, opening), "unsound-out"))
+    assert {r["id"]: (r["accepted"], r["reason"]) for r in got.collect()} == want

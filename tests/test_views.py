@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from larder.operators import dashboard, ledger, listings, views
@@ -106,7 +107,7 @@ def test_orders_nested_and_digest(spark, seed):
     assert digest == rows(listings.nested_digest(nested))
     assert (9, 0, 0, None, None) in digest
     # an order with more items than a page is split into bounded pages
-    paged = listings.orders_nested(orders, seed["suppliers"], seed["items"], seed["products"], page_size=1)
+    paged = listings.orders_nested_pages(orders, seed["suppliers"], seed["items"], seed["products"], page_size=1)
     pages = {(r["id"], r["page"]): len(r["items"]) for r in paged.collect()}
     assert pages[(2, 2)] == 1 and pages[(2, 3)] == 1 and max(pages.values()) <= 1
     assert rows(listings.nested_digest(paged)) == digest
@@ -128,3 +129,9 @@ def test_lookup_and_adhoc(spark, seed):
                                     "purchase_orders": seed["orders"]})
     n = listings.adhoc_query(spark, "WITH a AS (SELECT * FROM v_low_stock_alerts) SELECT count(*) FROM a")
     assert n.collect()[0][0] == 2
+    assert listings.adhoc_query(spark, "-- a remark\nSELECT 1 AS one;").collect()[0][0] == 1
+    before = spark.table("products").count()
+    for text in ("WITH a AS (SELECT 1) INSERT INTO products SELECT * FROM a", "DROP VIEW products", "", "/* x */ CREATE TABLE t (a INT)"):
+        with pytest.raises(ValueError):
+            listings.adhoc_query(spark, text)
+    assert spark.table("products").count() == before
