@@ -19,7 +19,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,45 +77,43 @@ def code(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text",
     ``digests`` the SHA-256 of both in their place.  ``ids`` is binary, four
     bytes per id."""
     blocks = n_blocks(docs, text, block_bytes)
-    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).cast("string").alias("id"), F.col(text).alias("text"))
+    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[ident].dataType.simpleString()
 
-    def distinct(f: pd.DataFrame) -> pd.DataFrame:
+    def distinct(block: pa.Table) -> pa.Table:
         seen: set[str] = set()
-        for t in f["text"]:
-            seen.update(split_words(t))
-        return pd.DataFrame({"block": np.full(len(seen), f["block"].iloc[0], dtype=np.int32), "word": sorted(seen)})
-
-    def encode(frames):
-        known: dict[str, bytes] = {}
-        for f in frames:
-            new = [w for w in f["word"].unique() if w not in known]
-            if len(known) > 500_000:  # rows come sorted by word: older ones are not asked for again
-                known = {}
-                new = list(f["word"].unique())
-            known.update(zip(new, encode_words(new, path)))
-            yield pd.DataFrame({"block": f["block"], "word": f["word"], "ids": f["word"].map(known)})
-
-    def join(f: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        for t in block.column("text"):
+            seen.update(split_words(t.as_py()))
+        number = np.full(len(seen), block.column("block")[0].as_py(), dtype=np.int32)
+        return pa.table({"block": number, "word": pa.array(sorted(seen), pa.string())})
+
+    def encode(batches):
+        last: dict[str, bytes] = {}
+        for b in batches:  # sorted by word: only the last word may go on in the next batch
+            words = b.column(1).to_pylist()
+            new = [w for w in dict.fromkeys(words) if w not in last]
+            known = last | dict(zip(new, encode_words(new, path)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([known[w] for w in words], pa.binary())], names=["block", "word", "ids"])
+            last = {w: known[w] for w in words[-1:]}
+
+    def join(block: pa.Table, answers: pa.Table) -> pa.Table:
         _, pieces = vocabulary(path)
-        ids_of = dict(zip(answers["word"], answers["ids"]))
-        out = []
-        for i, t in zip(f["id"], f["text"]):
-            ids = b"".join([ids_of[w] for w in split_words(t)])
-            decoded = b"".join([pieces[x] for x in np.frombuffer(ids, "<u4").tolist()])
-            n = len(ids) // 4
-            if digests:
-                decoded = decoded.decode("utf-8", "replace").encode()
-                out.append((i, n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            else:
-                out.append((i, n, ids, decoded.decode("utf-8", "replace")))
-        return pd.DataFrame(out, columns=["id", "n_tokens", "ids", "decoded"])
-
-    asked = dealt.groupBy("block").applyInPandas(distinct, "block int, word string")
-    answers = asked.repartition("word").sortWithinPartitions("word").mapInPandas(encode, "block int, word string, ids binary")
+        ids_of = dict(zip(answers.column("word").to_pylist(), answers.column("ids").to_pylist()))
+        counts, coded, texts = [], [], []
+        for t in block.column("text"):
+            ids = b"".join([ids_of[w] for w in split_words(t.as_py())])
+            decoded = b"".join([pieces[x] for x in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+            counts.append(len(ids) // 4)
+            coded.append(hashlib.sha256(ids).hexdigest() if digests else ids)
+            texts.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
+        return pa.table({"id": block.column("id"), "n_tokens": pa.array(counts, pa.int64()),
+                         "ids": pa.array(coded, pa.string() if digests else pa.binary()), "decoded": pa.array(texts, pa.string())})
+
+    asked = dealt.groupBy("block").applyInArrow(distinct, "block int, word string")
+    answers = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block int, word string, ids binary")
     ids_kind = "string" if digests else "binary"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        join, f"id string, n_tokens bigint, ids {ids_kind}, decoded string").withColumn("id", F.col("id").cast(kind))
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        join, f"id {kind}, n_tokens bigint, ids {ids_kind}, decoded string")
 
 
 def default_vocabulary() -> str:

@@ -31,7 +31,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,18 +169,22 @@ def score(docs: DataFrame, held: Column, ident: str = "doc_id", text: str = "tex
         raise ValueError("the depth is 1 to 6 bytes: a context and its byte share one long")
     blocks = n_blocks(docs, text, block_bytes)
     kind = docs.schema[ident].dataType.simpleString()
-    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).cast("string").alias("id"),
+    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).alias("id"),
                         held.alias("held"), F.col(text).alias("text"))
 
-    def distinct(f: pd.DataFrame) -> pd.DataFrame:
+    def distinct(block: pa.Table) -> pa.Table:
         out = []
-        lots = [(not h, [folded(t) for t in f["text"][f["held"] == h]]) for h in (False, True)]
+        lots: list = [(True, []), (False, [])]  # learned from, held out
+        for t, h in zip(block.column("text"), block.column("held").to_pylist()):
+            lots[bool(h)][1].append(folded(t.as_py()))
+        number = block.column("block")[0].as_py()
         for tag, of in ((GRAM, lambda ts: grams(ts, depth)), (WORD, word_hashes)):
             keys, n = distinct_counts((x[2], counted) for counted, texts in lots for x in of(texts))
-            out.append(pd.DataFrame({"block": np.int32(f["block"].iloc[0]), "kind": np.int8(tag), "key": keys.view(np.int64), "n": n}))
-        return pd.concat(out)
+            out.append(pa.table({"block": np.full(len(keys), number, np.int32), "kind": np.full(len(keys), tag, np.int8),
+                                 "key": keys.view(np.int64), "n": n.astype(np.int64)}))
+        return pa.concat_tables(out)
 
-    asked = dealt.groupBy("block").applyInPandas(distinct, "block int, kind tinyint, key bigint, n bigint").checkpoint()
+    asked = dealt.groupBy("block").applyInArrow(distinct, "block int, kind tinyint, key bigint, n bigint").checkpoint()
     counts = asked.groupBy("kind", "key").agg(F.sum("n").alias("n")).checkpoint()
     ends = docs.where(~held).count()
     tokens, kinds = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
@@ -190,20 +194,21 @@ def score(docs: DataFrame, held: Column, ident: str = "doc_id", text: str = "tex
         counts.where(F.col("kind") == WORD).select("kind", "key", F.col("n").cast("double").alias("value")))
     answers = asked.select("block", "kind", "key").join(values, ["kind", "key"])
 
-    def finish(f: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+    def finish(block: pa.Table, got: pa.Table) -> pa.Table:
         find = {}
+        kinds_of, keys_of, values_of = (got.column(c).to_numpy() for c in ("kind", "key", "value"))
         for tag in (GRAM, WORD):
-            g = got[got["kind"] == tag]
-            find[tag] = Lookup(g["key"].to_numpy(np.int64).view(np.uint64)), g["value"].to_numpy()
+            at = kinds_of == tag
+            find[tag] = Lookup(keys_of[at].astype(np.int64).view(np.uint64)), values_of[at]
 
         def value_of(tag, keys):  # each key was asked for, so each is there
             where, values = find[tag]
             return values[where(keys)] if len(keys) else np.zeros(0)
 
-        n = len(f)
+        n = block.num_rows
         lp, base, n_words, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
         floor = total + 0.5 * (vocabulary + 1)
-        texts = [folded(t) for t in f["text"]]
+        texts = [folded(t.as_py()) for t in block.column("text")]
         for first, last, keys, offsets in grams(texts, depth):
             lp[first:last] += sums(value_of(GRAM, keys), offsets)
         for first, last, keys, offsets in word_hashes(texts):
@@ -211,14 +216,14 @@ def score(docs: DataFrame, held: Column, ident: str = "doc_id", text: str = "tex
             base[first:last] += sums(np.log10((c + 0.5) / floor), offsets)
             n_words[first:last] += np.diff(offsets)
             known[first:last] += sums((c > 0).astype(float), offsets).astype(np.int64)
-        return pd.DataFrame({
-            "id": f["id"], "held_out": f["held"], "n_tokens": n_words + 1, "n_known": known + (ends > 0), "train_tokens": total,
+        return pa.table({
+            "id": block.column("id"), "held_out": block.column("held"), "n_tokens": n_words + 1, "n_known": known + (ends > 0),
+            "train_tokens": np.full(n, total, np.int64),
             "base_score": base + math.log10((ends + 0.5) / floor), "score": lp / math.log(10)})
 
     return (
         dealt.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInPandas(finish, "id string, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-        .withColumn("id", F.col("id").cast(kind))
+        .applyInArrow(finish, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     )
 
 

@@ -204,7 +204,7 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", page: st
     def run(frames):
         for f in frames:
             texts = [main_text(x) for x in f["html"]]
-            yield pd.DataFrame({"id": f["id"], "url": f["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({"id": f["id"].tolist(), "url": f["url"].tolist(), "text": texts, "n_chars": [len(t) for t in texts]})
 
     kind = pages.schema[ident].dataType.simpleString()
     return (

@@ -111,7 +111,7 @@ def score(docs: DataFrame, weights: np.ndarray, ident: str = "doc_id", text: str
                 begins = np.searchsorted(whose, np.arange(last - first + 1))
                 dot = sums(value * w[pairs & ((1 << bits) - 1)], begins)
                 out[first:last] = dot / np.maximum(1.0, np.sqrt(sums(value * value, begins)))
-            yield pd.DataFrame({"id": f["id"], "score": 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))})
+            yield pd.DataFrame({"id": f["id"].tolist(), "score": 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))})
 
     # The id travels as text: pandas would turn a column with nulls into floats.
     kind = docs.schema[ident].dataType.simpleString()

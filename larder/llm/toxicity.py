@@ -166,7 +166,7 @@ def evidence(docs: DataFrame, model: KneserNey, ident: str = "doc_id", text: str
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"id": f["id"], "z": shared.value.evidence(list(f["text"]))})
+            yield pd.DataFrame({"id": f["id"].tolist(), "z": shared.value.evidence(list(f["text"]))})
 
     kind = docs.schema[ident].dataType.simpleString()
     return docs.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id string, z double").withColumn(

@@ -38,12 +38,11 @@ def parts(url: Column) -> tuple[Column, Column]:
 
 def match(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits, and its verdict; null where none does."""
-    rule = verdict = None
+    rule = verdict = F.when(F.lit(False), F.lit(""))
     for text, says in sorted(rules, key=lambda r: (-len(r[0]), r[0])):
         where, slash, under = text.partition("/")
         fits = ((host == where) | host.endswith("." + where)) & path.startswith(slash + under)
-        rule = F.when(fits, text) if rule is None else rule.when(fits, text)
-        verdict = F.when(fits, says) if verdict is None else verdict.when(fits, says)
+        rule, verdict = rule.when(fits, text), verdict.when(fits, says)
     return rule, verdict
 
 
