@@ -138,7 +138,7 @@ def _judge(pdf: pd.DataFrame, balance: int | None):
         first = pdf["opening_stock"].iloc[0]
         balance = int(first) if pd.notna(first) else 0
     # rows that break a CHECK, or name no product, are refused and leave the balance as it is
-    sign, known = pdf["transaction_type"].map(_SIGN), pdf["_known"].fillna(False).astype(bool)
+    sign, known = pdf["transaction_type"].map(_SIGN), pdf["opening_stock"].notna()
     valid = (sign.notna() & (pdf["quantity"].fillna(0) > 0)).to_numpy()
     right = valid & known.to_numpy()
     s = np.where(right, sign.fillna(0) * pdf["quantity"].fillna(0), 0).astype(np.int64)
@@ -189,9 +189,10 @@ def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasW
     ``api``: ``applyInPandasWithState`` (any state store) or
     ``transformWithState`` (``transformWithStateInPandas``; needs the RocksDB
     state store, the session default here)."""
-    op = opening.select(F.col("product_id").alias("_opid"), F.col("opening_stock").cast("bigint"))
+    # after the left join a product without an opening stock is an unknown one
+    op = opening.select(F.col("product_id").alias("_opid"), F.coalesce(F.col("opening_stock"), F.lit(0)).cast("bigint").alias("opening_stock"))
     rows = ledger.select("id", "product_id", "transaction_type", "quantity")
-    j = rows.join(op, rows.product_id == op._opid, "left").withColumn("_known", F.col("_opid").isNotNull()).drop("_opid")
+    j = rows.join(op, rows.product_id == op._opid, "left").drop("_opid")
     if api == "transformWithState":
         return j.groupBy("product_id").transformWithStateInPandas(
             statefulProcessor=GuardProcessor(), outputStructType=GUARD_OUT, outputMode="Append", timeMode="None")
