@@ -21,6 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ from larder.llm.common import block_of, n_blocks, prepare, table
 # Fixed value: the pre-token pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 48 << 20
 
 _WORD = regex.compile(PATTERN)
 _LOADED: dict[str, tuple] = {}
@@ -77,13 +78,27 @@ def code(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text",
     ``digests`` the SHA-256 of both in their place.  ``ids`` is binary, four
     bytes per id."""
     blocks = n_blocks(docs, text, block_bytes)
-    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[ident].dataType.simpleString()
 
+    def pack(batches):
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = [squeeze(t.as_py().encode()) if t.is_valid else None for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["block", "id", "packed"])
+
+    def words_of(block: pa.Table):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for t in block.column("packed"):
+            yield split_words(unpack(t.as_py()).decode() if t.is_valid else None)
+
+    # Texts travel compressed: they are the bulk of what this operator shuffles.
+    dealt = docs.select(block_of(ident, text, blocks).alias("block"), F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(
+        pack, f"block int, id {kind}, packed binary")
+
     def distinct(block: pa.Table) -> pa.Table:
         seen: set[str] = set()
-        for t in block.column("text"):
-            seen.update(split_words(t.as_py()))
+        for found in words_of(block):
+            seen.update(found)
         number = np.full(len(seen), block.column("block")[0].as_py(), dtype=np.int32)
         return pa.table({"block": number, "word": pa.array(sorted(seen), pa.string())})
 
@@ -100,8 +115,8 @@ def code(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text",
         _, pieces = vocabulary(path)
         ids_of = dict(zip(answers.column("word").to_pylist(), answers.column("ids").to_pylist()))
         counts, coded, texts = [], [], []
-        for t in block.column("text"):
-            ids = b"".join([ids_of[w] for w in split_words(t.as_py())])
+        for found in words_of(block):
+            ids = b"".join([ids_of[w] for w in found])
             decoded = b"".join([pieces[x] for x in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
             counts.append(len(ids) // 4)
             coded.append(hashlib.sha256(ids).hexdigest() if digests else ids)
