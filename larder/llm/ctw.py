@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from larder.llm.common import Lookup, block_of, n_blocks, prepare, remainder, sums, table, word_hashes
 
-DEPTH = 5
+DEPTH = 4
 BLOCK_BYTES = 32 << 20
 CHUNK = 2 << 20
 FOLD_BYTES = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
