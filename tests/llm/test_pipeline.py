@@ -87,3 +87,11 @@ def test_entry_works_without_this_part(tmp_path):
             "names = set(e.queries())\n"
             "assert 'stock_valuation' in names and 'pipeline' not in names and not any(n.startswith('op1_') for n in names)\n")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT})
+
+
+def test_every_query_runs_at_smallest_scale(spark):
+    docs, pages = spark.read.parquet(f"{SF}/documents.parquet").count(), spark.read.parquet(f"{SF}/pages.parquet").count()
+    for name, fn in E.queries().items():
+        if name.startswith("op"):
+            n = fn(spark, SF).count()
+            assert n == {"op1_url_filter": pages, "op2_html_extract": pages}.get(name, docs) or name == "op3_decontaminate" and n > 0, name
