@@ -144,6 +144,15 @@ def test_ctw_equals_its_definition(spark):
     assert by[1]["n_known"] == sum(w in words for w in [*plain[1].split(), None])
 
 
+def test_ctw_default_depth_is_five_bytes(spark):
+    rnd = random.Random(6)
+    texts = [prose(rnd, 30) for _ in range(6)]
+    got = ctw.score(docs_of(spark, texts), F.col("doc_id") % 3 == 1, block_bytes=400).collect()
+    plain = [ctw.folded(t) for t in texts]
+    want = brute_ctw([t for i, t in enumerate(plain) if i % 3 != 1], plain, 5)
+    assert [r["score"] for r in sorted(got, key=lambda r: r["id"])] == pytest.approx(want, rel=1e-7)
+
+
 def test_ctw_probabilities_sum_to_one(spark):
     """Over all next bytes of a seen and of an unseen context."""
     rows = [("ab" * 20,), ("abc",)]
