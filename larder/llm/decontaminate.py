@@ -9,14 +9,17 @@ at once with the block maxima of the rarer terms; passages that no block can
 satisfy are done, the others run block-max WAND.  Retrieved items are verified
 against the text: five-word shingles of the item, and the words of its answer.
 
-Statistics are over all items.  The index is dealt into shards of bounded text;
-each shard is broadcast and the texts pass it in turn, so neither side is
-shuffled and no shard grows with the number of items.
+Statistics are over all distinct item texts: a text is indexed once, under its
+SHA-256, and the ids that have it are joined to what is found.  The index is
+dealt into shards of bounded text; each shard is broadcast and the texts pass it
+in turn, so the texts are not shuffled and no shard grows with the number of items.
 
 Nulls and oddities: null, empty and short texts retrieve nothing.  Items of
 fewer than ``MIN_WORDS`` words, null or empty ones say too little and are not
-indexed.  Equal items are reported each under its id; repeated rows are judged
-one by one; a null id is carried along.  Without items nothing is found.
+indexed.  Equal items are reported each under its id, repeated item rows once,
+and an id with several texts once for each text found; repeated texts to search
+are judged one by one; a null id of theirs is carried along.  Without items
+nothing is found.
 """
 
 from __future__ import annotations
@@ -229,6 +232,12 @@ class Index:
         return out
 
 
+def named(items: DataFrame, ident: str = "item_id", text: str = "text") -> DataFrame:
+    """(item, id, text) of the usable item rows, ``item`` being the key of the text."""
+    kept = items.where(F.col(ident).isNotNull() & F.col(text).isNotNull())
+    return kept.select(F.sha2(F.col(text).cast("binary"), 256).alias("item"), F.col(ident).alias("id"), F.col(text).alias("text"))
+
+
 def indexes(items: DataFrame, ident: str = "item_id", text: str = "text", threshold: float = THRESHOLD, shard_chars: int = SHARD_CHARS):
     """The index in shards of about ``shard_chars`` characters, one at a time."""
     def cut(frames):
@@ -241,11 +250,10 @@ def indexes(items: DataFrame, ident: str = "item_id", text: str = "text", thresh
                         rows += [(i, k, w.decode("utf-8", "replace"), n, len(seg)) for w, n in Counter(seg).items()]
             yield pd.DataFrame(rows, columns=["item", "segment", "term", "tf", "size"])
 
-    kept = items.where(F.col(ident).isNotNull() & F.col(text).isNotNull()).select(F.col(ident).alias("item"), F.col(text).alias("text"))
-    kind = items.schema[ident].dataType.simpleString()
+    kept = named(items, ident, text).select("item", "text").distinct().checkpoint()
     shards = max(1, math.ceil((kept.agg(F.sum(F.length("text"))).first()[0] or 0) / shard_chars))
     kept = kept.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
-    terms = kept.select("item", "text").mapInPandas(cut, f"item {kind}, segment int, term string, tf int, size int").checkpoint()
+    terms = kept.select("item", "text").mapInPandas(cut, "item string, segment int, term string, tf int, size int").checkpoint()
     n, words = terms.select("item", "segment", "size").distinct().agg(F.count("*"), F.sum("size")).first()
     if not n:
         return
@@ -273,14 +281,15 @@ def find(docs: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "
         def run(frames, shared=shared):
             for f in frames:
                 rows = [(i, *x) for i, found in zip(f["id"], shared.value.find(list(f["text"]))) for x in found]
-                yield pd.DataFrame(rows, columns=["id", "item_id", "score", "overlap", "answer_overlap"])
+                yield pd.DataFrame(rows, columns=["id", "item", "score", "overlap", "answer_overlap"])
 
         part = docs.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(
-            run, f"id string, item_id {item_kind}, score double, overlap double, answer_overlap double")
+            run, "id string, item string, score double, overlap double, answer_overlap double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return docs.sparkSession.createDataFrame([], f"id {kind}, item_id {item_kind}, score double, overlap double, answer_overlap double")
-    return out.withColumn("id", F.col("id").cast(kind))
+    ids = named(items).select("item", F.col("id").alias("item_id")).distinct()
+    return out.join(ids, "item").select(F.col("id").cast(kind).alias("id"), "item_id", "score", "overlap", "answer_overlap")
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -117,6 +117,21 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_repeated_items(spark):
+    """Items in two and three rows, one text under two ids, one id with two texts: found as if each text were there once."""
+    rnd = random.Random(8)
+    a, b, c, d, e = (prose(rnd, 70) for _ in range(5))
+    rows = [(1, a), (1, a), (2, b), (2, b), (2, b), (3, c), (4, c), (5, d), (5, e)] + [(10 + i, prose(rnd, 30)) for i in range(20)]
+    changed = {t: " ".join("changed" if i % 35 == 9 else w for i, w in enumerate(t.split())) for t in (a, b, c, d, e)}
+    texts = [f"{prose(rnd, 19)} {x} {prose(rnd, 40)}" for x in (*changed.values(), f"{d} {e}")] + [prose(rnd, 150)]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(rows, "item_id long, text string")
+    got = sorted((r["id"], r["item_id"]) for r in decontaminate.find(docs, bench).collect())
+    assert got == [(0, 1), (1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 5), (5, 5)]
+    plain = decontaminate.find(docs, bench.distinct()).collect()
+    assert sorted(plain) == sorted(decontaminate.find(docs, bench).collect())
+    assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [6]
+
+
 def test_wand_equals_full_scoring():
     import pandas as pd
 
