@@ -3,9 +3,10 @@
 The page is parsed into a tree of containers.  Each paragraph (a run of text
 between block boundaries) earns points for length and commas and passes them to
 its ancestors, halved from the second one on; a container's points are
-discounted by its link density.  The best container is kept, with those of its
-siblings that score a share of it or are plain paragraphs, and their blocks are
-returned in page order.
+discounted by its link density.  The best container is kept, or all of the
+article it is in, with what lies beside it (in ``main``, if there is one, else
+under the same parent) and is not mostly links, whatever its length; the blocks
+are returned in page order.  Menus, ads and the like are never read.
 
 Nulls and oddities: null, empty or text-free html gives the empty string and 0
 characters.  Unclosed elements, stray end tags and pages cut off in the middle
@@ -28,11 +29,13 @@ NAMED = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)
 SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object canvas title select".split())
+RAW = frozenset("script style noscript template textarea iframe svg object canvas title select annotation annotation-xml".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-                   "strike strong sub sup time tt u var img wbr".split())
-DROPPED = frozenset("nav header footer aside form button menu dialog head fieldset figure figcaption".split())
-PARAGRAPHS = frozenset("p pre td th li blockquote h1 h2 h3 h4 h5 h6 dd dt".split())
+                   "strike strong sub sup time tt u var img wbr "
+                   "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+                   "mmultiscripts mprescripts mspace mtable mtr mlabeledtr mtd maction semantics".split())
+DROPPED = frozenset("nav header footer aside form button menu dialog head fieldset".split())
+PARAGRAPHS = frozenset("p pre td th li blockquote h1 h2 h3 h4 h5 h6 dd dt figcaption".split())
 # Parts of a page that are no article, as words of a class, id or role.
 UNLIKELY = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices "
@@ -44,6 +47,7 @@ UNLIKELY = frozenset(
 WEAK = frozenset("header side share tags legal notice notices story copyright related toc popular trending alert".split())
 LIKELY = frozenset("article body content entry main post story text".split())
 WORDS = re.compile(r"[A-Za-z]+")
+LINKS = 0.5  # what lies beside the article and has more than this share of link text is navigation
 # An open element that a start tag of these kinds ends.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
@@ -69,9 +73,9 @@ def _unlikely(tag: str, attrs: str) -> bool:
     return bool(found & UNLIKELY - WEAK) or bool(found & UNLIKELY) and not found & LIKELY
 
 
-def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool]], Node]:
-    """Blocks (container, text, in a paragraph element) in page order, with the
-    characters and link characters counted along the tree."""
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool, int]], Node]:
+    """Blocks (container, text, in a paragraph element, link characters) in page
+    order, with the characters and link characters counted along the tree."""
     root = Node("#root", None, False, 0)
     stack, blocks, buffer = [root], [], []
     at, n, count, links = 0, len(page), 0, 0
@@ -86,8 +90,8 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool]], Node]:
                 node = stack[-1]
                 while node.tag in INLINE and node.parent is not None:
                     node = node.parent
-                blocks.append((node, text, node.tag in PARAGRAPHS))
                 share = min(linked, len(text))
+                blocks.append((node, text, node.tag in PARAGRAPHS, share))
                 while node is not None:
                     node.chars += len(text)
                     node.linked += share
@@ -168,7 +172,7 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
-    for node, text, paragraph in blocks:
+    for node, text, paragraph, _ in blocks:
         points = 1 + text.count(",") + min(len(text) / 100.0, 3) if len(text) >= 25 else 0.25
         up = node.parent if paragraph and node.parent is not None else node
         share = 1.0
@@ -181,20 +185,24 @@ def main_text(page: str | None) -> str:
         if x.tag in ("article", "main"):
             x.score *= 1.5
     best = max(scored.values(), key=lambda x: (x.score, -x.order))
-    # A container that holds nearly nothing beside the article is not worth more than it.
-    kept = {id(best)}
-    floor = max(2.0, best.score * 0.2)
-    for x in scored.values():
-        if x.parent is best.parent and x is not best and x.score >= floor and best.parent is not None:
-            kept.add(id(x))
+    # All of the outermost article around the best container; what is beside it up to the outermost main.
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    top = max((i for i, x in enumerate(above) if x.tag == "article"), default=0)
+    main = max((i for i, x in enumerate(above) if x.tag == "main"), default=None)
+    last = top + 1 if main is None else max(main, top)
+    around = {id(x) for x in above[top + 1:last + 1]}
     out = []
-    for node, text, paragraph in blocks:
+    for node, text, _, linked in blocks:
         x = node
-        while x is not None and id(x) not in kept:
+        if id(x) in around:
+            if linked <= LINKS * len(text):
+                out.append(text)
+            continue
+        while x is not above[top] and x.parent is not None and id(x.parent) not in around:
             x = x.parent
-        if x is not None:
-            out.append(text)
-        elif paragraph and node.parent is best.parent and len(text) >= 80 and node.linked <= 0.25 * max(1, node.chars):
+        if x is above[top] or x.parent is not None and x.linked <= LINKS * x.chars:
             out.append(text)
     return "\n".join(out)
 

@@ -78,6 +78,24 @@ def test_html_main_text():
     assert html_extract.main_text("plain, no markup at all in this one") == "plain, no markup at all in this one"
 
 
+def test_html_keeps_all_parts_of_an_article():
+    para = "<p>Paragraph {}, with commas, and of a length that counts as the text of an article.</p>"
+    body = "".join(para.format(i) for i in range(20))
+    plain = [f"Paragraph {i}, with commas, and of a length that counts as the text of an article." for i in range(20)]
+    menu = '<div><a href="/a">Section one</a> <a href="/b">Section two</a></div>'
+    get = lambda page: html_extract.main_text(f"<html><body>{page}</body></html>").split("\n")
+    assert get(f'{menu}<article><h1>Title</h1><div class="body">{body}</div></article>') == ["Title", *plain]
+    lead, end = "<p>A short lead.</p>", "<p>The end.</p>"
+    assert get(f'<article><div class="lead">{lead}</div><div class="text">{body}</div><section>{end}</section></article>') == [
+        "A short lead.", *plain, "The end."]
+    assert get(f'<main><h1>Title</h1>{menu}<div><div>{lead}</div><article><div>{body}</div></article></div></main>') == ["Title", "A short lead.", *plain]
+    assert get(f'{menu}<div><h1>Title</h1><div class="lead">{lead}</div><div>{body}</div><div>{menu}</div></div>') == ["Title", "A short lead.", *plain]
+    figure = "<figure><img src=x><figcaption>A caption.</figcaption></figure>"
+    formula = ("<p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
+               "<annotation>E=mc^2</annotation></semantics></math> here.</p>")
+    assert get(f"<article>{body}{figure}{formula}</article>") == [*plain, "A caption.", "Energy is E=mc2 here."]
+
+
 def test_html_query_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn(
         "text", F.lit("clash"))
