@@ -1,8 +1,8 @@
 """Quality rules: base text statistics and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word uni- and bigrams are counted, one over the
-raw corpus (every document) and one over trusted documents (labelled as good,
-at most ``max_trusted`` ids, the smallest by hash).  A document's score is the
+raw corpus (every document) and one over all trusted documents (labelled as
+good).  A document's score is the
 mean over its n-grams of log p_trusted - log p_raw; it is kept if the score is
 at least ``threshold`` and the base rules hold.  Only DataFrame functions are
 used; the ratio table has ``2 ** bits`` entries whatever the corpus.
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from larder.llm.common import prepare, table, words
 
 BITS = 16
-MAX_TRUSTED = 8192
 THRESHOLD = -0.5
 WINDOW = 8
 
@@ -40,17 +39,14 @@ def ngrams(docs: DataFrame, bits: int) -> DataFrame:
                                           F.coalesce(pairs, F.array().cast("array<bigint>"))))
 
 
-def ratio_table(docs: DataFrame, trusted: DataFrame, ident: str, text: str, bits: int, max_trusted: int) -> DataFrame:
+def ratio_table(docs: DataFrame, trusted: DataFrame, ident: str, text: str, bits: int) -> DataFrame:
     """One row with ``llr_``, the log ratio of each bucket (add-one half smoothing).
 
     ``trusted`` holds the ids of trusted documents; the raw counts are taken
     over all of ``docs``."""
-    ids = (
-        trusted.select(F.col(ident).alias("t_")).where("t_ IS NOT NULL").distinct()
-        .orderBy(F.xxhash64("t_"), "t_").limit(max_trusted).withColumn("is_", F.lit(1))
-    )
-    # The id list has at most max_trusted rows, so its broadcast is bounded.
-    marked = docs.select(F.col(ident).alias("t_"), F.col(text).alias("x_")).join(F.broadcast(ids), "t_", "left")
+    ids = trusted.select(F.col(ident).alias("t_")).where("t_ IS NOT NULL").distinct().withColumn("is_", F.lit(1))
+    # The trusted ids grow with the corpus, so they are merged, not broadcast, at every size.
+    marked = docs.select(F.col(ident).alias("t_"), F.col(text).alias("x_")).join(ids.hint("merge"), "t_", "left")
     counted = (
         # explode_outer, as explode would have the optimizer infer a filter on the array and compute it twice
         ngrams(word_columns(marked, "x_"), bits).select(F.coalesce("is_", F.lit(0)).alias("is_"), F.explode_outer("g_").alias("b"))
@@ -94,12 +90,12 @@ def base_counts(df: DataFrame, text: str) -> DataFrame:
 
 
 def judge(docs: DataFrame, trusted: DataFrame, ident: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-          bits: int = BITS, max_trusted: int = MAX_TRUSTED, threshold: float = THRESHOLD) -> DataFrame:
+          bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """Judge every row: the columns ``keep`` (default: the id), the base counts,
     base_failed, score and kept."""
     keep = keep or [ident]
     held = [f"k{i}_" for i in range(len(keep))]
-    model = ratio_table(docs, trusted, ident, text, bits, max_trusted)
+    model = ratio_table(docs, trusted, ident, text, bits)
     df = docs.select(*[F.col(c).alias(h) for c, h in zip(keep, held)], F.col(text).alias("x_"))
     df = base_counts(word_columns(df, "x_"), "x_")
     df = ngrams(df, bits).withColumn("llr_", model.scalar())

@@ -259,6 +259,13 @@ def test_quality_rule_counts_equal_brute_force(spark):
     assert quality_rules.judge(docs.limit(0), docs.select("doc_id")).count() == 0
 
 
+def test_quality_ratio_counts_all_trusted(spark):
+    """Where every document is trusted, both multinomials are the same."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id") % 700, F.lit(" "), F.col("id") % 11).alias("text"))
+    got = quality_rules.judge(docs, docs.select("doc_id").unionByName(docs.select("doc_id"))).agg(F.count("*"), F.max(F.abs("score"))).first()
+    assert got[0] == 9000 and got[1] < 1e-12
+
+
 def test_quality_ratio_drops_junk(spark):
     rnd = random.Random(4)
     good = [prose(rnd, 200) for _ in range(60)]
