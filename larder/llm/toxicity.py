@@ -11,10 +11,9 @@ zero.  A logistic fit on the logarithm of the evidence, over labelled documents
 that the counts have not seen, turns it into a score.
 
 Counting runs in Spark over at most ``MAX_ROWS`` labelled documents (the
-smallest by hash), the fit over as many others.  Words and
-bigrams below the share 2 ** -20 of their kind are left to the backoff, so
-either table has at most 2 ** 20 entries and may be broadcast; scoring has no
-shuffle.
+smallest by hash), the fit over as many others.  All words of these and all
+bigrams that the discount leaves anything of are kept: that bound limits both
+tables, so they may be broadcast; scoring has no shuffle.
 
 Nulls and oddities: null and wordless texts have evidence zero.  Repeated rows
 are scored one by one; equal training texts count once.  A null id is carried
@@ -32,8 +31,6 @@ from pyspark.sql import functions as F
 from larder.llm.common import FOLD, Lookup, mix, prepare, remainder, sums, table, word_hashes
 
 MAX_ROWS = 20_000
-MAX_ENTRIES = 1 << 20
-MIN_BIGRAM = 3
 DISCOUNT = 2
 DEAD_ZONE = 1.5
 UNIT = 1e-3  # evidence from which its logarithm counts
@@ -142,7 +139,7 @@ class KneserNey:
         return out
 
 
-def train(rows: DataFrame, fit_rows: DataFrame, max_entries: int = MAX_ENTRIES) -> tuple[KneserNey | None, float, float]:
+def train(rows: DataFrame, fit_rows: DataFrame) -> tuple[KneserNey | None, float, float]:
     """Count on ``rows`` (text, label), fit the line on ``fit_rows``; both are bounded samples."""
     words, bigrams = count(rows)
     words = words.checkpoint()
@@ -150,11 +147,9 @@ def train(rows: DataFrame, fit_rows: DataFrame, max_entries: int = MAX_ENTRIES)
                       *[F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))), F.lit(0)) for c in ("k0", "k1")], F.count("*")).first()
     if not total[0] or not total[1]:
         return None, 1.0, 0.0
-    # At most max_entries entries can reach the share 1 / max_entries of their total.
-    least = max(MIN_BIGRAM, -(-total[3] // max_entries))
-    kept_words = words.where(F.greatest(F.col("n"), F.col("n0") + F.col("n1")) * max_entries >= total[3]).toPandas()
-    kept_bigrams = bigrams.where(F.col("n0") + F.col("n1") >= least).toPandas()
-    model = KneserNey(kept_words.sort_values("w"), kept_bigrams.sort_values(["v", "w"]), np.array(total[:3], float), np.array(total[4:6], float), total[6])
+    # Other bigrams are discounted to zero in either class and in both together.
+    kept_bigrams = bigrams.where(F.col("n0") + F.col("n1") > DISCOUNT).toPandas()
+    model = KneserNey(words.toPandas().sort_values("w"), kept_bigrams.sort_values(["v", "w"]), np.array(total[:3], float), np.array(total[4:6], float), total[6])
     seen = evidence(fit_rows.select("label", "text"), model, "label").toPandas()
     z = seen["z"].to_numpy()
     return model, *fit_line(np.sign(z) * np.log1p(np.abs(z) / UNIT), seen["id"].to_numpy(float))

@@ -194,6 +194,19 @@ def test_toxicity_on_unseen_documents(spark):
     assert toxicity.score(docs.limit(0), rows, rows).count() == 0
 
 
+def test_toxicity_keeps_rare_entries_of_large_tables(spark):
+    """More than 3 * 2 ** 20 training bigrams: words and bigrams of three occurrences stay."""
+    rare = "rareone raretwo x"
+    rows = (spark.range(400).select(F.concat(F.lit(rare), F.when(F.col("id") < 3, " z").otherwise(" y"), F.repeat(F.concat(F.lit(" k"), F.col("id") % 7), 9000)).alias("text"),
+                                    (F.col("id") % 2).cast("int").alias("label"), "id")
+            .withColumn("text", F.when(F.col("id") < 3, F.col("text")).otherwise(F.substring_index("text", rare, -1))))
+    rows = rows.withColumn("text", F.concat("text", F.lit(" u"), "id"))
+    model, _, _ = toxicity.train(rows.select("text", "label"), rows.where("id < 10").select("text", "label"))
+    hashes = next(word_hashes([rare + " z u7 absent"]))[2]
+    assert (Lookup(model.words)(hashes) >= 0).tolist() == [True] * 5 + [False]
+    assert (Lookup(model.bigrams)(toxicity.bigram_keys(hashes))[1:4] >= 0).all()
+
+
 def test_kneser_ney_conditionals_sum_to_one(spark):
     rnd = random.Random(9)
     rows = spark.createDataFrame([(prose(rnd, 40), i % 2) for i in range(30)], "text string, label int")
