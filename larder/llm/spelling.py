@@ -34,6 +34,7 @@ from larder.llm.common import prepare, table
 MIN_LENGTH, MIN_COUNT, RATIO = 6, 5, 5
 MISSPELL = 199  # a run whose hash this divides loses one letter
 BLOCK_WORDS = 2048
+BLOCK_LETTERS = 1 << 18  # at most in a block, so that outsize words come in smaller blocks
 PAIRS_PER_TASK, MAX_TASKS = 16, 1 << 14
 HELD = 400_000  # distinct words a task holds before it passes their counts on
 FIRST, LAST = 0xC0, 0xFF  # letters beyond a-z
@@ -120,8 +121,9 @@ def near_rows(a: list[str], b: list[str], same: bool) -> tuple[np.ndarray, np.nd
     if same:
         i, j = i[i < j], j[i < j]
     keep = np.zeros(len(i), dtype=bool)
-    for at in range(0, len(i), 1 << 18):
-        part = slice(at, at + (1 << 18))
+    step = max(1, (1 << 22) // y.shape[1])
+    for at in range(0, len(i), step):
+        part = slice(at, at + step)
         keep[part] = inserted(x[i[part]], y[j[part]]) if gap else replaced(x[i[part]], y[j[part]])
     return i[keep], j[keep]
 
@@ -151,7 +153,7 @@ def blocks(words: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         for b in batches:
             part = b.column(0)[0].as_py() if b.num_rows else part
             for word, n, stat in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()):
-                if held and (len(held) >= block_words or len(held[0][0]) != len(word)):
+                if held and (len(held) >= min(block_words, max(1, BLOCK_LETTERS // len(word))) or len(held[0][0]) != len(word)):
                     yield out()
                     held, number = [], number + 1
                 held.append((word, n, stat))
