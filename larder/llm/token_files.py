@@ -17,8 +17,8 @@ is read by the segments whose id range holds it (Parquet statistics skip the
 others) and the offset index: only its own frame is decompressed.
 
 Texts are encoded where they are read; only compressed frames are shuffled, once.
-The dictionary is trained on a bounded, documented sample: at most ``SAMPLES``
-documents of at most ``SAMPLE_BYTES`` of ids, least hash first.  It changes the
+The dictionary is trained on a bounded, documented sample: about ``SAMPLES``
+documents of up to about ``SAMPLE_BYTES`` of ids, chosen by hash.  It changes the
 size of the files, never what is read back.
 
 Nulls and oddities: a null text is the empty text, which has the end id alone.
@@ -31,8 +31,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
+import re
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,39 +43,109 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm.bpe import default_vocabulary, encode_words, split_words
+from larder.llm.bpe import SPECIAL, default_vocabulary, split_words, vocabulary
 from larder.llm.common import prepare, table
 from larder.session import checkpoint_dir
 
 END_ID = 0
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES = 2048, 32 << 10, 64 << 10
-SEGMENT_BYTES, SHARD_BYTES = 4 << 20, 64 << 20
+SEGMENT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
+ROW_GROUP_BYTES = 8 << 20  # what a reader holds at a time
 LEVEL = 3
 CHUNK_CHARS = 1 << 20  # texts split into words at a time
-HELD = 500_000  # words whose ids a task remembers
-
-
-def encoder(path: str, end: int):
-    """Function from texts to their ids, each word encoded once while remembered."""
-    known: dict[str, bytes] = {}
-    last = np.array([end], "<u4").tobytes()
-
-    def encode(texts: list):
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and size < CHUNK_CHARS:
-                split.append(split_words(texts[at]))
-                size += len(texts[at] or "") + 1
-                at += 1
-            if len(known) > HELD:
-                known.clear()
-            new = list({w for found in split for w in found} - known.keys())
-            known.update(zip(new, encode_words(new, path)))
-            for found in split:
-                yield b"".join(map(known.__getitem__, found)) + last
-
-    return encode
+HELD = 400_000  # words whose ids a task remembers
+ROWS = 512  # documents taken from Arrow at a time
+
+# Ranges that hold letters alone, marks alone and white space alone.  Over them the standard
+# library's patterns split as the vocabulary's pattern does.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f"
+_MARKS = "!-/:-@\\[-`{-~\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2010-\u2027"
+_UNCOMMON = re.compile(f"[^{_LETTERS}{_MARKS}0-9 \t\n\r]")
+_COMMON_WORD = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+
+
+class _Numbers(dict):
+    """Number of each word in order of first sight; ``new`` holds those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
+def words_of(text: str | None) -> list[str]:
+    """Pre-tokens as ``split_words`` gives them; texts of common letters and marks take a faster pattern."""
+    if not text:
+        return []
+    if SPECIAL in text or _UNCOMMON.search(text):
+        return split_words(text)
+    return _COMMON_WORD.findall(text)
+
+
+class Encoder:
+    """Ids of texts as bytes; each word is encoded once while remembered."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, _ = vocabulary(path)
+        self.numbers, self.ids, self.at, self.seen = _Numbers(), np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Of too many words those seen once go; all, if that is not enough."""
+        often = self.seen > 1
+        stay = often if often.sum() <= HELD // 2 else np.zeros_like(often)
+        lengths = np.diff(self.at)
+        self.ids = self.ids[np.repeat(stay, lengths)]
+        self.at = np.concatenate(([0], np.cumsum(lengths[stay])))
+        kept = [w for w, s in zip(self.numbers, stay) if s]
+        self.numbers, self.seen = _Numbers(), np.zeros(len(kept), np.int64)  # to be seen again before the next time
+        self.numbers.update(zip(kept, range(len(kept))))
+
+    def learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        new = self.numbers.new
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, count=len(coded))
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(lengths)))
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(coded), "<u4", count=int(lengths.sum()))))
+        self.seen = np.pad(self.seen, (0, len(new)))
+        new.clear()
+
+    def __call__(self, texts: list, end: int):
+        last, k = np.array([end], "<u4").tobytes(), 0
+        while k < len(texts):
+            found, size = [], 0
+            while k < len(texts) and size < CHUNK_CHARS:
+                found.append(words_of(texts[k]))
+                size += len(texts[k] or "") + 1
+                k += 1
+            if len(self.numbers) > HELD:
+                self.forget()
+            words = np.cumsum([0, *map(len, found)])
+            codes = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(found)), np.int64, count=int(words[-1]))
+            if self.numbers.new:
+                self.learn()
+            self.seen += np.bincount(codes, minlength=len(self.numbers))
+            first, n = self.at[codes], self.at[codes + 1] - self.at[codes]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            out = self.ids[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+            cuts = ends[words]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                yield out[i:j].tobytes() + last
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: the words of one task serve the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -84,10 +157,14 @@ def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def dictionary_of(docs: DataFrame, path: str, ident: str, text: str, end: int) -> bytes:
+    """Dictionary trained on about ``SAMPLES`` of the shorter documents, those whose hash
+    lies below a bound set by their number."""
     body = F.coalesce(F.col(text), F.lit(""))
-    picked = docs.where(F.octet_length(body) <= SAMPLE_BYTES // 4).select(
-        F.xxhash64(F.col(ident), body).alias("h"), body.alias("t")).orderBy("h", "t").limit(SAMPLES).collect()
-    return train([x for x in encoder(path, end)([r["t"] for r in picked])])
+    short = docs.where(F.octet_length(body) <= SAMPLE_BYTES // 4)
+    bound = int(min(1.0, SAMPLES / max(1, docs.count())) * (1 << 63))
+    picked = short.where(F.shiftrightunsigned(F.xxhash64(F.col(ident), body), 1) < F.lit(min(bound, (1 << 63) - 1))).select(body.alias("t"))
+    texts = sorted(r["t"] for r in picked.limit(4 * SAMPLES).collect())  # the limit holds where one row repeats endlessly
+    return train(list(encoder(path)(texts, end)))
 
 
 def _codec(data: bytes) -> dict:
@@ -103,13 +180,14 @@ def write(docs: DataFrame, folder: str, path: str, ident: str = "doc_id", text:
     spark.createDataFrame([(digest, data, end)], "sha256 string, data binary, end_id int").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     def encode(batches):
-        compress, ids_of = zstandard.ZstdCompressor(level=LEVEL, **_codec(data)).compress, encoder(path, end)
+        compress, ids_of = zstandard.ZstdCompressor(level=LEVEL, **_codec(data)).compress, encoder(path)
         for b in batches:
-            counts, frames = [], []
-            for ids in ids_of(b.column(1).to_pylist()):
-                counts.append(len(ids) // 4)
-                frames.append(compress(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
+            for first in range(0, b.num_rows, ROWS):
+                part, counts, frames = b.slice(first, ROWS), [], []
+                for ids in ids_of(part.column(1).to_pylist(), end):
+                    counts.append(len(ids) // 4)
+                    frames.append(compress(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], names=["id", "n", "frame"])
 
     # Written before it is dealt out: the range bounds would else encode everything twice,
     # and ``seq`` (which splits equal rows) must not change when a task runs again.
@@ -154,7 +232,7 @@ def write(docs: DataFrame, folder: str, path: str, ident: str = "doc_id", text:
     schema = ("shard int, first bigint, docs bigint, ids bigint, least bigint, greatest bigint, sha256 string, "
               "doc_ids array<bigint>, counts array<bigint>, offsets array<bigint>, frames binary")
     # The frames are compressed already, so Parquet adds only cheap coding.
-    dealt.mapInArrow(pack, schema).write.option("compression", "uncompressed").parquet(f"{folder}/segments")
+    dealt.mapInArrow(pack, schema).write.option("compression", "uncompressed").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/segments")
     sums = sorted(spark.read.parquet(f"{folder}/segments").groupBy("shard").agg(F.sum("ids"), F.sum("docs")).collect())  # one row per shard of SHARD_BYTES
     before = np.cumsum([0, *(r[1] for r in sums)]).tolist()
     spark.createDataFrame([(r[0], b, r[1], r[2]) for r, b in zip(sums, before)], "shard int, base bigint, ids bigint, docs bigint").coalesce(1).write.parquet(f"{folder}/shards")
@@ -169,33 +247,37 @@ def dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes]:
     return row["sha256"], data
 
 
-def _documents(segments: DataFrame, digest: str, data: bytes, wanted: list[int] | None = None) -> DataFrame:
+def _documents(segments: DataFrame, digest: str, data: bytes, wanted: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     ask = None if wanted is None else set(wanted)
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][:5 if with_ids else 4]
+    columns = ["sha256", "base", "first", "doc_ids", "counts", "offsets", "frames"]
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor(**_codec(data)).decompress
         for b in batches:
-            for r in b.to_pylist():
-                if r["sha256"] != digest:
+            for k in range(b.num_rows):
+                sha, base, first, doc_ids, counts, at = (b.column(c)[k].as_py() for c in range(6))
+                if sha != digest:
                     raise ValueError("a segment was written with another dictionary")
-                starts = r["base"] + r["first"] + np.cumsum([0, *r["counts"]])
-                frames, at = memoryview(r["frames"]), r["offsets"]
-                pick = [k for k, i in enumerate(r["doc_ids"]) if ask is None or i in ask]
-                for low in range(0, len(pick), 1024):
-                    part = pick[low:low + 1024]
-                    ids = [unpack(frames[at[k]:at[k + 1]]) for k in part]
+                starts = base + first + np.cumsum([0, *counts])
+                frames = memoryview(b.column(6)[k].as_buffer())
+                pick = [j for j, i in enumerate(doc_ids) if ask is None or i in ask]
+                for low in range(0, len(pick), ROWS):
+                    part = pick[low:low + ROWS]
+                    ids = [unpack(frames[at[j]:at[j + 1]]) for j in part]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([r["doc_ids"][k] for k in part], pa.int64()), pa.array([int(starts[k]) for k in part], pa.int64()),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                        pa.array([doc_ids[j] for j in part], pa.int64()), pa.array([int(starts[j]) for j in part], pa.int64()),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                        *([pa.array(ids, pa.binary())] if with_ids else [])], names=names)
 
-    return segments.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return segments.select(*columns).mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of every document; ``ids`` is binary, four bytes per id."""
+def read(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of every document; ``ids`` is binary,
+    four bytes per id, and left out on request."""
     segments = spark.read.parquet(f"{folder}/segments").join(spark.read.parquet(f"{folder}/shards").select("shard", "base"), "shard")
-    return _documents(segments, *dictionary(spark, folder))
+    return _documents(segments, *dictionary(spark, folder), with_ids=with_ids)
 
 
 def read_ids(spark: SparkSession, folder: str, ids: list[int]) -> DataFrame:
@@ -212,4 +294,4 @@ def op13_token_files(spark: SparkSession, sf_dir: str, path: str | None = None)
     prepare(spark)
     folder = f"{checkpoint_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), folder, path or default_vocabulary())
-    return read(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read(spark, folder, with_ids=False)

@@ -188,6 +188,18 @@ def test_spelling_of_odd_rows(spark):
 
 # -- token files -----------------------------------------------------------------
 
+def test_both_ways_of_splitting_agree():
+    from larder.llm.bpe import split_words
+
+    rnd = random.Random(6)
+    points = [p for r in (range(1, 0x250), range(0x400, 0x530), range(0x2000, 0x2070), (0x3000, 0xFEFF, 0x1F600)) for p in r]
+    for _ in range(3000):
+        text = "".join(rnd.choice((chr(rnd.choice(points)), rnd.choice("ab '\n 9.éж"), rnd.choice(("'s", "'ll", "  ", "\r\n", "don't ")))) for _ in range(12))
+        assert token_files.words_of(text) == split_words(text), text
+    assert token_files.words_of("x<|endoftext|> y") == ["x", "<|endoftext|>", " y"]
+    assert not token_files._UNCOMMON.search("Zażółć — «été» ~[ok]_ Пример, 12%\n")
+
+
 def plain_ids(rows):
     from tokenizers import Tokenizer
 
@@ -203,6 +215,15 @@ def folder_for(spark):
     return f"{checkpoint_dir(spark)}/test-token-files-{uuid.uuid4().hex}"
 
 
+def test_encoder_forgets_words_without_losing_ids(monkeypatch):
+    monkeypatch.setattr(token_files, "HELD", 6)
+    monkeypatch.setattr(token_files, "CHUNK_CHARS", 30)
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(("the", "a", "of", f"rare{rnd.randint(0, 99)}", "")) for _ in range(9)) for _ in range(60)] + [None, ""]
+    got = list(token_files.Encoder(default_vocabulary())(texts, 0))
+    assert got == [as_bytes(ids) for _, ids in plain_ids(enumerate(texts))]
+
+
 def test_token_files_round_trip(spark):
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
     at, want = 0, []
