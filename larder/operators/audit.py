@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import audit_json
-from larder.operators.prefix import DEFAULT_WIDTH, Scan, key_counts, prefix_scan
+from larder.operators.prefix import Scan, prefix_scan
 from larder.sources.schemas import ORDER_AUDIT_ACTOR, PRODUCT_AUDIT_ACTOR
 
 
@@ -87,23 +87,15 @@ def order_audit_rows(changes: DataFrame, changed_at=None) -> DataFrame:
 
 
 def order_audit_from_log(log: DataFrame, order_col="order_id", seq_col="seq", status_col="status",
-                         width: int = DEFAULT_WIDTH) -> DataFrame:
+                         partitions: int | None = None) -> DataFrame:
     """From a log of successive statuses, the prior status of each entry
-    (``lag`` as a chunked scan, so a long log of one order is split) and one
-    audit row per actual change."""
-    from larder.operators.orders import status_code, status_of
-
-    # previous entry = the largest (seq * 8 + status code) before this one: a max, not a sort
-    enc = F.col(seq_col).cast("bigint") * 8 + status_code(F.col(status_col))
-    counts = key_counts(log, order_col, "_n").withColumnRenamed(order_col, "_c_key")
-    j = log.join(counts, log[order_col] == counts._c_key, "left").drop("_c_key")
-    j = prefix_scan(j, order_col, seq_col, [Scan("_prev", "max", enc)], width, count_col="_n")
-    j = j.withColumn("old_status", status_of(F.col("_prev")))
-    j = j.filter(F.col("old_status").isNotNull() & (F.col("old_status") != F.col(status_col)))
-    return j.select(
-        F.col(order_col).alias("record_id"), F.col(seq_col).alias("seq"), "old_status",
-        F.col(status_col).alias("new_status"), F.lit(ORDER_AUDIT_ACTOR).alias("changed_by"),
-    )
+    (``lag`` as a scan by row rank, so a long log of one order is split; the
+    status itself is carried, whatever its text) and one audit row per actual
+    change."""
+    rows = log.select(F.col(order_col).alias("record_id"), F.col(seq_col).alias("seq"), F.col(status_col).alias("new_status"))
+    j = prefix_scan(rows, "record_id", "seq", [Scan("old_status", "prev", F.col("new_status"))], partitions)
+    return j.where("old_status != new_status").select(
+        "record_id", "seq", "old_status", "new_status", F.lit(ORDER_AUDIT_ACTOR).alias("changed_by"))
 
 
 PRODUCT_VALUES = "quantity_in_stock INT, price DECIMAL(12,2)"

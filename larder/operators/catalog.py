@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import normalize_sku
 from larder.operators.audit import product_audit_rows
+from larder.operators.prefix import Scan, prefix_scan
 from larder.sources.requests import REQUEST_SCHEMAS
 from larder.sources.schemas import DEFAULTS, MANUAL_NOTE, MANUAL_REFERENCE, PRODUCT_STATUSES, TABLES, TRANSACTION_TYPES
 
@@ -181,11 +182,18 @@ def patch_products(products: DataFrame, patches: DataFrame, suppliers: DataFrame
     j = j.withColumn("_reason", reason)
     refused = F.col("_reason").isNotNull()
     # the value of a field after a patch: the last one set by an accepted patch so far
-    upto = Window.partitionBy("_pid").orderBy("_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy("_pid").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
     given = {c: F.when(~refused, F.col(f"_n_{c}")) for c in PATCH_FIELDS}
-    j = j.withColumns({**{f"_v_{c}": F.coalesce(F.last(given[c], True).over(upto), F.col(c)) for c in PATCH_FIELDS},
-                       "_old_price": F.coalesce(F.last(given["price"], True).over(before), F.col("price"))})
+    one = j.withColumns({**{f"_v_{c}": F.coalesce(given[c], F.col(c)) for c in PATCH_FIELDS}, "_old_price": F.col("price")})
+    if "seq" in patches.columns:
+        # a running value only for products with several patches, by row rank: a product
+        # with very many is split over tasks
+        several = pt.groupBy(F.col("_pid").alias("_mid")).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1").select("_mid")
+        scans = [Scan(f"_l_{c}", "last", given[c], inclusive=True) for c in PATCH_FIELDS] + [Scan("_l_old", "last", given["price"])]
+        more = prefix_scan(j.join(several, j._pid == several._mid, "left_semi"), "_pid", "_seq", scans)
+        more = more.withColumns({**{f"_v_{c}": F.coalesce(F.col(f"_l_{c}"), F.col(c)) for c in PATCH_FIELDS},
+                                 "_old_price": F.coalesce(F.col("_l_old"), F.col("price"))})
+        one = one.join(several, one._pid == several._mid, "left_anti").unionByName(more.drop(*[s.out for s in scans]))
+    j = one
     outcome = j.select(
         F.col("id").alias("product_id"),
         *([F.col("_seq").alias("seq")] if "seq" in patches.columns else []),

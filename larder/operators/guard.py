@@ -3,56 +3,52 @@
 Rule, per product in id order, with b the stock and s a row's signed
 quantity: the row is accepted and b becomes b + s when b + s >= 0; otherwise
 the row is refused and b stays.  Refusing (not clamping) makes the fold
-serial within a product; it is parallel across products.  The plan keeps
-almost all of it on the JVM:
-
-1. Negative opening stock.  While b < 0 every row with s < -b is refused, and
-   the first row with s >= -b is accepted and makes b >= 0.  That row is a
-   grouped ``min(id)``; rows before it are refused outright.
-2. From then on b >= 0, so only OUT rows can be refused and every refusal
-   raises b relative to the unguarded prefix sum P (b = P + R, where R is
-   the amount refused so far).  Moreover b never falls below the clamped
-   walk C = P - min(0, min P so far) >= max(P, 0).  So if C at a chunk's
-   start plus the chunk's own lowest running sum stays >= 0, no row in the
-   chunk is refused.  P is a chunked prefix sum (see ``ledger``); such a
-   chunk is *clean* and is finished in SQL.
-3. Only rows of *dirty* chunks go through Python: repartitioned by product,
-   sorted by id and streamed through ``mapInPandas`` in Arrow batches.  The
-   fold's only state is R; its search for the next refusal is vectorised.
-   Memory is bounded by the batch size, never by a product's history.
-4. Clean chunks after a dirty chunk of the same product shift by the R
-   accumulated before them; the fold emits one marker row per such chunk and
-   a window over (product, chunk) hands R to the chunk's rows.
-5. A *hot* product (more than ``chunk_ids`` rows) with dirty chunks would
-   make step 3 one long serial task.  From its first accepted row on, with
-   OUT quantities of at most Q, the stock satisfies C <= b < C + Q (the
-   difference b - C only shrinks, or resets below the refused quantity).  So
-   each dirty chunk is tabulated in its own task for the Q possible start
-   offsets; the tables are composed in two levels (groups of consecutive
-   chunks, then the groups of a product, then back to each chunk), so no
-   task holds more than one group of tables; and each chunk is replayed
-   from its exact start: chunk-parallel.
+serial within a product, so a hot product needs more than a window:
+
+1. The ledger is cut by row rank (``prefix.ranked``): parts of about equal
+   row numbers, sorted by (product, id), right through a hot product.  Only the
+   product that a part begins with may go on from the part before; every other
+   product in it starts at its opening stock.
+2. Each part reports one border row: sum, lowest prefix sum and largest OUT of
+   its first product, and the exact final stock of its last one.
+3. From these rows the stock at the start of each part is known exactly where
+   nothing can be refused on the way, and else lies in an interval: never below
+   the clamped walk C (b -> max(b + s, 0)), and above it by less than the largest
+   OUT quantity so far.  (b - C only shrinks, or resets below the refused one.)
+4. A part that may refuse rows and has a successor becomes a *transfer
+   function*: final stock by initial stock over that interval, as merged
+   intervals on which the refused rows, and so the shift, are the same.  The
+   functions of a product's consecutive parts are composed in a tree of
+   ``fan_in``, and the exact start of each part comes back down the tree.
+5. Every part is folded once more, batch by batch, from its exact start.
+
+A product that opens below zero first refuses all rows up to one that lifts it
+(a grouped ``min``); those rows take no part in the sums.  No quantity is too
+large and no product is folded by a single task.  A function of more than
+``max_pieces`` intervals is not kept: its part waits until its start is known
+exactly, when one interval is enough.  The driver holds one row per part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larder.functions.columns import signed_quantity
-from larder.operators.ledger import CHUNK_IDS, with_product_stats
-from larder.operators.prefix import chunk_column
-from larder.session import checkpoint_dir
+from larder.operators.ledger import with_opening
+from larder.operators.prefix import PART, ranked, segments
 from larder.sources.schemas import TRANSACTION_TYPES
 
 REFUSED = "negative_stock"
 NO_PRODUCT = "no_product"
 CHECK = "check"
 
-_DATA, _MARK, _CLEAN = 0, 1, 2
+FAN_IN = 16
+MAX_PIECES = 1 << 20
 
 
 def _first_below(p: np.ndarray, i: int, end: int, threshold: int) -> int:
@@ -101,33 +97,29 @@ def fold_balances(b0: int, s: np.ndarray):
     return acc, before, after, (int(after[-1]) if n else int(b0))
 
 
-def _fold_batch(prod, kind, p, s, carry_product, carry_refused):
-    """Refusals of one Arrow batch (rows sorted by product, chunk, id).
-
-    Products in the batch are independent, so the search runs in rounds over
-    all of them at once: each round finds, per product, the next row whose
-    P + R falls below zero (R = amount refused so far in that product).  A
-    round costs one vectorised pass; when few products are still searching,
-    each continues with its own galloping search.  Returns (accepted, R
-    before each row, last product, its R after the batch)."""
-    n = len(p)
-    cuts = np.flatnonzero(prod[1:] != prod[:-1]) + 1
-    starts = np.concatenate(([0], cuts))
-    ends = np.concatenate((cuts, [n]))
-    nseg = len(starts)
-    seg = np.repeat(np.arange(nseg), ends - starts)
-    r0 = np.zeros(nseg, dtype=np.int64)
-    if prod[0] == carry_product:
-        r0[0] = carry_refused
-    pk = np.where(kind == _MARK, np.iinfo(np.int64).max, p)
+def fold_segments(b0: np.ndarray, s: np.ndarray, judged: np.ndarray, starts: np.ndarray):
+    """The guard over a batch of consecutive products, the one at ``starts[k]`` from
+    ``b0[k]``.  Rows that are not ``judged`` have s = 0 and leave the stock as it is.
+
+    Products are independent, so the search runs in rounds over all of them at
+    once: each round finds, per product, the next row whose prefix sum plus the
+    amount refused so far falls below zero.  When few products are still
+    searching, each goes on with its own galloping search.  Returns (accepted,
+    before, after, final balance of the last product)."""
+    n = len(s)
+    seg = np.zeros(n, dtype=np.int64)
+    seg[starts[1:]] = 1
+    seg = np.cumsum(seg)
+    ends = np.concatenate((starts[1:], [n]))
+    up = np.cumsum(s)
+    p = b0[seg] + up - (up[starts] - s[starts])[seg]
+    pk = np.where(judged, p, np.iinfo(np.int64).max)
     refused_at = np.zeros(n, dtype=bool)
-    r = r0.copy()
-    pos = starts.copy()
-    active = np.ones(nseg, dtype=bool)
-    idx = np.arange(n)
+    r = np.zeros(len(starts), dtype=np.int64)
+    pos, active, at = starts.copy(), np.ones(len(starts), dtype=bool), np.arange(n)
     while active.sum() > 8:
-        cand = (pk + r[seg] < 0) & (idx >= pos[seg]) & active[seg]
-        first = np.minimum.reduceat(np.where(cand, idx, n), starts)
+        low = judged & (p < -r[seg]) & (at >= pos[seg]) & active[seg]
+        first = np.minimum.reduceat(np.where(low, at, n), starts)
         hit = first < n
         active &= hit
         h = first[hit]
@@ -135,329 +127,332 @@ def _fold_batch(prod, kind, p, s, carry_product, carry_refused):
         r[hit] -= s[h]
         pos[hit] = h + 1
     for k in np.flatnonzero(active).tolist():
-        i, end, refused = int(pos[k]), int(ends[k]), int(r[k])
-        while i < end:
-            j = _first_below(pk, i, end, -refused)
-            if j == end:
-                break
-            refused_at[j] = True
-            refused -= int(s[j])
-            i = j + 1
-        r[k] = refused
-    # R before each row: the segment's starting R plus the refusals before it
+        i, end, amount = int(pos[k]), int(ends[k]), int(r[k])
+        while (i := _first_below(pk, i, end, -amount)) < end:
+            refused_at[i] = True
+            amount -= int(s[i])
+            i += 1
     amount = np.where(refused_at, -s, 0)
-    excl = np.cumsum(amount) - amount
-    rb = r0[seg] + excl - excl[starts][seg]
-    return ~refused_at, rb, prod[-1], int(r[-1])
-
-
-def guard_fold(batches):
-    """mapInPandas body.  Input sorted by (product_id, _chunk, _kind, id);
-    carries (product, R) across Arrow batches."""
-    cur, refused = None, 0
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        prod = pdf["product_id"].to_numpy()
-        kind = pdf["_kind"].to_numpy()
-        p = pdf["_p"].fillna(0).to_numpy(dtype=np.int64)
-        s = pdf["_s"].fillna(0).to_numpy(dtype=np.int64)
-        acc, rb, cur, refused = _fold_batch(prod, kind, p, s, cur, refused)
-        out = pdf.assign(accepted=acc, _rb=rb)
-        out.loc[kind == _MARK, "accepted"] = True
-        yield out
-
-
-# Largest OUT quantity for which a hot product's chunks are run in parallel.
-Q_MAX = 4096
-
-_TAB_SCHEMA = "product_id long, _chunk long, _table array<long>"
-_GROUP_SCHEMA = "product_id long, _group long, _table array<long>"
-_GSTART_SCHEMA = "product_id long, _group long, _g_start long"
-_COMP_SCHEMA = "product_id long, _chunk long, _d_start long"
-
-
-def _clamped_end(c0: int, s: np.ndarray) -> int:
-    """End of the clamped walk (b -> max(b + s, 0)) from c0 >= 0."""
-    x = c0 + np.cumsum(s)
-    return int(x[-1] - min(0, int(x.min()))) if len(s) else c0
-
-
-def tabulate_ends(c0: int, s: np.ndarray, q: int) -> np.ndarray:
-    """End balances of one chunk for the start balances c0 + d, d in [0, q).
-
-    All start values advance together: rows at which even the lowest one
-    cannot be refused move every value by the same prefix sum (a galloping
-    search over the cumulative sums); at a row where some may be refused the
-    rule is applied to each, and values that have met are merged (they stay
-    equal from then on).  Work follows the refusals of the lowest value,
-    not q times the rows."""
+    held = np.cumsum(amount) - amount
+    before = p - s + held - held[starts][seg]
+    after = before + np.where(refused_at, 0, s)
+    return ~refused_at & judged, before, after, int(after[-1])
+
+
+# -- transfer functions: (starts, ends, stop).  A stock b in [starts[k], starts[k + 1]) becomes
+# -- ends[k] + b - starts[k]; the last interval ends before stop.
+
+def merged(starts: np.ndarray, ends: np.ndarray, stop: int):
+    shift = ends - starts
+    keep = np.concatenate(([True], shift[1:] != shift[:-1]))
+    return starts[keep], ends[keep], stop
+
+
+def compose(f, g):
+    """``g`` after ``f``; g's domain holds all values of f."""
+    d, y, stop = f
+    size = np.diff(np.append(d, stop))
+    low = np.searchsorted(g[0], y, "right") - 1
+    n = np.searchsorted(g[0], y + size - 1, "right") - low
+    j = np.repeat(np.arange(len(d)), n)
+    k = low[j] + np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n)
+    cut = np.maximum(g[0][k], y[j])
+    return merged(d[j] + cut - y[j], g[1][k] + cut - g[0][k], stop)
+
+
+def value(f, b: int) -> int:
+    k = int(np.searchsorted(f[0], b, "right")) - 1
+    if k < 0 or b >= f[2]:
+        raise ValueError(f"stock {b} lies outside the bounds of its part")
+    return int(f[1][k]) + b - int(f[0][k])
+
+
+def transfer(s: np.ndarray, low: int, high: int, max_pieces: int = MAX_PIECES):
+    """Transfer function of a product's consecutive rows for stocks from ``low`` to
+    ``high`` (both >= 0, or equal); None beyond ``max_pieces`` intervals.
+
+    Rows at which even the lowest value cannot be refused are skipped by a
+    galloping search over the prefix sums.  At any other row the intervals below
+    its quantity stay, those above shift, and one that holds the quantity is
+    split.  This runs over a few hundred intervals at a time, which are then
+    composed with what came before."""
     s = np.asarray(s, dtype=np.int64)
     n = len(s)
-    vals, inv = np.unique(c0 + np.arange(q, dtype=np.int64), return_inverse=True)
-    if n == 0:
-        return vals[inv]
     cum = np.cumsum(s)
+    f = (np.array([low], dtype=np.int64), np.array([low], dtype=np.int64), high + 1)
     i, base = 0, 0
     while i < n:
-        j = _first_below(cum, i, n, base - int(vals[0]))
-        if j == n:
-            vals = vals + (int(cum[n - 1]) - base)
-            break
-        if j > i:
-            vals = vals + (int(cum[j - 1]) - base)
-        stepped = vals + s[j]
-        vals = np.where(stepped >= 0, stepped, vals)
-        base = int(cum[j])
-        vals, merged = np.unique(vals, return_inverse=True)
-        inv = merged[inv]
-        i = j + 1
-    return vals[inv]
-
-
-def _tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One dirty chunk of a hot product: for every possible start offset
-    d = B - C in [0, Q) the offset at the chunk's end (C <= B < C + Q holds
-    throughout, Q being the product's largest OUT quantity), as one array."""
-    pdf = pdf.sort_values("id", kind="stable")
-    s = pdf["_s"].to_numpy(dtype=np.int64)
-    c0 = int(pdf["_cstart"].iloc[0])
-    q = int(pdf["_q"].iloc[0])
-    table = tabulate_ends(c0, s, q) - _clamped_end(c0, s)
-    return pd.DataFrame({"product_id": [pdf["product_id"].iloc[0]], "_chunk": [pdf["_chunk"].iloc[0]],
-                         "_table": [table.astype(np.int64)]})
-
-
-def _compose_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 1: the tables of one group of consecutive chunks composed into
-    one table (vectorised over all start offsets).  Clean chunks have no
-    table and keep the offset."""
-    pdf = pdf.sort_values("_chunk")
-    tables = [np.asarray(t, dtype=np.int64) for t in pdf["_table"] if t is not None]
-    cur = None                      # a group of clean chunks keeps the offset
-    if tables:
-        cur = np.arange(len(tables[0]), dtype=np.int64)
-        for t in tables:
-            cur = t[cur]
-    return pd.DataFrame({"product_id": [pdf["product_id"].iloc[0]], "_group": [pdf["_group"].iloc[0]],
-                         "_table": [cur]})
-
-
-def _group_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 2: start offset of every group of one product, in order."""
-    pdf = pdf.sort_values("_group")
-    d, starts = 0, []
-    for t in pdf["_table"]:
-        starts.append(d)
-        if t is not None:
-            d = int(np.asarray(t)[d])
-    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_group": pdf["_group"].to_numpy(),
-                         "_g_start": np.asarray(starts, dtype=np.int64)})
-
-
-def _chunk_starts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Level 3: start offset of every chunk of one group from the group's start."""
-    pdf = pdf.sort_values("_chunk")
-    d, starts = int(pdf["_g_start"].iloc[0]), []
-    for t in pdf["_table"]:
-        starts.append(d)
-        if t is not None:
-            d = int(np.asarray(t)[d])
-    return pd.DataFrame({"product_id": pdf["product_id"].iloc[0], "_chunk": pdf["_chunk"].to_numpy(),
-                         "_d_start": np.asarray(starts, dtype=np.int64)})
-
-
-def _replay_schema(cols_schema: T.StructType) -> T.StructType:
-    return T.StructType(cols_schema.fields + [
-        T.StructField("accepted", T.BooleanType()), T.StructField("stock_before", T.LongType()),
-        T.StructField("stock_after", T.LongType())])
-
-
-def _replay(pdf: pd.DataFrame, cols: list[str]) -> pd.DataFrame:
-    """One dirty chunk of a hot product from its now-known start balance."""
-    pdf = pdf.sort_values("id", kind="stable")
-    b0 = int(pdf["_cstart"].iloc[0]) + int(pdf["_d_start"].iloc[0])
-    acc, before, after, _ = fold_balances(b0, pdf["_s"].to_numpy(dtype=np.int64))
-    out = pdf[cols].copy()
-    out["accepted"], out["stock_before"], out["stock_after"] = acc, before, after
-    return out
-
-
-def guard_ledger(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS,
-                 materialize: bool = True, q_max: int = Q_MAX, compose_group: int = 1024) -> DataFrame:
+        image_stop = int((f[1] + np.diff(np.append(f[0], f[2]))).max())
+        start = int(f[1].min())
+        d, y, stop = np.array([start], dtype=np.int64), np.array([start - base], dtype=np.int64), image_stop
+        steps = 0
+        while len(d) < 512 and steps < 4096:
+            j = _first_below(cum, i, n, -int(y.min()))
+            if j == n:
+                i = n
+                break
+            limit = -int(cum[j])
+            size = np.diff(np.append(d, stop))
+            split = np.flatnonzero((y < limit) & (y + size > limit))
+            if len(split):
+                d, y = np.insert(d, split + 1, d[split] + limit - y[split]), np.insert(y, split + 1, limit)
+            y = np.where(y < limit, y - s[j], y)
+            i, steps = j + 1, steps + 1
+            if i == n:
+                break
+        base = int(cum[i - 1])
+        f = compose(f, merged(d, y + base, stop))
+        if len(f[0]) > max_pieces:
+            return None
+    return f
+
+
+# -- parts ---------------------------------------------------------------------------
+
+_BORDER = ("part int, head bigint, open bigint, total bigint, lowest bigint, largest bigint, gain bigint, opens boolean, "
+           "whole boolean, tail bigint, tail_end bigint")
+_FUNCTION = "chain bigint, seq bigint, part int, starts binary, ends binary, stop bigint"
+
+
+_KINDS = {"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    return pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+class _Run:
+    """What a part's border row says of one product: its judged rows so far."""
+
+    def __init__(self, product, opening: int, keep: bool):
+        self.product, self.opening, self.rows = product, opening, [] if keep else None
+        self.total, self.lowest, self.largest, self.gain, self.opens = 0, None, 0, 0, False
+
+    def add(self, s: np.ndarray, judged: np.ndarray, pre: bool) -> None:
+        self.opens |= pre
+        s = s[judged]
+        if not len(s):
+            return
+        up = self.total + np.cumsum(s)
+        low = int(up.min())
+        self.lowest = low if self.lowest is None else min(self.lowest, low)
+        self.largest = max(self.largest, int(-s.min()))
+        self.gain += int(s[s > 0].sum())
+        self.total = int(up[-1])
+        if self.rows is not None:
+            self.rows.append(s)
+
+    def end(self) -> int:
+        return fold_balances(self.opening, np.concatenate(self.rows))[3] if self.rows else self.opening
+
+
+def _columns(b: pa.RecordBatch, first: int):
+    """Signed quantity, judged and refused-while-negative flags from the columns at ``first``: _s, _why."""
+    s = b.column(first).to_numpy(zero_copy_only=False)
+    why = b.column(first + 1)
+    judged = why.is_null().to_numpy(zero_copy_only=False)
+    pre = np.zeros(len(s), dtype=bool) if judged.all() else (np.array(why.to_pylist(), dtype=object) == REFUSED)
+    return s, judged, pre
+
+
+def _borders(cut: DataFrame) -> list:
+    def run(batches):
+        part, head, current = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, opening = b.column(1), b.column(2)
+            s, judged, pre = _columns(b, 3)
+            starts = segments(keys).tolist() + [b.num_rows]
+            if part is None:
+                part = b.column(0)[0].as_py()
+                current = head = _Run(keys[0].as_py(), opening[0].as_py(), False)
+            for k in sorted({0, len(starts) - 2}):  # products that begin and end inside the batch need no border
+                i, j = starts[k], starts[k + 1]
+                if keys[i].as_py() != current.product:
+                    current = _Run(keys[i].as_py(), opening[i].as_py(), True)
+                current.add(s[i:j], judged[i:j], bool(pre[i:j].any()))
+        if part is not None:
+            whole = current is head
+            yield pa.RecordBatch.from_pylist([{
+                "part": part, "head": head.product, "open": head.opening, "total": head.total, "lowest": head.lowest, "largest": head.largest,
+                "gain": head.gain, "opens": head.opens, "whole": whole, "tail": current.product, "tail_end": None if whole else current.end()}],
+                schema=_arrow(_BORDER))
+
+    return sorted(cut.select(PART, "product_id", "_open", "_s", "_why").mapInArrow(run, _BORDER).collect(), key=lambda r: r["part"])
+
+
+def plan_parts(borders: list, ends: dict[int, int]) -> tuple[dict, list]:
+    """(exact, todo): the start stock of each part as far as it is known, given the
+    exact final stocks ``ends`` found so far; and the parts whose function is
+    needed, as [chain, seq, part, low, high, shift].  A chain begins where the
+    stock is exact; ``shift`` is what the parts without refusals add on the way to
+    the next part of the chain."""
+    exact, todo, links = {}, [], []
+    key, seen, b, low, high = None, False, None, 0, 0
+    for k, r in enumerate(borders):
+        if not seen or r["head"] != key or r["opens"]:
+            b = r["open"]
+        if b is not None:
+            exact[r["part"]], low, high, links = b, b, b, []
+        key, seen = r["tail"], True
+        if not r["whole"]:
+            b = r["tail_end"]
+        elif r["part"] in ends:
+            b = ends[r["part"]]
+        elif r["lowest"] is None or low + r["lowest"] >= 0:  # nothing can be refused
+            b = None if b is None else b + r["total"]
+            low, high = low + r["total"], high + r["total"]
+            if links:
+                links[-1][5] += r["total"]
+        elif k + 1 < len(borders) and borders[k + 1]["head"] == key:
+            links.append([links[0][0] if links else k, len(links), r["part"], low, high, 0])
+            todo.append(links[-1])
+            end = low + r["total"] - min(0, low + r["lowest"])
+            b, low, high = None, end, min(high + r["gain"], end + max(high - low, r["largest"] - 1))
+    return exact, todo
+
+
+def _functions(cut: DataFrame, todo: list, max_pieces: int) -> DataFrame:
+    """Transfer functions of the parts in ``todo``, each of one product alone: one row per part."""
+    wanted = {t[2]: t for t in todo}
+
+    def run(batches):
+        part, rows = None, []
+        for b in batches:
+            if b.num_rows:
+                part = b.column(0)[0].as_py()
+                if part not in wanted:
+                    return
+                s, judged, _ = _columns(b, 1)
+                rows.append(s[judged])
+        if part is not None:
+            chain, seq, _, low, high, shift = wanted[part]
+            s = np.concatenate(rows)
+            f = (np.array([low]), np.array([fold_balances(low, s)[3]]), low + 1) if low == high else transfer(s, low, high, max_pieces)
+            yield _function(chain, seq, part, f and (f[0], f[1] + shift, f[2]))
+
+    return cut.select(PART, "_s", "_why").mapInArrow(run, _FUNCTION).checkpoint()
+
+
+def _function(chain, seq, part, f) -> pa.RecordBatch:
+    row = {"chain": chain, "seq": seq, "part": part, "starts": None, "ends": None, "stop": None}
+    if f is not None:
+        row |= {"starts": f[0].astype("<i8").tobytes(), "ends": f[1].astype("<i8").tobytes(), "stop": int(f[2])}
+    return pa.RecordBatch.from_pylist([row], schema=_arrow(_FUNCTION))
+
+
+def _read(row: dict):
+    return None if row["starts"] is None else (np.frombuffer(row["starts"], "<i8"), np.frombuffer(row["ends"], "<i8"), row["stop"])
+
+
+def _compose_group(group: pa.Table) -> pa.Table:
+    rows = sorted(group.to_pylist(), key=lambda r: r["seq"])
+    f = _read(rows[0])
+    for r in rows[1:]:
+        g = _read(r)
+        f = None if f is None or g is None else compose(f, g)
+        if f is not None and len(f[0]) > 4 * MAX_PIECES:
+            f = None
+    return pa.Table.from_batches([_function(rows[0]["chain"], rows[0]["group"], None, f)])
+
+
+_STEP = "chain bigint, seq bigint, part int, start bigint, end bigint"
+
+
+def _evaluate(rows: list[dict], b: int | None) -> pa.Table:
+    """Start and end of each function of a group whose first starts at ``b``."""
+    out = []
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        f = _read(r)
+        end = None if b is None or f is None else value(f, b)
+        out.append({"chain": r["chain"], "seq": r["seq"], "part": r["part"], "start": b, "end": end})
+        b = end
+    return pa.Table.from_pylist(out, schema=_arrow(_STEP))
+
+
+def _resolve(functions: DataFrame, todo: list, fan_in: int) -> dict[int, int]:
+    """Exact final stock by part, wherever the functions tell it."""
+    first = {t[0]: t[3] for t in todo if t[1] == 0}
+    shift = {t[2]: t[5] for t in todo}
+    longest = 1 + max(t[1] for t in todo)
+    group = F.floor(F.col("seq") / fan_in).cast("bigint")
+    levels = [functions]
+    while longest > fan_in:
+        up = levels[-1].withColumn("group", group).groupBy("chain", "group").applyInArrow(_compose_group, _FUNCTION).checkpoint()
+        levels.append(up)
+        longest = -(-longest // fan_in)
+    steps = levels[-1].groupBy("chain").applyInArrow(lambda t: _evaluate(t.to_pylist(), first[t["chain"][0].as_py()]), _STEP)
+    for level in reversed(levels[:-1]):
+        above = steps.select(F.col("chain"), F.col("seq").alias("group"), F.col("start").alias("b"))
+        steps = level.withColumn("group", group).join(above, ["chain", "group"]).groupBy("chain", "group").applyInArrow(
+            lambda t: _evaluate(t.to_pylist(), t["b"][0].as_py()), _STEP)
+    # one row per part; the shift belongs to the parts after this one
+    return {r["part"]: r["end"] - shift[r["part"]] for r in steps.where("end IS NOT NULL").select("part", "end").collect()}
+
+
+def guard_ledger(opening: DataFrame, ledger: DataFrame, partitions: int | None = None, fan_in: int = FAN_IN,
+                 max_pieces: int = MAX_PIECES) -> DataFrame:
     """Judge every ledger row against the running stock.
 
-    ``opening``: (product_id, opening_stock) of all products.  Returns the
-    ledger's columns plus accepted, stock_before, stock_after (bigint) and
+    ``opening``: (product_id, opening_stock), one row for each product.  Returns
+    the ledger's columns plus accepted, stock_before, stock_after (bigint) and
     reason: null, 'negative_stock', or before any judgement 'check' (quantity
     missing or not above 0, unknown type) and 'no_product' (no such product);
-    these have no stock.  ``q_max`` bounds the OUT quantities for which a hot
-    product's chunks are judged in parallel (each dirty chunk is folded once
-    per possible start offset, so the cost per chunk grows with it);
-    ``compose_group`` chunks are composed per task in the first level.  With ``materialize``
-    (the default) the prefix sums are checkpointed once (an eager job).
+    these have no stock.  ``partitions`` fixes the number of parts (default: the
+    session's shuffle partitions).  The ranked rows are checkpointed (an eager job).
     """
     cols = ledger.columns
     # rows that a CHECK, NOT NULL or the foreign key refuses are not judged
     valid = F.coalesce((F.col("quantity") > 0) & F.col("transaction_type").isin(*TRANSACTION_TYPES), F.lit(False))
-    known = opening.select("product_id").filter("product_id IS NOT NULL").distinct()
-    sound = ledger.filter(valid)
-
-    def unjudged(rows, reason):
-        return rows.select(
-            *cols, F.lit(False).alias("accepted"), F.lit(None).cast("bigint").alias("stock_before"),
-            F.lit(None).cast("bigint").alias("stock_after"), F.lit(reason).alias("reason"))
-
-    orphans = unjudged(ledger.filter(~valid), CHECK).unionByName(
-        unjudged(sound.join(known, "product_id", "left_anti").select(*cols), NO_PRODUCT))
-    t0 = sound.join(known, "product_id", "left_semi").select(*cols).withColumn("_s", signed_quantity().cast("bigint"))
-
-    # 1. first accepted row of products that open below zero: a grouped min
-    #    over the rows already joined to their opening stock (one row per
-    #    such product comes back; no second pass over the ledger is joined)
-    t1 = with_product_stats(t0, opening)
-    rec = (t1.filter((F.col("_open") < 0) & (F.col("_s") >= -F.col("_open")))
-           .groupBy(F.col("product_id").alias("_rpid"))
-           .agg(F.min("id").alias("_first_ok")))
-    t = t1.join(rec, t1.product_id == rec._rpid, "left").drop("_rpid")
-    pre = (F.col("_open") < 0) & (F.col("_first_ok").isNull() | (F.col("id") < F.col("_first_ok")))
-    t = t.withColumn("_pre", pre).withColumn("_se", F.when(F.col("_pre"), F.lit(0)).otherwise(F.col("_s")))
-
-    # 2. chunked prefix sums of the effective quantity, chunk minima, chunk flags
-    # only products with more than chunk_ids rows are cut into id ranges
-    # (repartition explicitly: a partitioning by product alone, e.g. after a
-    # join on it, would satisfy the window and keep a hot product in one task)
-    t = t.withColumn("_chunk", chunk_column("id", chunk_ids, "_n")).repartition("product_id", "_chunk")
-    wl = (Window.partitionBy("product_id", "_chunk").orderBy("id")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumn("_local", F.sum("_se").over(wl))
-    ct = t.groupBy("product_id", "_chunk").agg(
-        F.sum("_se").alias("_ctot"),
-        F.min(F.when(~F.col("_pre"), F.col("_local"))).alias("_lmin"),
-        F.min("_open").alias("_copen"),
-        F.max(F.when(F.col("_s") < 0, -F.col("_s"))).alias("_cq"),
-        F.max("_n").alias("_cn"),
-    )
-    wc = Window.partitionBy("product_id").orderBy("_chunk")
-    ct = ct.withColumn("_off", F.coalesce(
-        F.sum("_ctot").over(wc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # A chunk is clean when even the lowest possible stock at its start plus
-    # its own lowest prefix stays >= 0.  With an opening >= 0 the guarded
-    # stock B is never below the clamped walk C = P - min(0, min P so far)
-    # (refusing keeps B where clamping would drop C to 0), and C >= max(P, 0).
-    # C at a chunk start needs only the lowest P of the earlier chunks: a
-    # running min over the chunk table.  Products opening below zero use P.
-    p_start = F.col("_copen") + F.col("_off")
-    ct = ct.withColumn("_pmin_before", F.min(p_start + F.col("_lmin")).over(
-        wc.rowsBetween(Window.unboundedPreceding, -1)))
-    # With a negative opening the walk starts at the first accepted row; the
-    # refused prefix (P = opening there) is left out of the lowest P.  The
-    # first chunk with accepted rows then starts exactly at the opening.
-    lowest = F.when(F.col("_copen") >= 0,
-                    F.least(F.lit(0), F.col("_copen"), F.coalesce(F.col("_pmin_before"), F.col("_copen")))
-                    ).otherwise(F.least(F.lit(0), F.coalesce(F.col("_pmin_before"), F.lit(0))))
-    start_low = p_start - lowest
-    ct = ct.withColumn("_cdirty", F.coalesce(start_low + F.col("_lmin") < 0, F.lit(False)))
-    by_product = Window.partitionBy("product_id")
-    ct = ct.withColumns({
-        "_pdirty": F.max(F.col("_cdirty").cast("int")).over(by_product) == 1,
-        "_q": F.coalesce(F.max("_cq").over(by_product), F.lit(0)),
-        "_cstart": start_low,
-    })
-    # hot products (cut into chunks) with bounded OUT quantities and a dirty
-    # chunk: their chunks are judged in parallel (section 5)
-    ct = ct.withColumn("_par", F.col("_pdirty") & (F.col("_cn") > chunk_ids)
-                       & (F.col("_q") >= 1) & (F.col("_q") <= q_max))
-    t = t.join(ct.select("product_id", "_chunk", "_off", "_cdirty", "_pdirty", "_q", "_cstart", "_par"),
-               ["product_id", "_chunk"], "inner")
-    t = t.withColumn("_p", F.col("_open") + F.col("_off") + F.col("_local"))
-    # Four branches read these rows.  Materialise them once in the shared
-    # checkpoint folder: one shuffle of the ledger instead of one per branch,
-    # and a lineage that survives the loss of executors.
-    if materialize:
-        checkpoint_dir(t.sparkSession)
-        t = t.drop("_local", "_se").checkpoint(eager=True)
-
-    def emit(df, accepted, before, after):
-        return df.select(
-            *cols,
-            accepted.alias("accepted"),
-            before.cast("bigint").alias("stock_before"),
-            after.cast("bigint").alias("stock_after"),
-            F.when(~accepted, F.lit(REFUSED)).alias("reason"),
-        )
-
-    # rows refused while the opening stock is still negative
-    pre_rows = emit(t.filter("_pre"), F.lit(False), F.col("_open"), F.col("_open"))
-    # products with no dirty chunk: the unguarded balance is the answer
-    clean = t.filter(~F.col("_pre") & ~F.col("_pdirty"))
-    clean_rows = emit(clean, F.lit(True), F.col("_p") - F.col("_s"), F.col("_p"))
-
-    # 3. dirty chunks through the fold, with one marker per clean chunk of a dirty product
-    work = ["_chunk", "_p", "_s"]
-    serial = t.filter(~F.col("_par"))
-    data = serial.filter(~F.col("_pre") & F.col("_cdirty")).select(*cols, *work, F.lit(_DATA).alias("_kind"))
-    marks = (serial.filter(~F.col("_pre") & F.col("_pdirty") & ~F.col("_cdirty"))
-             .groupBy("product_id", "_chunk").agg(F.min("id").alias("id"))
-             .withColumn("_kind", F.lit(_MARK)))
-    fold_in = data.unionByName(marks, allowMissingColumns=True)
-    out_schema = T.StructType(fold_in.schema.fields + [
-        T.StructField("accepted", T.BooleanType()), T.StructField("_rb", T.LongType())])
-    folded = (fold_in.repartition("product_id")
-              .sortWithinPartitions("product_id", "_chunk", "_kind", "id")
-              .mapInPandas(guard_fold, out_schema))
-
-    # 4. clean chunks of dirty products take the refused amount from their marker
-    rest = serial.filter(~F.col("_pre") & F.col("_pdirty") & ~F.col("_cdirty")).select(
-        *cols, *work, F.lit(_CLEAN).alias("_kind"))
-    u = folded.unionByName(rest, allowMissingColumns=True).repartition("product_id", "_chunk")
-    u = u.withColumn("_cum", F.max(F.when(F.col("_kind") == _MARK, F.col("_rb")))
-                     .over(Window.partitionBy("product_id", "_chunk")))
-    u = u.filter(F.col("_kind") != _MARK)
-    is_data = F.col("_kind") == _DATA
-    acc = F.when(is_data, F.col("accepted")).otherwise(F.lit(True))
-    shift = F.when(is_data, F.col("_rb")).otherwise(F.coalesce(F.col("_cum"), F.lit(0)))
-    before = F.col("_p") - F.col("_s") + shift
-    after = before + F.when(acc, F.col("_s")).otherwise(F.lit(0))
-    slow_rows = emit(u, acc, before, after)
-
-    # 5. hot dirty products, chunk-parallel: the guarded stock B stays within
-    #    [C, C + Q) of the clamped walk C, so each dirty chunk is tabulated for
-    #    the Q possible start offsets in its own task, the tables are composed
-    #    in bounded levels, and each chunk is replayed from its exact start.
-    #    No task holds more than one chunk of rows or one group of tables.
-    result = pre_rows.unionByName(clean_rows).unionByName(slow_rows).unionByName(orphans)
-    par = t.filter(F.col("_par") & ~F.col("_pre"))      # refused prefix rows are emitted above
-    # the rows are materialised, so whether any product needs this path is a
-    # one-row probe; without one the plan carries no empty Python stages
-    if materialize and not par.limit(1).collect():
-        return result
-    dirty_par = par.filter(F.col("_cdirty")).select("product_id", "_chunk", "id", "_s", "_cstart", "_q")
-    tables = dirty_par.groupBy("product_id", "_chunk").applyInPandas(_tabulate, _TAB_SCHEMA)
-    clean_marks = par.filter(~F.col("_cdirty")).groupBy("product_id", "_chunk").agg(
-        F.lit(None).cast("array<bigint>").alias("_table"))
-    # one row per chunk (its table, or none when clean), in groups of
-    # compose_group consecutive chunks; materialised, as levels 1 and 3 read it
-    chunk_tables = tables.unionByName(clean_marks).withColumn(
-        "_group", F.floor(F.col("_chunk") / F.lit(compose_group)).cast("bigint"))
-    if materialize:
-        chunk_tables = chunk_tables.checkpoint(eager=True)
-    group_tables = chunk_tables.groupBy("product_id", "_group").applyInPandas(_compose_group, _GROUP_SCHEMA)
-    group_starts = group_tables.groupBy("product_id").applyInPandas(_group_starts, _GSTART_SCHEMA)
-    starts = (chunk_tables.join(group_starts, ["product_id", "_group"], "inner")
-              .groupBy("product_id", "_group").applyInPandas(_chunk_starts, _COMP_SCHEMA))
-    par = par.join(starts, ["product_id", "_chunk"], "inner")
-    b_start = F.col("_cstart") + F.col("_d_start")
-    par_clean = par.filter(~F.col("_cdirty"))
-    after_clean = b_start + F.col("_p") - F.col("_open") - F.col("_off")   # start + running sum in chunk
-    par_clean_rows = emit(par_clean, F.lit(True), after_clean - F.col("_s"), after_clean)
-    replay_in = par.filter(F.col("_cdirty")).select(*cols, "_chunk", "_s", "_cstart", "_d_start")
-    replay_schema = _replay_schema(ledger.select(*cols).schema)
-    par_dirty_rows = (replay_in.groupBy("product_id", "_chunk")
-                      .applyInPandas(lambda pdf: _replay(pdf, cols), replay_schema)
-                      .withColumn("reason", F.when(~F.col("accepted"), F.lit(REFUSED))))
-
-    return result.unionByName(par_clean_rows).unionByName(par_dirty_rows)
+    t = with_opening(ledger, opening).withColumn("_s", F.coalesce(signed_quantity().cast("bigint"), F.lit(0)))
+    t = t.withColumn("_why", F.when(~valid, CHECK).when(~F.col("_known"), NO_PRODUCT))
+    if not opening.where("opening_stock < 0").isEmpty():
+        lift = (t.where(F.col("_why").isNull() & (F.col("_open") < 0) & (F.col("_s") >= -F.col("_open")))
+                .groupBy(F.col("product_id").alias("_lifted")).agg(F.min("id").alias("_lift")))
+        t = t.join(lift, t.product_id == lift._lifted, "left")
+        waits = F.col("_why").isNull() & (F.col("_open") < 0) & (F.col("_lift").isNull() | (F.col("id") < F.col("_lift")))
+        t = t.withColumn("_why", F.when(waits, REFUSED).otherwise(F.col("_why")))
+    t = t.select(*cols, "_open", "_why", F.when(F.col("_why").isNull(), F.col("_s")).otherwise(F.lit(0)).alias("_s"))
+    cut = ranked(t, "product_id", "id", partitions)
+
+    borders, ends = _borders(cut), {}
+    while True:
+        exact, todo = plan_parts(borders, ends)
+        if not todo:
+            break
+        ends |= _resolve(_functions(cut, todo, max_pieces), todo, fan_in)
+
+    at = {c: i for i, c in enumerate(cut.columns)}
+    names = [*cols, "accepted", "stock_before", "stock_after", "reason"]
+
+    def run(batches):
+        b0, last = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, opens = b.column(at["product_id"]), b.column(at["_open"]).to_numpy(zero_copy_only=False)
+            s, why = b.column(at["_s"]).to_numpy(zero_copy_only=False), b.column(at["_why"])
+            judged = why.is_null().to_numpy(zero_copy_only=False)
+            starts = segments(keys)
+            stock = opens[starts].astype(np.int64)
+            if b0 is None:
+                stock[0] = exact[b.column(at[PART])[0].as_py()]
+            elif keys[0].as_py() == last:
+                stock[0] = b0
+            accepted, before, after, b0 = fold_segments(stock, s, judged, starts)
+            last = keys[b.num_rows - 1].as_py()
+            reason = np.array(why.to_pylist(), dtype=object)
+            reason[judged & ~accepted] = REFUSED
+            blank = (reason == CHECK) | (reason == NO_PRODUCT)
+            yield pa.RecordBatch.from_arrays([
+                *[b.column(at[c]) for c in cols], pa.array(accepted), pa.array(before, mask=blank), pa.array(after, mask=blank),
+                pa.array(reason, pa.string())], names=names)
+
+    schema = T.StructType(ledger.schema.fields + [
+        T.StructField("accepted", T.BooleanType()), T.StructField("stock_before", T.LongType()),
+        T.StructField("stock_after", T.LongType()), T.StructField("reason", T.StringType())])
+    return cut.mapInArrow(run, schema)
 
 
 def guard_reference(opening: pd.DataFrame, ledger: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import checkpoint_dir
 from larder.sources.schemas import CHECKS, FOREIGN_KEYS, UNIQUE, not_null_columns
 
 
@@ -104,9 +105,14 @@ def delete_impact(tables: dict[str, DataFrame], keys: dict[str, DataFrame], chai
     ``chained`` the deletes run children-first and a later delete no longer
     sees rows that earlier deletes or their cascades removed (e.g. deleting an
     order and then the product its only item referenced is allowed).
+
+    Per table one grouped verdict: the keys, the table's ids and the references
+    of all its RESTRICT children are stacked with a tag and grouped by id, so
+    they share one exchange, which partial aggregation keeps at one row per id
+    and task however often a parent is referenced.  The verdicts are materialised;
+    the children that follow a deleted row are stacked too and take one semi join.
     """
-    parts = []
-    removed: dict[str, DataFrame] = {}
+    parts, removed = [], {}
 
     def remaining(table: str) -> DataFrame:
         df = tables[table]
@@ -116,41 +122,35 @@ def delete_impact(tables: dict[str, DataFrame], keys: dict[str, DataFrame], chai
         return df.join(gone, df.id == gone._gone, "left_anti")
 
     def mark_removed(table: str, ids: DataFrame) -> None:
-        ids = ids.select("id")
         removed[table] = ids if table not in removed else removed[table].unionByName(ids)
 
+    def tagged(df: DataFrame, column: str, tag: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull()).select(F.col(column).cast("bigint").alias("_ref"), F.lit(tag).alias("_tag"))
+
     for table in (_delete_order(list(keys)) if chained else list(keys)):
-        k = keys[table]
-        base = remaining(table)
-        rows = base.join(k.select(F.col("id").alias("_kid")), base.id == F.col("_kid"), "left_semi").select("id")
-        blocked = None
-        for fk in FOREIGN_KEYS:
-            if fk.parent != table or fk.on_delete != "restrict" or fk.table not in tables:
-                continue
-            refs = remaining(fk.table).select(F.col(fk.column).alias("_ref"))
-            hit = rows.join(refs, rows.id == refs._ref, "left_semi")
-            blocked = hit if blocked is None else blocked.unionByName(hit)
-        if blocked is not None:
-            blocked = blocked.distinct()
-            deleted = rows.join(blocked.withColumnRenamed("id", "_bid"), rows.id == F.col("_bid"), "left_anti")
-            parts.append(blocked.select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"),
-                                        F.lit("restricted").alias("effect")))
-        else:
-            deleted = rows
-        parts.append(deleted.select(F.lit(table).alias("table_name"), F.col("id").alias("row_id"),
-                                    F.lit("deleted").alias("effect")))
-        mark_removed(table, deleted)
-        for fk in FOREIGN_KEYS:
-            if fk.parent != table or fk.on_delete == "restrict" or fk.table not in tables:
-                continue
-            child = remaining(fk.table)
-            d = deleted.select(F.col("id").alias("_did"))
-            hit = child.join(d, child[fk.column] == d._did, "left_semi")
-            effect = "set_null" if fk.on_delete == "set_null" else "cascaded"
-            parts.append(hit.select(F.lit(fk.table).alias("table_name"), F.col("id").alias("row_id"),
-                                    F.lit(effect).alias("effect")))
-            if effect == "cascaded":
-                mark_removed(fk.table, hit)
+        checkpoint_dir(tables[table].sparkSession)
+        edges = [fk for fk in FOREIGN_KEYS if fk.parent == table and fk.table in tables]
+        stacked = _union([tagged(keys[table], "id", "key"), tagged(remaining(table), "id", "row"),
+                          *[tagged(remaining(fk.table), fk.column, "restrict") for fk in edges if fk.on_delete == "restrict"]])
+        has = {t: F.coalesce(F.bool_or(F.col("_tag") == t), F.lit(False)) for t in ("key", "row", "restrict")}
+        verdict = (stacked.groupBy("_ref").agg(*[c.alias(f"_{t}") for t, c in has.items()])
+                   .where("_key AND _row").select("_ref", "_restrict").checkpoint())
+        parts.append(verdict.select(F.lit(table).alias("table_name"), F.col("_ref").alias("row_id"),
+                                    F.when(F.col("_restrict"), "restricted").otherwise("deleted").alias("effect")))
+        deleted = verdict.where("NOT _restrict").select("_ref")
+        mark_removed(table, deleted.select(F.col("_ref").alias("id")))
+        following = [fk for fk in edges if fk.on_delete != "restrict"]
+        if following:
+            rows = _union([remaining(fk.table).where(F.col(fk.column).isNotNull()).select(
+                F.col(fk.column).cast("bigint").alias("_ref"), F.lit(fk.table).alias("table_name"), F.col("id").alias("row_id"),
+                F.lit("set_null" if fk.on_delete == "set_null" else "cascaded").alias("effect")) for fk in following])
+            hit = rows.join(deleted, "_ref", "left_semi").drop("_ref")
+            if chained:
+                hit = hit.checkpoint()
+            parts.append(hit)
+            for fk in following:
+                if fk.on_delete == "cascade":
+                    mark_removed(fk.table, hit.where(F.col("table_name") == fk.table).select(F.col("row_id").alias("id")))
     return _union(parts)
 
 

@@ -2,23 +2,17 @@
 
 The ledger is an append-only event table keyed by ``id``.  Sums are
 commutative (partial + final aggregation, skew-safe).  Running balances are
-computed as chunked prefix sums (``operators.prefix``): rows are cut into id
-ranges of ``CHUNK_IDS``; a window over (product, chunk) gives the local
-prefix, and a much smaller per-chunk table gives each chunk's offset.  A
-product that holds a third of all rows is spread over many tasks.
+prefix scans by row rank (``operators.prefix``), so a product that holds a
+third of all rows is spread over many tasks whatever its ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint, signed_quantity
-from larder.operators.prefix import Scan, key_counts, prefix_scan
-
-# Width of one id range.  Unique ids bound a (product, chunk) window partition
-# to CHUNK_IDS rows whatever the skew between products.
-CHUNK_IDS = 1 << 20
+from larder.operators.prefix import Scan, prefix_scan
 
 
 def ledger_stock(ledger: DataFrame) -> DataFrame:
@@ -26,48 +20,57 @@ def ledger_stock(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("product_id").agg(as_bigint(F.sum(signed_quantity())).alias("stock"))
 
 
-def _opening(opening: DataFrame) -> DataFrame:
-    return opening.select(F.col("product_id").alias("_opid"),
-                          F.col("opening_stock").cast("bigint").alias("_open"))
-
-
-def with_product_stats(rows: DataFrame, opening: DataFrame) -> DataFrame:
-    """Attach to every ledger row its product's opening stock (``_open``, 0
-    when absent) and row count (``_n``) with one join: the counts are a
-    partial aggregate over the ledger joined to the opening table first."""
-    counts = key_counts(rows, "product_id", "_n")
-    op = _opening(opening)
-    stats = counts.join(op, counts.product_id == op._opid, "left").select(
-        F.col("product_id").alias("_spid"), "_n", F.coalesce(F.col("_open"), F.lit(0)).alias("_open"))
-    j = rows.join(stats, rows.product_id == stats._spid, "left").drop("_spid")
-    # (a row with a null product matches no stats row; it is kept, at 0)
-    return j.withColumns({"_n": F.coalesce(F.col("_n"), F.lit(0)), "_open": F.coalesce(F.col("_open"), F.lit(0))})
+def with_opening(rows: DataFrame, opening: DataFrame) -> DataFrame:
+    """Every ledger row with its product's opening stock: ``_open`` (0 where it has
+    none) and ``_known``, whether there is such a product."""
+    op = opening.select(F.col("product_id").alias("_opid"), F.col("opening_stock").cast("bigint").alias("_open")).where("_opid IS NOT NULL")
+    j = rows.join(op, rows.product_id == op._opid, "left")
+    return j.withColumns({"_known": F.col("_opid").isNotNull(), "_open": F.coalesce(F.col("_open"), F.lit(0))}).drop("_opid")
 
 
-def running_stock(opening: DataFrame, ledger: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
+def running_stock(opening: DataFrame, ledger: DataFrame, partitions: int | None = None) -> DataFrame:
     """Unguarded stock before and after every ledger row (W2).  Products
     without an opening row start at 0."""
-    t = ledger.withColumn("_s", signed_quantity().cast("bigint"))
-    t = with_product_stats(t, opening)
-    t = prefix_scan(t, "product_id", "id", [Scan("_run", "sum", F.col("_s"), inclusive=True)], chunk_ids,
-                    count_col="_n")
+    t = ledger.select("id", "product_id", "transaction_type", "quantity", signed_quantity().cast("bigint").alias("_s"))
+    t = with_opening(prefix_scan(t, "product_id", "id", [Scan("_run", "sum", F.col("_s"), inclusive=True)], partitions), opening)
     after = F.col("_open") + F.col("_run")
     return t.select(
         "id", "product_id", "transaction_type", "quantity",
-        as_bigint(after - F.col("_s")).alias("stock_before"),
+        as_bigint(after - F.coalesce(F.col("_s"), F.lit(0))).alias("stock_before"),
         as_bigint(after).alias("stock_after"),
     )
 
 
 def apply_ledger(products: DataFrame, ledger: DataFrame) -> DataFrame:
     """Every product's stock plus the signed sum of the ledger rows (sum
-    first, then one join on the product key)."""
+    first, then one join on the product key).  A stock that INT cannot hold is
+    not applied: the product keeps its own (see ``ledger_overflows``)."""
+    j = _applied(products, ledger)
+    return j.select(F.col("id").alias("product_id"),
+                    F.coalesce(F.col("_sum").try_cast("int"), F.col("quantity_in_stock")).alias("quantity_in_stock"))
+
+
+def _applied(products: DataFrame, ledger: DataFrame) -> DataFrame:
     sums = ledger_stock(ledger).withColumnRenamed("product_id", "_lpid")
     j = products.join(sums, products.id == sums._lpid, "left")
-    return j.select(
-        F.col("id").alias("product_id"),
-        (F.col("quantity_in_stock") + F.coalesce(F.col("stock"), F.lit(0))).cast("int").alias("quantity_in_stock"),
-    )
+    return j.withColumn("_sum", F.col("quantity_in_stock").cast("bigint") + F.coalesce(F.col("stock"), F.lit(0)))
+
+
+def ledger_overflows(products: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Products that ``apply_ledger`` left alone (product_id, stock, reason)."""
+    return _applied(products, ledger).where(F.col("_sum").isNotNull() & F.col("_sum").try_cast("int").isNull()).select(
+        F.col("id").alias("product_id"), F.col("_sum").alias("stock"), F.lit("overflow").alias("reason"))
+
+
+def running_stock_by_bucket(opening: DataFrame, ledger: DataFrame) -> DataFrame:
+    """W2 over a ledger stored in buckets of its product, sorted by id
+    (``sources.tables.save_bucketed``): a plain window, without a shuffle.  A bucket is
+    one task, so a ledger with a hot product takes ``running_stock``."""
+    w = Window.partitionBy("product_id").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = with_opening(ledger, opening).withColumn("_s", F.coalesce(signed_quantity().cast("bigint"), F.lit(0)))
+    after = F.col("_open") + F.sum("_s").over(w)
+    return t.select("id", "product_id", "transaction_type", "quantity", as_bigint(after - F.col("_s")).alias("stock_before"),
+                    as_bigint(after).alias("stock_after"))
 
 
 def apply_ledger_products(products: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -117,14 +120,14 @@ def reconcile_fix(products: DataFrame, ledger: DataFrame) -> tuple[DataFrame, Da
 
     Returns (report, new products, audit rows).  A product whose computed
     stock is negative is not changed (``blocked``; the stock guard would
-    refuse it).  The report shows the new actual stock and the old
+    refuse it), nor one whose computed stock INT cannot hold.  The report shows the new actual stock and the old
     discrepancy, as the reference does.
     """
     from larder.operators.audit import product_audit_rows
 
     b = _reconcile_base(products, ledger)
     needs = F.col("discrepancy") != 0
-    blocked = needs & (F.col("computed_stock") < 0)
+    blocked = needs & ((F.col("computed_stock") < 0) | F.col("computed_stock").try_cast("int").isNull())
     fixed = needs & ~blocked
     report = b.select(
         "product_id", "sku", "name",
@@ -134,7 +137,7 @@ def reconcile_fix(products: DataFrame, ledger: DataFrame) -> tuple[DataFrame, Da
         blocked.alias("blocked"),
     )
     fixes = report.filter("reconciled").select(F.col("product_id").alias("_fid"),
-                                               F.col("actual_stock").cast("int").alias("_fqty"))
+                                               F.col("actual_stock").try_cast("int").alias("_fqty"))
     j = products.join(fixes, products.id == fixes._fid, "left")
     new_products = j.select(*[
         F.coalesce(F.col("_fqty"), F.col(c)).alias(c) if c == "quantity_in_stock" else F.col(c)
@@ -143,6 +146,6 @@ def reconcile_fix(products: DataFrame, ledger: DataFrame) -> tuple[DataFrame, Da
     # audit rows from the fixed rows themselves (no diff of two product tables)
     audit = product_audit_rows(b.filter(fixed).select(
         F.col("product_id").alias("record_id"), F.col("actual_stock").cast("int").alias("old_quantity"),
-        F.col("computed_stock").cast("int").alias("new_quantity"), F.col("_price").alias("old_price"),
+        F.col("computed_stock").try_cast("int").alias("new_quantity"), F.col("_price").alias("old_price"),
         F.col("_price").alias("new_price")))
     return report, new_products, audit

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.functions.columns import as_bigint
-from larder.operators.prefix import key_counts
 from larder.operators.views import is_low_stock, low_stock_alerts, low_stock_count
 
 
@@ -82,7 +81,7 @@ def orders_nested_pages(orders: DataFrame, suppliers: DataFrame, items: DataFram
     p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
                         F.col("sku").alias("product_sku"))
     it = items.join(p, items.product_id == p._pid, "inner").drop("_pid")
-    counts = key_counts(it, "order_id", "_n").withColumnRenamed("order_id", "_coid")
+    counts = it.groupBy(F.col("order_id").alias("_coid")).agg(F.count(F.lit(1)).alias("_n"))
     it = it.join(counts, it.order_id == counts._coid, "inner").drop("_coid")
     it = it.withColumn("page", F.when(F.col("_n") > page_size, F.floor(F.col("id") / F.lit(page_size)))
                        .otherwise(F.lit(0)).cast("bigint"))
@@ -141,9 +140,23 @@ def ledger_listing(ledger: DataFrame, products: DataFrame, ordered: bool = True)
 
 
 def recent_movements(ledger: DataFrame, products: DataFrame, n: int = 5) -> DataFrame:
-    """Newest n ledger rows that have a product (each task keeps its own top n,
-    then one merge of n x tasks rows)."""
-    return ledger_listing(ledger, products, ordered=False).orderBy(F.col("id").desc()).limit(n)
+    """Newest n ledger rows that have a product.  The newest n rows are taken before
+    the join (each task keeps its own top n, then one merge of n x tasks rows).  Only
+    where some of them turn out to have no product, which a foreign key rules out, are
+    more candidates looked at, each time four times as many."""
+    p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"), F.col("sku").alias("product_sku"))
+    take = n
+    while True:
+        newest = ledger.orderBy(F.col("id").desc()).limit(take)
+        found = newest.join(p, newest.product_id == p._pid, "inner").drop("_pid").orderBy(F.col("id").desc()).limit(n)
+        if found.count() == n or newest.count() < take:
+            return found
+        take *= 4
+
+
+def audit_listing(log: DataFrame, ordered: bool = True) -> DataFrame:
+    """The audit log, newest first."""
+    return _by_id_desc(log, ordered)
 
 
 def low_stock_top(products: DataFrame, suppliers: DataFrame, n: int = 4) -> DataFrame:

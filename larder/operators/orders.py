@@ -9,11 +9,12 @@ key).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from larder.functions.columns import order_reference
-from larder.operators.prefix import DEFAULT_WIDTH, Scan, key_counts, prefix_scan
+from larder.operators.prefix import Scan, prefix_scan
+from larder.session import checkpoint_dir
 from larder.sources.schemas import (
     MSG_INVALID_STATUS,
     MSG_ORDER_NOT_FOUND,
@@ -24,17 +25,7 @@ from larder.sources.schemas import (
 )
 
 TERMINAL = ("DELIVERED", "CANCELLED")
-
-
-def status_code(c) -> F.Column:
-    """1-based position of an order status in ORDER_STATUSES (0 if unknown)."""
-    return F.array_position(F.array(*[F.lit(x) for x in ORDER_STATUSES]), c)
-
-
-def status_of(encoded) -> F.Column:
-    """Status from a value encoded as n * 8 + status code (null stays null)."""
-    code = (encoded % 8).cast("int")
-    return F.when(code > 0, F.element_at(F.array(*[F.lit(x) for x in ORDER_STATUSES]), code))
+OUTCOMES = ("applied", "terminal", "invalid_status", "not_found")
 
 
 def _fails(cond) -> F.Column:
@@ -138,7 +129,7 @@ def create_orders(headers: DataFrame, req_items: DataFrame, products: DataFrame,
 
 
 def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame, as_of,
-                      width: int = DEFAULT_WIDTH):
+                      partitions: int | None = None):
     """Apply a batch of status requests (order_id, seq, status).
 
     ``seq`` orders the requests of one order (integral, unique per order).
@@ -146,43 +137,32 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     outcome), orders (new order rows), items (received quantities set),
     ledger (receipt rows, one IN row per item of each delivered order),
     audit (one row per applied change of status), status_changes (one row
-    per order whose status differs after the batch).
+    per order whose status differs after the batch), counts (requests by
+    outcome).  The judged requests are checkpointed once and every output is
+    read from them; the counters come from the same pass.
     """
     ts = as_of if isinstance(as_of, F.Column) else F.lit(as_of).cast("timestamp")
-    o = orders.select(F.col("id").alias("_oid"), F.col("status").alias("_orig"))
     r = requests.select("order_id", "seq", F.col("status").alias("requested"))
-    # requests per order ride along the order lookup (one join): orders with
-    # more than ``width`` requests are the only ones cut into seq ranges
-    counts = key_counts(r, "order_id", "_n")
-    stats = counts.join(o, counts.order_id == o._oid, "left").withColumnRenamed("order_id", "_coid")
-    j = r.join(stats, r.order_id == stats._coid, "left").drop("_coid")
-    valid = F.col("requested").isin(*ORDER_STATUSES)
-    exists = F.col("_oid").isNotNull()
-    closes = valid & F.col("requested").isin(*TERMINAL)
+    valid = F.coalesce(F.col("requested").isin(*ORDER_STATUSES), F.lit(False))
     # The requests applied to an order are its valid requests up to and
     # including the first one that closes it.  So the state before a request
-    # needs two running values, computed in one skew-proof chunked pass: the
-    # first closing request before it and the last valid request before it.
-    # A request is encoded as seq * 8 + status code, so "first" and "last"
-    # are plain min / max (hash aggregates, no sort).
-    enc = F.col("seq").cast("bigint") * 8 + status_code(F.col("requested"))
-    j = j.withColumn("_valid", valid)
-    j = prefix_scan(j, "order_id", "seq", [
-        Scan("_first_close", "min", F.when(closes, enc)),
-        Scan("_last_valid", "max", F.when(valid, enc)),
-    ], width, count_col="_n")
-    first_close, last_valid = status_of(F.col("_first_close")), status_of(F.col("_last_valid"))
+    # needs two running values, computed in one scan by row rank: the first
+    # closing request before it and the last valid request before it.
+    j = prefix_scan(r, "order_id", "seq", [
+        Scan("_first_close", "first", F.when(F.col("requested").isin(*TERMINAL), F.col("requested"))),
+        Scan("_last_valid", "last", F.when(valid, F.col("requested"))),
+    ], partitions)
+    o = orders.select(F.col("id").alias("_oid"), F.col("status").alias("_orig"))
+    j = j.join(o, j.order_id == o._oid, "left")
+    exists = F.col("_oid").isNotNull()
     orig_closed = F.coalesce(F.col("_orig").isin(*TERMINAL), F.lit(False))
-    terminal_before = orig_closed | first_close.isNotNull()
-    j = j.withColumns({
-        "_terminal_before": terminal_before,
-        "_applied": F.col("_valid") & exists & ~terminal_before,
-        "old_status": F.when(~exists, F.lit(None)).when(orig_closed, F.col("_orig"))
-        .otherwise(F.coalesce(first_close, last_valid, F.col("_orig"))),
-    })
-    outcome = (F.when(~F.col("_valid"), "invalid_status").when(~exists, "not_found")
-               .when(F.col("_terminal_before"), "terminal").otherwise("applied"))
-    j = j.withColumn("outcome", outcome)
+    outcome = (F.when(~valid, "invalid_status").when(~exists, "not_found")
+               .when(orig_closed | F.col("_first_close").isNotNull(), "terminal").otherwise("applied"))
+    old = F.when(exists, F.when(orig_closed, F.col("_orig")).otherwise(F.coalesce("_first_close", "_last_valid", "_orig")))
+    seen = Observation()
+    checkpoint_dir(requests.sparkSession)
+    j = j.select("order_id", "seq", old.alias("old_status"), "requested", outcome.alias("outcome"), "_orig").observe(
+        seen, F.count(F.lit(1)).alias("requests"), *[F.count_if(F.col("outcome") == x).alias(x) for x in OUTCOMES]).checkpoint()
     message = (
         F.when(F.col("outcome") == "invalid_status", F.lit(MSG_INVALID_STATUS))
         .when(F.col("outcome") == "not_found", F.lit(MSG_ORDER_NOT_FOUND))
@@ -191,10 +171,9 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     )
     outcomes = j.select("order_id", "seq", "old_status", "requested", "outcome", message.alias("message"))
 
-    applied = j.filter(F.col("_applied"))
+    applied = j.filter("outcome = 'applied'")
     final = applied.groupBy(F.col("order_id").alias("_fid")).agg(
-        status_of(F.max(F.col("seq").cast("bigint") * 8 + status_code(F.col("requested")))).alias("_final"),
-        status_of(F.max(status_code(F.col("_orig")))).alias("_from"))
+        F.max_by("requested", "seq").alias("_final"), F.max("_orig").alias("_from"))
     # R4 per order: the status before the batch against the status after it
     status_changes = final.filter(F.col("_from") != F.col("_final")).select(
         F.col("_fid").alias("record_id"), F.col("_from").alias("old_status"), F.col("_final").alias("new_status"))
@@ -228,7 +207,7 @@ def transition_orders(requests: DataFrame, orders: DataFrame, items: DataFrame,
     audit = applied.filter(F.col("old_status") != F.col("requested")).select(
         F.col("order_id").alias("record_id"), "seq", "old_status", F.col("requested").alias("new_status"))
     return {"outcomes": outcomes, "orders": new_orders, "items": new_items, "ledger": receipts, "audit": audit,
-            "status_changes": status_changes}
+            "status_changes": status_changes, "counts": seen.get}
 
 
 def process_status_batch(requests: DataFrame, orders: DataFrame, items: DataFrame, products: DataFrame,

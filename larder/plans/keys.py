@@ -8,17 +8,21 @@ DOUBLE (summed as decimal inside), timestamps as wall-clock TIMESTAMP_NTZ.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.operators import catalog, dashboard, guard, integrity, ledger, listings, orders, views
-from larder.sources import requests as R
+from larder.functions.columns import signed_quantity
+from larder.operators import audit, catalog, dashboard, guard, integrity, ledger, listings, orders, views
 from larder.session import ship_package
+from larder.sources import model, sinks, tables
+from larder.sources import requests as R
 from larder.sources.model import Model
-from larder.sources.schemas import ORDER_AUDIT_ACTOR
+from larder.sources.schemas import ORDER_AUDIT_ACTOR, TRANSACTION_TYPES
+from larder.streaming.ledger_stream import scratch_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -163,7 +167,7 @@ def _apply_ledger(m: Model) -> DataFrame:
 
 @key("ledger_guard")
 def _ledger_guard(m: Model) -> DataFrame:
-    g = guard.guard_ledger(m.opening_zero(), m.ledger)
+    g = guard.guard_ledger(m.opening_zero(), m.ledger.select("id", "product_id", "transaction_type", "quantity"))
     return g.select("id", "product_id", "transaction_type", "quantity", "accepted",
                     "stock_before", "stock_after", "reason")
 
@@ -303,6 +307,95 @@ def _reconcile_fix_products(m: Model) -> DataFrame:
     return products.select("id", "sku", "quantity_in_stock", "price")
 
 
+@key("reconcile_fix_audit")
+def _reconcile_fix_audit(m: Model) -> DataFrame:
+    """The audit rows of the fix, with their JSON text."""
+    _report, _products, log = ledger.reconcile_fix(m.products_synced, m.ledger_bulk)
+    return log.select("table_name", "action_type", "record_id", "old_values", "new_values", "changed_by")
+
+
+# -- audit log ----------------------------------------------------------------
+
+@key("order_prior_status")
+def _order_prior_status(m: Model) -> DataFrame:
+    """Each change of status in a log with a status outside the four names."""
+    return audit.order_audit_from_log(model.status_log(m.raw("events")))
+
+
+@key("product_audit_json")
+def _product_audit_json(m: Model) -> DataFrame:
+    """F8: the audit rows of the patches as stored, old and new values as JSON text."""
+    log = catalog.patch_products(m.products, R.product_patches(m.raw("part")), m.suppliers, R.AS_OF)[2]
+    return audit.audit_log(log)
+
+
+@key("audit_values_parsed")
+def _audit_values_parsed(m: Model) -> DataFrame:
+    """product and order audit rows read back from their JSON text."""
+    products = catalog.patch_products(m.products, R.product_patches(m.raw("part")), m.suppliers, R.AS_OF)[2]
+    log = audit.audit_log(products, audit.order_audit_rows(_transition(m)["audit"], R.AS_OF))
+    return audit.parse_audit_values(log).drop("old_values", "new_values", "changed_at")
+
+
+@key("audit_log_listing")
+def _audit_log_listing(m: Model) -> DataFrame:
+    """The audit log by id, newest first."""
+    return listings.audit_listing(m.audit_log)
+
+
+# -- sinks, stored tables, SQL --------------------------------------------------
+
+@key("ledger_append")
+def _ledger_append(m: Model) -> DataFrame:
+    """S3: three batches appended, one of them twice, and the table read back."""
+    path = scratch_path(m.spark, "ledger-append")
+    rows = m.ledger.select("id", "product_id", "transaction_type", "quantity")
+    for batch_id, kind in enumerate([*TRANSACTION_TYPES, TRANSACTION_TYPES[0]]):
+        sinks.append_batch(rows.filter(F.col("transaction_type") == kind), path, batch_id % 3)
+    return sinks.read_batches(m.spark, path)
+
+
+@key("orders_json")
+def _orders_json(m: Model) -> DataFrame:
+    """The nested orders written as JSON lines and read back as a digest."""
+    nested = listings.orders_nested(m.purchase_orders, m.suppliers, m.items, m.products)
+    path = scratch_path(m.spark, "orders-json")
+    sinks.emit_json(nested, path)
+    return listings.nested_digest(m.spark.read.schema(nested.schema).json(path))
+
+
+@key("bucketed_ledger")
+def _bucketed_ledger(m: Model) -> DataFrame:
+    """Products and ledger stored in buckets, then listing join and fold without a shuffle."""
+    name = f"larder_{uuid.uuid4().hex[:12]}_"
+    tables.save_bucketed({"products": m.products, "stock_transactions": m.ledger}, scratch_path(m.spark, "bucketed"), 8, name)
+    t = tables.load_bucketed(m.spark, ["products", "stock_transactions"], name)
+    rows = listings.ledger_listing(t["stock_transactions"], t["products"], ordered=False)
+    return rows.groupBy("product_id", "product_sku").agg(
+        F.count(F.lit(1)).alias("movements"), F.sum(signed_quantity()).cast("bigint").alias("stock"))
+
+
+def _sql_view(m: Model, name: str) -> DataFrame:
+    listings.register_views(m.spark, {"products": m.products, "suppliers": m.suppliers, "purchase_orders": m.purchase_orders})
+    return listings.adhoc_query(m.spark, f"SELECT * FROM {name}")
+
+
+@key("sql_stock_valuation")
+def _sql_stock_valuation(m: Model) -> DataFrame:
+    """A view by its name in SQL."""
+    return _sql_view(m, "v_stock_valuation")
+
+
+@key("sql_low_stock_alerts")
+def _sql_low_stock_alerts(m: Model) -> DataFrame:
+    return _sql_view(m, "v_low_stock_alerts")
+
+
+@key("sql_supplier_performance")
+def _sql_supplier_performance(m: Model) -> DataFrame:
+    return _sql_view(m, "v_supplier_performance")
+
+
 # -- integrity ----------------------------------------------------------------
 
 def _tables(m: Model, products=None, ledger_df=None) -> dict[str, DataFrame]:
@@ -334,12 +427,41 @@ def _fk_violations(m: Model) -> DataFrame:
 def _delete_impact(m: Model) -> DataFrame:
     """Deleting inactive suppliers, inactive products and cancelled orders."""
     t = _tables(m)
-    keys = {
+    return integrity.delete_impact(t, _delete_keys(t))
+
+
+def _delete_keys(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return {
         "suppliers": t["suppliers"].filter(F.col("status") == "Inactive").select("id"),
         "products": t["products"].filter(F.col("status") == "Inactive").select("id"),
         "purchase_orders": t["purchase_orders"].filter(F.col("status") == "CANCELLED").select("id"),
     }
-    return integrity.delete_impact(t, keys)
+
+
+@key("check_violations_all")
+def _check_violations_all(m: Model) -> DataFrame:
+    """C1 over six tables in which every CHECK is broken, the audit log among them."""
+    return integrity.check_violations(m.faulty_tables)
+
+
+@key("unique_violations_all")
+def _unique_violations_all(m: Model) -> DataFrame:
+    """C2 with the e-mail of many suppliers in common."""
+    t = m.faulty_tables
+    return integrity.unique_violations({"suppliers": t["suppliers"], "products": m.products_faulty})
+
+
+@key("fk_violations_all")
+def _fk_violations_all(m: Model) -> DataFrame:
+    """C3 with dangling references in all five foreign keys."""
+    return integrity.fk_violations(m.faulty_tables)
+
+
+@key("delete_impact_chained")
+def _delete_impact_chained(m: Model) -> DataFrame:
+    """C4, one delete after the other: cancelled orders, then inactive products and suppliers."""
+    t = _tables(m)
+    return integrity.delete_impact(t, _delete_keys(t), chained=True)
 
 
 @key("fd_check")
@@ -366,11 +488,11 @@ def _stream_stock(m: Model) -> DataFrame:
 
 @key("stream_guard")
 def _stream_guard(m: Model) -> DataFrame:
-    """ST2: the guard with per-product balance state, over the events stream."""
+    """ST2: the guard with per-product state in id order, over the events stream."""
     from larder.streaming import ledger_stream as S
 
-    g = S.live_guard(S.ledger_stream(m.spark, S.events_path(m.sf_dir)), m.opening_zero())
-    return m.spark.read.parquet(S.run_to_parquet(m.spark, g.drop("reason"), "stream-guard"))
+    stream = S.ledger_stream(m.spark, S.events_path(m.sf_dir))
+    return m.spark.read.parquet(S.run_closed(m.spark, stream, lambda t: S.ordered_guard(t, m.opening_zero()), "stream-guard"))
 
 
 @key("stream_low_stock")
@@ -388,8 +510,9 @@ def _stream_audit(m: Model) -> DataFrame:
     """ST4: product audit rows from the accepted rows of the streaming guard."""
     from larder.streaming import ledger_stream as S
 
-    g = S.live_guard(S.ledger_stream(m.spark, S.events_path(m.sf_dir)), m.opening_zero())
-    audit = S.audit_rows(g, m.products)              # stream-static join, still one streaming query
-    out = S.run_to_parquet(m.spark, audit, "stream-audit")
+    def audit(t):                                    # stream-static join, still one streaming query
+        return S.audit_rows(S.ordered_guard(t, m.opening_zero()), m.products)
+
+    out = S.run_closed(m.spark, S.ledger_stream(m.spark, S.events_path(m.sf_dir)), audit, "stream-audit")
     return m.spark.read.parquet(out).select("record_id", "old_quantity", "new_quantity", "old_price",
                                             "new_price", "changed_by")

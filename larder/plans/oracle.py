@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from larder.plans.model_sql import with_model
+from larder.sources.model import FAULTS
 
 ORACLE: dict[str, str] = {}
 
@@ -644,7 +645,9 @@ sql("stream_stock", f"""
 SELECT product_id, CAST(sum({SIGNED}) AS BIGINT) AS stock FROM stock_transactions GROUP BY product_id""")
 
 sql("stream_guard", """
-SELECT id, product_id, transaction_type, quantity, accepted, stock_before, stock_after FROM g""",
+SELECT id, product_id, transaction_type, quantity, accepted, stock_before, stock_after,
+       CASE WHEN accepted THEN NULL ELSE 'negative_stock' END AS reason
+FROM g""",
     GUARD_CTES, recursive=True)
 
 sql("stream_low_stock", f"""
@@ -661,3 +664,139 @@ SELECT g.product_id AS record_id, CAST(g.stock_before AS INTEGER) AS old_quantit
        CAST(p.price AS DOUBLE) AS new_price, 'DB_TRIGGER_PRODUCTS' AS changed_by
 FROM g JOIN products p ON g.product_id = p.id
 WHERE g.accepted AND g.stock_before <> g.stock_after""", GUARD_CTES, recursive=True)
+
+
+# -- audit log, sinks, stored tables, SQL ---------------------------------------
+
+AUDIT_JSON = "'{{\"quantity_in_stock\":' || CAST({q} AS VARCHAR) || ',\"price\":' || CAST(CAST({p} AS DECIMAL(12,2)) AS VARCHAR) || '}}'"
+
+sql("reconcile_fix_audit", f"""
+SELECT 'products' AS table_name, 'UPDATE' AS action_type, r.product_id AS record_id,
+       {AUDIT_JSON.format(q='r.actual_stock', p='p.price')} AS old_values,
+       {AUDIT_JSON.format(q='r.computed_stock', p='p.price')} AS new_values, 'DB_TRIGGER_PRODUCTS' AS changed_by
+FROM recon r JOIN products_synced p ON p.id = r.product_id
+WHERE r.discrepancy <> 0 AND r.computed_stock >= 0""", RECON)
+
+sql("order_prior_status", """
+SELECT order_id AS record_id, seq, old_status, status AS new_status, 'DB_TRIGGER_ORDERS' AS changed_by
+FROM (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY seq) AS old_status FROM status_log)
+WHERE old_status <> status""", """
+status_log AS (
+  SELECT CAST(user_id AS BIGINT) AS order_id, CAST(event_id AS BIGINT) AS seq,
+         CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'view' THEN 'SHIPPED' WHEN 'click' THEN 'DELIVERED'
+                         WHEN 'purchase' THEN 'CANCELLED' WHEN 'error' THEN 'ON_HOLD' END AS status
+  FROM events
+)""")
+
+sql("product_audit_json", f"""
+SELECT 'products' AS table_name, 'UPDATE' AS action_type, id AS record_id,
+       {AUDIT_JSON.format(q='quantity_in_stock', p='o_price')} AS old_values,
+       {AUDIT_JSON.format(q='quantity_in_stock', p='v_price')} AS new_values,
+       'DB_TRIGGER_PRODUCTS' AS changed_by, TIMESTAMP '2002-01-01 00:00:00' AS changed_at
+FROM ps WHERE reason IS NULL AND v_price <> o_price""", PATCH)
+
+sql("audit_values_parsed", """
+SELECT 'products' AS table_name, 'UPDATE' AS action_type, id AS record_id, 'DB_TRIGGER_PRODUCTS' AS changed_by,
+       quantity_in_stock AS old_quantity_in_stock, quantity_in_stock AS new_quantity_in_stock,
+       CAST(o_price AS DOUBLE) AS old_price_value, CAST(v_price AS DOUBLE) AS new_price_value,
+       CAST(NULL AS VARCHAR) AS old_status_value, CAST(NULL AS VARCHAR) AS new_status_value
+FROM ps WHERE reason IS NULL AND v_price <> o_price
+UNION ALL
+SELECT 'purchase_orders', 'UPDATE', order_id, 'DB_TRIGGER_ORDERS', NULL, NULL, NULL, NULL, old_status, requested
+FROM tr3 WHERE applied AND old_status <> requested""", PATCH + "," + TRANSITION)
+
+AUDIT_LOG = """
+audit_events AS (
+  SELECT CAST(event_id AS BIGINT) AS id, 'products' AS table_name,
+         CASE event_type WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN 'DELETE' ELSE 'UPDATE' END AS action_type,
+         CAST(user_id AS BIGINT) AS record_id, CAST(NULL AS VARCHAR) AS old_values, props AS new_values,
+         'SYSTEM' AS changed_by, CAST(ts AS TIMESTAMP) AS changed_at
+  FROM events
+)"""
+
+sql("audit_log_listing", "SELECT * FROM audit_events", AUDIT_LOG)
+
+sql("ledger_append", """
+SELECT id, product_id, transaction_type, quantity,
+       CAST(CASE transaction_type WHEN 'IN' THEN 0 WHEN 'OUT' THEN 1 ELSE 2 END AS BIGINT) AS batch_id
+FROM stock_transactions""")
+
+sql("bucketed_ledger", f"""
+SELECT t.product_id, p.sku AS product_sku, CAST(count(*) AS BIGINT) AS movements, CAST(sum({SIGNED}) AS BIGINT) AS stock
+FROM stock_transactions t JOIN products p ON t.product_id = p.id GROUP BY t.product_id, p.sku""")
+
+ORACLE["orders_json"] = ORACLE["orders_nested"]
+for _view in ("stock_valuation", "low_stock_alerts", "supplier_performance"):
+    ORACLE[f"sql_{_view}"] = ORACLE[_view]
+
+
+# -- integrity over tables in which every rule is broken --------------------------
+
+_SOUND = {"inventory_audit_log": "audit_events"}
+
+
+def _faulty(table: str) -> str:
+    changed = ", ".join(f"{text} AS {column}" for column, text in FAULTS[table].items())
+    return f"bad_{table} AS (SELECT * REPLACE ({changed}) FROM {_SOUND.get(table, table)})"
+
+
+BROKEN = AUDIT_LOG + "," + ",".join(_faulty(t) for t in FAULTS)
+
+_RULES = {
+    "suppliers": {"status_enum": "status IN ('Active', 'Inactive')"},
+    "products": {"price_nonnegative": "price >= 0", "reorder_level_nonnegative": "reorder_level >= 0",
+                 "status_enum": "status IN ('Active', 'Inactive')"},
+    "purchase_orders": {"total_amount_nonnegative": "total_amount >= 0",
+                        "status_enum": "status IN ('PENDING', 'SHIPPED', 'DELIVERED', 'CANCELLED')"},
+    "purchase_order_items": {"quantity_positive": "quantity > 0", "unit_price_nonnegative": "unit_price >= 0",
+                             "received_quantity_nonnegative": "received_quantity >= 0"},
+    "stock_transactions": {"transaction_type_enum": "transaction_type IN ('IN', 'OUT', 'ADJUSTMENT')",
+                           "quantity_positive": "quantity > 0"},
+    "inventory_audit_log": {"action_type_enum": "action_type IN ('INSERT', 'UPDATE', 'DELETE')"},
+}
+_NOT_NULL = {
+    "suppliers": "id name contact_name email phone address",
+    "products": "id sku name category price quantity_in_stock reorder_level",
+    "purchase_orders": "id supplier_id",
+    "purchase_order_items": "id order_id product_id quantity unit_price",
+    "stock_transactions": "id product_id transaction_type quantity",
+    "inventory_audit_log": "id table_name action_type record_id",
+}
+
+sql("check_violations_all", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{rule}' AS rule, id AS row_id FROM bad_{t} WHERE {broken}"
+    for t in _RULES
+    for rule, broken in [*((r, f"NOT ({p})") for r, p in _RULES[t].items()), *((f"{c}_not_null", f"{c} IS NULL") for c in _NOT_NULL[t].split())]),
+    BROKEN)
+
+sql("unique_violations_all", """
+SELECT 'suppliers' AS table_name, 'email' AS column_name, email AS value, CAST(count(*) AS BIGINT) AS n, min(id) AS first_id
+FROM bad_suppliers WHERE email IS NOT NULL GROUP BY email HAVING count(*) > 1
+UNION ALL
+SELECT 'products', 'sku', sku, CAST(count(*) AS BIGINT), min(id)
+FROM products_faulty WHERE sku IS NOT NULL GROUP BY sku HAVING count(*) > 1""", BROKEN)
+
+sql("fk_violations_all", " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, id AS row_id, CAST({c} AS BIGINT) AS missing_key "
+    f"FROM bad_{t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT id FROM bad_{parent})"
+    for t, c, parent in (("products", "supplier_id", "suppliers"), ("purchase_orders", "supplier_id", "suppliers"),
+                         ("purchase_order_items", "order_id", "purchase_orders"), ("purchase_order_items", "product_id", "products"),
+                         ("stock_transactions", "product_id", "products"))), BROKEN)
+
+# Orders first: their items go with them and restrict no product any more; suppliers come last,
+# when the cancelled orders are gone.
+sql("delete_impact_chained", """
+SELECT 'purchase_orders' AS table_name, id AS row_id, 'deleted' AS effect FROM gone_orders
+UNION ALL SELECT 'purchase_order_items', id, 'cascaded' FROM purchase_order_items WHERE order_id IN (SELECT id FROM gone_orders)
+UNION ALL SELECT 'products', id, CASE WHEN id IN (SELECT product_id FROM left_items) THEN 'restricted' ELSE 'deleted' END
+FROM products WHERE status = 'Inactive'
+UNION ALL SELECT 'stock_transactions', id, 'cascaded' FROM stock_transactions WHERE product_id IN (SELECT id FROM gone_products)
+UNION ALL SELECT 'suppliers', id, CASE WHEN id IN (SELECT supplier_id FROM left_orders) THEN 'restricted' ELSE 'deleted' END
+FROM suppliers WHERE status = 'Inactive'
+UNION ALL SELECT 'products', id, 'set_null' FROM products
+WHERE id NOT IN (SELECT id FROM gone_products)
+  AND supplier_id IN (SELECT id FROM suppliers WHERE status = 'Inactive' AND id NOT IN (SELECT supplier_id FROM left_orders))""", """
+gone_orders AS (SELECT id FROM purchase_orders WHERE status = 'CANCELLED'),
+left_orders AS (SELECT * FROM purchase_orders WHERE id NOT IN (SELECT id FROM gone_orders)),
+left_items AS (SELECT * FROM purchase_order_items WHERE order_id NOT IN (SELECT id FROM gone_orders)),
+gone_products AS (SELECT id FROM products WHERE status = 'Inactive' AND id NOT IN (SELECT product_id FROM left_items))""")

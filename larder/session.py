@@ -29,6 +29,8 @@ DEFAULTS = {
     # checkpoint files of DataFrames that are gone are removed by the cleaner
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.checkpoint.compress": "true",
+    # scans by row rank cut parts at sampled bounds: more samples, more even parts
+    "spark.sql.execution.rangeExchange.sampleSizePerPartition": "400",
     # streaming state (one balance per product) on local disk, not the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -189,6 +189,75 @@ def ledger_faulty(ledger_df: DataFrame) -> DataFrame:
     )
 
 
+def audit_log(events: DataFrame) -> DataFrame:
+    """A change log from the event stream: every event a change of a product."""
+    et = F.col("event_type")
+    return events.select(
+        F.col("event_id").cast("bigint").alias("id"),
+        F.lit("products").alias("table_name"),
+        F.when(et == "signup", "INSERT").when(et == "error", "DELETE").otherwise("UPDATE").alias("action_type"),
+        F.col("user_id").cast("bigint").alias("record_id"),
+        F.lit(None).cast("string").alias("old_values"),
+        F.col("props").alias("new_values"),
+        F.lit("SYSTEM").alias("changed_by"),
+        _ts("ts").alias("changed_at"),
+    )
+
+
+def status_log(events: DataFrame) -> DataFrame:
+    """A log of order statuses with one outside the four names (order_id, seq, status)."""
+    et = F.col("event_type")
+    return events.select(
+        F.col("user_id").cast("bigint").alias("order_id"), F.col("event_id").cast("bigint").alias("seq"),
+        F.when(et == "signup", "PENDING").when(et == "view", "SHIPPED").when(et == "click", "DELIVERED")
+        .when(et == "purchase", "CANCELLED").when(et == "error", "ON_HOLD").alias("status"))
+
+
+# Faults by table and column, as SQL over the sound rows; the oracle states the same.  Every
+# CHECK, some NOT NULL columns, the unique e-mail and all five foreign keys are broken.
+FAULTS = {
+    "suppliers": {
+        "status": "CASE WHEN id % 7 = 3 THEN 'Closed' ELSE status END",
+        "phone": "CASE WHEN id % 11 = 5 THEN NULL ELSE phone END",
+        "email": "CASE WHEN id % 9 = 1 THEN 'shared@example.com' WHEN id % 9 = 2 THEN NULL ELSE email END",
+    },
+    "products": {
+        "price": "CASE WHEN id % 97 = 0 THEN -price ELSE price END",
+        "reorder_level": "CASE WHEN id % 89 = 1 THEN -1 ELSE reorder_level END",
+        "status": "CASE WHEN id % 83 = 2 THEN 'Gone' WHEN id % 83 = 3 THEN NULL ELSE status END",
+        "name": "CASE WHEN id % 79 = 3 THEN NULL ELSE name END",
+        "supplier_id": "CASE WHEN id % 71 = 4 THEN -id - 1 ELSE supplier_id END",
+    },
+    "purchase_orders": {
+        "total_amount": "CASE WHEN id % 61 = 5 THEN -total_amount - 1 ELSE total_amount END",
+        "status": "CASE WHEN id % 59 = 6 THEN 'LOST' ELSE status END",
+        "supplier_id": "CASE WHEN id % 53 = 7 THEN -id - 1 WHEN id % 67 = 8 THEN NULL ELSE supplier_id END",
+    },
+    "purchase_order_items": {
+        "quantity": "CASE WHEN id % 47 = 1 THEN 0 ELSE quantity END",
+        "unit_price": "CASE WHEN id % 43 = 2 THEN -unit_price - 1 ELSE unit_price END",
+        "received_quantity": "CASE WHEN id % 41 = 3 THEN -1 ELSE received_quantity END",
+        "order_id": "CASE WHEN id % 37 = 4 THEN -order_id - 1 ELSE order_id END",
+        "product_id": "CASE WHEN id % 31 = 5 THEN -product_id - 1 ELSE product_id END",
+    },
+    "stock_transactions": {
+        "transaction_type": "CASE WHEN id % 29 = 1 THEN 'TRANSFER' ELSE transaction_type END",
+        "quantity": "CASE WHEN id % 23 = 2 THEN 0 WHEN id % 101 = 6 THEN NULL ELSE quantity END",
+        "product_id": "CASE WHEN id % 103 = 0 THEN -product_id - 1 ELSE product_id END",
+    },
+    "inventory_audit_log": {
+        "action_type": "CASE WHEN id % 17 = 9 THEN 'MERGE' ELSE action_type END",
+        "record_id": "CASE WHEN id % 13 = 4 THEN NULL ELSE record_id END",
+    },
+}
+
+
+def faulty(table: str, df: DataFrame) -> DataFrame:
+    """A table with the faults of ``FAULTS`` in it."""
+    broken = FAULTS[table]
+    return df.select(*[F.expr(broken[c]).cast(df.schema[c].dataType).alias(c) if c in broken else F.col(c) for c in df.columns])
+
+
 class Model:
     """Lazy access to the inventory model over one data directory."""
 
@@ -238,6 +307,16 @@ class Model:
     def ledger_faulty(self) -> DataFrame:
         return ledger_faulty(self.ledger)
 
+    @cached_property
+    def audit_log(self) -> DataFrame:
+        return audit_log(self.raw("events"))
+
+    @cached_property
+    def faulty_tables(self) -> dict[str, DataFrame]:
+        tables = {"suppliers": self.suppliers, "products": self.products, "purchase_orders": self.purchase_orders,
+                  "purchase_order_items": self.items, "stock_transactions": self.ledger, "inventory_audit_log": self.audit_log}
+        return {name: faulty(name, df) for name, df in tables.items()}
+
     def opening_zero(self) -> DataFrame:
         """Opening stock 0 for every product (guard and running-stock inputs)."""
         return self.products.select(F.col("id").alias("product_id"), F.lit(0).alias("opening_stock"))

@@ -5,15 +5,17 @@ stream and the same effects are incremental queries:
 
 * ST1 ``live_stock``: running signed sum per product (commutative, so late
   rows need no watermark; state is one long per product).
-* ST2 ``live_guard``: the negative-stock guard with the balance per product
-  kept in ``applyInPandasWithState`` or in a ``transformWithStateInPandas``
-  ValueState.  Rows are judged in id order inside a
-  micro-batch and micro-batches in arrival order (a lower id arriving later
-  is judged on arrival, as the reference would do).
+* ST2 ``ordered_guard``: the negative-stock guard in id order, whatever order
+  files arrive in.  The id is the event time: its watermark trails the largest
+  id by ``displacement`` ids, a product's rows wait in a ``MapState`` by id range
+  and are judged from its balance when the watermark has passed their range.
+  ``live_guard`` judges on arrival instead: in id order inside a micro-batch,
+  micro-batches as they come (files of equal modification time have no order).
 * ST3 ``low_stock_sink``: every micro-batch of ST1's updated stocks joined
   to the (static) product table; products at or below their reorder level
   are written as alerts.
-* ST4 ``audit_rows``: audit rows from ST2's accepted rows.
+* ST4 ``audit_rows``: audit rows from ST2's accepted rows; ``each_id_once`` drops
+  repeated ledger ids (a file delivered twice) before they are judged.
 
 Each run takes an output folder and a checkpoint folder; by default the
 checkpoint lies in the output (``_checkpoint``), so a run into the same output
@@ -24,12 +26,14 @@ batch overwrites its own output).
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,17 +93,25 @@ def live_stock(ledger: DataFrame) -> DataFrame:
 
 
 def run_live_stock(spark: SparkSession, ledger: DataFrame, out_path: str | None = None,
-                   checkpoint: str | None = None) -> str:
+                   checkpoint: str | None = None, compact_every: int = 64) -> str:
     """Run ST1 to completion on the available input, in update mode: each
     micro-batch writes only the products whose stock changed, under
     ``batch_id=N`` (a retried batch overwrites its own folder).  The output
     is a changelog; ``latest_stock`` reads the current stock from it.  (Complete
-    mode would rewrite every product's row in every micro-batch.)"""
+    mode would rewrite every product's row in every micro-batch.)
+
+    Every ``compact_every`` batches the batch also writes a snapshot of all
+    stocks beside the changelog, made of the snapshot before and the batches
+    since, and commits it by one row in the list of snapshots.  A batch that
+    fails between the two leaves a snapshot nobody reads, and its retry replaces it."""
     out_path, checkpoint = _folders(spark, "live-stock", out_path, checkpoint)
+    spark.createDataFrame([], "upto bigint").write.mode("ignore").parquet(_committed(out_path))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # the folder name carries batch_id as a partition column
         batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact(spark, out_path, batch_id)
 
     q = (live_stock(ledger).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -107,10 +119,41 @@ def run_live_stock(spark: SparkSession, ledger: DataFrame, out_path: str | None
     return out_path
 
 
-def latest_stock(spark: SparkSession, changelog_path: str) -> DataFrame:
-    """Current stock per product from ST1's changelog: the row of the highest
-    batch id per product (a hash aggregate; no sort, no window)."""
+def _snapshots(out_path: str) -> str:
+    return f"{out_path.rstrip('/')}-snapshots"
+
+
+def _committed(out_path: str) -> str:
+    return f"{out_path.rstrip('/')}-committed"
+
+
+def last_snapshot(spark: SparkSession, changelog_path: str) -> int | None:
+    """Batch id of the newest committed snapshot."""
+    try:
+        return spark.read.schema("upto bigint").parquet(_committed(changelog_path)).agg(F.max("upto")).first()[0]
+    except AnalysisException:  # a changelog from before snapshots
+        return None
+
+
+def compact(spark: SparkSession, changelog_path: str, upto: int) -> None:
+    """Write the stocks after batch ``upto`` as a snapshot and commit it."""
+    state = latest_stock(spark, changelog_path, upto)
+    state.write.mode("overwrite").parquet(f"{_snapshots(changelog_path)}/upto={upto}")
+    spark.createDataFrame([(upto,)], "upto bigint").coalesce(1).write.mode("overwrite").parquet(f"{_committed(changelog_path)}/n={upto}")
+
+
+def latest_stock(spark: SparkSession, changelog_path: str, upto: int | None = None) -> DataFrame:
+    """Current stock per product (or that after batch ``upto``): the newest snapshot
+    and the batches after it, the row of the highest batch id per product (a hash
+    aggregate; no sort, no window).  Older batches are pruned by their folder."""
     log = spark.read.parquet(changelog_path)
+    log = log.select("product_id", "stock", F.col("batch_id").cast("bigint").alias("batch_id"))
+    if upto is not None:
+        log = log.where(F.col("batch_id") <= upto)
+    start = last_snapshot(spark, changelog_path)
+    if start is not None and (upto is None or start < upto):
+        snapshot = spark.read.schema("product_id bigint, stock bigint").parquet(f"{_snapshots(changelog_path)}/upto={start}")
+        log = log.where(F.col("batch_id") > start).unionByName(snapshot.withColumn("batch_id", F.lit(start).cast("bigint")))
     return log.groupBy("product_id").agg(F.max_by("stock", "batch_id").alias("stock"))
 
 
@@ -200,6 +243,103 @@ def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasW
         _guard_state_fn, GUARD_OUT, GUARD_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+# -- ST2 in id order -------------------------------------------------------------
+
+DISPLACEMENT = 1 << 16  # ids by which a row may come late
+RANGE = 4096            # ids that wait together: at most so many rows of a product are held in memory
+CLOSING_ID = 9 * 10**12  # beyond all ids; read as milliseconds the largest round number that pandas can hold
+
+
+def each_id_once(ledger: DataFrame, displacement: int = DISPLACEMENT) -> DataFrame:
+    """The ledger under a watermark over its ids (id n as millisecond n + 1), each id once.
+    A repeat is dropped: near its first by the remembered ids, later because it lies
+    behind the watermark, where new rows are not expected any more.  Ids are unique,
+    not null, not negative and below ``CLOSING_ID``."""
+    at = F.timestamp_millis(F.col("id") + 1)  # what lies at 0 counts as late from the start
+    return ledger.withColumn("_at", at).withWatermark("_at", f"{displacement} milliseconds").dropDuplicatesWithinWatermark(["id"])
+
+
+class OrderedGuardProcessor(StatefulProcessor):
+    """Balance and opening stock of a product, its waiting rows by range of ids, and a
+    timer at the end of each range.  Chunks of input are added to their ranges one by
+    one; a range is judged alone, so memory holds one chunk or one range."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.balance = handle.getValueState("balance", GUARD_STATE)
+        self.opening = handle.getValueState("opening", T.StructType([T.StructField("stock", T.LongType())]))
+        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("range", T.LongType())]),
+                                          T.StructType([T.StructField("rows", T.StringType())]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            if not self.opening.exists():
+                stock = pdf["opening_stock"].iloc[0]
+                self.opening.update((int(stock) if pd.notna(stock) else None,))
+            entries = [(int(i), t, int(q) if pd.notna(q) else None) for i, t, q in zip(pdf["id"], pdf["transaction_type"], pdf["quantity"])]
+            for number, group in pd.Series(entries).groupby((pdf["id"] // RANGE).to_numpy()):
+                at = (int(number),)
+                held = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
+                if not held:
+                    self.handle.registerTimer((at[0] + 1) * RANGE)
+                self.waiting.updateValue(at, (json.dumps(held + group.tolist()),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs()
+        for number in sorted(k[0] for k in self.waiting.keys()):
+            if (number + 1) * RANGE > upto:
+                break
+            entries = json.loads(self.waiting.getValue((number,))[0])
+            pdf = pd.DataFrame(entries, columns=["id", "transaction_type", "quantity"]).astype({"quantity": "Int32"})
+            pdf["product_id"] = pd.array([None if pd.isna(key[0]) else key[0]] * len(pdf), dtype="Int64")
+            pdf["opening_stock"] = pd.array([self.opening.get()[0]] * len(pdf), dtype="Int64")
+            out, balance = _judge(pdf, self.balance.get()[0] if self.balance.exists() else None)
+            self.balance.update((balance,))
+            self.waiting.removeKey((number,))
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_guard(ledger: DataFrame, opening: DataFrame, displacement: int = DISPLACEMENT) -> DataFrame:
+    """Streaming guard in id order: verdicts equal those of the batch guard as long as
+    no row comes more than ``displacement`` ids late, whatever the files' times and
+    however often a file is delivered.  Rows wait until the watermark has passed
+    their range of ids; ``close_ledger`` ends the waiting.  Needs the RocksDB state
+    store (the session default here)."""
+    op = opening.select(F.col("product_id").alias("_opid"), F.coalesce(F.col("opening_stock"), F.lit(0)).cast("bigint").alias("opening_stock"))
+    rows = each_id_once(ledger, displacement).select("id", "product_id", "transaction_type", "quantity", "_at")
+    j = rows.join(op, rows.product_id == op._opid, "left").drop("_opid")
+    return j.groupBy("product_id").transformWithStateInPandas(
+        statefulProcessor=OrderedGuardProcessor(), outputStructType=GUARD_OUT, outputMode="Append", timeMode="EventTime")
+
+
+def closable(spark: SparkSession, ledger: DataFrame, control: str) -> DataFrame:
+    """The ledger stream and the folder ``control``, through which it can be closed."""
+    columns = ["id", "product_id", "transaction_type", "quantity"]
+    rows = ledger.select(*columns)
+    spark.createDataFrame([], rows.schema).write.mode("ignore").parquet(control)
+    return rows.unionByName(spark.readStream.schema(rows.schema).parquet(control))
+
+
+def close_ledger(spark: SparkSession, control: str) -> None:
+    """Say that no more rows will come: the next run judges all that wait."""
+    end = spark.createDataFrame([(CLOSING_ID, None, None, None)], "id bigint, product_id bigint, transaction_type string, quantity int")
+    end.write.mode("append").parquet(control)
+
+
+def run_closed(spark: SparkSession, ledger: DataFrame, build, name: str, out_path: str | None = None) -> str:
+    """Run ``build(ledger)`` over a bounded ledger to its end: all available files, then
+    the closing mark.  Returns the output folder."""
+    out_path, _ = _folders(spark, name, out_path, None)
+    control = f"{out_path.rstrip('/')}-control"
+    run_to_parquet(spark, build(closable(spark, ledger, control)), name, out_path)
+    close_ledger(spark, control)
+    return run_to_parquet(spark, build(closable(spark, ledger, control)), name, out_path)
+
+
 def run_to_parquet(spark: SparkSession, stream: DataFrame, name: str, out_path: str | None = None,
                    checkpoint: str | None = None) -> str:
     """Run an append-mode stream to completion on the available input; a later run

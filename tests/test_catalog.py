@@ -126,3 +126,31 @@ def test_ingest_coerces_and_feeds_create_operators(spark, seed):
     new_orders, new_items, rejects = orders.create_orders(headers, items, seed["products"], seed["suppliers"], NOW)
     # line 2 takes the product's price (12.00): 3 x 6.50 + 1 x 12.00
     assert [(r["id"], r["total_amount"]) for r in new_orders.collect()] == [(7, Decimal("31.50"))]
+
+
+def test_many_patches_of_one_product(spark, seed):
+    """Running values over a product with many patches, some refused, equal one by one."""
+    import random
+
+    rnd = random.Random(12)
+    data = [(pid, seq, rnd.choice([None, Decimal(rnd.randint(-3, 99))]), rnd.choice([None, rnd.randint(-1, 9)]), rnd.choice([None, None, "Active", "Inactive", "Gone"]))
+            for pid, n in ((1, 150), (2, 2), (3, 1)) for seq in rnd.sample(range(10**9), n)]
+    patches = spark.createDataFrame(
+        [(i, s, None, None, None, p, r, None, st) for i, s, p, r, st in data],
+        "id long, seq long, name string, description string, category string, price decimal(12,2), reorder_level int, supplier_id long, status string")
+    stored = {r["id"]: r for r in seed["products"].collect()}
+    want, audits, now = {}, [], {i: [r["price"], r["reorder_level"], r["status"]] for i, r in stored.items()}
+    for pid, s, price, level, status in sorted(data, key=lambda x: (x[0], x[1])):
+        old = stored[pid]
+        bad = (price if price is not None else old["price"]) < 0 or (level if level is not None else old["reorder_level"]) < 0 or status == "Gone"
+        before = now[pid][0]
+        if not bad:
+            now[pid] = [x if x is not None else y for x, y in zip((price, level, status), now[pid])]
+            if now[pid][0] != before:
+                audits.append((pid, before, now[pid][0]))
+        want[pid, s] = (*now[pid], bad)
+    outcome, new, log = catalog.patch_products(seed["products"], patches, seed["suppliers"], NOW)
+    got = {(r["product_id"], r["seq"]): (r["price"], r["reorder_level"], r["status"], r["refused"]) for r in outcome.collect()}
+    assert got == want
+    assert {r["id"]: [r["price"], r["reorder_level"], r["status"]] for r in new.collect()} == now
+    assert sorted((r["record_id"], r["old_price"], r["new_price"]) for r in log.collect()) == sorted(audits)

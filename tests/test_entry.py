@@ -51,6 +51,22 @@ def test_sinks(spark, seed):
     assert spark.read.parquet(table).count() == 5
 
 
+def test_append_batch_is_idempotent(spark, seed):
+    """A repeated batch leaves the table unchanged, another one adds to it."""
+    from tests.conftest import rows
+
+    table, led = scratch_path(spark, "append-batch"), seed["ledger"]
+    for _ in range(2):
+        sinks.append_batch(led.filter("id <= 4"), table, 1)
+    sinks.append_batch(led.filter("id > 4"), table, 2)
+    first = rows(sinks.read_batches(spark, table), "id", "batch_id")
+    assert first == [(i, 1 if i <= 4 else 2) for i in range(1, 12)]
+    sinks.append_batch(led.filter("id <= 4"), table, 1)
+    sinks.append_batch(led.limit(0), table, 2)  # nothing to write
+    assert rows(sinks.read_batches(spark, table), "id", "batch_id") == first
+    assert rows(sinks.read_batches(spark, table, upto=1), "id") == [(i,) for i in range(1, 5)]
+
+
 def test_configure_for_scale_keeps_cluster_settings(spark):
     from larder.session import configure_for_scale
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pytest
+
 from larder.operators import orders
 from larder.operators.audit import order_audit
 from tests.conftest import NOW, SEED_STOCK, days, rows
@@ -123,7 +125,7 @@ def test_transitions_with_tiny_chunks_equal_default(spark, seed):
     statuses = ["PENDING", "SHIPPED", "DELIVERED", "CANCELLED", "BOGUS"]
     data = [(o, q, rnd.choice(statuses)) for o in (1, 2, 3, 4) for q in range(1, rnd.randint(2, 25))]
     req = spark.createDataFrame(data, "order_id long, seq int, status string")
-    a = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF, width=3)["outcomes"]
+    a = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF, partitions=5)["outcomes"]
     b = orders.transition_orders(req, seed["orders"], seed["items"], AS_OF)["outcomes"]
     assert rows(a) == rows(b)
     # plain sequential reference
@@ -156,7 +158,7 @@ def test_prefix_scan_matches_windows(spark):
     data = [(k, i, rnd.choice([None, rnd.randint(-9, 9)])) for k in (1, 2) for i in rnd.sample(range(200), 60)]
     df = spark.createDataFrame(data, "k long, o long, v long")
     got = prefix_scan(df, "k", "o", [Scan("s", "sum", F.col("v"), True), Scan("m", "max", F.col("v")),
-                                     Scan("l", "last", F.col("v")), Scan("p", "prev", F.col("v"))], width=7)
+                                     Scan("l", "last", F.col("v")), Scan("p", "prev", F.col("v"))], partitions=17)
     w = Window.partitionBy("k").orderBy("o")
     want = df.select(
         "k", "o", "v",
@@ -180,7 +182,7 @@ def test_prefix_scan_first(spark):
 
     data = [(1, i, v) for i, v in enumerate([None, None, 3, None, 5, 1, None, 2, 8, None, 4])]
     df = spark.createDataFrame(data, "k long, o long, v long")
-    got = prefix_scan(df, "k", "o", [Scan("f", "first", F.col("v")), Scan("fi", "first", F.col("v"), True)], 3)
+    got = prefix_scan(df, "k", "o", [Scan("f", "first", F.col("v")), Scan("fi", "first", F.col("v"), True)], 4)
     w = Window.partitionBy("k").orderBy("o")
     want = df.select("k", "o", F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"),
                      F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("fi"))
@@ -249,29 +251,72 @@ def test_status_changes_equal_snapshot_audit(spark, seed):
     assert rows(out["status_changes"]) == rows(snap, "record_id", "old_status", "new_status") == []
 
 
-def test_prefix_scan_hot_only_chunking_matches_windows(spark):
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_prefix_scan_of_hot_sparse_and_null_keys_matches_windows(spark, partitions):
+    """A hot key with sparse order values, a cold one and the null key, cut anywhere;
+    values of several types, carried whole."""
     import random
 
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    from larder.operators.prefix import Scan, key_counts, prefix_scan
+    from larder.operators.prefix import Scan, prefix_scan
 
     rnd = random.Random(9)
-    # key 1 is hot (many rows, cut into ranges of 5), key 2 is cold, key None is its own group
-    data = [(1, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 120)]
-    data += [(2, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 4)]
-    data += [(None, i, rnd.randint(-5, 5)) for i in rnd.sample(range(400), 7)]
-    df = spark.createDataFrame(data, "k long, o long, v long")
-    counts = key_counts(df, "k", "_n").withColumnRenamed("k", "_ck")
-    dfc = df.join(counts, df.k.eqNullSafe(counts._ck), "left").drop("_ck")
-    got = prefix_scan(dfc, "k", "o", [Scan("s", "sum", F.col("v"), True), Scan("f", "first", F.col("v")),
-                                      Scan("p", "prev", F.col("v"))], width=5, count_col="_n")
+    data = [(k, i, rnd.choice([None, rnd.randint(-5, 5)]), rnd.choice([None, "a", "b", "zz"]))
+            for k, n in ((1, 240), (2, 4), (None, 17)) for i in rnd.sample(range(10**12), n)]
+    df = spark.createDataFrame(data, "k long, o long, v long, t string")
+    held = {"f": "first", "l": "last", "p": "prev", "s": "sum", "x": "max", "n": "min"}
+    scans = [Scan(f"{n}{c}{int(inc)}", op, F.col(c), inc) for n, op in held.items() for c in "vt" for inc in (False, True)
+             if (c == "v" or op in ("first", "last", "prev")) and not (op == "prev" and inc)]
+    got = prefix_scan(df, "k", "o", scans, partitions)
     w = Window.partitionBy("k").orderBy("o")
-    want = df.select("k", "o", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"),
-                     F.first("v", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("f"),
-                     F.lag("v").over(w).alias("p"))
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    g = sorted((tuple(r) for r in got.select("k", "o", "s", "f", "p").collect()), key=key)
-    e = sorted((tuple(r) for r in want.collect()), key=key)
-    assert g == e
+    ops = {"first": lambda c: F.first(c, True), "last": lambda c: F.last(c, True), "sum": lambda c: F.sum(F.coalesce(c, F.lit(0))), "max": F.max, "min": F.min}
+    want = df.select("*", *[
+        (F.lag(s.out[1]).over(w) if s.op == "prev" else ops[s.op](F.col(s.out[1])).over(w.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1))).alias(s.out)
+        for s in scans])
+    want = want.fillna(0, [s.out for s in scans if s.op == "sum"])
+    assert got.columns == want.columns and got.count() == len(data)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert prefix_scan(df.limit(0), "k", "o", scans, partitions).count() == 0
+
+
+def test_ranked_parts_are_even_for_a_hot_key_with_sparse_ids(spark):
+    """40 % of the rows on one key, ids far apart: no part over 1.5 times the mean."""
+    from pyspark.sql import functions as F
+
+    from larder.operators.prefix import PART, ranked
+
+    df = spark.range(200_000).select(
+        F.when(F.col("id") % 5 < 2, 7).otherwise(F.col("id") % 1000).alias("k"), (F.col("id") * F.col("id") * 1000).alias("o"))
+    sizes = [r["count"] for r in ranked(df, "k", "o", 16).groupBy(PART).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.5 * 200_000 / 16
+
+
+def test_prior_status_keeps_any_status(spark):
+    """A log with statuses outside the four names loses no row."""
+    from larder.operators import audit
+
+    log = [(1, 10, "PENDING"), (1, 20, "ON_HOLD"), (1, 35, "SHIPPED"), (1, 36, "SHIPPED"), (2, 5, "LOST"), (2, 6, "PENDING"), (3, 1, None), (3, 2, "PENDING"), (3, 9, None), (3, 11, "LOST")]
+    df = spark.createDataFrame(log, "order_id long, seq long, status string")
+    got = rows(audit.order_audit_from_log(df, partitions=4), "record_id", "seq", "old_status", "new_status")
+    assert got == [(1, 20, "PENDING", "ON_HOLD"), (1, 35, "ON_HOLD", "SHIPPED"), (2, 6, "LOST", "PENDING")]
+
+
+def test_transition_outputs_share_one_judgement(spark, seed):
+    """The requests are read once, whatever outputs are used, and the counters come with them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    req = spark.createDataFrame([(2, 1, "SHIPPED"), (2, 2, "DELIVERED"), (2, 3, "PENDING"), (3, 1, "NOPE"), (9, 1, "SHIPPED")],
+                                "order_id long, seq long, status string").mapInArrow(count, "order_id long, seq long, status string")
+    out = orders.transition_orders(req, seed["orders"], seed["items"], NOW)
+    first = read.value
+    for name in ("outcomes", "orders", "items", "ledger", "audit", "status_changes"):
+        out[name].collect()
+    assert read.value == first
+    assert out["counts"] == {"requests": 5, "applied": 2, "terminal": 1, "invalid_status": 1, "not_found": 1}

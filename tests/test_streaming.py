@@ -4,6 +4,7 @@ including over several micro-batches."""
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -141,10 +142,12 @@ def test_streams_resume_and_read_table_folders(spark):
     grow = S.scratch_path(spark, "events-grow") + "/events.parquet"
     os.makedirs(grow)
     names = sorted(os.listdir(src))
+    for i, f in enumerate(names):  # files of one modification time have no order
+        os.utime(os.path.join(src, f), (1_700_000_000 + i, 1_700_000_000 + i))
     out, guarded = S.scratch_path(spark, "resume"), S.scratch_path(spark, "resume-guard")
     for part in (names[:2], names[2:]):
         for f in part:
-            shutil.copy(os.path.join(src, f), os.path.join(grow, f))
+            shutil.copy2(os.path.join(src, f), os.path.join(grow, f))
         S.run_live_stock(spark, S.ledger_stream(spark, grow, max_files_per_trigger=1), out)
         S.run_to_parquet(spark, S.live_guard(S.ledger_stream(spark, grow, max_files_per_trigger=1), m.opening_zero()), "x", guarded)
     assert rows(S.latest_stock(spark, out)) == rows(ledger.ledger_stock(m.ledger))
@@ -166,3 +169,98 @@ def test_unsound_rows_are_refused_alike_in_batch_and_stream(spark):
     stream = spark.readStream.schema(df.schema).parquet(src)
     got = spark.read.parquet(S.run_to_parquet(spark, S.live_guard(stream, opening), "unsound-out"))
     assert {r["id"]: (r["accepted"], r["reason"]) for r in got.collect()} == want
+
+
+def _shuffled(spark, order, repeat=()) -> str:
+    """The split events as files that arrive in another order than their ids; those in ``repeat`` arrive twice."""
+    import shutil
+
+    src = _split_events(spark, parts=max(order) + 1)
+    out = S.scratch_path(spark, "events-shuffled")
+    os.makedirs(out)
+    for at, i in enumerate([*order, *repeat]):
+        name = os.path.join(out, f"file-{at}.parquet")
+        shutil.copy(os.path.join(src, f"part-{i}.parquet"), name)
+        os.utime(name, (1_700_000_000 + at, 1_700_000_000 + at))
+    return out
+
+
+def test_ordered_guard_is_independent_of_file_times(spark, monkeypatch):
+    """Files in another order than their ids, small ranges: the verdicts of the batch guard, reasons too."""
+    m = Model(spark, SF)
+    for ids in (64, S.RANGE):
+        monkeypatch.setattr(S, "RANGE", ids)
+        stream = S.ledger_stream(spark, _shuffled(spark, [2, 0, 3, 1]), max_files_per_trigger=1)
+        got = spark.read.parquet(S.run_closed(spark, stream, lambda t: S.ordered_guard(t, m.opening_zero()), "ordered"))
+        want = guard.guard_ledger(m.opening_zero(), m.ledger).select(*got.columns)
+        assert got.count() == 1000 and got.exceptAll(want).count() == 0
+
+
+def test_ordered_guard_waits_for_the_watermark(spark):
+    """Rows are judged once the watermark has passed their range of ids, not before, and a
+    run goes on where the last one ended."""
+    m = Model(spark, SF)
+    src, out = _shuffled(spark, [0, 1, 2]), S.scratch_path(spark, "waits")
+    control = f"{out}-control"
+
+    def run():
+        ledger_ = S.closable(spark, S.ledger_stream(spark, src, max_files_per_trigger=1), control)
+        S.run_to_parquet(spark, S.ordered_guard(ledger_, m.opening_zero(), displacement=100), "x", out)
+        return spark.read.parquet(out).count()
+
+    assert run() == 0  # all ids lie in the first range
+    S.close_ledger(spark, control)
+    assert run() == 1000
+
+
+def test_repeated_files_are_audited_once(spark):
+    """A file delivered twice, near its first delivery or behind the watermark, adds no verdict and no audit row."""
+    from larder.operators import audit as A
+
+    m = Model(spark, SF)
+    batch = A.product_audit_from_guard(guard.guard_ledger(m.opening_zero(), m.ledger), m.products)
+    columns = ["record_id", "old_quantity", "new_quantity", "old_price", "new_price"]
+    want = batch.select(*columns)
+    for displacement in (S.DISPLACEMENT, 300):
+        src = _shuffled(spark, [0, 1, 2, 3], repeat=[1, 0, 3])
+        stream = S.ledger_stream(spark, src, max_files_per_trigger=1)
+
+        def audit(t):
+            return S.audit_rows(S.ordered_guard(t, m.opening_zero(), displacement), m.products)
+
+        got = spark.read.parquet(S.run_closed(spark, stream, audit, "audit-once")).select(*columns)
+        assert got.count() == want.count() > 900
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_unsound_rows_wait_and_are_refused_too(spark):
+    rws = [(1, 1, "IN", 5), (3, 1, "TRANSFER", 2), (2, 1, "IN", -5), (4, 999, "IN", 3), (6, 1, "OUT", -3), (5, 1, "OUT", None), (7, 1, "OUT", 9), (8, None, "IN", 1)]
+    df = spark.createDataFrame(rws, "id long, product_id long, transaction_type string, quantity int")
+    opening = spark.createDataFrame([(1, 2)], "product_id long, opening_stock long")
+    src = S.scratch_path(spark, "unsound-ordered")
+    df.write.parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    got = spark.read.parquet(S.run_closed(spark, stream, lambda t: S.ordered_guard(t, opening), "unsound-ordered-out"))
+    want = guard.guard_ledger(opening, df).select(*got.columns)
+    assert got.count() == len(rws) and got.exceptAll(want).count() == 0
+
+
+def test_compacted_changelog_reads_one_snapshot_and_its_deltas(spark):
+    """Snapshots every two batches: the stocks stay right, and neither old batches nor old snapshots are read."""
+    import shutil
+
+    m = Model(spark, SF)
+    src = _shuffled(spark, list(range(7)))
+    out = S.run_live_stock(spark, S.ledger_stream(spark, src, max_files_per_trigger=1), compact_every=2)
+    want = rows(ledger.ledger_stock(m.ledger))
+    assert S.last_snapshot(spark, out) == 5 and rows(S.latest_stock(spark, out)) == want
+    halfway = rows(S.latest_stock(spark, out, upto=2))
+    assert halfway != want and len(halfway) > 0
+    plan = S.latest_stock(spark, out)._jdf.queryExecution().toString()
+    assert "upto=5" in plan and "upto=3" not in plan
+    assert re.search(r"PartitionFilters: \[[^\]]*batch_id#\d+[^\]]* > 5", plan), plan
+    # a snapshot that was written but not committed is not read
+    shutil.copytree(f"{out}-snapshots/upto=1", f"{out}-snapshots/upto=6")
+    assert S.last_snapshot(spark, out) == 5 and rows(S.latest_stock(spark, out)) == want
+    S.compact(spark, out, 6)
+    assert S.last_snapshot(spark, out) == 6 and rows(S.latest_stock(spark, out)) == want
