@@ -53,7 +53,7 @@ SEGMENT_BYTES, SHARD_BYTES = 1 << 20, 16 << 20
 ROW_GROUP_BYTES = 8 << 20  # what a reader holds at a time
 LEVEL = 3
 CHUNK_CHARS = 1 << 20  # texts split into words at a time
-HELD = 400_000  # words whose ids a task remembers
+HELD = 800_000  # words whose ids a task remembers
 ROWS = 512  # documents taken from Arrow at a time
 
 # Ranges that hold letters alone, marks alone and white space alone.  Over them the standard
