@@ -10,6 +10,10 @@ Nulls and oddities: a null url or one without ``://`` has an empty host and
 path, matches no rule and is judged by the trees like any other.  Repeated
 rows are judged one by one.  Without labelled URLs (empty table) every method
 verdict is ``allow``.
+
+The statistics are those of the host's last one and two labels and of the path's
+first segment.  A statistic that alone tells nearly every training label is
+withheld, as nothing else would be learnt beside it.
 """
 
 from __future__ import annotations
@@ -51,8 +55,9 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def lexical(df: DataFrame, url: str, host: str, path: str) -> DataFrame:
-    """Lexical features of ``url`` as double columns ``f_*`` and the host's
-    suffixes ``s_top`` (last label) and ``s_two`` (last two labels)."""
+    """Lexical features of ``url`` as double columns ``f_*``, the host's suffixes
+    ``s_top`` (last label) and ``s_two`` (last two labels), and ``s_seg``, the first
+    segment of the path that follows them."""
     u = F.coalesce(F.col(url), F.lit(""))
     h, p = F.col(host), F.col(path)
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
@@ -75,12 +80,17 @@ def lexical(df: DataFrame, url: str, host: str, path: str) -> DataFrame:
             "f_fragment": F.contains(u, F.lit("#")).cast("int"),
             "s_top": F.substring_index(h, ".", -1),
             "s_two": F.substring_index(h, ".", -2),
+            "s_seg": F.regexp_extract(p, r"(?s)^/([^/]*)", 1),
         })
     )
 
 
 FEATURES = ("f_length", "f_host_length", "f_path_length", "f_depth", "f_labels", "f_digit_ratio", "f_host_digits",
-            "f_hyphens", "f_entropy", "f_params", "f_fragment", "f_top_rate", "f_top_count", "f_two_rate", "f_two_count")
+            "f_hyphens", "f_entropy", "f_params", "f_fragment", "f_top_rate", "f_top_count", "f_two_rate", "f_two_count",
+            "f_seg_rate", "f_seg_count")
+SUFFIXES = {"s_top": "top", "s_two": "two", "s_seg": "seg"}
+FOLDS = 5
+DECIDES = 0.99  # a suffix column that tells so large a share of the labels alone is withheld
 
 
 @dataclass
@@ -150,32 +160,41 @@ def fit(binned: DataFrame, model: Trees, n_trees: int, depth: int, rate: float,
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "label", max_labelled: int = MAX_LABELLED,
-          n_bins: int = 16, n_trees: int = 8, depth: int = 3, rate: float = 0.3):
+          n_bins: int = 16, n_trees: int = 16, depth: int = 3, rate: float = 0.3):
     """Fit on labelled URLs (label 1: block, 0: allow; other rows are left out).
 
     At most ``max_labelled`` distinct URLs are taken, the smallest by hash.
-    Returns the ensemble and the two suffix tables, which hold at most
-    ``max_labelled`` rows each and so may be broadcast."""
-    host, path = parts(F.col(url))
+    Returns the ensemble, the suffix tables, which hold at most ``max_labelled``
+    rows each and so may be broadcast, and the overall block rate.
+
+    Suffix rates are cross-fitted: a training URL gets the rates of the other
+    folds, so that its own label stays out of them, while its suffix's number of
+    URLs, which tells nothing of the label, is the same as in scoring."""
     seen = (
         labelled.where(F.col(label).isin(0, 1) & F.col(url).isNotNull())
         .groupBy(F.col(url).alias("u_")).agg(F.max(F.col(label)).cast("int").alias("y"))
         .orderBy(F.xxhash64("u_"), "u_").limit(max_labelled)
     )
     host, path = parts(F.col("u_"))
-    sample = lexical(seen.withColumns({"h_": host, "p_": path}), "u_", "h_", "p_").checkpoint()
+    fold = F.pmod(F.xxhash64(F.col("u_"), F.lit("fold")), F.lit(FOLDS)).cast("int")
+    sample = lexical(seen.withColumns({"h_": host, "p_": path, "fold": fold}), "u_", "h_", "p_").checkpoint()
     total, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     model = Trees()
-    stats = {s: sample.groupBy(s).agg(F.count("*").alias("n_" + s), F.sum("y").alias("y_" + s)) for s in ("s_top", "s_two")}
+    counts = [F.count("*").alias("n_"), F.sum("y").alias("y_")]
+    stats = {s: sample.groupBy(s).agg(*counts) for s in SUFFIXES}
     rate_all = (positive + 1.0) / (total + 2.0)
     model.prior = round(math.log(rate_all / (1 - rate_all)), 9) if total else -1.0
     if not total or positive in (0, total):
         return model, stats, rate_all
-    # A URL's own label stays out of its suffixes' rates.
-    rows = with_suffixes(sample, stats, rate_all, own=F.col("y"))
-    quantiles = rows.agg(*[F.percentile_approx(f, [i / n_bins for i in range(1, n_bins)], 10_000).alias(f) for f in FEATURES]).first()
-    edges = {f: sorted(set(quantiles[f])) for f in FEATURES}
-    bins = {f: sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f]), F.lit(0)) for f in FEATURES if edges[f]}
+    rows = with_suffixes(sample, stats, rate_all, {s: sample.groupBy(s, "fold").agg(*counts) for s in SUFFIXES})
+    told = {s: stats[s].agg(F.sum(F.greatest("y_", F.col("n_") - F.col("y_")))).first()[0] / total for s in SUFFIXES}
+    features = [f for f in FEATURES if not any(f.startswith(f"f_{short}_") and told[s] >= DECIDES for s, short in SUFFIXES.items())]
+    quantiles = rows.agg(*[F.percentile_approx(f, [i / n_bins for i in range(1, n_bins)], 10_000).alias(f) for f in features]).first()
+    # An edge lies half-way between a value and the next one: no value falls on it.
+    values = {f: sorted(set(quantiles[f])) for f in features}
+    above = rows.agg(*[F.min(F.when(F.col(f) > v, F.col(f))).alias(f"{f}_{i}") for f in features for i, v in enumerate(values[f])]).first()
+    edges = {f: [(v + above[f"{f}_{i}"]) / 2 for i, v in enumerate(values[f]) if above[f"{f}_{i}"] is not None] for f in features}
+    bins = {f: sum((F.when(F.col(f) > e, 1).otherwise(0) for e in edges[f]), F.lit(0)) for f in features if edges[f]}
     binned = rows.select("y", *[c.alias(f) for f, c in bins.items()]).groupBy(*bins).agg(F.count("*").alias("n"), F.sum("y").alias("pos")).checkpoint()
     model.edges = {f: edges[f] for f in bins}
     fit(binned, model, n_trees, depth, rate)
@@ -187,14 +206,21 @@ def train(labelled: DataFrame, url: str = "url", label: str = "label", max_label
     return model, stats, rate_all
 
 
-def with_suffixes(df: DataFrame, stats: dict, rate_all: float, own: Column | None = None, weight: float = 20.0) -> DataFrame:
-    """Suffix statistics: labelled URLs under the suffix and their smoothed block rate."""
-    for s, short in (("s_top", "top"), ("s_two", "two")):
-        df = df.join(F.broadcast(stats[s]), s, "left")
-        n, y = F.coalesce(F.col("n_" + s), F.lit(0)), F.coalesce(F.col("y_" + s), F.lit(0))
-        if own is not None:
-            n, y = n - 1, y - own
-        df = df.withColumns({f"f_{short}_rate": (y + weight * rate_all) / (n + weight), f"f_{short}_count": F.log1p(n.cast("double"))})
+def with_suffixes(df: DataFrame, stats: dict, rate_all: float, own_fold: dict | None = None, weight: float = 5.0) -> DataFrame:
+    """Suffix statistics: labelled URLs under the suffix and their smoothed block rate,
+    without those of the row's own fold where ``own_fold`` has them.  Scoring takes all
+    folds, scaled to as many URLs as a training row's rate is made of."""
+    share = (FOLDS - 1) / FOLDS
+    for s, short in SUFFIXES.items():
+        df = df.join(F.broadcast(stats[s].select(s, F.col("n_").alias("n_all"), F.col("y_").alias("y_all"))), s, "left")
+        n, y = F.coalesce("n_all", F.lit(0)), F.coalesce("y_all", F.lit(0))
+        if own_fold is None:
+            rate_n, rate_y = n * share, y * share
+        else:
+            df = df.join(F.broadcast(own_fold[s].select(s, "fold", F.col("n_").alias("n_own"), F.col("y_").alias("y_own"))), [s, "fold"], "left")
+            rate_n, rate_y = n - F.coalesce("n_own", F.lit(0)), y - F.coalesce("y_own", F.lit(0))
+        df = df.withColumns({f"f_{short}_rate": (rate_y + weight * rate_all) / (rate_n + weight),
+                             f"f_{short}_count": F.log1p(n.cast("double"))}).drop("n_all", "y_all", "n_own", "y_own")
     return df
 
 
