@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -46,6 +47,86 @@ def test_url_rules_and_parts(spark):
     assert got[2]["verdict"] == "allow" and got[3]["verdict"] == "block" and {r["verdict"] for r in got.values()} <= {"allow", "block"}
 
 
+def plain_boost(rows, names, n_trees, depth, rate, prior, reg=1.0):
+    """The booster in plain Python over (bins, n, pos): margins of the rows, and the features it split on."""
+    margins, used = [prior] * len(rows), set()
+    for _ in range(n_trees):
+        p = [1 / (1 + math.exp(-m)) for m in margins]
+        g, h = [r[2] - r[1] * q for r, q in zip(rows, p)], [r[1] * q * (1 - q) for r, q in zip(rows, p)]
+        leaves, step = [list(range(len(rows)))], [0.0] * len(rows)
+        for _ in range(depth):
+            grown = []
+            for node in leaves:
+                sg, sh = sum(g[i] for i in node), sum(h[i] for i in node)
+                best = None
+                for f in sorted(names):
+                    k = names.index(f)
+                    cuts = sorted({rows[i][0][k] for i in node})
+                    for b in cuts[:-1]:
+                        lg, lh = sum(g[i] for i in node if rows[i][0][k] <= b), sum(h[i] for i in node if rows[i][0][k] <= b)
+                        gain = lg ** 2 / (lh + reg) + (sg - lg) ** 2 / (sh - lh + reg) - sg ** 2 / (sh + reg)
+                        if min(lh, sh - lh) > 0.5 and gain > 1e-6 and (best is None or gain > best[0] + 1e-12):
+                            best = (gain, k, b)
+                if best is None:
+                    grown.append((node, True))
+                else:
+                    used.add(names[best[1]])
+                    grown += [([i for i in node if rows[i][0][best[1]] <= best[2]], False), ([i for i in node if rows[i][0][best[1]] > best[2]], False)]
+            done = [n for n, end in grown if end]
+            for node in done:
+                for i in node:
+                    step[i] = rate * sum(g[j] for j in node) / (sum(h[j] for j in node) + reg)
+            leaves = [n for n, end in grown if not end]
+        for node in leaves:
+            for i in node:
+                step[i] = rate * sum(g[j] for j in node) / (sum(h[j] for j in node) + reg)
+        margins = [m + s for m, s in zip(margins, step)]
+    return margins, used
+
+
+def test_url_booster_equals_plain_python(spark):
+    rnd = random.Random(8)
+    rows = []
+    for a, b, c in itertools.product(range(4), range(3), range(2)):
+        n = rnd.randint(5, 40)
+        rows.append(((a, b, c), n, sum(rnd.random() < (0.9 if (a > 1) != (b == 1) else 0.15) for _ in range(n))))
+    names = ["f_a", "f_b", "f_c"]
+    df = spark.createDataFrame([(*k, n, y) for k, n, y in rows], "f_a int, f_b int, f_c int, n long, pos long")
+    model = url_filter.Trees(prior=-0.3, edges={f: [0.5] * 4 for f in names})
+    url_filter.fit(df, model, n_trees=3, depth=2, rate=0.3)
+    want, used = plain_boost(rows, names, 3, 2, 0.3, -0.3)
+    got = {tuple(r)[:3]: r["m"] for r in df.select(*names, url_filter.margin(model).alias("m")).collect()}
+    assert {"f_a", "f_b"} <= used
+    for (k, _, _), m in zip(rows, want):
+        assert got[k] == pytest.approx(m, abs=1e-6)
+
+
+def test_url_model_agrees_with_its_training_labels(spark):
+    """Labels that hold for suffix and path together: scoring sees what training saw."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    labels = url_filter.labelled_by_rules(pages)
+    got = url_filter.filter_urls(pages, labels).where("rule IS NOT NULL").select("verdict", "rule", "score").collect()
+    right = [(r["score"] >= 0.5) == (r["verdict"] == "block") for r in got]
+    assert len(right) > 50 and sum(right) >= 0.95 * len(right)
+    for rule in {r["rule"] for r in got}:  # no rule's URLs are judged the other way round
+        of = [x for x, r in zip(right, got) if r["rule"] == rule]
+        assert sum(of) >= 0.8 * len(of), rule
+
+
+def test_url_suffix_that_tells_the_label_is_withheld(spark):
+    """Labels that equal the top-level domain: the trees learn the lexical side of it, and so
+    judge a domain they have not seen."""
+    rnd = random.Random(3)
+    rows = [(f"http://{prose(rnd, 1)}{k}.example.{'net' if k % 2 else 'org'}/{'9' * 12 if k % 2 else 'a'}{k}", k % 2) for k in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model, _, _ = url_filter.train(labelled, n_trees=3)
+    used = {f for splits, _ in model.trees for f, _ in splits.values()}
+    assert used and not used & {"f_top_rate", "f_top_count", "f_two_rate", "f_two_count"}
+    test = spark.createDataFrame([(1, "http://lokami7.example.info/9999999999991"), (2, "http://lokami7.example.info/a2")], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(test, labelled, rules=(), n_trees=6).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_url_trees_learn_and_empty_tables(spark):
     rnd = random.Random(1)
     spam = [(f"http://win{rnd.randint(100, 999)}-cash-{rnd.randint(10, 99)}.example.com/a/b/c/{rnd.randint(10**6, 10**7)}?a=1&b=2", 1) for _ in range(150)]
@@ -104,6 +185,27 @@ def test_html_query_rows(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_of_hostile_pages_takes_linear_time():
+    """About 1 MB each of open tags, open quotes, nesting and stray ends: a few seconds at most."""
+    import time
+
+    pages = {"open tags": "<a " * 350_000 + '"', "nesting": "<div>word " * 100_000, "quotes": '<a "x" ' * 150_000 + '"', "open quotes": '<p class="a>text ' * 60_000,
+             "stray ends": "<div>" * 60_000 + "</x>" * 60_000 + "text", "inline": "<b>" * 60_000 + "x<hr>" * 60_000, "apostrophes": "<p>it's a <b title='x>" * 50_000,
+             "comments": "<!-- x" * 100_000, "items": "<ul><li>" * 60_000}
+    for name, page in pages.items():
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 8, name
+    deep = html_extract.main_text("<div>word " * 20_000)
+    assert deep.split("\n") == ["word"] * 20_000
+
+
+def test_html_tags_end_where_their_quotes_do():
+    for page, want in (('<p class="a > b">one, two</p>', "one, two"), ("<p title='x>y'>one</p>", "one"), ('<p>a <b title="x>open</p>', 'a <b title="x>open'),
+                       ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"), ("<p>end <b", "end"), ("<p>x</p><!-- <p>no</p>", "x"), ("<p>x</p><p", "x")):
+        assert html_extract.main_text(page) == want, page
+
+
 # -- decontamination ---------------------------------------------------------------
 
 def test_decontamination_equals_brute_force(spark):
@@ -187,6 +289,31 @@ def test_pii_entities_and_surrogates(spark):
     assert pii.replace(docs.limit(0)).count() == 0
 
 
+def test_pii_keys(spark):
+    """One key, one set of surrogates; another key, another set; without one the session's own."""
+    docs = docs_of(spark, [f"Mr. Peter Weiss{k} wrote to ann{k}@example.org on +1 234-555-{1000 + k}" for k in range(30)])
+    run = lambda **k: {r["doc_id"]: r["text"] for r in pii.replace(docs, **k).collect()}
+    first, again, other = run(key=b"one"), run(key=b"one"), run(key=b"two")
+    assert first == again and not set(first.values()) & set(other.values())
+    assert run() == run() != run(key=pii.KEY)
+    spark.conf.set(pii.KEY_SETTING, "one")
+    try:
+        assert run() == first
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_surrogates_keep_script_and_check_digits():
+    for value in ("GB82WEST12345698765432", "DE89370400440532013000", "FR1420041010050500013M02606"):
+        for attempt in (0, 1, pii.GROW_AFTER + 2):
+            got = pii.surrogate("iban", value, attempt)
+            assert got != value and got[:2] == value[:2] and pii.iban_remainder(got) == 1
+            assert [c.isdigit() for c in got[4:len(value)]] == [c.isdigit() for c in value[4:]]
+    for value, low, high in (("παπαδόπουλος", 0x370, 0x400), ("王小明", 0x4E00, 0xA000), ("كريم", 0x600, 0x700)):
+        got = {pii.surrogate("family", value, n) for n in range(9)}
+        assert len(got) > 6 and all(low <= ord(c) < high for name in got for c in name)
+
+
 def test_surrogates_are_distinct(spark):
     rows = [("family", f"{a}{b}son") for a in "bcdfghjklm" for b in ("a", "e", "i", "o", "ra", "le", "mi", "no")]
     rows += [("given f", f"name{i}") for i in range(60)] + [("ip", f"10.0.0.{i}") for i in range(50)]
