@@ -18,13 +18,16 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.llm.common import prepare, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -56,12 +59,68 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 
 
 class Node:
-    __slots__ = ("tag", "parent", "score", "chars", "linked", "bad", "order")
+    __slots__ = ("tag", "parent", "score", "chars", "linked", "bad", "order", "block", "owner")
 
     def __init__(self, tag, parent, bad, order):
         self.tag, self.parent, self.bad, self.order = tag, parent, bad, order
         self.score = 0.0
         self.chars = self.linked = 0
+        self.block = parent.block if parent is not None and tag in INLINE else self  # the container its text belongs to
+
+
+class Marks:
+    """The page's tags, comments and declarations.  The end of a tag depends only on the
+    first stop (a quote or ``>``) after its name, so it is worked out once for every
+    stop: a page of open tags or open quotes takes no longer than any other."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.stops = [m.start() for m in STOP.finditer(page)]
+        self.ends: dict[int, tuple[int, int] | None] = {}
+        self.open: dict[str, int] = {}  # quote: a place from which it does not occur any more
+
+    def quote(self, mark: str, at: int) -> int:
+        if at >= self.open.get(mark, at + 1):
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self.open[mark] = at
+        return found
+
+    def end(self, at: int) -> tuple[int, int] | None:
+        """(end of the attributes, end of the tag) for attributes from ``at``; None where a
+        quote stays open.  Without a ``>`` the tag goes on to the end of the page."""
+        path, got = [], (len(self.page), len(self.page))
+        while (k := bisect_left(self.stops, at)) < len(self.stops):
+            stop = self.stops[k]
+            if stop in self.ends:
+                got = self.ends[stop]
+                break
+            path.append(stop)
+            mark = self.page[stop]
+            close = stop if mark == ">" else self.quote(mark, stop + 1)
+            if mark == ">" or close < 0:
+                got = (stop, stop + 1) if mark == ">" else None
+                break
+            at = close + 1
+        for stop in path:
+            self.ends[stop] = got
+        return got
+
+    def next(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether an end tag, tag or None, attributes) of the first mark from ``at``."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            for begin, close in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")):
+                if page.startswith(begin, at):
+                    end = page.find(close, at + len(begin))
+                    return at, end + len(close) if end >= 0 else len(page), False, None, ""
+            m = NAME.match(page, at)
+            end = m and self.end(m.end())
+            if end:
+                return at, end[1], bool(m[1]), m[2].lower(), page[m.end():end[0]]
+            at += 1
+        return None
 
 
 def _unlikely(tag: str, attrs: str) -> bool:
@@ -73,13 +132,16 @@ def _unlikely(tag: str, attrs: str) -> bool:
     return bool(found & UNLIKELY - WEAK) or bool(found & UNLIKELY) and not found & LIKELY
 
 
-def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool, int]], Node]:
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool, int]], list[Node]]:
     """Blocks (container, text, in a paragraph element, link characters) in page
-    order, with the characters and link characters counted along the tree."""
+    order, and all containers, parents first, with the characters and link
+    characters counted along the tree."""
     root = Node("#root", None, False, 0)
-    stack, blocks, buffer = [root], [], []
+    stack, nodes, blocks, buffer = [root], [root], [], []
     at, n, count, links = 0, len(page), 0, 0
     linked = 0
+    opened: Counter = Counter()  # open elements by tag
+    marks = Marks(page)
 
     def flush():
         nonlocal linked
@@ -87,26 +149,33 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool, int]], Node]:
             text = SPACE.sub(" ", entities.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                node = stack[-1]
-                while node.tag in INLINE and node.parent is not None:
-                    node = node.parent
+                node = stack[-1].block
                 share = min(linked, len(text))
                 blocks.append((node, text, node.tag in PARAGRAPHS, share))
-                while node is not None:
-                    node.chars += len(text)
-                    node.linked += share
-                    node = node.parent
+                node.chars += len(text)
+                node.linked += share
             linked = 0
 
     def pop_to(index: int):
         nonlocal links
         for x in stack[index:]:
             links -= x.tag == "a"
+            opened[x.tag] -= 1
         del stack[index:]
 
+    def close(tags) -> None:
+        """End the innermost open element of ``tags`` if only inline elements are in it."""
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    pop_to(i)
+                    break
+                if stack[i].tag not in INLINE:
+                    break
+
     while at < n:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else n
+        m = marks.next(at)
+        end = m[0] if m else n
         if end > at and not stack[-1].bad:
             # a cut-off start such as "<di" at the very end is markup, not text
             text = page[at:end]
@@ -114,61 +183,54 @@ def blocks_of(page: str) -> tuple[list[tuple[Node, str, bool, int]], Node]:
             linked += len(text) if links else 0
         if not m:
             break
-        at = m.end()
-        tag = m[2]
+        _, at, ends_tag, tag, attrs = m
         if tag is None:
             continue
-        tag = tag.lower()
-        if m[1]:
+        if ends_tag:
             if tag not in INLINE:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        pop_to(i)
+                        break
+                    if tag in INLINE and stack[i].tag not in INLINE:
+                        break
             continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            found = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = found.end() if found else n
             continue
         if tag not in INLINE:
             flush()
             if tag in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == "p":
-                        pop_to(i)
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
-            ends = CLOSES.get(tag)
-            if ends:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in ends:
-                        pop_to(i)
-                        break
-                    if stack[i].tag not in INLINE:
-                        break
+                close(("p",))
+            if tag in CLOSES:
+                close(CLOSES[tag])
         if tag in VOID:
             if tag in ("br", "hr"):
                 buffer.append(" ")
             continue
-        if m[3].endswith("/") and tag not in ("p", "div"):
+        if attrs.endswith("/") and tag not in ("p", "div"):
             continue
         count += 1
         parent = stack[-1]
-        stack.append(Node(tag, parent, parent.bad or _unlikely(tag, m[3]), count))
+        stack.append(Node(tag, parent, parent.bad or _unlikely(tag, attrs), count))
+        nodes.append(stack[-1])
+        opened[tag] += 1
         links += tag == "a"
     flush()
-    return blocks, root
+    for x in reversed(nodes[1:]):  # children come after their parents
+        x.parent.chars += x.chars
+        x.parent.linked += x.linked
+    return blocks, nodes
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, white space collapsed, joined by newlines."""
     if not page:
         return ""
-    blocks, _ = blocks_of(page)
+    blocks, nodes = blocks_of(page)
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
@@ -193,15 +255,15 @@ def main_text(page: str | None) -> str:
     main = max((i for i, x in enumerate(above) if x.tag == "main"), default=None)
     last = top + 1 if main is None else max(main, top)
     around = {id(x) for x in above[top + 1:last + 1]}
+    for x in nodes:  # the part beside the article, or the article, that a container lies in
+        x.owner = x if x is above[top] or x.parent is None or id(x.parent) in around else x.parent.owner
     out = []
     for node, text, _, linked in blocks:
-        x = node
-        if id(x) in around:
+        if id(node) in around:
             if linked <= LINKS * len(text):
                 out.append(text)
             continue
-        while x is not above[top] and x.parent is not None and id(x.parent) not in around:
-            x = x.parent
+        x = node.owner
         if x is above[top] or x.parent is not None and x.linked <= LINKS * x.chars:
             out.append(text)
     return "\n".join(out)
