@@ -14,9 +14,11 @@ SHA-256, and the ids that have it are joined to what is found.  The index is
 dealt into shards of bounded text; each shard is broadcast and the texts pass it
 in turn, so the texts are not shuffled and no shard grows with the number of items.
 
-Nulls and oddities: null, empty and short texts retrieve nothing.  Items of
-fewer than ``MIN_WORDS`` words, null or empty ones say too little and are not
-indexed.  Equal items are reported each under its id, repeated item rows once,
+Items of fewer than ``MIN_WORDS`` words have no shingle to verify; they are found
+where a text's words are the item's and no others.
+
+Nulls and oddities: null and empty texts retrieve nothing, null and wordless
+items are not found.  Equal items are reported each under its id, repeated item rows once,
 and an id with several texts once for each text found; repeated texts to search
 are judged one by one; a null id of theirs is carried along.  Without items
 nothing is found.
@@ -40,7 +42,7 @@ from larder.llm.common import prepare, table
 TOKEN = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]+")  # a word as tokens() has it
 BLANK = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
 ANSWER = re.compile(r"\b(?:answer|solution|antwort|respuesta|réponse)\s*:", re.I)
-MIN_WORDS = 8
+MIN_WORDS = 5  # a shingle
 SEGMENT = 48
 CELL = 32  # a passage is two cells
 K1, B = 1.2, 0.75
@@ -83,6 +85,10 @@ class Index:
 
     def __init__(self, rows: pd.DataFrame, texts: dict, threshold: float = THRESHOLD):
         self.threshold, self.texts, self.parsed = threshold, texts, {}
+        self.whole = {tuple(w): i for i, t in texts.items() if 0 < len(w := tokens(t)) < MIN_WORDS}
+        self.vocab, self.lists = {}, []
+        if not len(rows):
+            return
         rows = rows.sort_values(["item", "segment", "term"], ignore_index=True)
         ids = rows[["item", "segment"]].drop_duplicates(ignore_index=True)
         self.item_of = ids["item"].tolist()
@@ -93,7 +99,6 @@ class Index:
         term, weight = rows["term"].map(number).to_numpy(np.int64), rows["weight"].to_numpy(float)
         order = np.lexsort((seg, term))
         starts = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.lists = []
         for i in range(len(terms)):
             part = order[starts[i]:starts[i + 1]]
             s, w = seg[part].tolist(), weight[part].tolist()
@@ -213,10 +218,14 @@ class Index:
         held, size = [], 0
         for i, text in enumerate(texts):
             words = tokens(text)
-            if len(words) >= MIN_WORDS:
+            if 0 < len(words) < MIN_WORDS:
+                item = self.whole.get(tuple(words))
+                if item is not None:
+                    out[i].append((item, 1.0, 1.0, 1.0))
+            elif words and self.lists:
                 held.append((i, words, np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))))
                 size += len(words)
-            if size >= BATCH_WORDS or i + 1 == len(texts):
+            if held and (size >= BATCH_WORDS or i + 1 == len(texts)):
                 best: dict = {}
                 for j, c in self.passages([x[2] for x in held]):
                     part = held[j][2][c * CELL:(c + 2) * CELL]
@@ -255,19 +264,17 @@ def indexes(items: DataFrame, ident: str = "item_id", text: str = "text", thresh
     kept = kept.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     terms = kept.select("item", "text").mapInPandas(cut, "item string, segment int, term string, tf int, size int").checkpoint()
     n, words = terms.select("item", "segment", "size").distinct().agg(F.count("*"), F.sum("size")).first()
-    if not n:
-        return
     idf = terms.groupBy("term").agg(F.count("*").alias("df")).select("term", F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
-    value = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / (words / n)))
+    value = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / ((words or 1) / max(n, 1))))
     weighed = terms.join(idf, "term").withColumn("value", value)
     own = weighed.groupBy("item", "segment").agg(F.sum("value").alias("own"))
     rows = weighed.join(own, ["item", "segment"]).select(
         "item", "segment", "term", (F.col("value") / F.col("own")).alias("weight"), F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")).checkpoint()
     for s in range(shards):
         part = rows.where(F.col("shard") == s).drop("shard").toPandas()
-        if len(part):
-            texts = {r["item"]: r["text"] for r in kept.where(F.col("shard") == s).select("item", "text").collect()}
+        texts = {r["item"]: r["text"] for r in kept.where(F.col("shard") == s).select("item", "text").collect()}
+        if texts:
             yield Index(part, texts, threshold)
 
 

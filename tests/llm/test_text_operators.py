@@ -252,6 +252,20 @@ def test_decontamination_repeated_items(spark):
     assert [r["doc_id"] for r in decontaminate.clean(docs, bench).collect()] == [6]
 
 
+def test_decontamination_of_short_items(spark):
+    """Items of five to seven words by their shingles, shorter ones where they are the whole text."""
+    bench = spark.createDataFrame([("a", "Paris"), ("b", "The answer is 42."), ("c", "What is the capital of France?"), ("d", "?!"), ("e", "one two three four five")], "item_id string, text string")
+    texts = ["Paris", " paris! ", "Paris is nice", "so: what is the capital of france then, do tell us more of it", "the ANSWER is 42", "the answer is 42 of course it is",
+             "", "?!", "zero one two three four five six", "one two three four", None]
+    docs = docs_of(spark, texts)
+    want = [(0, "a"), (1, "a"), (3, "c"), (4, "b"), (8, "e")]
+    for shard_chars in (20, 1 << 20):
+        assert sorted((r["id"], r["item_id"]) for r in decontaminate.find(docs, bench, shard_chars=shard_chars).collect()) == want
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect()) == [2, 5, 6, 7, 9, 10]
+    only = bench.where("item_id IN ('a', 'd')")
+    assert [(r["id"], r["item_id"]) for r in decontaminate.find(docs, only).orderBy("id").collect()] == [(0, "a"), (1, "a")]
+
+
 def test_wand_equals_full_scoring():
     import pandas as pd
 
