@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,7 @@ from larder.llm.common import FOLD, Lookup, mix, prepare, remainder, sums, table
 MAX_ROWS = 20_000
 DISCOUNT = 2
 DEAD_ZONE = 1.5
+ROWS = 512  # texts taken from Arrow at a time
 UNIT = 1e-3  # evidence from which its logarithm counts
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 PUNCTUATION = str.maketrans({c: " " for c in ".,;:!?\"'()[]{}"})
@@ -91,33 +93,55 @@ def fit_line(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return max(float(beta[0] / scale), 1e-6), float(beta[1])
 
 
+def narrow(table, names: tuple) -> np.ndarray:
+    """Columns of counts side by side and a row of zeros at the end, in 32 bits if they fit."""
+    columns = [np.asarray(table[c]) for c in names]
+    kind = np.int32 if all(c.max(initial=0) < 1 << 31 for c in columns) else np.int64
+    out = np.zeros((len(columns[0]) + 1, len(columns)), dtype=kind)
+    for i, c in enumerate(columns):
+        out[:-1, i] = c
+    return out
+
+
 class KneserNey:
-    """Both models as arrays: words with their continuation and history counts, bigrams with their counts."""
+    """Both models as counts: words with their continuations and what follows them,
+    bigrams with their occurrences.  Estimates are made from them as they are
+    needed; the row at -1 belongs to any other word or bigram."""
 
-    def __init__(self, words: pd.DataFrame, bigrams: pd.DataFrame, types: np.ndarray, taken: np.ndarray, kinds: int):
+    WORD = ("k0", "k1", "ks", "n0", "n1", "t0", "t1", "ts")
+
+    def __init__(self, words, bigrams, types: np.ndarray, taken: np.ndarray, kinds: int):
         # types: different bigrams of class 0, class 1 and both; taken: what the
         # discount takes from the words' continuation counts of either class
-        self.words, self.bigrams = words["w"].to_numpy(np.int64).view(np.uint64), None
-        pairs = mix(bigrams["v"].to_numpy(np.int64).view(np.uint64) * PAIR + bigrams["w"].to_numpy(np.int64).view(np.uint64))
-        self.bigrams, first = np.unique(pairs, return_index=True)
-        n = bigrams[["n0", "n1"]].to_numpy(float)[first]
-        k, shared = words[["k0", "k1"]].to_numpy(float), words["ks"].to_numpy(float)
-        base = types[2] + 0.5 * (kinds + 1)
-        shared = np.append((shared + 0.5) / base, 0.5 / base)  # the last entry: any other word
-        k = np.vstack([k, [0.0, 0.0]])
-        own = np.maximum(types[:2], 1)
-        self.unigram = (np.maximum(k - DISCOUNT, 0) + taken * shared[:, None]) / own
-        self.neutral = float(np.log(self.unigram[-1, 1] / self.unigram[-1, 0]))  # of a word that neither class knows
-        # For each word as a history, class 0, class 1 and both: its occurrences, and
-        # the share of their probability that goes to the next estimate.
-        after, cut = words[["n0", "n1"]].to_numpy(float), words[["t0", "t1", "ts"]].to_numpy(float)
-        after = np.column_stack([after, after.sum(axis=1)])
-        self.after = np.vstack([np.maximum(after, 1), [1.0] * 3])
-        self.left = np.vstack([np.where(after > 0, cut / np.maximum(after, 1), 1.0), [1.0] * 3])
-        n = np.column_stack([n, n.sum(axis=1)])
-        self.n = np.vstack([np.maximum(n - DISCOUNT, 0), [0.0] * 3])
+        unsigned = [np.asarray(t[c]).astype(np.int64, copy=False).view(np.uint64) for t, c in ((words, "w"), (bigrams, "v"), (bigrams, "w"))]
+        by = np.argsort(unsigned[0].view(np.int64), kind="stable")
+        self.words, self.word_counts = unsigned[0][by], narrow(words, self.WORD)
+        self.word_counts[:-1] = self.word_counts[:-1][by]
+        self.bigrams, first = np.unique(mix(unsigned[1] * PAIR + unsigned[2]), return_index=True)
+        counts = narrow(bigrams, ("n0", "n1"))
+        self.bigram_counts = counts[np.append(first, len(counts) - 1)]
+        self.base, self.own, self.taken = types[2] + 0.5 * (kinds + 1), np.maximum(types[:2], 1), taken
+        p = self.base_estimates(np.array([-1]))[0]
+        self.neutral = float(np.log(p[1] / p[0]))  # of a word that neither class knows
         self.index = None
 
+    def base_estimates(self, w: np.ndarray) -> np.ndarray:
+        """Of each word in either class, whatever stands before it."""
+        c = self.word_counts[w].astype(float)
+        return (np.maximum(c[:, :2] - DISCOUNT, 0) + self.taken * ((c[:, 2:3] + 0.5) / self.base)) / self.own
+
+    def histories(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word as a history, in class 0, class 1 and both: its occurrences, and
+        the share of their probability that goes to the next estimate."""
+        c = self.word_counts[v].astype(float)
+        n = np.column_stack([c[:, 3:5], c[:, 3] + c[:, 4]])
+        return np.maximum(n, 1), np.where(n > 0, c[:, 5:] / np.maximum(n, 1), 1.0)
+
+    def discounted(self, pair: np.ndarray) -> np.ndarray:
+        """Counts of each bigram in class 0, class 1 and both, less the discount."""
+        c = self.bigram_counts[pair].astype(float)
+        return np.maximum(np.column_stack([c, c.sum(axis=1)]) - DISCOUNT, 0)
+
     def evidence(self, texts: list) -> np.ndarray:
         """Mean log-likelihood ratio per word of each text."""
         if self.index is None:
@@ -131,8 +155,9 @@ class KneserNey:
             v = np.concatenate(([-1], w[:-1]))
             pair = self.index[1](bigram_keys(hashes))
             v[begins], pair[begins] = -1, -1
-            seen, left = self.n[pair] / self.after[v], self.left[v]
-            p = seen[:, :2] + left[:, :2] * (seen[:, 2:] + left[:, 2:] * self.unigram[w])
+            after, left = self.histories(v)
+            seen = self.discounted(pair) / after
+            p = seen[:, :2] + left[:, :2] * (seen[:, 2:] + left[:, 2:] * self.base_estimates(w))
             ratio = np.log(p[:, 1]) - np.log(p[:, 0]) - self.neutral
             ratio = np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
             out[first:last] = sums(ratio, offsets) / np.maximum(1, np.diff(offsets))
@@ -147,9 +172,11 @@ def train(rows: DataFrame, fit_rows: DataFrame) -> tuple[KneserNey | None, float
                       *[F.coalesce(F.sum(F.least(F.col(c), F.lit(DISCOUNT))), F.lit(0)) for c in ("k0", "k1")], F.count("*")).first()
     if not total[0] or not total[1]:
         return None, 1.0, 0.0
-    # Other bigrams are discounted to zero in either class and in both together.
-    kept_bigrams = bigrams.where(F.col("n0") + F.col("n1") > DISCOUNT).toPandas()
-    model = KneserNey(words.toPandas().sort_values("w"), kept_bigrams.sort_values(["v", "w"]), np.array(total[:3], float), np.array(total[4:6], float), total[6])
+    # Other bigrams are discounted to zero in either class and in both together.  Arrow
+    # brings the columns as they are: no rows or frames of them in the driver.
+    kept = bigrams.where(F.col("n0") + F.col("n1") > DISCOUNT).select("v", "w", "n0", "n1")
+    model = KneserNey(words.select("w", *KneserNey.WORD).toArrow(), kept.toArrow(), np.array(total[:3], float), np.array(total[4:6], float), total[6])
+    pa.default_memory_pool().release_unused()
     seen = evidence(fit_rows.select("label", "text"), model, "label").toPandas()
     z = seen["z"].to_numpy()
     return model, *fit_line(np.sign(z) * np.log1p(np.abs(z) / UNIT), seen["id"].to_numpy(float))
@@ -159,13 +186,14 @@ def evidence(docs: DataFrame, model: KneserNey, ident: str = "doc_id", text: str
     """(id, z) of every row: the mean log-likelihood ratio per word."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"].tolist(), "z": shared.value.evidence(list(f["text"]))})
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.evidence(part.column(1).to_pylist()))], names=["id", "z"])
 
     kind = docs.schema[ident].dataType.simpleString()
-    return docs.select(F.col(ident).cast("string").alias("id"), F.col(text).alias("text")).mapInPandas(run, "id string, z double").withColumn(
-        "id", F.col("id").cast(kind))
+    return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, z double")
 
 
 def score(docs: DataFrame, rows: DataFrame, fit_rows: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

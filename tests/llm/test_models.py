@@ -215,11 +215,13 @@ def test_kneser_ney_conditionals_sum_to_one(spark):
     model = toxicity.KneserNey(w, b, np.array([(w.k0).sum(), (w.k1).sum(), (w.ks).sum()], float),
                                np.array([np.minimum(w[k], toxicity.DISCOUNT).sum() for k in ("k0", "k1")], float), len(w))
     # every word and one place for all unknown ones
-    assert model.unigram.sum(axis=0) == pytest.approx([1, 1])
+    unigram = model.base_estimates(np.append(np.arange(len(model.words)), -1))
+    assert unigram.sum(axis=0) == pytest.approx([1, 1])
     index = toxicity.Lookup(model.bigrams)
     for v in range(0, len(model.words), 17):
         keys = toxicity.mix(model.words[v] * toxicity.PAIR + model.words)
         pair = index(keys)
-        seen, left = model.n[pair] / model.after[v], model.left[v]
-        p = seen[:, :2] + left[:2] * (seen[:, 2:] + left[2:] * model.unigram[:-1])
-        assert p.sum(axis=0) + left[:2] * left[2] * model.unigram[-1] == pytest.approx([1, 1])
+        after, left = (x[0] for x in model.histories(np.array([v])))
+        seen = model.discounted(pair) / after
+        p = seen[:, :2] + left[:2] * (seen[:, 2:] + left[2:] * unigram[:-1])
+        assert p.sum(axis=0) + left[:2] * left[2] * unigram[-1] == pytest.approx([1, 1])
