@@ -322,8 +322,6 @@ def _functions(cut: DataFrame, todo: list, max_pieces: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 part = b.column(0)[0].as_py()
-                if part not in wanted:
-                    return
                 s, judged, _ = _columns(b, 1)
                 rows.append(s[judged])
         if part is not None:
@@ -332,7 +330,7 @@ def _functions(cut: DataFrame, todo: list, max_pieces: int) -> DataFrame:
             f = (np.array([low]), np.array([fold_balances(low, s)[3]]), low + 1) if low == high else transfer(s, low, high, max_pieces)
             yield _function(chain, seq, part, f and (f[0], f[1] + shift, f[2]))
 
-    return cut.select(PART, "_s", "_why").mapInArrow(run, _FUNCTION).checkpoint()
+    return cut.where(F.col(PART).isin(list(wanted))).select(PART, "_s", "_why").mapInArrow(run, _FUNCTION).checkpoint()
 
 
 def _function(chain, seq, part, f) -> pa.RecordBatch:

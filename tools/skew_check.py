@@ -1,16 +1,17 @@
-"""Skew check: one product holding ~40% of the ledger.
+"""Skew check: one product holding ~40% of a ledger with sparse ids and large quantities.
 
-    python tools/skew_check.py [sf_dir] [chunk_ids] [q_max]
+    python tools/skew_check.py [sf_dir] [partitions]
 
 Derives a skewed ledger from the events table ('view' and 'click' events all
-go to product 0), then runs, each under its own job description:
+go to product 0; ids far apart; quantities up to 10**6), then runs, each under
+its own job description:
 
 * ``plain``   - running stock with a plain Window.partitionBy(product)
-* ``chunked`` - ``ledger.running_stock`` (chunked prefix scan)
+* ``ranked``  - ``ledger.running_stock`` (scan by row rank)
 * ``guard``   - ``guard.guard_ledger`` (checked against the row-by-row fold)
 * ``transition_plain`` / ``transition`` - order status requests with one
   order holding ~40% of them: a plain per-order window against
-  ``orders.transition_orders`` (chunked scans)
+  ``orders.transition_orders`` (scan by row rank)
 
 Spark's event log (written to a fresh scratch folder) gives the shuffle
 records read by each task; the script prints, per run and per shuffle stage
@@ -39,8 +40,7 @@ from larder.sources.model import Model  # noqa: E402
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    chunk = int(sys.argv[2]) if len(sys.argv) > 2 else 4096
-    q_max = int(sys.argv[3]) if len(sys.argv) > 3 else 4096
+    parts = int(sys.argv[2]) if len(sys.argv) > 2 else 16
     log_dir = tempfile.mkdtemp(prefix="skew-eventlog-", dir="/tmp")
     spark = build_session(shuffle_partitions=16, extra={
         "spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
@@ -53,7 +53,9 @@ def main() -> None:
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"})
     m = Model(spark, sf_dir)
     hot = F.col("notes").isin("view", "click")
-    led = m.ledger.withColumn("product_id", F.when(hot, F.lit(0).cast("bigint")).otherwise(F.col("product_id")))
+    led = m.ledger.select(
+        (F.col("id") * F.col("id") * 10).alias("id"), F.when(hot, F.lit(0).cast("bigint")).otherwise(F.col("product_id")).alias("product_id"),
+        "transaction_type", (F.col("quantity") * 7919 % 1_000_003 + 1).cast("int").alias("quantity")).repartition(parts)
     opening = m.opening_zero()
     total = led.count()
     share = led.filter(F.col("product_id") == 0).count() / total
@@ -63,11 +65,10 @@ def main() -> None:
     w = Window.partitionBy("product_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     plain = led.select("id", "product_id", F.sum(signed_quantity()).over(w).alias("run"))
     plain.write.format("noop").mode("overwrite").save()
-    sc.setJobDescription("chunked")
-    chunked = ledger.running_stock(opening, led, chunk_ids=chunk)
-    chunked.write.format("noop").mode("overwrite").save()
+    sc.setJobDescription("ranked")
+    ledger.running_stock(opening, led, parts).write.format("noop").mode("overwrite").save()
     sc.setJobDescription("guard")
-    g = guard.guard_ledger(opening, led, chunk_ids=chunk, q_max=q_max).select(
+    g = guard.guard_ledger(opening, led, parts).select(
         "id", "product_id", "accepted", "stock_before", "stock_after")
     got = g.toPandas().sort_values("id").reset_index(drop=True)
     # R7 with one order holding ~40% of the status requests (seq = event id)
@@ -85,11 +86,11 @@ def main() -> None:
                           .over(wp).alias("closed_before"))
     plain_tr.write.format("noop").mode("overwrite").save()
     sc.setJobDescription("transition")
-    tr = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", width=chunk)["outcomes"]
+    tr = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", parts)["outcomes"]
     tr_rows = tr.count()
     sc.setJobDescription(None)
-    # the same batch with no order cut into ranges (one window per order)
-    whole = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", width=1 << 40)["outcomes"]
+    # the same batch in one part
+    whole = orders.transition_orders(req, m.purchase_orders, m.items, "2002-01-01", 1)["outcomes"]
     tr_same = tr.exceptAll(whole).count() == 0 and whole.exceptAll(tr).count() == 0
     ref = guard.guard_reference(opening.toPandas(), led.select(
         "id", "product_id", "transaction_type", "quantity").toPandas()).sort_values("id").reset_index(drop=True)
@@ -121,9 +122,9 @@ def main() -> None:
         if desc is None or sum(recs) < total * 0.05:
             continue
         report[desc].append({"stage": sid, "tasks": len(recs), "records": sum(recs),
-                             "largest_task_share": round(max(recs) / sum(recs), 3)})
-    print(json.dumps({"rows": total, "hot_product_share": round(share, 3), "chunk_ids": chunk,
-                      "guard_equals_plain_fold": bool(same), "transition_rows": tr_rows, "transition_equals_unchunked": bool(tr_same), "shuffle_stages": report}))
+                             "largest_task_share": round(max(recs) / sum(recs), 3), "largest_to_mean": round(max(recs) * len(recs) / sum(recs), 2)})
+    print(json.dumps({"rows": total, "hot_product_share": round(share, 3), "partitions": parts,
+                      "guard_equals_plain_fold": bool(same), "transition_rows": tr_rows, "transition_equals_one_part": bool(tr_same), "shuffle_stages": report}))
 
 
 if __name__ == "__main__":
