@@ -246,7 +246,7 @@ def live_guard(ledger: DataFrame, opening: DataFrame, api: str = "applyInPandasW
 # -- ST2 in id order -------------------------------------------------------------
 
 DISPLACEMENT = 1 << 16  # ids by which a row may come late
-RANGE = 4096            # ids that wait together: at most so many rows of a product are held in memory
+RANGE = 1 << 16         # ids that wait together: at most so many rows of a product are held in memory
 CLOSING_ID = 9 * 10**12  # beyond all ids; read as milliseconds the largest round number that pandas can hold
 
 
@@ -262,42 +262,52 @@ def each_id_once(ledger: DataFrame, displacement: int = DISPLACEMENT) -> DataFra
 class OrderedGuardProcessor(StatefulProcessor):
     """Balance and opening stock of a product, its waiting rows by range of ids, and a
     timer at the end of each range.  Chunks of input are added to their ranges one by
-    one; a range is judged alone, so memory holds one chunk or one range."""
+    one; ranges are judged one by one, small ones together, so memory holds one chunk
+    or about one range.  Every call
+    of the state is a round trip, so there are few of them: about ten for a range."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.balance = handle.getValueState("balance", GUARD_STATE)
-        self.opening = handle.getValueState("opening", T.StructType([T.StructField("stock", T.LongType())]))
+        self.stock = handle.getValueState("stock", T.StructType([T.StructField("balance", T.LongType()), T.StructField("opening", T.LongType())]))
         self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("range", T.LongType())]),
                                           T.StructType([T.StructField("rows", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.stock.get() is not None
         for pdf in rows:
-            if not self.opening.exists():
-                stock = pdf["opening_stock"].iloc[0]
-                self.opening.update((int(stock) if pd.notna(stock) else None,))
+            if not seen:
+                opening, seen = pdf["opening_stock"].iloc[0], True
+                self.stock.update((None, int(opening) if pd.notna(opening) else None))
             entries = [(int(i), t, int(q) if pd.notna(q) else None) for i, t, q in zip(pdf["id"], pdf["transaction_type"], pdf["quantity"])]
-            for number, group in pd.Series(entries).groupby((pdf["id"] // RANGE).to_numpy()):
-                at = (int(number),)
-                held = json.loads(self.waiting.getValue(at)[0]) if self.waiting.containsKey(at) else []
-                if not held:
-                    self.handle.registerTimer((at[0] + 1) * RANGE)
-                self.waiting.updateValue(at, (json.dumps(held + group.tolist()),))
+            groups: dict[int, list] = {}
+            for e in entries:
+                groups.setdefault(e[0] // RANGE, []).append(e)
+            for number, group in groups.items():
+                held = self.waiting.getValue((number,))
+                if held is None:
+                    self.handle.registerTimer((number + 1) * RANGE)
+                self.waiting.updateValue((number,), (json.dumps((json.loads(held[0]) if held else []) + group),))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs()
-        for number in sorted(k[0] for k in self.waiting.keys()):
-            if (number + 1) * RANGE > upto:
-                break
-            entries = json.loads(self.waiting.getValue((number,))[0])
+        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * RANGE <= upto)
+        if not due:  # judged at an earlier timer
+            return
+        balance, opening = self.stock.get()
+        entries: list = []
+        for number in due:  # ranges of few rows are judged together
+            entries += json.loads(self.waiting.getValue((number,))[0])
+            self.waiting.removeKey((number,))
+            if number != due[-1] and len(entries) < RANGE:
+                continue
             pdf = pd.DataFrame(entries, columns=["id", "transaction_type", "quantity"]).astype({"quantity": "Int32"})
             pdf["product_id"] = pd.array([None if pd.isna(key[0]) else key[0]] * len(pdf), dtype="Int64")
-            pdf["opening_stock"] = pd.array([self.opening.get()[0]] * len(pdf), dtype="Int64")
-            out, balance = _judge(pdf, self.balance.get()[0] if self.balance.exists() else None)
-            self.balance.update((balance,))
-            self.waiting.removeKey((number,))
+            pdf["opening_stock"] = pd.array([opening] * len(pdf), dtype="Int64")
+            out, balance = _judge(pdf, balance)
+            entries = []
             yield out
+        self.stock.update((balance, opening))
 
     def close(self) -> None:
         pass
