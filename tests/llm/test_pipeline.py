@@ -91,7 +91,9 @@ def test_entry_works_without_this_part(tmp_path):
 
 def test_every_query_runs_at_smallest_scale(spark):
     docs, pages = spark.read.parquet(f"{SF}/documents.parquet").count(), spark.read.parquet(f"{SF}/pages.parquet").count()
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     for name, fn in E.queries().items():
         if name.startswith("op"):
             n = fn(spark, SF).count()
-            assert n == {"op1_url_filter": pages, "op2_html_extract": pages}.get(name, docs) or name == "op3_decontaminate" and n > 0, name
+            want = {"op1_url_filter": pages, "op2_html_extract": pages, "op11_whitening": 8 * vectors}
+            assert n == want.get(name, docs) or name in ("op3_decontaminate", "op12_spelling") and n > 0, name
