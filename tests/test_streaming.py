@@ -264,3 +264,43 @@ def test_compacted_changelog_reads_one_snapshot_and_its_deltas(spark):
     assert S.last_snapshot(spark, out) == 5 and rows(S.latest_stock(spark, out)) == want
     S.compact(spark, out, 6)
     assert S.last_snapshot(spark, out) == 6 and rows(S.latest_stock(spark, out)) == want
+
+
+PLAIN_SESSION = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", sys.argv[2]).getOrCreate())
+from larder.session import ship_package
+from larder.streaming import ledger_stream as S
+from tests.conftest import make_products
+ship_package(spark)
+events = S.scratch_path(spark, "events")
+spark.createDataFrame([(1, None, 7, "signup", 5.0, "{}"), (2, None, 7, "purchase", 9.0, "{}"), (3, None, 7, "click", 4.0, "{}")],
+                      S.EVENTS_SCHEMA).coalesce(1).write.parquet(events)
+products = make_products(spark)
+opening = products.select(F.col("id").alias("product_id"), F.lit(0).alias("opening_stock"))
+guard = lambda t: S.ordered_guard(t, opening)
+out = spark.read.parquet(S.run_closed(spark, S.ledger_stream(spark, events), guard, "g"))
+print("guard", sorted(map(tuple, out.select("id", "accepted", "stock_before", "stock_after").collect())))
+out = spark.read.parquet(S.run_closed(spark, S.ledger_stream(spark, events), lambda t: S.audit_rows(guard(t), products), "a"))
+print("audit", sorted(map(tuple, out.select("record_id", "old_quantity", "new_quantity").collect())))
+print("store", spark.conf.get(S.STATE_STORE, "").split(".")[-1])
+"""
+
+
+def test_ordered_guard_in_a_session_with_stock_settings(tmp_path):
+    """Spark's own state store is not RocksDB, and a Python process that Spark starts on
+    the driver finds the package neither in its folder nor on its path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", PLAIN_SESSION, root, str(tmp_path / "kept")], cwd=tmp_path, env=env,
+                         capture_output=True, text=True, timeout=300)
+    assert got.returncode == 0, got.stderr[-3000:]
+    assert "guard [(1, True, 0, 5), (2, False, 5, 5), (3, True, 5, 1)]" in got.stdout
+    assert "audit [(7, 0, 5), (7, 5, 1)]" in got.stdout
+    assert "store RocksDB" not in got.stdout  # the session's setting is as it was
