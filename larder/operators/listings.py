@@ -63,7 +63,9 @@ def orders_nested(orders: DataFrame, suppliers: DataFrame, items: DataFrame, pro
     ``orders_nested_pages``."""
     p = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"),
                         F.col("sku").alias("product_sku"))
-    it = items.join(p, items.product_id == p._pid, "inner").drop("_pid")
+    # Dealt by order before they are collected: no list can be made smaller ahead of the
+    # shuffle, where collecting would only sort (and spill) whole input splits.
+    it = items.join(p, items.product_id == p._pid, "inner").drop("_pid").repartition("order_id")
     item_struct = F.struct(*[F.col(c) for c in it.columns if c != "order_id"])
     grouped = it.groupBy(F.col("order_id").alias("_oid")).agg(F.array_sort(F.collect_list(item_struct)).alias("items"))
     base = order_listing(orders, suppliers, ordered=False)

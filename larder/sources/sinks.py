@@ -41,7 +41,8 @@ def overwrite_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
 
 
-def emit_json(df: DataFrame, path: str) -> None:
+def emit_json(df: DataFrame, path: str, compression: str | None = None) -> None:
     """JSON lines, nested structs and arrays kept (e.g. ``orders_nested``),
-    null fields written as null."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    null fields written as null.  JSON repeats its field names in every row;
+    ``compression`` ("gzip") makes the files a small part of that, one per task."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path, compression=compression)

@@ -109,3 +109,22 @@ def test_package_is_shipped_to_workers(spark):
 
     got = sorted(r[0] for r in spark.range(3).mapInPandas(via_larder, "id long").collect())
     assert got == [1, 2, 3]
+
+
+def test_orders_json_writes_whole_rows_in_compressed_files(spark, seed, tmp_path, monkeypatch):
+    import gzip
+    import json
+    from types import SimpleNamespace
+
+    from larder.operators import listings
+    from larder.plans import keys
+
+    monkeypatch.setattr(keys, "scratch_path", lambda spark, name: str(tmp_path / name))
+    m = SimpleNamespace(spark=spark, purchase_orders=seed["orders"], suppliers=seed["suppliers"], items=seed["items"], products=seed["products"])
+    got = sorted(map(tuple, keys._orders_json(m).collect()))
+    want = listings.nested_digest(listings.orders_nested(m.purchase_orders, m.suppliers, m.items, m.products))
+    assert got == sorted(map(tuple, want.collect())) and len(got) == 3
+    written = [f for f in (tmp_path / "orders-json").iterdir() if f.name.startswith("part-")]
+    assert written and all(f.name.endswith(".json.gz") for f in written)
+    lines = [json.loads(x) for f in written for x in gzip.open(f, "rt")]
+    assert sorted((x["id"], len(x["items"]), x["supplier_name"]) for x in lines) == [(1, 1, "Supplier One"), (2, 2, "Supplier Two"), (3, 1, "Supplier Three")]
