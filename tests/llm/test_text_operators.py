@@ -493,3 +493,46 @@ def test_bpe_equals_the_library(spark):
     ids = tok.encode(" lead", add_special_tokens=False).ids
     assert digest["ids"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and digest["decoded"] == hashlib.sha256(b" lead").hexdigest()
     assert bpe.code(docs.limit(0), path).count() == 0
+
+
+def test_bpe_blocks_are_coded_in_parts(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    path, rnd = bpe.default_vocabulary(), random.Random(9)
+    monkeypatch.setattr(bpe, "PART_WORDS", 1 << 11)
+
+    def block_of_texts(texts):
+        return pa.table({"block": np.full(len(texts), 3, np.int32), "id": np.arange(len(texts)), "packed": pa.array(
+            [None if t is None else zstandard.ZstdCompressor().compress(t.encode()) for t in texts], pa.binary())})
+
+    def answered(block):
+        asked = bpe.distinct_words(block, 5)
+        return pa.concat_tables([bpe.encoded_bucket(asked.slice(i, 1), path) for i in range(asked.num_rows)] or [
+            pa.table({"words": pa.array([], pa.binary()), "ids": pa.array([], pa.binary())})])
+
+    lines = [None, "", "<|endoftext|>x\n", *(prose(rnd, 300) + f" {i} ü\x00\n" for i in range(150)), None]
+    peaks = []
+    for texts in (lines, lines * 6):
+        block = block_of_texts(texts)
+        answers = answered(block)
+        rows, most = 0, 0
+        tracemalloc.start()
+        for part in bpe.joined_block(block, answers, path, False):  # what a part holds does not grow with its block
+            most, rows = max(most, part.num_rows), rows + part.num_rows
+            assert [t or "" for t in texts[rows - part.num_rows:rows]] == part.column("decoded").to_pylist()
+            assert part.column("id").to_pylist() == list(range(rows - part.num_rows, rows))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == len(texts) and most < len(lines) / 2
+    assert peaks[1] < 2 * peaks[0], peaks
+    assert sum(p.num_rows for p in bpe.joined_block(block_of_texts([None, ""]), answered(block_of_texts([None, ""])), path, True)) == 2
+
+    # A word that many blocks ask for is encoded once in its bucket.
+    asked = pa.concat_tables([bpe.distinct_words(block_of_texts(["one two three", f" {i} two"]), 1) for i in range(4)])
+    given, plain = [], bpe.encode_words
+    monkeypatch.setattr(bpe, "encode_words", lambda words, path: given.extend(words) or plain(words, path))
+    coded = bpe.encoded_bucket(asked, path)
+    assert len(given) == len(set(given)) and coded.num_rows == 4 and coded.column("words").equals(asked.column("words"))
