@@ -39,6 +39,7 @@ from larder.llm.common import block_of, n_blocks, prepare, table
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
 BLOCK_BYTES = 8 << 20
+DIGEST_BLOCK_BYTES = 16 << 20  # a block's digests are small; larger blocks ask for fewer words
 PART_WORDS = 1 << 17  # words of a block that are joined at a time
 BATCH_WORDS = 1 << 13  # words that the library encodes at a time
 
@@ -227,5 +228,5 @@ def default_vocabulary() -> str:
 
 def op8_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     prepare(spark)
-    coded = code(table(spark, sf_dir, "documents"), path or default_vocabulary(), digests=True)
+    coded = code(table(spark, sf_dir, "documents"), path or default_vocabulary(), block_bytes=DIGEST_BLOCK_BYTES, digests=True)
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
