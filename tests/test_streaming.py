@@ -246,9 +246,10 @@ def test_unsound_rows_wait_and_are_refused_too(spark):
 
 
 def test_state_is_kept_by_range_and_bucket(spark, tmp_path):
-    """Many products with few rows each: neither the ids nor the products have a state row of their own."""
+    """Many products with few rows each, and rows without a product among them: neither the ids nor the products have a
+    state row of their own, and no product loses its id to its neighbours' nulls."""
     n = 3000
-    df = spark.range(2 * n).selectExpr("id", f"id % {n} AS product_id", f"if(id < {n} AND id % 2 = 0, 'IN', 'OUT') AS transaction_type",
+    df = spark.range(2 * n).selectExpr("id", f"if(id % 61 = 5, NULL, id % {n}) AS product_id", f"if(id < {n} AND id % 2 = 0, 'IN', 'OUT') AS transaction_type",
                                        "cast(1 + id % 7 AS int) AS quantity")
     opening = spark.range(n).selectExpr("id AS product_id", "2L AS opening_stock")
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
